@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import embedding_dedup, sharding, simhash, topk_search
+from staylens.llm import bpe, embedding_dedup, packing, sharding, simhash, topk_search
 from staylens.llm.common import documents
 
 
@@ -18,10 +18,28 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file; looked up when a query runs, since only some queries need one."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), capacity=2_048)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return coded.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -66,7 +84,7 @@ FROM comp LEFT JOIN n ON n.vec_id = comp.vec_id
 
 
 def queries() -> dict:
-    return {"op2_sharding": op2_sharding, "op4_simhash": op4_simhash, "op6_embedding_dedup": op6_embedding_dedup, "op10_topk_search": op10_topk_search}
+    return {"op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op10_topk_search": op10_topk_search}
 
 
 def oracle_sql() -> dict[str, str]:
