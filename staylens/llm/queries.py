@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import bpe, embedding_dedup, packing, sharding, simhash, topk_search, toxicity
+from staylens.llm import bpe, embedding_dedup, language_model, packing, sharding, simhash, topk_search, toxicity
 from staylens.llm.common import documents
 
 
@@ -48,6 +48,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.train_and_score(documents(spark, sf_dir))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return topk_search.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
@@ -88,7 +92,7 @@ FROM comp LEFT JOIN n ON n.vec_id = comp.vec_id
 
 
 def queries() -> dict:
-    return {"op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op10_topk_search": op10_topk_search}
+    return {"op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op8_language_model": op8_language_model, "op10_topk_search": op10_topk_search}
 
 
 def oracle_sql() -> dict[str, str]:
