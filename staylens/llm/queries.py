@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import bpe, embedding_dedup, language_model, packing, sharding, simhash, topk_search, toxicity
+from staylens.llm import bpe, embedding_dedup, language_model, packing, sharding, simhash, substring_dedup, topk_search, toxicity
 from staylens.llm.common import documents
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(documents(spark, sf_dir), length=100)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     dealt = sharding.uniform_shards(docs, ["doc_id"], shards=24)
@@ -92,7 +97,7 @@ FROM comp LEFT JOIN n ON n.vec_id = comp.vec_id
 
 
 def queries() -> dict:
-    return {"op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op8_language_model": op8_language_model, "op10_topk_search": op10_topk_search}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op8_language_model": op8_language_model, "op10_topk_search": op10_topk_search}
 
 
 def oracle_sql() -> dict[str, str]:
