@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import bpe, embedding_dedup, language_model, packing, sharding, simhash, substring_dedup, topk_search, toxicity
+from staylens.llm import bpe, embedding_dedup, language_model, packing, sharding, simhash, substring_dedup, token_counts, topk_search, toxicity
 from staylens.llm.common import documents
 
 
@@ -57,6 +57,10 @@ def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.train_and_score(documents(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_token_counts(token_counts.sample_edits(documents(spark, sf_dir)), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return topk_search.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
@@ -103,7 +107,7 @@ FROM comp LEFT JOIN n ON n.vec_id = comp.vec_id
 
 
 def queries() -> dict:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op8_language_model": op8_language_model, "op10_topk_search": op10_topk_search,
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op8_language_model": op8_language_model, "op9_token_counts": op9_token_counts, "op10_topk_search": op10_topk_search,
         "pipeline": pipeline}
 
 
