@@ -1,6 +1,6 @@
 """Query families of the market library; importing this package registers them."""
 
-from staylens.plans import market
+from staylens.plans import market, series
 from staylens.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "market"]
+__all__ = ["QUERIES", "SQL", "market", "series"]
