@@ -388,7 +388,7 @@ med AS (SELECT t_id, t_hood, t_bedrooms, floor(quantile_cont(price, 0.5) * 10000
 imp AS (SELECT t_id, CASE WHEN m <= p33 THEN 1 WHEN m <= p67 THEN 2 ELSE 3 END AS tt FROM med JOIN seg ON seg.hood = t_hood AND seg.bedrooms = t_bedrooms),
 two AS (SELECT base.*, floor((greatest(0, least(100, raw + CASE abs(tt - CASE WHEN price <= p33 THEN 1 WHEN price <= p67 THEN 2 ELSE 3 END) WHEN 0 THEN 7 WHEN 1 THEN 2.8 ELSE 0 END)) + 1e-9) * 10 + 0.5) / 10 AS score
   FROM base LEFT JOIN imp ON imp.t_id = base.t_id LEFT JOIN seg ON seg.hood = base.hood AND seg.bedrooms = base.bedrooms),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY score DESC, id) AS rank FROM two) WHERE rank <= 10)"""
+best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY t_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM two) WHERE rank <= 10)"""
 
 
 @query(f"WITH {CASCADE_SQL} SELECT t_id, max(step) AS step, count(*) AS n FROM chosen GROUP BY t_id")

@@ -245,7 +245,7 @@ def source_registry_counts(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
-@query(f"""WITH {LISTINGS}, s AS (SELECT hood, bedrooms, bathrooms, id, row_number() OVER (PARTITION BY hood ORDER BY (sqft IS NOT NULL) DESC, (rating IS NOT NULL) DESC, price_cents DESC, id) AS rank FROM listings)
+@query(f"""WITH {LISTINGS}, s AS (SELECT hood, bedrooms, bathrooms, id, CAST(row_number() OVER (PARTITION BY hood ORDER BY (sqft IS NOT NULL) DESC, (rating IS NOT NULL) DESC, price_cents DESC, id) AS INTEGER) AS rank FROM listings)
 SELECT hood, rank, id FROM s WHERE rank <= 3""")
 def rank_samples_per_group(spark: SparkSession, folder: str) -> DataFrame:
     order = [F.desc(F.col("sqft").isNotNull()), F.desc(F.col("rating").isNotNull()), F.desc("price_cents"), F.asc("id")]
