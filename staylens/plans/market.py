@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from staylens.functions import dates
@@ -12,7 +12,9 @@ from staylens.plans.registry import query
 from staylens.plans.standins import AS_OF, CALENDAR, EVENTS_AS_OF, LISTINGS, MONTHLY, QUOTES, calendar, listings, monthly, quotes
 from staylens.sources.tables import table
 
-AVAILABLE = F.count_if(F.col("available"))
+
+def open_nights() -> Column:
+    return F.count_if(F.col("available"))
 
 
 def forward(days: DataFrame, start: int, end: int, as_of: str = AS_OF) -> DataFrame:
@@ -30,7 +32,7 @@ def availability_trend(spark: SparkSession, folder: str) -> DataFrame:
     """Share of open nights for each of the next 30 days."""
     days = forward(calendar(spark, folder), 0, 30)
     joined = days.join(listings(spark, folder).select("id"), F.col("id") == F.col("listing_id"))
-    return joined.groupBy("day").agg(F.count("*").alias("nights"), AVAILABLE.alias("open_nights"), half_up(ratio(AVAILABLE, F.count("*")), 4).alias("open_rate"))
+    return joined.groupBy("day").agg(F.count("*").alias("nights"), open_nights().alias("open_nights"), half_up(ratio(open_nights(), F.count("*")), 4).alias("open_rate"))
 
 
 @query(f"""WITH {LISTINGS}, {CALENDAR}
@@ -40,7 +42,7 @@ WHERE day >= DATE '{AS_OF}' AND day < DATE '{AS_OF}' + 30 GROUP BY hood, day""",
 def availability_trend_by_group(spark: SparkSession, folder: str) -> DataFrame:
     days = forward(calendar(spark, folder), 0, 30)
     joined = days.join(listings(spark, folder).select("id", "hood"), F.col("id") == F.col("listing_id"))
-    return joined.groupBy("hood", "day").agg(F.count("*").alias("nights"), half_up(ratio(AVAILABLE, F.count("*")), 4).alias("open_rate"))
+    return joined.groupBy("hood", "day").agg(F.count("*").alias("nights"), half_up(ratio(open_nights(), F.count("*")), 4).alias("open_rate"))
 
 
 @query(f"""WITH {LISTINGS}, {CALENDAR}
