@@ -30,10 +30,10 @@ NONE = 1 << 62
 #: fixed values: the pre-token patterns that the two vocabularies' files name
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: beside a space another white-space character: there chunks cannot be cut at the space alone
-MIXED_SPACE = re.compile(r" \s|\s ")
 #: white space of str.split() that the vocabularies do not count as white space
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: all other white space but the space
+OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in ODD_SPACE + " "]
 
 
 def byte_letters() -> list[str]:
@@ -173,7 +173,7 @@ class Lexicon:
 class Encoder:
     """Token ids of texts for a byte-level or word-end BPE vocabulary file, as little-endian uint32 bytes."""
 
-    CACHE = 300_000
+    CHUNKS, WORDS = 500_000, 250_000
 
     def __init__(self, path: str, lexicon: bytes | None = None):
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -348,13 +348,17 @@ class Encoder:
         return "".join(c.lower() for c in composed) if "Σ" in composed else composed.lower()
 
     def pretokens(self, chunk: str) -> list[str]:
-        return self.pattern.findall(self._normal(chunk) if self.suffix else chunk)
-
-    def learn(self, words: set[str]) -> None:
-        """Put the ids of new pre-tokens into the cache: from the transducer, else by merging."""
-        if len(self.words) > self.CACHE:
-            self.words.clear()
-        fresh = [w for w in words if w not in self.words]
+        if self.suffix:
+            chunk = self._normal(chunk)
+            if chunk.isalpha():
+                return [chunk]
+        elif chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+            return [chunk]
+        return self.pattern.findall(chunk)
+
+    def learn(self, words: set[str]) -> list[str]:
+        """Put the ids of new pre-tokens into the cache, from the transducer or by merging; returns what is new."""
+        fresh = list(words.difference(self.words))
         raw = [w.encode() for w in fresh]
         numbers = self.lexicon.find(raw).tolist() if self.lexicon and fresh else [-1] * len(fresh)
         missing = []
@@ -367,40 +371,43 @@ class Encoder:
         for at in range(0, len(missing), 50_000):
             some = missing[at: at + 50_000]
             self.words.update(zip(some, self.merge_many([w.encode() for w in some]), strict=True))
+        return fresh
 
     def _pieces(self, text: str) -> list[str]:
         """The text cut where pre-tokens of both sides cannot depend on each other."""
         if self.suffix:
-            return [text] if ODD_SPACE.search(text) else text.split()
-        if MIXED_SPACE.search(text):
+            return [text] if any(c in text for c in ODD_SPACE) else text.split()
+        # beside a space another white-space character: there the text cannot be cut at the space alone
+        if "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in OTHER_SPACE):
             return [text]
         head, *rest = text.split(" ")
         return [head, *map(" ".__add__, rest)]
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text; special tokens' strings become their ids."""
-        parts = [[(self.special.get(x) if k % 2 else x) for k, x in enumerate(self.cut.split(t))] if self.cut and "<|" in t else [t] for t in texts]
-        cut = [[x if isinstance(x, int) else self._pieces(x) for x in p] for p in parts]
-        if len(self.chunks) > self.CACHE:
-            self.chunks.clear()
+        """Ids of each whole text; special tokens' strings become their ids.
+
+        Chunks and words first met stay cached until the caches are full; later ones are kept for the call.
+        """
+        cut: list[list] = []
+        for text in texts:
+            if self.cut and "<|" in text:
+                cut.append([c for k, x in enumerate(self.cut.split(text)) for c in ([(self.special[x],)] if k % 2 else self._pieces(x))])
+            else:
+                cut.append(self._pieces(text))
         known = self.chunks
-        fresh = {c for p in cut for x in p if not isinstance(x, int) for c in x if c not in known}
-        found = {c: self.pretokens(c) for c in fresh}
-        self.learn({w for x in found.values() for w in x})
+        fresh = set().union(*cut).difference(known)
+        found = {c: self.pretokens(c) for c in fresh if isinstance(c, str)}
+        new_words = self.learn({w for x in found.values() for w in x})
         words = self.words
-        large = {}
-        for chunk, own in found.items():
-            ids = b"".join([words[w] for w in own])
-            (known if len(chunk) <= 64 else large)[chunk] = ids
-        out = []
-        for p in cut:
-            done = []
-            for x in p:
-                if isinstance(x, int):
-                    done.append(x.to_bytes(4, "little"))
-                else:
-                    done += [known[c] if c in known else large[c] for c in x] if large else map(known.__getitem__, x)
-            out.append(b"".join(done))
+        for chunk in fresh:
+            known[chunk] = b"".join([words[w] for w in found[chunk]]) if chunk in found else chunk[0].to_bytes(4, "little")
+        out = [b"".join(map(known.__getitem__, p)) for p in cut]
+        for cache, size, new in ((known, self.CHUNKS, fresh), (words, self.WORDS, new_words)):
+            over = len(cache) - size
+            for x in new:
+                if over > 0 or len(x) > 64:
+                    del cache[x]
+                    over -= 1
         return out
 
     def decode(self, ids: np.ndarray) -> str:
