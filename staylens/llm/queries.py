@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,9 +110,22 @@ FROM comp LEFT JOIN n ON n.vec_id = comp.vec_id
 """
 
 
+def located(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with this checkout on the path of Python workers wherever the driver was started."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root, settings = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        paths = [p for p in settings.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if root not in paths:
+            settings["PYTHONPATH"] = os.pathsep.join([root, *paths])
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op8_language_model": op8_language_model, "op9_token_counts": op9_token_counts, "op10_topk_search": op10_topk_search,
+    found = {"op1_suffix_dedup": op1_suffix_dedup, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op8_language_model": op8_language_model, "op9_token_counts": op9_token_counts, "op10_topk_search": op10_topk_search,
         "pipeline": pipeline}
+    return {name: located(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -82,23 +82,28 @@ def label_model(votes: np.ndarray, truth: np.ndarray, rounds: int = 60) -> tuple
     at = at.ravel()
     x = patterns.astype(float)
     post = np.clip(np.bincount(at, truth, len(x)) / counts, 0.02, 0.98)
-    weight = np.ones(x.shape[1])
-    for _ in range(rounds):
+
+    def fitted(weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         one, zero = counts * post, counts * (1 - post)
         hit1, hit0 = (one @ x + 0.5) / (one.sum() + 1), (zero @ x + 0.5) / (zero.sum() + 1)
-        # what two voters share beyond their common cause, within the classes
-        spread = np.sqrt(np.maximum(1e-6, (one @ ((x - hit1) ** 2) + zero @ ((x - hit0) ** 2)) / counts.sum()))
-        shared = ((x - hit1).T * one) @ (x - hit1) + ((x - hit0).T * zero) @ (x - hit0)
-        correlation = np.abs(shared / counts.sum() / spread[:, None] / spread[None])
-        np.fill_diagonal(correlation, 0)
-        weight = 1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(1))
-        yes, no = weight * np.log(hit1 / hit0), weight * np.log((1 - hit1) / (1 - hit0))
         prior = float(np.log((one.sum() + 1) / (zero.sum() + 1)))
-        logit = np.clip(prior + x @ yes + (1 - x) @ no, -30, 30)
-        new = 1 / (1 + np.exp(-logit))
-        if np.abs(new - post).max() < 1e-6:
-            break
+        return prior, weight * np.log(hit1 / hit0), weight * np.log((1 - hit1) / (1 - hit0))
+
+    for _ in range(rounds):
+        prior, yes, no = fitted(np.ones(x.shape[1]))
+        new = 1 / (1 + np.exp(-np.clip(prior + x @ yes + (1 - x) @ no, -30, 30)))
+        still = np.abs(new - post).max() < 1e-6
         post = new
+        if still:
+            break
+    # what two voters share beyond their common cause, within the classes
+    one, zero = counts * post, counts * (1 - post)
+    hit1, hit0 = one @ x / max(1e-9, one.sum()), zero @ x / max(1e-9, zero.sum())
+    spread = np.sqrt(np.maximum(1e-6, (one @ ((x - hit1) ** 2) + zero @ ((x - hit0) ** 2)) / counts.sum()))
+    shared = ((x - hit1).T * one) @ (x - hit1) + ((x - hit0).T * zero) @ (x - hit0)
+    correlation = np.abs(shared / counts.sum() / spread[:, None] / spread[None])
+    np.fill_diagonal(correlation, 0)
+    prior, yes, no = fitted(1 / (1 + np.where(correlation > 0.1, correlation, 0).sum(1)))
     return prior, yes, no
 
 
