@@ -160,10 +160,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample_rows: int =
     input, and files every vector; lists are split into cells of about ``cell_rows`` rows on either side.
     vec_id is unique; extra columns are not looked at; an empty table gives no rows.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("vector"))
     sound = (F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("vector") > 0)
-             & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(1e150)))
-             & F.exists("vector", lambda v: F.abs(v) > F.lit(1e-150)))
+             & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < F.lit(1e150)))
+             & F.exists("vector", lambda v: F.abs(v.cast("double")) > F.lit(1e-150)))
     keyed = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     distinct = checkpointed(keyed.filter("sound").groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
     sample = distinct.orderBy(F.xxhash64("rep"), "rep").select("vector").limit(sample_rows).toArrow()["vector"].combine_chunks()
@@ -173,10 +173,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample_rows: int =
     width = -(-longest // SUBSPACES) * SUBSPACES
     points = _padded(sample if isinstance(sample, pa.ListArray) else sample.chunk(0), width)
     points /= np.sqrt((points**2).sum(1))[:, None]
-    lists = int(min(256, max(1, distinct.count() // 400)))
+    # labels divide the lists once more, and in high dimensions a query probes most lists: a few large ones do
+    lists = int(min(256, max(1, distinct.count() // 8_000)))
     model = train(points, lists)
+    kinds = dict(distinct.dtypes)
     filed = checkpointed(distinct.mapInArrow(
-        _file(model, width, math.sqrt(2 - 2 * threshold) ), f"label {dict(distinct.dtypes)['label']}, rep long, copies long, vector array<double>, list int, code binary, error double"))
+        _file(model, width, math.sqrt(2 - 2 * threshold)),
+        f"label {kinds['label']}, rep long, copies long, vector {kinds['vector']}, list int, code binary, error double"))
     cells = filed.groupBy("label", "list").agg(
         F.ceil(F.count("code") / cell_rows).cast("int").alias("blocks"), F.ceil((F.count("*") - F.count("code")) / cell_rows).cast("int").alias("turns"))
     placed = filed.join(cells, ["label", "list"])
