@@ -24,12 +24,8 @@ UNIT = re.compile(r"(?<=\S) (?=\S)")
 
 def units(text: str) -> list[str]:
     """The text cut before each space that stands between two characters that are no white space."""
-    if "  " not in text and text.isascii() and not any(c in text for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"):
-        head, *rest = text.strip(" ").split(" ") if text[:1] != " " and text[-1:] != " " else [text]
-        if not rest and " " in head:
-            head, *rest = UNIT.split(head)
-    else:
-        head, *rest = UNIT.split(text)
+    simple = "  " not in text and text.isascii() and text == text.strip() and not any(c in text for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    head, *rest = text.split(" ") if simple else UNIT.split(text)
     return [head, *map(" ".__add__, rest)]
 
 
