@@ -173,7 +173,7 @@ class Lexicon:
 class Encoder:
     """Token ids of texts for a byte-level or word-end BPE vocabulary file, as little-endian uint32 bytes."""
 
-    CHUNKS, WORDS = 500_000, 250_000
+    CHUNKS, WORDS = 200_000, 100_000
 
     def __init__(self, path: str, lexicon: bytes | None = None):
         spec = json.loads(open(path, encoding="utf-8").read())

@@ -137,7 +137,7 @@ def _anchored(length: int, buckets: int) -> Callable:
                 rows["start"], rows["size"] = first - own[text] + base, last - first + length
                 held.append(rows)
                 count += len(rows)
-            if count > 1_000_000:
+            if count > 500_000:
                 yield _sent(np.concatenate(held), buckets)
                 held, count = [], 0
         if count:
@@ -210,7 +210,7 @@ def _fetched(length: int, buckets: int) -> Callable:
                             value = digest(part[k: k + length])
                             windows.append((value >> 64, value & 0xFFFFFFFFFFFFFFFF, doc, x["start"] + k, length))
                         held += 200 * (len(part) - length + 1)
-                if held > 64_000_000:
+                if held > 32_000_000:
                     yield from flushed()
         yield from flushed()
 
