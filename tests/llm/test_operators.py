@@ -135,6 +135,49 @@ def test_similar_documents(docs, nothing):
     assert similar_documents.similar_groups(nothing).count() == 0
 
 
+def brute_groups(texts, words=5):
+    def shingles(t):
+        own = (t or "").lower().split()
+        return {tuple(own[i: i + words]) for i in range(max(1, len(own) - words + 1))} if own else set()
+
+    sets = {i: shingles(t) for i, t in texts}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    return {i: root(i) for i in sets}, len(links)
+
+
+def edited_texts():
+    """Texts with one to twelve changed words, about similarity 0.5 to 0.95, some of a length changed with them."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(60):
+        own = [f"w{x}" for x in rng.integers(0, 5_000, int(rng.integers(30, 400)))]
+        texts.append(" ".join(own))
+        for _ in range(3):
+            near = list(own)
+            for at in rng.choice(len(near), int(rng.integers(1, 13)), replace=False):
+                near[at] = f"v{rng.integers(0, 10**6)}"
+            texts.append(" ".join(near[: len(near) - int(rng.integers(0, 4))]))
+    return list(enumerate(texts))
+
+
+def test_similar_documents_find_every_pair(spark):
+    texts = edited_texts()
+    wanted, n = brute_groups(texts)
+    assert n > 40
+    got = {r.doc_id: r.component_id for r in similar_documents.similar_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == wanted
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoding(name):
     path = public_tokenizers.path(name)
