@@ -178,6 +178,15 @@ def test_similar_documents_find_every_pair(spark):
     assert got == wanted
 
 
+def test_similar_documents_keep_different_texts(spark):
+    """One line repeated many times outvotes all else in a fingerprint; as a set it is a few shingles."""
+    body = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    texts = [(i, b + " " + LINE * 30) for i, b in enumerate(body)]
+    wanted, n = brute_groups(texts)
+    assert n == 0
+    assert {r.doc_id: r.component_id for r in similar_documents.similar_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == wanted
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoding(name):
     path = public_tokenizers.path(name)
