@@ -187,6 +187,25 @@ def test_similar_documents_keep_different_texts(spark):
     assert {r.doc_id: r.component_id for r in similar_documents.similar_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == wanted
 
 
+def test_similar_documents_of_a_crowd(spark):
+    """Crowds of different near copies and of texts that share much but are not similar; keys far above a block."""
+    rng = np.random.default_rng(6)
+    page = " ".join(f"p{i}" for i in range(100))
+    texts = [f"{page} number {i} " + " ".join(f"q{k}" for k in range(30)) for i in range(150)]
+    texts += [page + " " + " ".join(f"r{x}" for x in rng.integers(0, 10**6, int(rng.integers(14, 30)))) for _ in range(150)]
+    texts = list(enumerate(texts))
+    wanted, n = brute_groups(texts)
+    assert n > 10_000 and len(set(wanted.values())) > 50
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in similar_documents.similar_groups(df, block=20).collect()} == wanted
+
+
+def test_pairs_of_crowded_keys_meet_once_in_bounded_blocks(spark):
+    members = spark.createDataFrame([(7, i, 10, i % 3) for i in range(100)] + [(8, i, 10, 0) for i in range(50)], "key long, node long, size long, component long")
+    pairs = [(r.a, r.b) for r in similar_documents._across(members, 10, 0.8).collect()]
+    assert sorted(pairs) == [(a, b) for a, b in itertools.combinations(range(100), 2) if a % 3 != b % 3]
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoding(name):
     path = public_tokenizers.path(name)
