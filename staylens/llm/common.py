@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,3 +89,32 @@ def portions(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4_000_00
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: what the tasks of a worker keep for each other; tasks that do not need it empty it
+CACHES: list[dict] = []
+
+
+def release(keep: bool = False) -> None:
+    """Give memory that this worker no longer needs back to the system; with ``keep`` its caches stay."""
+    if not keep:
+        for cache in CACHES:
+            cache.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only the GNU C library has it
+        pass
+
+
+def tidy(task: Callable, keep: bool = False) -> Callable:
+    """The task over batches, begun and ended with what earlier work left in the worker given back."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keep)
+        try:
+            yield from task(batches)
+        finally:
+            release(keep)
+
+    return run

@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
+from operator import add
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.bpe import Encoder, compile_lexicon, encoder, frequent_words
-from staylens.llm.common import portions
+from staylens.llm.common import portions, tidy
 
 UNIT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -32,49 +33,45 @@ def units(text: str) -> list[str]:
 class TokenTree:
     """Segment tree over the units of one text; ``tokens`` is the count of the whole text as edited so far."""
 
-    def __init__(self, text: str, coder: Encoder, counts: list[int] | None = None):
-        self.coder = coder
-        self.leaves = units(text)
-        if counts is None:
-            counts = self.count(self.leaves)
-        self.size = 1 << max(0, (len(self.leaves) - 1).bit_length())
-        self.characters, self.sums = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
-        self.characters[self.size: self.size + len(self.leaves)] = [len(x) for x in self.leaves]
-        self.sums[self.size: self.size + len(self.leaves)] = counts
-        level = self.size
-        while level > 1:  # one level at a time, each from the one below
-            for tree in (self.characters, self.sums):
-                tree[level // 2: level] = tree[level: 2 * level: 2] + tree[level + 1: 2 * level: 2]
-            level //= 2
+    def __init__(self, leaves: list[str], counts: list[int]):
+        self.leaves = leaves
+        self.size = 1 << max(0, (len(leaves) - 1).bit_length())
+        self.characters, self.sums = (self._built(x) for x in (list(map(len, leaves)), counts))
         self.encoded = 0
 
-    def count(self, parts: list[str]) -> list[int]:
-        return [len(x) // 4 for x in self.coder.encode_many(parts)]
+    def _built(self, leaves: list[int]) -> list[int]:
+        """Sums of all nodes, node 1 the root; built one level at a time, each from the one below."""
+        level = leaves + [0] * (self.size - len(leaves))
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(add, level[::2], level[1::2]))
+            levels.append(level)
+        return [0, *chain.from_iterable(reversed(levels))]
 
     @property
     def tokens(self) -> int:
-        return int(self.sums[1])
+        return self.sums[1]
 
     def text(self) -> str:
         return "".join(self.leaves)
 
     def _find(self, at: int) -> tuple[int, int]:
         """Leaf that holds character ``at`` and the place of its first character; the last leaf beyond the end."""
-        node, start = 1, 0
+        node, start, characters = 1, 0, self.characters
         while node < self.size:
-            left = int(self.characters[2 * node])
+            left = characters[2 * node]
             node, start = (2 * node, start) if at < start + left else (2 * node + 1, start + left)
         leaf = min(node - self.size, len(self.leaves) - 1)
-        return leaf, start if leaf == node - self.size else int(self.characters[1]) - len(self.leaves[leaf])
+        return leaf, start if leaf == node - self.size else characters[1] - len(self.leaves[leaf])
 
     def _set(self, leaf: int, text: str, tokens: int) -> None:
-        self.leaves[leaf] = text
         node = self.size + leaf
-        self.characters[node], self.sums[node] = len(text), tokens
-        while node > 1:
+        longer, more = len(text) - self.characters[node], tokens - self.sums[node]
+        self.leaves[leaf] = text
+        while node:
+            self.characters[node] += longer
+            self.sums[node] += more
             node //= 2
-            for tree in (self.characters, self.sums):
-                tree[node] = tree[2 * node] + tree[2 * node + 1]
 
     def _beside(self, leaf: int, step: int) -> int:
         """The nearest leaf in that direction that is not empty, or ``leaf``."""
@@ -85,9 +82,9 @@ class TokenTree:
             other += step
         return leaf
 
-    def edit(self, start: int, stop: int, text: str) -> None:
-        """Replace characters start..stop (cut to the text's ends) by ``text``."""
-        total = int(self.characters[1])
+    def touched(self, start: int, stop: int, text: str) -> tuple[int, int, str]:
+        """First and last leaf that replacing characters start..stop by ``text`` may change, and their text after it."""
+        total = self.characters[1]
         start = min(max(0, start), total)
         stop = min(max(start, stop), total)
         first, begin = self._find(start)
@@ -96,33 +93,39 @@ class TokenTree:
         if low != first:
             begin -= len(self.leaves[low])
         region = "".join(self.leaves[low: high + 1])
-        region = region[: start - begin] + text + region[stop - begin:]
+        return low, high, region[: start - begin] + text + region[stop - begin:]
+
+    def put(self, low: int, high: int, region: str, tokens: int) -> None:
+        """Let the first of these leaves hold the region and the others nothing."""
         self.encoded += len(region)
-        tokens = self.count([region])[0]
         for leaf in range(low + 1, high + 1):
             if self.leaves[leaf]:
                 self._set(leaf, "", 0)
         self._set(low, region, tokens)
 
 
+def edit_trees(trees: list[TokenTree], edits: list[list[tuple[int, int, str]]], coder: Encoder) -> None:
+    """Apply the edits of each tree in their order; the k-th edits of all trees are encoded in one call."""
+    for k in range(max(map(len, edits), default=0)):
+        own = [(tree, tree.touched(*e[k])) for tree, e in zip(trees, edits, strict=True) if k < len(e)]
+        for (tree, (low, high, region)), ids in zip(own, coder.encode_many([x[2] for _, x in own]), strict=True):
+            tree.put(low, high, region, len(ids) // 4)
+
+
 def _counted(path: str, lexicon: object) -> Callable:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, lexicon.value)
-        for batch in portions(batches, 1):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            cut = [units(t) for t in texts]
+        for batch in portions(batches, 1, 2_000_000):
+            cut = [units(t or "") for t in batch.column(1).to_pylist()]
             distinct = list(set().union(*cut))
             number = dict(zip(distinct, (len(x) // 4 for x in own.encode_many(distinct)), strict=True))
-            rows: tuple[list, ...] = ([], [], [], [])
-            for text, parts, edits in zip(texts, cut, batch.column(2).to_pylist(), strict=True):
-                tree = TokenTree(text, own, [number[x] for x in parts])
-                before = tree.tokens
-                for e in sorted(edits or [], key=lambda e: e["step"]):
-                    tree.edit(e["start"], e["stop"], e["text"] or "")
-                for column, value in zip(rows, (before, tree.tokens, int(tree.characters[1]), tree.encoded), strict=True):
-                    column.append(value)
+            trees = [TokenTree(parts, list(map(number.__getitem__, parts))) for parts in cut]
+            before = [t.tokens for t in trees]
+            edits = [[(e["start"], e["stop"], e["text"] or "") for e in sorted(x or [], key=lambda e: e["step"])] for x in batch.column(2).to_pylist()]
+            edit_trees(trees, edits, own)
+            columns = before, [t.tokens for t in trees], [t.characters[1] for t in trees], [t.encoded for t in trees]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in rows)], ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"])
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"])
 
     return counted
 
@@ -138,7 +141,7 @@ def edited_token_counts(docs: DataFrame, path: str, lexicon_words: int = 20_000)
     """
     lexicon = docs.sparkSession.sparkContext.broadcast(compile_lexicon(path, frequent_words(docs, lexicon_words)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "edits")
-    return rows.mapInArrow(_counted(path, lexicon), "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long")
+    return rows.mapInArrow(tidy(_counted(path, lexicon), keep=True), "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long")
 
 
 def sample_edits(docs: DataFrame) -> DataFrame:

@@ -361,3 +361,23 @@ def test_token_counts(docs, nothing):
         wanted[r.doc_id, before, len(library.encode(text, add_special_tokens=False).ids), len(text)] += 1
     assert Counter((r.doc_id, r.n_tokens, r.n_tokens_edited, r.n_chars_edited) for r in rows) == wanted
     assert token_counts.edited_token_counts(token_counts.sample_edits(nothing), path).count() == 0
+
+
+def test_token_counts_follow_random_edits(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    pieces = ["", " ", "  ", "é", "x y", "\n", "don't", "日本", " word", "<|endoftext|>", "12345 "]
+    rows = []
+    for i, text in enumerate([*TEXTS, " ", "one", LINE * 9]):
+        edits = [(k, int(rng.integers(-3, len(text or "") + 9)), int(rng.integers(0, len(text or "") + 9)), pieces[rng.integers(len(pieces))]) for k in range(12 if i % 2 else 5)]
+        edits = [(k, a, min(b, a + 30), t) for k, a, b, t in edits]
+        rows.append((i, text, [edits[k] for k in rng.permutation(len(edits))] if i != 3 else None))
+    schema = "doc_id long, text string, edits array<struct<step int, start int, stop int, text string>>"
+    got = {r.doc_id: r for r in token_counts.edited_token_counts(spark.createDataFrame(rows, schema), path).collect()}
+    for i, text, edits in rows:
+        text = text or ""
+        for _, a, b, new in sorted(edits or []):
+            a = min(max(0, a), len(text))
+            text = text[:a] + new + text[min(max(a, b), len(text)):]
+        assert (got[i].n_tokens_edited, got[i].n_chars_edited) == (len(library.encode(text, add_special_tokens=False).ids), len(text))
