@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import portions
+from staylens.llm.common import CACHES, portions, tidy
 
 NONE = 1 << 62
 #: fixed values: the pre-token patterns that the two vocabularies' files name
@@ -416,6 +416,7 @@ class Encoder:
 
 
 _encoders: dict[tuple, Encoder] = {}
+CACHES.append(_encoders)
 
 
 def encoder(path: str, lexicon: bytes | None = None) -> Encoder:
@@ -446,7 +447,7 @@ def frequent_words(docs: DataFrame, size: int = 20_000, share: float = 1e-5) ->
     A word enters where it makes up at least ``share`` of a portion's words; a word of that share of the
     whole corpus does so in some portion, so rare words are never shuffled.
     """
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_chunks(share), "word string, n long")
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(_count_chunks(share)), "word string, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
     return [r["word"] for r in top.collect()]
 
@@ -461,7 +462,7 @@ def compile_lexicon(path: str, words: Iterable[str]) -> bytes:
 def _digests(path: str, lexicon: object) -> Callable:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, lexicon.value)
-        for batch in portions(batches, 1):
+        for batch in portions(batches, 1, 2_000_000):
             ids = own.encode_many([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array([own.decode(np.frombuffer(x, np.uint32)) for x in ids], pa.string())],
@@ -479,4 +480,4 @@ def encode_decode(docs: DataFrame, path: str, lexicon_words: int = 20_000) -> Da
     """
     lexicon = docs.sparkSession.sparkContext.broadcast(compile_lexicon(path, frequent_words(docs, lexicon_words)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_digests(path, lexicon), "doc_id long, ids binary, decoded string")
+    return rows.mapInArrow(tidy(_digests(path, lexicon), keep=True), "doc_id long, ids binary, decoded string")

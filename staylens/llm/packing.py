@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.llm.bpe import encoder
-from staylens.llm.common import checkpointed, portions
+from staylens.llm.common import checkpointed, portions, tidy
 
 Packing = list[list[int]]
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
@@ -27,7 +27,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids binary"
 def _cut(path: str, capacity: int, end: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, last = encoder(path), end.to_bytes(4, "little")
-        for batch in portions(batches, 1):
+        for batch in portions(batches, 1, 2_000_000):
             names = batch.column(0).to_pylist()
             rows: tuple[list, ...] = ([], [], [], [], [])
             for name, ids in zip(names, own.encode_many([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -48,7 +48,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2_048, end: int = 0
     A null text counts as empty: one piece that holds the end id.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_cut(path, capacity, end), PIECES)
+    return rows.mapInArrow(tidy(_cut(path, capacity, end), keep=True), PIECES)
 
 
 def best_fit(bins: Packing, room: list[int], items: list[int], sizes: list[int], capacity: int) -> None:

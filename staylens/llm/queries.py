@@ -111,12 +111,17 @@ FROM comp LEFT JOIN n ON n.vec_id = comp.vec_id
 
 
 def located(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query, with this checkout on the path of Python workers wherever the driver was started."""
+    """The query, with this checkout on the path of Python workers wherever the driver was started.
+
+    Workers take Arrow's memory from the C library, which gives it back when a task ends.
+    """
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         root, settings = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
         paths = [p for p in settings.get("PYTHONPATH", "").split(os.pathsep) if p]
         if root not in paths:
             settings["PYTHONPATH"] = os.pathsep.join([root, *paths])
+        settings.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+        settings.setdefault("MALLOC_ARENA_MAX", "2")
         return query(spark, sf_dir)
 
     return run

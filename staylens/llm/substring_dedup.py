@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import portions, utf8
+from staylens.llm.common import portions, tidy, utf8
 from staylens.llm.suffix_array import suffix_arrays
 
 GRAM, GROUP = 32, 16
@@ -337,18 +337,18 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     named = rows.filter("doc_id IS NOT NULL")
     buckets = max(64, -(-docs.count() // 1_000))
-    met = named.mapInArrow(_anchored(length, buckets), PARTS).groupBy("bucket").applyInArrow(_met, FOUND).persist(StorageLevel.DISK_ONLY)
+    met = named.mapInArrow(tidy(_anchored(length, buckets)), PARTS).groupBy("bucket").applyInArrow(_met, FOUND).persist(StorageLevel.DISK_ONLY)
     packed = named.mapInArrow(_pressed, "doc_id long, packed binary")
     wanted = met.filter("kind > 1").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "stop", "h")).alias("wanted"))
     compared = (
-        packed.join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(_fetched(length, buckets), PARTS)
+        packed.join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(tidy(_fetched(length, buckets)), PARTS)
         .groupBy("bucket").applyInArrow(_compared(length), FOUND)
     )
     ranges = met.filter("kind = 1").unionByName(compared).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     whole = F.col("text").cast("binary")
     return (
-        packed.join(ranges, "doc_id", "left").select("doc_id", "packed", "ranges").mapInArrow(_cut, schema)
+        packed.join(ranges, "doc_id", "left").select("doc_id", "packed", "ranges").mapInArrow(tidy(_cut), schema)
         .unionByName(rows.filter("doc_id IS NULL").select(
             "doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
             F.lit(0).cast("long").alias("n_spans"), whole.alias("kept")))

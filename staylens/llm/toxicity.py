@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import portions, utf8
+from staylens.llm.common import portions, tidy, utf8
 
 #: fixed values: general insults by theme, each theme one voter
 LEXICONS = {
@@ -62,7 +62,7 @@ def features(low: str) -> set[str]:
 
 def _texts(words: set[str], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[set[str], list[int]]]]]:
     """Per text: which of ``words`` it holds, and the votes of the patterns."""
-    for batch in portions(batches, 1):
+    for batch in portions(batches, 1, 2_000_000):
         shouts, exclaims = _shape(batch, 1)
         out = []
         for k, text in enumerate(batch.column(1).to_pylist()):
@@ -146,7 +146,7 @@ def _sampled(words: Callable[[], set[str]]) -> Callable:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in portions(batches, 1):
+    for batch in portions(batches, 1, 2_000_000):
         found = [sorted(features((t or "").lower())) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "words"])
 
@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vo
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     learned: list[str] = []
     if n1 and n0:
-        seen = sample.select("toxic", "text").mapInArrow(_listed, "toxic int, words array<string>").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
+        seen = sample.select("toxic", "text").mapInArrow(tidy(_listed), "toxic int, words array<string>").select("toxic", F.explode("words").alias("word")).groupBy("word").agg(
             F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
         top = (
             seen.filter(F.col("a") >= max(3, n1 // 200)).withColumn("purity", F.col("a") / (10 * F.col("b") + 1))
@@ -207,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vo
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, score), one for each input row; null texts score like empty ones."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scored(model), "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(_scored(model)), "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -235,4 +235,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     names = docs.columns
     at_doc, at_text = names.index("doc_id"), names.index("text")
     others = [i for i in range(len(names)) if i not in (at_doc, at_text)]
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
