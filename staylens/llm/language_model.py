@@ -1,35 +1,50 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Counts of words, word pairs and letter sequences are quantised in steps of an eighth of a doubling. An n-gram of level q is
-entered q + 1 times, as (n-gram, 0) .. (n-gram, q), so its level is read back by probing until a probe
-fails. The filter is built in parallel, one slice for each range of hashes, and broadcast; its size has a
-fixed upper bound. A word's probability mixes its pair with the word before and its own count; a word
-that the filter does not hold is spelled by a letter model from the same filter.
+Counts of words, word pairs and triples are quantised in steps of an eighth of a doubling. An n-gram that occurs at
+least twice is entered once for each doubling and once for each further eighth, so its count is read back by probing
+until a probe fails. The filter is built in parallel, one slice for each range of hashes; every slice is as large as
+its entries ask for, so the filter grows with the corpus and its error rate does not. Slices are broadcast while all
+of them together stay below a size bound; beyond it they stay where they are and the texts' distinct n-grams are
+joined to them. Both ways give the same scores.
+
+A text's probability is the mean of three models: words alone, pairs that back off to words, and triples that back
+off to pairs. Discounts and back-off weights come from counts over the whole corpus. A word that the filter does not
+hold is spelled by a letter model from a filter of its own.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import checkpointed, portions
+from staylens.llm.common import checkpointed, portions, tidy
 
 END = b""
 HELD_OUT, FOLDS = 2, 7
 FREQUENT = 50_000
-SLICES = 256
-PROBES = 3
-MAX_BITS = 1 << 29
-PAIR, LETTERS, CONTEXT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-PAIR_WEIGHT, SHARP, STEP = 0.03, 0.97, 8
+PROBES, BITS_AN_ENTRY, STEP, DOUBLINGS = 3, 12, 8, 64
+LEAST = 2
+SLICES, SLICE_TOKENS, PART_TOKENS, LETTER_SLICES = 256, 8_000_000, 2_000_000, 16
+BROADCAST_BYTES = 128 << 20
+PAIR, TRIPLE, LETTERS, CONTEXT = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+LOW = np.uint64(0xFFFFFFFF)
+SHARP = 0.97
+#: kinds of blobs: the n-grams of the filters, then what else is gathered
+WORDS, PAIRS, TRIPLES, FOURS, THREES, COUNTS, FIELD = range(7)
+BLOBS = "slice long, kind int, blob binary, bits long, stats array<double>"
+#: places in the statistics: tokens, types, tokens of known words, their dequantised sum, tokens that leaving one out makes unknown
+TOKENS, TYPES, KNOWN, MASS, FRAGILE = range(5)
+#: then for pairs and for triples: how many occur once, twice, three times, LEAST times or more, and the tokens of the last
+ORDERS = {PAIRS: 5, TRIPLES: 10}
+HISTOGRAM = 15
+LINES = "row long, check int, doc_id long, copies long, n_tokens long, known long, base double, score double"
+TOLD = "part long, row long, check int, doc_id long, n_tokens long, known long, base double, score double, blob binary"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,10 +56,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def pair_keys(hashes: np.ndarray) -> np.ndarray:
-    """Key of each word with the word before it; the first follows an end."""
-    before = np.concatenate(([np.uint64(0)], hashes[:-1]))
-    return mix(before * PAIR + hashes)
+def before(values: np.ndarray, starts: np.ndarray, steps: int, end: int) -> np.ndarray:
+    """The value ``steps`` tokens before each token of texts that begin at ``starts``; ``end`` where the text has not begun."""
+    out = np.concatenate((np.full(min(steps, len(values)), end, values.dtype), values[: max(0, len(values) - steps)]))
+    for k in range(steps):
+        at = starts + k
+        limits = np.append(starts[1:], len(values))
+        out[at[at < limits]] = end
+    return out
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * PAIR + second)
+
+
+def triple_keys(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    return mix(mix(first * TRIPLE + second) * PAIR + third)
 
 
 def letter_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,6 +85,10 @@ def letter_keys(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return mix((three << np.uint64(8) | last) * LETTERS + np.uint64(1)), mix(three * CONTEXT + np.uint64(2)), sizes
 
 
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 7) if word else 0
+
+
 class Vocabulary(dict):
     """Small number of each word that a worker has met, and the words' hashes by number."""
 
@@ -71,166 +102,262 @@ class Vocabulary(dict):
     def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self.words)
         self.words.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word, 7) if word else 0)
+        self.hashes.append(word_hash(word))
         return number
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode().lower().split() + [END]
-
+def tokens(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+    """The tokens of all texts and where each text begins; every text ends in END."""
+    flat: list[bytes] = []
+    starts = []
+    for text in texts:
+        starts.append(len(flat))
+        flat += (text or "").encode().lower().split()
+        flat.append(END)
+    return flat, np.array(starts, np.int64)
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def told(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    seen: Counter[bytes] = Counter()
-    for batch in portions(batches, 0):
-        for text in batch.column(0).to_pylist():
-            seen.update(tokens(text))
-        if len(seen) > 600_000:
-            yield told(seen)
-            seen = Counter()
-    yield told(seen)
+def _blobs(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["slice", "kind", "blob"])
 
 
-def _packed(keys: np.ndarray, counts: np.ndarray, slices: int) -> Iterator[pa.RecordBatch]:
-    """Distinct sorted keys with counts as one binary row for each slice of the key space."""
-    bits = int(slices).bit_length() - 1
-    part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    cuts = np.searchsorted(part, np.arange(slices + 1))
-    blobs = [keys[a:b].tobytes() + np.minimum(counts[a:b], 2**32 - 1).astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-    names = [s for s in range(slices) if cuts[s + 1] > cuts[s]]
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["slice", "grams"])
+def _shift(slices: int) -> np.uint64:
+    return np.uint64(64 - (slices.bit_length() - 1))
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    order = np.argsort(keys, kind="stable")  # merges sorted runs
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def packed(kind: int, keys: np.ndarray, counts: np.ndarray, slices: int) -> list[tuple[int, int, bytes]]:
+    """Distinct sorted keys with counts, one row for each slice of the key space; keys are known by their low 32 bits there."""
+    part = (keys >> _shift(slices)).astype(np.int64)
+    heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    low, rows = (keys & LOW).astype(np.uint32), []
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(part)], strict=False):
+        one = counts[a:b] == 1
+        some = low[a:b]
+        more = some[~one]
+        rows.append((int(part[a]), kind, np.array([len(some) - len(more), len(more)], np.uint32).tobytes() + some[one].tobytes() + more.tobytes() + counts[a:b][~one].astype(np.uint32).tobytes()))
+    return rows
 
 
-def _count_pairs(slices: int) -> Callable:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held, size = Vocabulary(), [], 0
+def summed(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys of packed blobs of one slice, and their counts."""
+    keys, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for blob in blobs:
+        once, more = np.frombuffer(blob, np.uint32, 2).tolist()
+        keys.append(np.frombuffer(blob, np.uint32, once + more, 8))
+        counts += [np.ones(once, np.int64), np.frombuffer(blob, np.uint32, more, 8 + 4 * (once + more)).astype(np.int64)]
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(count, first) if len(first) else count
 
-        def told() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            return next(_packed(keys, counts, slices))
 
-        for batch in portions(batches, 0):
-            if len(vocabulary) > Vocabulary.LIMIT:
-                vocabulary = Vocabulary()
-            flat: list[bytes] = []
-            for text in batch.column(0).to_pylist():
-                flat += tokens(text)
-            # an end, hash 0, stands before every text
+def _count_grams(slices: int) -> Callable:
+    """Words with their counts, and keys of pairs and triples, by slice; counted in the task before they are sent."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, totals = Vocabulary(), np.zeros(0, np.int64)
+        held: dict[int, list[np.ndarray]] = {PAIRS: [], TRIPLES: []}
+        size = 0
+
+        def words() -> Iterator[pa.RecordBatch]:
+            part = (mix(np.array(vocabulary.hashes, np.uint64)) >> _shift(slices)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            heads = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1]))).tolist()
+            for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
+                some = order[a:b]
+                blob = np.array([len(some)], np.uint64).tobytes() + totals[some].astype(np.uint32).tobytes() + b" ".join([vocabulary.words[i] for i in some.tolist()])
+                yield _blobs([(int(part[some[0]]), WORDS, blob)])
+
+        def grams() -> Iterator[pa.RecordBatch]:
+            for kind, keys in held.items():
+                yield _blobs(packed(kind, *np.unique(np.concatenate(keys), return_counts=True), slices))
+                keys.clear()
+
+        for batch in portions(batches, 0, 2_000_000):
+            flat, starts = tokens(batch.column(0).to_pylist())
+            if not flat:
+                continue
             numbers = vocabulary.numbers(flat)
-            held.append(pair_keys(np.array(vocabulary.hashes, np.uint64)[numbers]))
+            found = np.bincount(numbers, minlength=len(vocabulary.words))
+            found[: len(totals)] += totals
+            totals = found
+            own = np.array(vocabulary.hashes, np.uint64)[numbers]
+            one, two = before(own, starts, 1, 0), before(own, starts, 2, 0)
+            held[PAIRS].append(pair_keys(one, own))
+            held[TRIPLES].append(triple_keys(two, one, own))
             size += len(flat)
-            if size > 6_000_000:
-                yield told()
-                held, size = [], 0
-        if held:
-            yield told()
+            if size > 4_000_000:
+                yield from grams()
+                size = 0
+            if len(vocabulary) > Vocabulary.LIMIT:
+                yield from words()
+                vocabulary, totals = Vocabulary(), np.zeros(0, np.int64)
+        if size:
+            yield from grams()
+        if len(vocabulary):
+            yield from words()
 
     return count
 
 
-def _count_spelling(slices: int) -> Callable:
-    """Words themselves, and the letters of each distinct word."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            own = np.array([xxhash.xxh64_intdigest(w, 7) if w else 0 for w in words], np.uint64)
-            if not words:
-                continue
-            parts = [(mix(own), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64))]
-            for keys in letter_keys(words)[:2]:
-                distinct, counts = np.unique(keys, return_counts=True)
-                parts.append((distinct, counts.astype(np.int64)))
-            held.append(_summed(parts))
-            if sum(len(k) for k, _ in held) > 2_000_000:
-                yield from _packed(*_summed(held), slices)
-                held = []
-        if held:
-            yield from _packed(*_summed(held), slices)
-
-    return count
-
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Level of counts from LEAST on: 0 for LEAST itself, STEP more for each doubling."""
+    return np.floor(STEP * np.log2(counts / LEAST) + 1e-9).astype(np.int64)
 
-def slots(keys: np.ndarray, level: int, bits: int) -> list[np.ndarray]:
-    """Bit numbers of (key, level) within a slice of ``bits`` bits."""
-    seed = mix(keys * np.uint64(2) + np.uint64((2 * level + 1) * 0x9E3779B1))
-    step = seed >> np.uint64(32) | np.uint64(1)
-    return [((seed + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) % np.uint64(bits) for i in range(PROBES)]
 
+def _seeds(low: np.ndarray, kind: int) -> np.ndarray:
+    return low.astype(np.uint64) | np.uint64(kind << 32)
 
-def levels(counts: np.ndarray, least: int) -> np.ndarray:
-    """Level of counts from ``least`` on: 0 for ``least`` itself, STEP more for each doubling."""
-    return np.floor(STEP * np.log2(counts / least) + 1e-9).astype(np.int64)
 
+def _slots(seeds: np.ndarray, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of (n-gram, tag) begin and how far they step, in 32-bit fractions of a slice."""
+    h = mix(seeds * np.uint64(2) + np.uint64((2 * tag + 1) * 0x9E3779B1))
+    return h & LOW, h >> np.uint64(32) | np.uint64(1)
 
-def _slice_filter(least: int, bits: int) -> Callable:
-    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for blob in frame["grams"]:
-            n = len(blob) // 12
-            parts.append((np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint32, n, 8 * n).astype(np.int64)))
-        keys, counts = _summed(parts)
-        keys, counts = keys[counts >= least], counts[counts >= least]
-        q = levels(counts, least)
-        field = np.zeros(bits, np.uint8)
-        for level in range(int(q.max(initial=-1)) + 1):
-            keys, q = keys[q >= level], q[q >= level]
-            for slot in slots(keys, level, bits):
-                field[slot.astype(np.int64)] = 1
-        return pd.DataFrame({"slice": [key[0]], "field": [np.packbits(field, bitorder="little").tobytes()]})
 
-    return build
+def filter_slice(grams: dict[int, tuple[np.ndarray, np.ndarray]]) -> tuple[bytes, int]:
+    """The bits of one slice for n-grams (low keys, counts) by kind, and how many they are."""
+    seeds, q = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for kind, (low, counts) in grams.items():
+        often = counts >= LEAST
+        seeds.append(_seeds(low[often], kind))
+        q.append(levels(counts[often]))
+    seed, level = np.concatenate(seeds), np.concatenate(q)
+    chains = level // STEP, level % STEP
+    bits = max(64, -(-BITS_AN_ENTRY * int(len(seed) + chains[0].sum() + chains[1].sum()) // 8) * 8)
+    field = np.zeros(bits, np.uint8)
+    # one chain of tags for doublings from 0 on, one for the eighths beyond from 1 on
+    for base, chain, first in ((0, chains[0], 0), (DOUBLINGS, chains[1], 1)):
+        for k in range(first, int(chain.max(initial=-1)) + 1):
+            at, step = _slots(seed[chain >= k], base + k)
+            for i in range(PROBES):
+                field[(((at + np.uint64(i) * step) & LOW) * np.uint64(bits) >> np.uint64(32)).astype(np.int64)] = 1
+    return np.packbits(field, bitorder="little").tobytes(), bits
 
 
 class Filter:
-    """Read side of the filter: the level of each key, -1 for what was never entered."""
-
-    def __init__(self, field: bytes, slices: int, bits: int):
-        self.bits, self.size = bits, len(field) // slices
-        self.shift = np.uint64(64 - (slices.bit_length() - 1)) if slices > 1 else None
-        self.field = np.frombuffer(field, np.uint8)
-
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), -1, np.int64)
+    """Read side of a filter: the level of each key, -1 for what was never entered."""
+
+    def __init__(self, fields: dict[int, tuple[bytes, int]], slices: int):
+        self.shift = _shift(slices)
+        self.bits = np.zeros(slices, np.uint64)
+        self.start = np.zeros(slices, np.uint64)
+        parts, at = [], 0
+        for s in range(slices):
+            blob, bits = fields.get(s, (b"\0", 8))
+            self.bits[s], self.start[s] = bits, at
+            parts.append(blob)
+            at += bits
+        self.field = np.frombuffer(b"".join(parts), np.uint8)
+
+    def _present(self, seeds: np.ndarray, part: np.ndarray, tag: int) -> np.ndarray:
+        at, step = _slots(seeds, tag)
+        alive = np.arange(len(seeds))
+        for i in range(PROBES):
+            home = part[alive]
+            place = self.start[home] + (((at[alive] + np.uint64(i) * step[alive]) & LOW) * self.bits[home] >> np.uint64(32))
+            alive = alive[(self.field[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+        return alive
+
+    def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        seeds = _seeds(keys & LOW, kind)
+        part = (keys >> self.shift).astype(np.int64) if len(self.bits) > 1 else np.zeros(len(keys), np.int64)
+        high, fine = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
         at = np.arange(len(keys))
-        start = (keys >> self.shift).astype(np.int64) * self.size if self.shift is not None else np.zeros(len(keys), np.int64)
-        for level in range(64 * STEP):
+        for tag in range(DOUBLINGS):
+            at = at[self._present(seeds[at], part[at], tag)]
             if not len(at):
                 break
-            good = np.ones(len(at), bool)
-            for slot in slots(keys[at], level, self.bits):
-                place = slot.astype(np.int64)
-                good &= (self.field[start[at] + (place >> 3)] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-            at = at[good]
-            out[at] = level
-        return out
-
-
-def _levels(model: Filter, keys: np.ndarray) -> np.ndarray:
-    """Levels of keys that repeat much: each distinct key is probed once."""
-    distinct, back = np.unique(keys, return_inverse=True)
-    return model.level(distinct)[back]
+            high[at] = tag
+        at = np.flatnonzero(high >= 0)
+        for k in range(1, STEP):
+            at = at[self._present(seeds[at], part[at], DOUBLINGS + k)]
+            if not len(at):
+                break
+            fine[at] = k
+        return np.where(high >= 0, high * STEP + fine, -1)
+
+
+class Answers:
+    """The same read side from levels that were looked up elsewhere for sorted distinct keys of each kind."""
+
+    def __init__(self, known: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.known = known
+
+    def level(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        names, found = self.known[kind]
+        return found[np.searchsorted(names, keys)]
+
+
+def _gathered(key: tuple, table: pa.Table) -> pa.Table:
+    """One slice: exact word counts, the filter's bits, letter sequences by their own slices, and statistics."""
+    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+    names: list[bytes] = []
+    counts = [np.zeros(0, np.int64)]
+    for blob in (b for k, b in zip(kinds, blobs, strict=True) if k == WORDS):
+        n = int(np.frombuffer(blob, np.uint64, 1)[0])
+        counts.append(np.frombuffer(blob, np.uint32, n, 8).astype(np.int64))
+        names += blob[8 + 4 * n:].split(b" ")
+    hashes, first, back = np.unique(np.fromiter(map(word_hash, names), np.uint64, len(names)), return_index=True, return_inverse=True)
+    count = np.bincount(back, np.concatenate(counts), len(hashes)).astype(np.int64)
+    order = np.argsort(mix(hashes) & LOW, kind="stable")
+    grams = {WORDS: ((mix(hashes) & LOW)[order], count[order])}
+    stats = np.zeros(HISTOGRAM + STEP * DOUBLINGS + 1)
+    often = count >= LEAST
+    stats[[TOKENS, TYPES, KNOWN, MASS, FRAGILE]] = (
+        count.sum(), len(count), count[often].sum(), (2.0 ** (levels(count[often]) / STEP)).sum(), count[count <= LEAST].sum())
+    stats[HISTOGRAM:] = np.bincount(1 + np.where(often, levels(np.maximum(LEAST, count)), -1), minlength=STEP * DOUBLINGS + 1)
+    for kind, at in ORDERS.items():
+        grams[kind] = summed([b for k, b in zip(kinds, blobs, strict=True) if k == kind])
+        n = grams[kind][1]
+        stats[at: at + 5] = *((n == k).sum() for k in (1, 2, 3)), (n >= LEAST).sum(), n[n >= LEAST].sum()
+    field, bits = filter_slice(grams)
+    home = key[0].as_py()
+    rows = [(home, FIELD, field), (home, COUNTS, hashes.tobytes() + count.tobytes())]
+    if names:
+        for kind, keys in zip((FOURS, THREES), letter_keys([names[i] for i in first.tolist()])[:2], strict=True):
+            rows += packed(kind, *np.unique(keys, return_counts=True), LETTER_SLICES)
+    out = pa.Table.from_batches([_blobs(rows)])
+    out = out.append_column("bits", pa.array([bits] + [None] * (len(rows) - 1), pa.int64()))
+    return out.append_column("stats", pa.array([stats.tolist()] + [None] * (len(rows) - 1), pa.list_(pa.float64())))
+
+
+def _letters(key: tuple, table: pa.Table) -> pa.Table:
+    """One slice of the letters' filter."""
+    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+    field, bits = filter_slice({kind: summed([b for k, b in zip(kinds, blobs, strict=True) if k == kind]) for kind in (FOURS, THREES)})
+    return pa.table({"slice": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bits], pa.int64()), "blob": pa.array([field], pa.binary())})
+
+
+class Model:
+    """What scoring needs besides the n-gram filter; of bounded size."""
+
+    def __init__(self, stats: np.ndarray, letters: Filter, top: tuple[np.ndarray, np.ndarray]):
+        """top: sorted hashes of the most frequent words and log10(count + 1) of each."""
+        self.letters, self.top = letters, top
+        total = max(1.0, stats[TOKENS])
+        # leaving one out, a word of count up to LEAST would not have been in the filter
+        self.unseen = min(0.9, max(1e-6, stats[FRAGILE] / total))
+        self.mass = max(1.0, stats[MASS])
+        self.discount, self.back_off = {}, {}
+        contexts = {PAIRS: stats[KNOWN], TRIPLES: stats[ORDERS[PAIRS] + 4]}
+        for kind, at in ORDERS.items():
+            once, twice, thrice, held, running = stats[at: at + 5]
+            share = once / (once + 2 * twice) if twice else 1.0
+            self.discount[kind] = min(1.5, max(0.1, 2 - 3 * share * thrice / twice)) if twice else 1.0
+            spent = (running - self.discount[kind] * held) / max(1.0, contexts[kind])
+            self.back_off[kind] = math.log10(min(1.0, max(0.01, 1 - spent)))
 
 
 class Scorer:
     """Log probabilities of texts; what depends on a word alone is worked out once for each word a worker meets."""
 
-    def __init__(self, model: Filter, mass: float, unseen: float, top: dict[bytes, float]):
-        """mass: dequantised sum of known words, in units of the least count; unseen: share of running words not in the filter."""
-        self.model, self.mass, self.unseen, self.top = model, mass, unseen, top
+    def __init__(self, grams: Filter | Answers, model: Model):
+        self.grams, self.model = grams, model
         self.reset()
 
     def reset(self) -> None:
@@ -240,132 +367,270 @@ class Scorer:
 
     def _learn(self) -> None:
         """Level, log10 of the word's own probability and base logarithm (NaN: not among the frequent) of new words."""
-        fresh = self.vocabulary.words[len(self.own):]
+        fresh, model = self.vocabulary.words[len(self.own):], self.model
         hashes = np.array(self.vocabulary.hashes[len(self.own):], np.uint64)
-        own = self.model.level(mix(hashes))
-        single = math.log10((1 - self.unseen) / self.mass) + own * (math.log10(2) / STEP)
+        own = self.grams.level(WORDS, mix(hashes))
+        single = math.log10((1 - model.unseen) / model.mass) + own * (math.log10(2) / STEP)
         lost = np.flatnonzero(own < 0)
         if len(lost):
             four, three, sizes = letter_keys([fresh[i] for i in lost.tolist()])
-            above, below = _levels(self.model, four), _levels(self.model, three)
-            share = np.where((above >= 0) & (below >= 0), np.minimum(1, 2.0 ** ((above - below - 1) / STEP)), 0)
+            above, below = (x[0][x[1]] for x in ((model.letters.level(kind, names), back) for kind, (names, back) in (
+                (FOURS, np.unique(four, return_inverse=True)), (THREES, np.unique(three, return_inverse=True)))))
+            share = np.where((above >= 0) & (below >= 0), np.minimum(1, 2.0 ** ((above - below) / STEP)), 0)
             letters = np.log10(SHARP * share + (1 - SHARP) / 256)
-            single[lost] = math.log10(self.unseen) + np.add.reduceat(letters, np.cumsum(sizes) - sizes)
-        base = np.fromiter((self.top.get(w, np.nan) for w in fresh), float, len(fresh))
+            single[lost] = math.log10(model.unseen) + np.add.reduceat(letters, np.cumsum(sizes) - sizes)
+        names, values = model.top
+        place = np.minimum(np.searchsorted(names, hashes), max(0, len(names) - 1))
+        base = np.where(names[place] == hashes, values[place], np.nan) if len(names) else np.full(len(fresh), np.nan)
         self.hashes, self.own = np.concatenate((self.hashes, hashes)), np.concatenate((self.own, own))
         self.log_single, self.base = np.concatenate((self.log_single, single)), np.concatenate((self.base, base))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         if len(self.vocabulary) > Vocabulary.LIMIT:
             self.reset()
-        out = self.vocabulary.numbers(words)
+        out = self.vocabulary.numbers([END, *words])[1:]
         if len(self.own) < len(self.vocabulary.words):
             self._learn()
         return out
 
-    def log_probabilities(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; ``starts``: where a text begins, which is after an end."""
+    def scores(self, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 probability of each text: the mean over the three models."""
         end = self.vocabulary[END]
-        before = np.concatenate(([end], numbers[:-1]))
-        before[starts] = end
-        pair = _levels(self.model, mix(self.hashes[before] * PAIR + self.hashes[numbers]))
-        single, known = self.log_single[numbers], self.own[before]
-        out = math.log10(1 - PAIR_WEIGHT) + single
-        met = np.flatnonzero((pair >= 0) & (known >= 0))
-        both = np.minimum(1, 2.0 ** ((pair[met] - known[met] - 1) / STEP))
-        out[met] = np.log10(PAIR_WEIGHT * both + (1 - PAIR_WEIGHT) * 10.0 ** np.maximum(-300, single[met]))
+        one, two = before(numbers, starts, 1, end), before(numbers, starts, 2, end)
+        single = self.log_single[numbers]
+        # a held pair has two held words, a held triple two held pairs: only these are probed
+        context, known = self.own[one], self.own[numbers]
+        pair = np.full(len(numbers), -1, np.int64)
+        at = np.flatnonzero((context >= 0) & (known >= 0))
+        pair[at] = self.grams.level(PAIRS, pair_keys(self.hashes[one[at]], self.hashes[numbers[at]]))
+        log_pair = self._backed(PAIRS, pair, context, single)
+        # the pair before: that of the token before, or of two ends at the beginning of a text, which is no pair
+        wide = before(pair, starts, 1, -1)
+        triple = np.full(len(numbers), -1, np.int64)
+        at = np.flatnonzero((wide >= 0) & (pair >= 0))
+        triple[at] = self.grams.level(TRIPLES, triple_keys(self.hashes[two[at]], self.hashes[one[at]], self.hashes[numbers[at]]))
+        log_triple = self._backed(TRIPLES, triple, wide, log_pair)
+        whole = np.stack([np.add.reduceat(x, starts) for x in (single, log_pair, log_triple)])
+        most = whole.max(0)
+        return most + np.log10((10.0 ** (whole - most)).mean(0))
+
+    def _backed(self, kind: int, level: np.ndarray, context: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """log10 probability by n-grams of this kind where held, else of the lower order, weighed where the context is held."""
+        out = lower + np.where(context >= 0, self.model.back_off[kind], 0.0)
+        at = np.flatnonzero((level >= 0) & (context >= 0))
+        count = LEAST * 2.0 ** (level[at] / STEP)
+        out[at] = np.log10(np.minimum(1, (count - self.model.discount[kind]) / (LEAST * 2.0 ** (context[at] / STEP))))
         return out
 
 
-def _score(shared: object, frequent: object) -> Callable:
+def _told(scorer: Scorer, batch: pa.RecordBatch, shift: int) -> pa.RecordBatch:
+    """Figures of each row (row, check, doc_id, text), and the words whose exact counts are elsewhere by part of the hashes."""
+    flat, starts = tokens(batch.column(3).to_pylist())
+    numbers = scorer.numbers(flat)
+    sizes = np.diff(np.append(starts, len(flat)))
+    base = scorer.base[numbers]
+    score = scorer.scores(numbers, starts)
+    rare = np.flatnonzero(np.isnan(base))
+    # each rare word of a text once, with its count
+    text_of = np.repeat(np.arange(len(starts)), sizes)[rare]
+    pairs, times = np.unique(text_of << 32 | numbers[rare], return_counts=True)
+    owner, hashes = pairs >> 32, scorer.hashes[pairs & 0xFFFFFFFF]
+    part = (mix(hashes) >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(hashes), np.int64)
+    order = np.lexsort((owner, part))
+    owner, hashes, times, part = owner[order], hashes[order], times[order], part[order]
+    names = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+    heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    blobs = []
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(part)], strict=False):
+        some = owner[a:b]
+        first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
+        texts = some[first]
+        lengths = np.diff(np.append(first, len(some)))
+        blobs.append(b"".join((
+            np.array([len(texts), len(some)], np.int64).tobytes(), names[0][texts].astype(np.int64).tobytes(), hashes[a:b].tobytes(),
+            names[1][texts].astype(np.int32).tobytes(), lengths.astype(np.uint32).tobytes(), times[a:b].astype(np.uint32).tobytes())))
+    n, m = len(starts), len(blobs)
+    none = [None] * m
+    columns = (
+        (pa.array(np.concatenate(((names[0].view(np.uint64) >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(n, np.int64), part[heads])), pa.int64())),
+        pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())]), pa.concat_arrays([batch.column(1), pa.nulls(m, pa.int32())]), pa.concat_arrays([batch.column(2), pa.nulls(m, pa.int64())]),
+        pa.array([*sizes.tolist(), *none], pa.int64()), pa.array([*np.add.reduceat(~np.isnan(base), starts, dtype=np.int64).tolist(), *none], pa.int64()),
+        pa.array([*np.add.reduceat(np.nan_to_num(base), starts).tolist(), *none], pa.float64()), pa.array([*score.tolist(), *none], pa.float64()),
+        pa.array([None] * n + blobs, pa.binary()))
+    return pa.RecordBatch.from_arrays(list(columns), [c.split()[0] for c in TOLD.split(", ")])
+
+
+def _score(fields: object, slices: int, model: object, shift: int) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, slices, bits, mass, unseen = shared.value
-        scorer = Scorer(Filter(field, slices, bits), mass, unseen, frequent.value)
-        for batch in portions(batches, 2, 2_000_000):
-            words: list[bytes] = []
-            ends = []
-            for text in batch.column(2).to_pylist():
-                words += tokens(text)
-                ends.append(len(words))
-            numbers = scorer.numbers(words)
-            sizes = np.diff(ends, prepend=0)
-            starts = np.array(ends) - sizes
-            base = scorer.base[numbers]
-            rare = np.flatnonzero(np.isnan(base))
-            # each rare word of a text once, with its count
-            text_of = np.repeat(np.arange(len(ends)), sizes)[rare]
-            keys, counts = np.unique(text_of << 32 | numbers[rare], return_counts=True)
-            names = scorer.vocabulary.words
-            listed = pa.ListArray.from_arrays(
-                pa.array(np.searchsorted(keys, np.arange(len(ends) + 1) << 32), pa.int32()),
-                pa.StructArray.from_arrays([pa.array([names[i] for i in (keys & 0xFFFFFFFF).tolist()], pa.binary()), pa.array(counts, pa.int64())], ["word", "tf"]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(~np.isnan(base), starts, dtype=np.int64)), pa.array(np.add.reduceat(np.nan_to_num(base), starts)),
-                 pa.array(np.add.reduceat(scorer.log_probabilities(numbers, starts), starts)), listed],
-                ["doc_id", "text_key", "n_tokens", "known", "base", "score", "rare"])
+        scorer = Scorer(Filter(fields.value, slices), model.value)
+        for batch in portions(batches, 3, 2_000_000):
+            if batch.num_rows:
+                yield _told(scorer, batch, shift)
 
     return rows
 
 
-def train_and_score(docs: DataFrame, max_bits: int = MAX_BITS, frequent: int = FREQUENT) -> DataFrame:
+def _asked(texts: list[str | None]) -> dict[int, np.ndarray]:
+    """Sorted distinct keys that scoring these texts may look up."""
+    flat, starts = tokens(texts)
+    vocabulary = Vocabulary()
+    numbers = vocabulary.numbers([END, *flat])[1:]
+    hashes = np.array(vocabulary.hashes, np.uint64)
+    own = hashes[numbers]
+    one, two = before(own, starts, 1, 0), before(own, starts, 2, 0)
+    return {WORDS: np.unique(mix(hashes)), PAIRS: np.unique(pair_keys(one, own)), TRIPLES: np.unique(triple_keys(two, one, own))}
+
+
+def _ask(slices: int) -> Callable:
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        rows = []
+        for kind, keys in _asked(table.column("text").to_pylist()).items():
+            part = (keys >> _shift(slices)).astype(np.int64)
+            heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist()
+            rows += [(int(part[a]), kind, keys[a:b].tobytes()) for a, b in zip(heads, [*heads[1:], len(keys)], strict=True)]
+        out = pa.Table.from_batches([_blobs(rows)])
+        return out.append_column("pack", pa.array([key[0].as_py()] * len(rows), pa.int64()))
+
+    return ask
+
+
+def _answer(slices: int) -> Callable:
+    def answer(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        home = (key[0].as_py())
+        fields = {home: (held.column("blob")[0].as_py(), held.column("bits")[0].as_py())} if len(held) else {}
+        own = Filter({0: fields[home]} if fields else {}, 1)
+        found = []
+        for kind, blob in zip(asked.column("kind").to_pylist(), asked.column("blob").to_pylist(), strict=True):
+            keys = np.frombuffer(blob, np.uint64) & LOW  # the slice is known; what stands above it is not looked at
+            found.append(own.level(kind, keys).astype(np.int16).tobytes())
+        return pa.table({"pack": asked.column("pack"), "slice": asked.column("slice"), "kind": asked.column("kind"), "blob": pa.array(found, pa.binary())})
+
+    return answer
+
+
+def _score_pack(model: object, shift: int) -> Callable:
+    def score(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        by_kind: dict[int, list[tuple[int, bytes]]] = {WORDS: [], PAIRS: [], TRIPLES: []}
+        for home, kind, blob in zip(*(answers.column(c).to_pylist() for c in ("slice", "kind", "blob")), strict=True):
+            by_kind[kind].append((home, blob))
+        asked = _asked(texts.column("text").to_pylist())
+        known = {kind: (asked[kind], np.frombuffer(b"".join(x[1] for x in sorted(parts)), np.int16).astype(np.int64)) for kind, parts in by_kind.items()}
+        (batch,) = texts.select(["row", "check", "doc_id", "text"]).combine_chunks().to_batches()
+        return pa.Table.from_batches([_told(Scorer(Answers(known), model.value), batch, shift)])
+
+    return score
+
+
+def _resolved(key: tuple, table: pa.Table) -> pa.Table:
+    """Lines of rows as they come, and lines with the known tokens and the base sums that exact counts give to texts."""
+    kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
+    names, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for blob in (b for k, b in zip(kinds, blobs, strict=True) if k == COUNTS):
+        n = len(blob) // 16
+        names.append(np.frombuffer(blob, np.uint64, n))
+        counts.append(np.frombuffer(blob, np.int64, n, 8 * n))
+    order = np.argsort(np.concatenate(names), kind="stable")
+    name, count = np.concatenate(names)[order], np.concatenate(counts)[order]
+    rows, checks, known, base = [], [], [], []
+    for blob in (b for k, b in zip(kinds, blobs, strict=True) if k is None and b is not None):
+        texts, n = np.frombuffer(blob, np.int64, 2).tolist()
+        rows.append(np.frombuffer(blob, np.int64, texts, 16))
+        hashes = np.frombuffer(blob, np.uint64, n, 16 + 8 * texts)
+        at = 16 + 8 * texts + 8 * n
+        checks.append(np.frombuffer(blob, np.int32, texts, at))
+        lengths = np.frombuffer(blob, np.uint32, texts, at + 4 * texts).astype(np.int64)
+        times = np.frombuffer(blob, np.uint32, n, at + 8 * texts).astype(np.int64)
+        place = np.minimum(np.searchsorted(name, hashes), max(0, len(name) - 1))
+        hit = name[place] == hashes if len(name) else np.zeros(n, bool)
+        heads = np.cumsum(lengths) - lengths
+        known.append(np.add.reduceat(np.where(hit, times, 0), heads))
+        base.append(np.add.reduceat(np.where(hit, times * np.log10(np.where(hit, count[place] if len(name) else 0, 0) + 1.0), 0.0), heads))
+    own = table.filter(pa.array([k is None and b is None for k, b in zip(kinds, blobs, strict=True)], pa.bool_()))
+    more = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    lines = pa.table({
+        "row": pa.array(more), "check": pa.array(np.concatenate(checks) if rows else [], pa.int32()), "doc_id": pa.nulls(len(more), pa.int64()), "copies": pa.array(np.zeros(len(more), np.int64)),
+        "n_tokens": pa.nulls(len(more), pa.int64()), "known": pa.array(np.concatenate(known) if rows else [], pa.int64()),
+        "base": pa.array(np.concatenate(base) if rows else [], pa.float64()), "score": pa.nulls(len(more), pa.float64())})
+    own = own.select(["row", "check", "doc_id", "n_tokens", "known", "base", "score"]).append_column("copies", pa.array(np.ones(len(own), np.int64)))
+    return pa.concat_tables([own.select(lines.column_names), lines]).combine_chunks()
+
+
+def _frequent(least: int) -> Callable:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                n = len(blob) // 16
+                names, counts = np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.int64, n, 8 * n)
+                often = counts >= least
+                yield pa.RecordBatch.from_arrays([pa.array(names[often]), pa.array(counts[often])], ["h", "n"])
+
+    return rows
+
+
+def _power(n: float) -> int:
+    return 1 << max(0, math.ceil(math.log2(max(1, n))))
+
+
+def train_and_score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, frequent: int = FREQUENT, pack_bytes: int = 4_000_000) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of ``docs``.
 
     Learns from rows whose crc32(doc_id as text) mod 7 is not 2 (a null doc_id counts as a training row).
     Null and empty texts hold one token, the end. Repeated rows are scored as often as they come. With no
-    training row at all N and V are 0 and every word is unseen. An empty table gives no rows.
+    training row at all N and V are 0 and every word is unseen. An empty table gives no rows. Other columns
+    are not looked at.
 
-    Word counts for the base score are exact: the ``frequent`` most frequent words are broadcast, all
-    others are joined. The filter holds words from count 1 and pairs and letter sequences from count 2;
-    its size follows the corpus up to ``max_bits`` bits, beyond which the least count of what is entered
-    doubles until it fits, so its error rate and its size stay bounded.
+    Word counts for the base score are exact (words are known by 64-bit hashes): those of at most ``frequent``
+    frequent words are broadcast, all others are joined. The filter holds every word, pair and triple that occurs
+    at least twice, at every size of the corpus. It is broadcast if it takes at most ``broadcast_bytes``; if not,
+    its slices are joined to the n-grams of packs of about ``pack_bytes`` bytes of texts, with the same result.
     """
     spark = docs.sparkSession
     context = spark.sparkContext
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    training = rows.filter(~held).select("text")
-    counts = checkpointed(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    floor = math.log10(total + types + 1)
-    common = counts.orderBy(F.desc("n"), "word").limit(frequent)
-    top = context.broadcast({bytes(r["word"]): math.log10(r["n"] + 1) for r in common.collect()})
-    slices = SLICES
-    while slices < 65_536 and total // slices > 2_000_000:
-        slices *= 2
-    spread = training.mapInArrow(_count_pairs(slices), "slice int, grams binary")
-    spelled = counts.mapInArrow(_count_spelling(slices), "slice int, grams binary")
-    grams = spread.unionByName(spelled)
-    # words of any count are known to the base model; the filter enters what occurs twice, more where space ends
-    bits_wanted = max(1 << 16, int(total) * 4)
-    bits = min(max_bits, 1 << (bits_wanted - 1).bit_length())
-    least = 2
-    while least < bits_wanted // (2 * max_bits):
-        least *= 2
-    per_slice = max(64, bits // slices)
-    fields = {r["slice"]: bytes(r["field"]) for r in grams.groupBy("slice").applyInPandas(_slice_filter(least, per_slice), "slice int, field binary").collect()}
-    empty = bytes(-(-per_slice // 8))
-    level = F.floor(STEP * F.log2(F.col("n") / least) + 1e-9)
-    mass, rare = counts.agg(
-        F.sum(F.when(F.col("n") >= least, F.pow(F.lit(2.0), level / STEP))), F.sum(F.when(F.col("n") <= least, F.col("n")))).first()
-    # leaving one out, a word of count up to ``least`` would not have been in the filter
-    unseen = min(0.9, max(1e-6, (rare or 0) / max(1, total)))
-    shared = context.broadcast((b"".join(fields.get(s, empty) for s in range(slices)), slices, per_slice, float(mass or 1), float(unseen)))
-    scored = rows.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        _score(shared, top), "doc_id long, text_key long, n_tokens long, known long, base double, score double, rare array<struct<word: binary, tf: long>>")
-    # one line for each rare word of a document; the first line also carries the document's own figures
-    lines = scored.select(
-        "doc_id", "text_key", "n_tokens", "known", "base", "score", F.posexplode_outer("rare").alias("at", "x"))
-    first = F.coalesce(F.col("at"), F.lit(0)) == 0
-    alone = F.concat(F.lit(b" "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))  # a key no word can be
-    keyed = lines.select(
-        "doc_id", "text_key", F.coalesce("x.word", alone).alias("word"), F.col("x.tf").alias("tf"), F.when(first, 1).otherwise(0).alias("copies"),
-        *[F.when(first, F.col(c)).alias(c) for c in ("n_tokens", "known", "base", "score")])
-    joined = keyed.join(counts, "word", "left")
-    summed = joined.groupBy("doc_id", "text_key").agg(
-        F.sum("copies").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.max("base").alias("base"), F.max("score").alias("score"),
-        F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("tf"))), F.lit(0)).alias("more"),
-        F.coalesce(F.sum(F.when(F.col("n").isNotNull(), F.col("tf") * F.log10(F.col("n") + 1))), F.lit(0.0)).alias("rest"))
-    return summed.select(
-        "doc_id", held.alias("held_out"), "n_tokens", ((F.col("known") + F.col("more")) / F.col("copies")).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.col("rest") / F.col("copies") - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    slices = max(SLICES, _power(size / 6 / SLICE_TOKENS))
+    parts = min(slices, max(16, _power(size / 6 / PART_TOKENS)))
+    grams = rows.filter(~held).select("text").mapInArrow(tidy(_count_grams(slices)), "slice long, kind int, blob binary")
+    gathered = checkpointed(grams.groupBy("slice").applyInArrow(_gathered, BLOBS))
+    stats = np.zeros(HISTOGRAM + STEP * DOUBLINGS + 1)
+    for r in gathered.filter("stats IS NOT NULL").select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
+        stats[r["at"]] = r["x"]
+    # the least level at which no more than ``frequent`` words remain; the first place counts words below LEAST
+    remaining = np.cumsum(stats[HISTOGRAM:][::-1])[::-1]
+    enough = np.flatnonzero(remaining <= frequent)
+    low = int(enough[0]) - 1 if len(enough) else STEP * DOUBLINGS
+    least = 1 if low < 0 else math.ceil(LEAST * 2 ** (low / STEP) - 1e-6)
+    top = gathered.filter(F.col("kind") == COUNTS).select("blob").mapInArrow(_frequent(least), "h long, n long").toArrow()
+    names = top["h"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(names)
+    letters = gathered.filter(F.col("kind").isin(FOURS, THREES)).groupBy("slice").applyInArrow(_letters, "slice long, bits long, blob binary").collect()
+    shared = context.broadcast(Model(
+        stats, Filter({r["slice"]: (bytes(r["blob"]), r["bits"]) for r in letters}, LETTER_SLICES), (names[order], np.log10(top["n"].to_numpy().astype(float)[order] + 1))))
+    fields = gathered.filter(F.col("kind") == FIELD).select("slice", "bits", "blob")
+    shift = 64 - (parts.bit_length() - 1)
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("row"), F.hash("text").alias("check"), "doc_id", "text")
+    if (fields.agg(F.sum("bits")).first()[0] or 0) <= 8 * broadcast_bytes:
+        whole = context.broadcast({r["slice"]: (bytes(r["blob"]), r["bits"]) for r in fields.collect()})
+        told = keyed.mapInArrow(tidy(_score(whole, slices, shared, shift)), TOLD)
+    else:
+        packs = max(1, -(-size // pack_bytes))
+        laid = checkpointed(keyed.withColumn("pack", F.pmod("row", F.lit(packs))))
+        asked = laid.groupBy("pack").applyInArrow(_ask(slices), "slice long, kind int, blob binary, pack long")
+        answers = asked.groupBy("slice").cogroup(fields.groupBy("slice")).applyInArrow(_answer(slices), "pack long, slice long, kind int, blob binary")
+        told = laid.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_score_pack(shared, shift), TOLD)
+    return _finished(told, gathered, held, stats, slices, parts)
+
+
+def _finished(told: DataFrame, gathered: DataFrame, held: Column, stats: np.ndarray, slices: int, parts: int) -> DataFrame:
+    """One row for each scored row, with what exact counts add to it."""
+    total, types = int(stats[TOKENS]), int(stats[TYPES])
+    absent = [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in LINES.split(", ")) if c != "copies"]
+    counts = gathered.filter(F.col("kind") == COUNTS).select(F.expr(f"slice div {slices // parts}").alias("part"), "kind", "blob", *absent)
+    lines = told.withColumn("kind", F.lit(None).cast("int")).select(*counts.columns).unionByName(counts).groupBy("part").applyInArrow(_resolved, LINES)
+    summed_up = lines.groupBy("row", "check").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("copies").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.max("score").alias("score"))
+    return summed_up.filter("copies > 0").select(
+        "doc_id", held.alias("held_out"), "n_tokens", (F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") / F.col("copies") - F.col("n_tokens") * F.lit(math.log10(total + types + 1))).alias("base_score"),
         "score", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")).drop("one")
