@@ -63,6 +63,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows (n + 1); a null counts as an empty text."""
     if column.null_count:

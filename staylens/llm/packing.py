@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences by a grouping genetic algorithm on islands.
 
-Pieces are dealt over blocks; for each block several islands evolve packings from best-fit starts. A
+Pieces are dealt over blocks; for each block several islands evolve packings from random groupings. A
 crossover injects whole well-filled bins of one parent into another, drops the bins that hold the same
 pieces twice and best-fits what they displace. After each epoch the elite of every island migrates to the
 next island of its block. Every block is a row, so Spark spreads blocks x islands over the cluster.
@@ -98,21 +98,26 @@ def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: rand
     return bins
 
 
-def evolve(sizes: list[int], capacity: int, seeds: list[Packing], rng: random.Random, population: int, generations: int) -> Packing:
-    """The best packing an island finds from best-fit starts and the elites it was sent."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    pool = seeds + [_packed(order, sizes, capacity)]
-    while len(pool) < population:
-        noise = {i: sizes[i] * rng.uniform(0.9, 1.1) for i in order}
-        pool.append(_packed(sorted(order, key=lambda i: (-noise[i], i)), sizes, capacity))
+def evolve(sizes: list[int], capacity: int, seeds: list[Packing], rng: random.Random, population: int, generations: int) -> tuple[Packing, list[int]]:
+    """The best packing an island finds from random groupings and the elites it was sent, and the fewest bins before and after each crossover.
+
+    An island that was sent no elite makes at least one crossover; beyond that it ends once no packing can have fewer bins.
+    """
+    pool = list(seeds)
+    order = list(range(len(sizes)))
+    while len(pool) < max(2, population):
+        rng.shuffle(order)
+        pool.append(_packed(order, sizes, capacity))
     floor = -(-sum(sizes) // capacity)
+    trail = [min(map(len, pool))]
     for _ in range(generations):
-        pool.sort(key=lambda p: fitness(p, sizes, capacity), reverse=True)
-        if len(pool[0]) <= floor:
+        if trail[-1] <= floor and (seeds or len(trail) > 1):
             break
-        del pool[population - 1:]
-        pool.append(crossover(pool[0], pool[rng.randrange(1, len(pool))], sizes, capacity, rng) if len(pool) > 1 else pool[0])
-    return max(pool, key=lambda p: fitness(p, sizes, capacity))
+        pool.sort(key=lambda p: fitness(p, sizes, capacity), reverse=True)
+        child = crossover(pool[0], pool[rng.randrange(1, len(pool))], sizes, capacity, rng)
+        pool = [*pool[: max(1, population - 1)], child]
+        trail.append(min(trail[-1], len(child)))
+    return max(pool, key=lambda p: fitness(p, sizes, capacity)), trail
 
 
 def _numbers(bins: Packing, n: int) -> list[int]:
@@ -137,33 +142,32 @@ def _island(capacity: int, seed: int, population: int, generations: int) -> Call
             for block, isle, epoch, sizes, elites in zip(frame["block"], frame["island"], frame["epoch"], frame["sizes"], frame["elites"], strict=True):
                 sizes = [int(x) for x in sizes]
                 rng = random.Random(f"{seed}:{block}:{isle}:{epoch}")
-                best = evolve(sizes, capacity, [_bins([int(k) for k in e]) for e in elites], rng, population, generations)
-                out.append((block, isle, _numbers(best, len(sizes)), *fitness(best, sizes, capacity)))
-            yield pd.DataFrame(out, columns=["block", "island", "bins", "few", "uneven"])
+                best, trail = evolve(sizes, capacity, [_bins([int(k) for k in e]) for e in elites], rng, population, generations)
+                out.append((block, isle, _numbers(best, len(sizes)), *fitness(best, sizes, capacity), trail))
+            yield pd.DataFrame(out, columns=["block", "island", "bins", "few", "uneven", "trail"])
 
     return island
 
 
 def pack(pieces: DataFrame, capacity: int = 2_048, block_pieces: int = 4_096, islands: int = 2, epochs: int = 2,
-         population: int = 4, generations: int = 6, seed: int = 11) -> DataFrame:
+         population: int = 4, generations: int = 8, seed: int = 11) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length and any others) with sequence_id and offset.
 
     Every length is from 1 to ``capacity``; a full piece gets a sequence of its own. offset is the place
     of a piece in its sequence, gapless from 0. Repeated rows are packed as often as they come; doc_id
-    may be null. An empty table gives no rows. A block's pieces are one row of about ``block_pieces``
-    small numbers, whatever the input; nothing reaches the driver but the number of pieces.
+    may be null; columns named sequence_id and offset are replaced, all others may have any name. An empty
+    table gives no rows. A block's pieces are one row of about ``block_pieces`` small numbers, whatever
+    the input; nothing reaches the driver but the number of pieces.
     """
     payload = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    # pieces are dealt by the hash of all their columns and a number that spreads repeated rows
-    total = pieces.count()
-    blocks = max(1, -(-total // block_pieces))
-    spread = pieces.select(*payload).withColumn("block", F.pmod(F.xxhash64(*payload, F.spark_partition_id()), F.lit(blocks)))
-    blocked = checkpointed(
-        spread.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(F.col("length").alias("_length"), *payload))).alias("items"))
-    )
+    # the checkpoint fixes the number that spreads repeated rows
+    items = checkpointed(pieces.select(F.struct(*payload).alias("item")))
+    blocks = max(1, -(-items.count() // block_pieces))
+    dealt = items.withColumn("number", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
+    blocked = checkpointed(dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(F.col("item.length").alias("length"), "number", "item"))).alias("items")))
     partial = blocked.select("block", F.filter("items", lambda x: x["length"] < capacity).alias("items"))
     isles = partial.select("block", F.col("items.length").alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    schema = "block long, island int, bins array<int>, few long, uneven double"
+    schema = "block long, island int, bins array<int>, few long, uneven double, trail array<int>"
     run = _island(capacity, seed, population, generations)
     spread_rows = max(1, min(blocks * islands, 100_000))
     none = F.array().cast("array<array<int>>")
@@ -176,28 +180,27 @@ def pack(pieces: DataFrame, capacity: int = 2_048, block_pieces: int = 4_096, is
                               .select("block", "island", "epoch", "sizes", "elites").mapInPandas(run, schema))
     best = elites.groupBy("block").agg(F.max_by("bins", F.struct("few", "uneven", "island")).alias("bins"))
     placed = blocked.join(best, "block")
-    small = F.zip_with(F.filter("items", lambda x: x["length"] < capacity), "bins", lambda x, k: F.struct(x.alias("item"), k.cast("long").alias("bin")))
-    full = F.transform(F.filter("items", lambda x: x["length"] == capacity), lambda x, k: F.struct(x.alias("item"), (-1 - k).cast("long").alias("bin")))
-    ordered = F.array_sort(F.transform(F.concat(small, full), lambda x: F.struct(x["bin"].alias("bin"), x["item"].alias("item"))))
-    exploded = placed.select("block", F.posexplode(ordered).alias("at", "x")).select("block", "at", "x.bin", "x.item.*")
-    inside = Window.partitionBy("block", "bin").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    return exploded.select(
-        *payload, (F.col("block") * F.lit(1 << 20) + F.col("bin") + F.lit(1 << 19)).alias("sequence_id"),
+    small = F.zip_with(F.filter("items", lambda x: x["length"] < capacity), "bins", lambda x, k: F.struct(k.cast("long").alias("bin"), x.alias("x")))
+    full = F.transform(F.filter("items", lambda x: x["length"] == capacity), lambda x, k: F.struct((-1 - k).cast("long").alias("bin"), x.alias("x")))
+    laid = placed.select("block", F.explode(F.concat(small, full)).alias("of")).select("block", "of.bin", "of.x.number", "of.x.length", "of.x.item")
+    inside = Window.partitionBy("block", "bin").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    found = laid.select(
+        "item", (F.col("block") * F.lit(1 << 20) + F.col("bin") + F.lit(1 << 19)).alias("sequence_id"),
         F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long").alias("offset"))
+    return found.select(*[F.col("item").getField(c).alias(c) for c in payload], "sequence_id", "offset")
 
 
-def packed_sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """Token sequences (sequence_id, ids binary) from ``token_pieces`` and the rows of ``pack``."""
-    whole = pieces.select("doc_id", "piece", "ids").join(placed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
-    ordered = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return whole.groupBy("sequence_id").agg(ordered.alias("parts")).select(
-        "sequence_id", F.aggregate("parts", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x["ids"])).alias("ids"))
-
-
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2_048) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2_048, with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32, sequence_id, offset) for all documents.
 
-    Null and empty texts are a piece of one end id; other columns are not looked at.
+    With ``with_ids`` also ids (binary, little-endian uint32): the ids of a sequence are those of its pieces by
+    offset. Null and empty texts are a piece of one end id; other columns are not looked at.
     """
-    pieces = token_pieces(docs, path, capacity).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(checkpointed(pieces), capacity)
+    pieces = token_pieces(docs, path, capacity)
+    columns = ["doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")]
+    if not with_ids:
+        return pack(pieces.select(*columns), capacity)
+    # ids wait in the checkpoint while the lengths are packed; the number joins them again
+    numbered = checkpointed(pieces).withColumn("number", F.monotonically_increasing_id())
+    placed = pack(numbered.select(*columns, "number"), capacity)
+    return placed.join(numbered.select("number", "ids"), "number").drop("number")
