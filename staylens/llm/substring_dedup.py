@@ -17,11 +17,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import portions, tidy, utf8
+from staylens.llm.common import checkpointed, portions, tidy, utf8
 from staylens.llm.suffix_array import suffix_arrays
 
 GRAM, GROUP = 32, 16
@@ -172,7 +171,7 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = utf8(batch.column(1))
         raw = data.tobytes()
         blobs = [press.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(blobs, pa.binary())], ["doc_id", "name", "text_key", "packed"])
 
 
 def _fetched(length: int, buckets: int) -> Callable:
@@ -198,8 +197,6 @@ def _fetched(length: int, buckets: int) -> Callable:
                 raw = unpress.decompress(packed)
                 for x in wanted:
                     part = raw[x["start"]: x["stop"]]
-                    if len(part) != x["stop"] - x["start"]:
-                        continue  # another text under the same id
                     if x["kind"] == 2:
                         h = x["h"] & 0xFFFFFFFFFFFFFFFF
                         head = np.array([(h, 0, doc, x["start"], len(part))], RECORD).tobytes()
@@ -309,7 +306,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             rows: tuple[list, ...] = ([], [], [], [])
-            for packed, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for packed, ranges in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 raw = unpress.decompress(packed)
                 n = len(raw)
                 edge = np.zeros(n + 1, np.int64)
@@ -321,35 +318,52 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for column, value in zip(rows, (n, int(gone.sum()), spans, np.frombuffer(raw, np.uint8)[~gone].tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), *(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                [part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in rows[:3]), pa.array(rows[3], pa.binary())],
+                ["doc_id", "text_key", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def _ordered(named: DataFrame) -> DataFrame:
+    """``named`` (doc_id, text, text_key) with the place of each text in the order as doc_id, and the id itself as name.
+
+    The id is the place where it names one text. Where some id names several, distinct (id, text) pairs are
+    numbered in their order, which a sort by ranges gives without bringing them together.
+    """
+    own = named.select("doc_id", "text_key")
+    if own.groupBy("doc_id").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).filter("a < b").isEmpty():
+        return named.withColumn("name", F.col("doc_id"))
+    ranked = checkpointed(
+        checkpointed(own.distinct()).repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
+        .select("doc_id", "text_key", F.monotonically_increasing_id().alias("place")))
+    return named.join(ranked, ["doc_id", "text_key"]).select(F.col("place").alias("doc_id"), "text", "text_key", F.col("doc_id").alias("name"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept binary), one for each input row.
+    """Rows (doc_id, text_key, n_bytes, n_removed, n_spans, kept binary), one for each input row; text_key is xxhash64 of the text.
 
     Removed is each byte of a ``length``-byte string that also starts earlier: in a smaller doc_id, or in
     the same document. Strings are judged on the input; matches never cross documents. A null text counts
-    as empty. doc_id names a text: a repeated row is no earlier occurrence of itself and is cut like its
-    twin. Rows without doc_id have no place in the order: they are kept whole and remove nothing. Other
-    columns are not looked at; an empty table gives no rows.
+    as empty. A repeated row is no earlier occurrence of itself and is cut like its twin; different texts
+    under one doc_id are documents of their own, in the order of text_key. Rows without doc_id have no place
+    in the order: they are kept whole and remove nothing. Other columns are not looked at; an empty table
+    gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    named = rows.filter("doc_id IS NOT NULL")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    named = _ordered(rows.filter("doc_id IS NOT NULL")).select("doc_id", "text", "name", "text_key")
     buckets = max(64, -(-docs.count() // 1_000))
-    met = named.mapInArrow(tidy(_anchored(length, buckets)), PARTS).groupBy("bucket").applyInArrow(_met, FOUND).persist(StorageLevel.DISK_ONLY)
-    packed = named.mapInArrow(_pressed, "doc_id long, packed binary")
+    met = checkpointed(named.select("doc_id", "text").mapInArrow(tidy(_anchored(length, buckets)), PARTS).groupBy("bucket").applyInArrow(_met, FOUND))
+    packed = named.mapInArrow(_pressed, "doc_id long, name long, text_key long, packed binary")
     wanted = met.filter("kind > 1").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "stop", "h")).alias("wanted"))
     compared = (
         packed.join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(tidy(_fetched(length, buckets)), PARTS)
         .groupBy("bucket").applyInArrow(_compared(length), FOUND)
     )
     ranges = met.filter("kind = 1").unionByName(compared).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = "doc_id long, text_key long, n_bytes long, n_removed long, n_spans long, kept binary"
     whole = F.col("text").cast("binary")
     return (
-        packed.join(ranges, "doc_id", "left").select("doc_id", "packed", "ranges").mapInArrow(tidy(_cut), schema)
+        packed.join(ranges, "doc_id", "left").select("name", "text_key", "packed", "ranges").mapInArrow(tidy(_cut), schema)
         .unionByName(rows.filter("doc_id IS NULL").select(
-            "doc_id", F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
+            "doc_id", "text_key", F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
             F.lit(0).cast("long").alias("n_spans"), whole.alias("kept")))
     )
