@@ -21,6 +21,8 @@ from staylens.llm.bpe import encoder
 from staylens.llm.common import checkpointed, portions, tidy
 
 Packing = list[list[int]]
+#: from which share of the capacity a bin is full; shares of full bins injected and of the other parent's bins emptied
+FULL, INJECTED, EMPTIED = 0.999, 0.7, 0.4
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -81,20 +83,20 @@ def fitness(bins: Packing, sizes: list[int], capacity: int) -> tuple[int, float]
 
 
 def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
-    """Inject well-filled bins of ``b`` into ``a``, drop bins with duplicates, best-fit what was displaced."""
-    fills = sorted(((sum(sizes[i] for i in x), k) for k, x in enumerate(b)), reverse=True)
-    wells = [k for fill, k in fills if fill >= 0.97 * capacity] or [k for _, k in fills[: max(1, len(fills) // 4)]]
+    """Inject full bins of ``b`` into ``a``, drop bins with duplicates and the emptiest others, best-fit what was displaced."""
+    def fill(x: list[int]) -> int:
+        return sum(sizes[i] for i in x)
+
+    fills = sorted(((fill(x), k) for k, x in enumerate(b)), reverse=True)
+    wells = [k for f, k in fills if f >= FULL * capacity] or [k for _, k in fills[: max(1, len(fills) // 4)]]
     first = rng.randrange(len(wells))
-    chosen = [b[k] for k in (wells + wells)[first: first + max(1, len(wells) // 2)]]
+    chosen = [b[k] for k in (wells + wells)[first: first + max(1, int(len(wells) * INJECTED))]]
     held = {i for x in chosen for i in x}
-    kept = [x for x in a if held.isdisjoint(x)]
-    poor = min(range(len(kept)), key=lambda k: sum(sizes[i] for i in kept[k]), default=None)
-    if poor is not None:  # the mutation: empty the worst bin
-        kept.pop(poor)
-    bins = [list(x) for x in kept + chosen]
+    kept = sorted((x for x in a if held.isdisjoint(x)), key=fill)
+    bins = [list(x) for x in kept[max(1, int(len(kept) * EMPTIED)):] + chosen]
     there = {i for x in bins for i in x}
     out = sorted((i for x in a for i in x if i not in there), key=lambda i: (-sizes[i], i))
-    best_fit(bins, [capacity - sum(sizes[i] for i in x) for x in bins], out, sizes, capacity)
+    best_fit(bins, [capacity - fill(x) for x in bins], out, sizes, capacity)
     return bins
 
 
@@ -102,9 +104,10 @@ def evolve(sizes: list[int], capacity: int, seeds: list[Packing], rng: random.Ra
     """The best packing an island finds from random groupings and the elites it was sent, and the fewest bins before and after each crossover.
 
     An island that was sent no elite makes at least one crossover; beyond that it ends once no packing can have fewer bins.
+    Elites meet best-fit decreasing, so what is found is never worse than that.
     """
-    pool = list(seeds)
-    order = list(range(len(sizes)))
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    pool = [*seeds, _packed(order, sizes, capacity)] if seeds else []
     while len(pool) < max(2, population):
         rng.shuffle(order)
         pool.append(_packed(order, sizes, capacity))
