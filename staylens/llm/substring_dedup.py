@@ -229,7 +229,8 @@ def _parsed(blobs: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
 
 def repeated_windows(heads: np.ndarray, parts: list[bytes], length: int, letters: int = 600_000) -> np.ndarray:
     """Windows of segments that a segment of the same anchor holds earlier, found by suffix arrays."""
-    order = np.argsort(heads["h"], kind="stable")
+    # a repeated row brings its segments again
+    _, order = np.unique(heads[["h", "doc", "start"]], return_index=True)
     heads, parts = heads[order], [parts[i] for i in order]
     cuts = np.append(np.flatnonzero(np.concatenate(([True], heads["h"][1:] != heads["h"][:-1]))), len(heads))
     sizes = np.add.reduceat(heads["size"].astype(np.int64) + 1, cuts[:-1])
