@@ -20,7 +20,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.common import checkpointed, portions, tidy
@@ -28,7 +29,7 @@ from staylens.llm.common import checkpointed, portions, tidy
 END = b""
 HELD_OUT, FOLDS = 2, 7
 FREQUENT = 50_000
-PROBES, BITS_AN_ENTRY, STEP, DOUBLINGS = 3, 12, 8, 64
+PROBES, BITS_AN_ENTRY, STEP, DOUBLINGS = 3, 10, 8, 64
 LEAST = 2
 SLICES, SLICE_TOKENS, PART_TOKENS, LETTER_SLICES = 256, 8_000_000, 2_000_000, 16
 BROADCAST_BYTES = 128 << 20
@@ -43,8 +44,9 @@ TOKENS, TYPES, KNOWN, MASS, FRAGILE = range(5)
 #: then for pairs and for triples: how many occur once, twice, three times, LEAST times or more, and the tokens of the last
 ORDERS = {PAIRS: 5, TRIPLES: 10}
 HISTOGRAM = 15
-LINES = "row long, check int, doc_id long, copies long, n_tokens long, known long, base double, score double"
-TOLD = "part long, row long, check int, doc_id long, n_tokens long, known long, base double, score double, blob binary"
+#: what scoring tells of a text, and, in blob, of the words of a portion of texts whose exact counts are elsewhere
+TOLD = "part long, portion long, at int, doc_id long, n_tokens long, known long, base double, score double, blob binary"
+SCORED = "doc_id long, n_tokens long, known long, base double, score double"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -423,9 +425,13 @@ class Scorer:
         return out
 
 
-def _told(scorer: Scorer, batch: pa.RecordBatch, shift: int) -> pa.RecordBatch:
-    """Figures of each row (row, check, doc_id, text), and the words whose exact counts are elsewhere by part of the hashes."""
-    flat, starts = tokens(batch.column(3).to_pylist())
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _told(scorer: Scorer, batch: pa.RecordBatch, portion: int, shift: int) -> pa.RecordBatch:
+    """Figures of each text (doc_id, text) of a portion, and the words whose exact counts are elsewhere by part of the hashes."""
+    flat, starts = tokens(batch.column(1).to_pylist())
     numbers = scorer.numbers(flat)
     sizes = np.diff(np.append(starts, len(flat)))
     base = scorer.base[numbers]
@@ -435,37 +441,31 @@ def _told(scorer: Scorer, batch: pa.RecordBatch, shift: int) -> pa.RecordBatch:
     text_of = np.repeat(np.arange(len(starts)), sizes)[rare]
     pairs, times = np.unique(text_of << 32 | numbers[rare], return_counts=True)
     owner, hashes = pairs >> 32, scorer.hashes[pairs & 0xFFFFFFFF]
-    part = (mix(hashes) >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(hashes), np.int64)
+    part = (mix(hashes) >> np.uint64(shift)).astype(np.int64)
     order = np.lexsort((owner, part))
     owner, hashes, times, part = owner[order], hashes[order], times[order], part[order]
-    names = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
     heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
     blobs = []
     for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(part)], strict=False):
-        some = owner[a:b]
-        first = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1])))
-        texts = some[first]
-        lengths = np.diff(np.append(first, len(some)))
+        first = np.flatnonzero(np.concatenate(([True], owner[a + 1: b] != owner[a: b - 1])))
+        lengths = np.diff(np.append(first, b - a))
         blobs.append(b"".join((
-            np.array([len(texts), len(some)], np.int64).tobytes(), names[0][texts].astype(np.int64).tobytes(), hashes[a:b].tobytes(),
-            names[1][texts].astype(np.int32).tobytes(), lengths.astype(np.uint32).tobytes(), times[a:b].astype(np.uint32).tobytes())))
-    n, m = len(starts), len(blobs)
-    none = [None] * m
-    columns = (
-        (pa.array(np.concatenate(((names[0].view(np.uint64) >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(n, np.int64), part[heads])), pa.int64())),
-        pa.concat_arrays([batch.column(0), pa.nulls(m, pa.int64())]), pa.concat_arrays([batch.column(1), pa.nulls(m, pa.int32())]), pa.concat_arrays([batch.column(2), pa.nulls(m, pa.int64())]),
-        pa.array([*sizes.tolist(), *none], pa.int64()), pa.array([*np.add.reduceat(~np.isnan(base), starts, dtype=np.int64).tolist(), *none], pa.int64()),
-        pa.array([*np.add.reduceat(np.nan_to_num(base), starts).tolist(), *none], pa.float64()), pa.array([*score.tolist(), *none], pa.float64()),
-        pa.array([None] * n + blobs, pa.binary()))
-    return pa.RecordBatch.from_arrays(list(columns), [c.split()[0] for c in TOLD.split(", ")])
-
-
-def _score(fields: object, slices: int, model: object, shift: int) -> Callable:
+            np.array([len(first), b - a], np.int64).tobytes(), hashes[a:b].tobytes(), owner[a:b][first].astype(np.uint32).tobytes(),
+            lengths.astype(np.uint32).tobytes(), times[a:b].astype(np.uint32).tobytes())))
+    n, none = len(starts), [None] * len(blobs)
+    return pa.RecordBatch.from_arrays([
+        pa.array([int(part[0]) if len(part) else 0] * n + part[heads].tolist(), pa.int64()), pa.array([portion] * (n + len(none)), pa.int64()), pa.array([*range(n), *none], pa.int32()),
+        pa.concat_arrays([batch.column(0), pa.nulls(len(none), pa.int64())]), pa.array([*sizes.tolist(), *none], pa.int64()),
+        pa.array([*np.add.reduceat(~np.isnan(base), starts, dtype=np.int64).tolist(), *none], pa.int64()), pa.array([*np.add.reduceat(np.nan_to_num(base), starts).tolist(), *none], pa.float64()),
+        pa.array([*score.tolist(), *none], pa.float64()), pa.array([None] * n + blobs, pa.binary())], _names(TOLD))
+
+
+def _score(grams: object, model: object, shift: int) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(Filter(fields.value, slices), model.value)
-        for batch in portions(batches, 3, 2_000_000):
+        scorer, first = Scorer(grams.value, model.value), TaskContext.get().partitionId() << 32
+        for k, batch in enumerate(portions(batches, 1, 2_000_000)):
             if batch.num_rows:
-                yield _told(scorer, batch, shift)
+                yield _told(scorer, batch, first + k, shift)
 
     return rows
 
@@ -510,19 +510,20 @@ def _answer(slices: int) -> Callable:
 
 def _score_pack(model: object, shift: int) -> Callable:
     def score(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
         by_kind: dict[int, list[tuple[int, bytes]]] = {WORDS: [], PAIRS: [], TRIPLES: []}
         for home, kind, blob in zip(*(answers.column(c).to_pylist() for c in ("slice", "kind", "blob")), strict=True):
             by_kind[kind].append((home, blob))
         asked = _asked(texts.column("text").to_pylist())
         known = {kind: (asked[kind], np.frombuffer(b"".join(x[1] for x in sorted(parts)), np.int16).astype(np.int64)) for kind, parts in by_kind.items()}
-        (batch,) = texts.select(["row", "check", "doc_id", "text"]).combine_chunks().to_batches()
-        return pa.Table.from_batches([_told(Scorer(Answers(known), model.value), batch, shift)])
+        (batch,) = texts.select(["doc_id", "text"]).to_batches()
+        return pa.Table.from_batches([_told(Scorer(Answers(known), model.value), batch, key[0].as_py(), shift)])
 
     return score
 
 
 def _resolved(key: tuple, table: pa.Table) -> pa.Table:
-    """Lines of rows as they come, and lines with the known tokens and the base sums that exact counts give to texts."""
+    """The texts' own rows as they come; in place of each blob of words, the known tokens and base sums that exact counts give to its texts."""
     kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
     names, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for blob in (b for k, b in zip(kinds, blobs, strict=True) if k == COUNTS):
@@ -530,29 +531,37 @@ def _resolved(key: tuple, table: pa.Table) -> pa.Table:
         names.append(np.frombuffer(blob, np.uint64, n))
         counts.append(np.frombuffer(blob, np.int64, n, 8 * n))
     order = np.argsort(np.concatenate(names), kind="stable")
-    name, count = np.concatenate(names)[order], np.concatenate(counts)[order]
-    rows, checks, known, base = [], [], [], []
-    for blob in (b for k, b in zip(kinds, blobs, strict=True) if k is None and b is not None):
+    # a last name that no word has, so that every word finds a place
+    name, count = np.append(np.concatenate(names)[order], np.uint64(2**64 - 1)), np.append(np.concatenate(counts)[order], 0)
+    out = []
+    for kind, blob in zip(kinds, blobs, strict=True):
+        if kind is not None or blob is None:
+            out.append(None)
+            continue
         texts, n = np.frombuffer(blob, np.int64, 2).tolist()
-        rows.append(np.frombuffer(blob, np.int64, texts, 16))
-        hashes = np.frombuffer(blob, np.uint64, n, 16 + 8 * texts)
-        at = 16 + 8 * texts + 8 * n
-        checks.append(np.frombuffer(blob, np.int32, texts, at))
-        lengths = np.frombuffer(blob, np.uint32, texts, at + 4 * texts).astype(np.int64)
-        times = np.frombuffer(blob, np.uint32, n, at + 8 * texts).astype(np.int64)
-        place = np.minimum(np.searchsorted(name, hashes), max(0, len(name) - 1))
-        hit = name[place] == hashes if len(name) else np.zeros(n, bool)
-        heads = np.cumsum(lengths) - lengths
-        known.append(np.add.reduceat(np.where(hit, times, 0), heads))
-        base.append(np.add.reduceat(np.where(hit, times * np.log10(np.where(hit, count[place] if len(name) else 0, 0) + 1.0), 0.0), heads))
-    own = table.filter(pa.array([k is None and b is None for k, b in zip(kinds, blobs, strict=True)], pa.bool_()))
-    more = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    lines = pa.table({
-        "row": pa.array(more), "check": pa.array(np.concatenate(checks) if rows else [], pa.int32()), "doc_id": pa.nulls(len(more), pa.int64()), "copies": pa.array(np.zeros(len(more), np.int64)),
-        "n_tokens": pa.nulls(len(more), pa.int64()), "known": pa.array(np.concatenate(known) if rows else [], pa.int64()),
-        "base": pa.array(np.concatenate(base) if rows else [], pa.float64()), "score": pa.nulls(len(more), pa.float64())})
-    own = own.select(["row", "check", "doc_id", "n_tokens", "known", "base", "score"]).append_column("copies", pa.array(np.ones(len(own), np.int64)))
-    return pa.concat_tables([own.select(lines.column_names), lines]).combine_chunks()
+        hashes = np.frombuffer(blob, np.uint64, n, 16)
+        owner, lengths = (np.frombuffer(blob, np.uint32, texts, 16 + 8 * n + 4 * texts * k) for k in (0, 1))
+        times = np.frombuffer(blob, np.uint32, n, 16 + 8 * n + 8 * texts).astype(np.int64)
+        place = np.searchsorted(name, hashes)
+        seen = np.where(name[place] == hashes, count[place], 0)
+        heads = np.cumsum(lengths, dtype=np.int64) - lengths
+        out.append(owner.tobytes() + np.add.reduceat(np.where(seen > 0, times, 0), heads).tobytes() + np.add.reduceat(times * np.log10(seen + 1.0), heads).tobytes())
+    own = table.set_column(table.column_names.index("blob"), "blob", pa.array(out, pa.binary()))
+    return own.filter(pa.array([k is None for k in kinds], pa.bool_())).select(_names(TOLD)[1:])
+
+
+def _closed(key: tuple, table: pa.Table) -> pa.Table:
+    """The texts of a portion with all that was found about them."""
+    at = table.column("at").to_numpy()
+    own = table.filter(pa.array(~np.isnan(at.astype(float)))).sort_by("at")
+    known, base = own.column("known").to_numpy().astype(np.int64), own.column("base").to_numpy().astype(float)
+    for blob in table.column("blob").to_pylist():
+        if blob is not None:
+            n = len(blob) // 20
+            texts = np.frombuffer(blob, np.uint32, n)
+            known[texts] += np.frombuffer(blob[4 * n: 12 * n], np.int64)
+            base[texts] += np.frombuffer(blob[12 * n:], np.float64)
+    return pa.table({"doc_id": own.column("doc_id"), "n_tokens": own.column("n_tokens"), "known": pa.array(known), "base": pa.array(base), "score": own.column("score")})
 
 
 def _frequent(least: int) -> Callable:
@@ -577,7 +586,7 @@ def train_and_score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, fre
     Learns from rows whose crc32(doc_id as text) mod 7 is not 2 (a null doc_id counts as a training row).
     Null and empty texts hold one token, the end. Repeated rows are scored as often as they come. With no
     training row at all N and V are 0 and every word is unseen. An empty table gives no rows. Other columns
-    are not looked at.
+    are not looked at. ``docs`` gives its rows in one order whenever it is read, as tables do.
 
     Word counts for the base score are exact (words are known by 64-bit hashes): those of at most ``frequent``
     frequent words are broadcast, all others are joined. The filter holds every word, pair and triple that occurs
@@ -609,28 +618,19 @@ def train_and_score(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, fre
         stats, Filter({r["slice"]: (bytes(r["blob"]), r["bits"]) for r in letters}, LETTER_SLICES), (names[order], np.log10(top["n"].to_numpy().astype(float)[order] + 1))))
     fields = gathered.filter(F.col("kind") == FIELD).select("slice", "bits", "blob")
     shift = 64 - (parts.bit_length() - 1)
-    keyed = rows.select(F.xxhash64("doc_id", "text").alias("row"), F.hash("text").alias("check"), "doc_id", "text")
     if (fields.agg(F.sum("bits")).first()[0] or 0) <= 8 * broadcast_bytes:
-        whole = context.broadcast({r["slice"]: (bytes(r["blob"]), r["bits"]) for r in fields.collect()})
-        told = keyed.mapInArrow(tidy(_score(whole, slices, shared, shift)), TOLD)
+        whole = context.broadcast(Filter({r["slice"]: (bytes(r["blob"]), r["bits"]) for r in fields.collect()}, slices))
+        told = rows.mapInArrow(tidy(_score(whole, shared, shift)), TOLD)
     else:
         packs = max(1, -(-size // pack_bytes))
-        laid = checkpointed(keyed.withColumn("pack", F.pmod("row", F.lit(packs))))
+        laid = checkpointed(rows.withColumn("pack", F.pmod(F.xxhash64("doc_id", "text"), F.lit(packs))))
         asked = laid.groupBy("pack").applyInArrow(_ask(slices), "slice long, kind int, blob binary, pack long")
         answers = asked.groupBy("slice").cogroup(fields.groupBy("slice")).applyInArrow(_answer(slices), "pack long, slice long, kind int, blob binary")
         told = laid.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_score_pack(shared, shift), TOLD)
-    return _finished(told, gathered, held, stats, slices, parts)
-
-
-def _finished(told: DataFrame, gathered: DataFrame, held: Column, stats: np.ndarray, slices: int, parts: int) -> DataFrame:
-    """One row for each scored row, with what exact counts add to it."""
     total, types = int(stats[TOKENS]), int(stats[TYPES])
-    absent = [F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in LINES.split(", ")) if c != "copies"]
+    absent = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in TOLD.split(", ")[1:-1]]
     counts = gathered.filter(F.col("kind") == COUNTS).select(F.expr(f"slice div {slices // parts}").alias("part"), "kind", "blob", *absent)
-    lines = told.withColumn("kind", F.lit(None).cast("int")).select(*counts.columns).unionByName(counts).groupBy("part").applyInArrow(_resolved, LINES)
-    summed_up = lines.groupBy("row", "check").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("copies").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.max("score").alias("score"))
-    return summed_up.filter("copies > 0").select(
-        "doc_id", held.alias("held_out"), "n_tokens", (F.col("known") / F.col("copies")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("copies") - F.col("n_tokens") * F.lit(math.log10(total + types + 1))).alias("base_score"),
-        "score", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("one")).drop("one")
+    resolved = told.withColumn("kind", F.lit(None).cast("int")).select(*counts.columns).unionByName(counts).groupBy("part").applyInArrow(_resolved, TOLD.split(", ", 1)[1])
+    return resolved.groupBy("portion").applyInArrow(_closed, SCORED).select(
+        "doc_id", held.alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(math.log10(total + types + 1))).alias("base_score"), "score")
