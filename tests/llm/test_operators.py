@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -60,6 +61,16 @@ def test_repeats(docs, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_of_different_texts_under_one_id(spark):
+    one, two = LINE * 3, " ".join(f"x{i}" for i in range(90))
+    rows = [(0, one), (1, one), (1, two), (1, two), (2, two + " more"), (-5, "y" + LINE)]
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    key = {t: k for t, k in spark.createDataFrame([(one,), (two,)], "t string").selectExpr("t", "xxhash64(t)").collect()}
+    order = sorted({(i, key.get(t, 0), t) for i, t in rows})
+    wanted = brute_repeats([(k, t) for k, (_, _, t) in enumerate(order)])
+    assert got == Counter(next((i, wanted[k][0], wanted[k][1], wanted[k][3]) for k, (j, _, u) in enumerate(order) if (i, t) == (j, u)) for i, t in rows)
+
+
 def test_repeats_of_a_very_common_line(spark):
     """More different surroundings of one line than a suffix-array group holds."""
     rng = np.random.default_rng(0)
@@ -258,6 +269,37 @@ def test_packing(docs, nothing):
     assert packing.pack_documents(nothing, path).count() == 0
 
 
+def test_crossovers_save_bins():
+    """Triplets that fill a bin exactly and middling pieces: crossovers beat the random groupings and best-fit decreasing."""
+    rng = random.Random(4)
+    triplets = []
+    for _ in range(20):
+        a = rng.randrange(380, 490)
+        b = rng.randrange(250, 1_000 - a - 250 + 1)
+        triplets += [a, b, 1_000 - a - b]
+    middling = [rng.randrange(244, 538) for _ in range(400)]
+    for sizes in (triplets, middling):
+        decreasing = packing._packed(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1_000)
+        best, trail = packing.evolve(sizes, 1_000, [], random.Random(1), 6, 40)
+        assert len(best) == trail[-1] < len(decreasing) and trail[-1] <= trail[0] - (sizes is middling)
+        assert sorted(i for x in best for i in x) == list(range(len(sizes))) and max(sum(sizes[i] for i in x) for x in best) <= 1_000
+        again, _ = packing.evolve(sizes, 1_000, [best], random.Random(2), 6, 40)
+        assert len(again) <= len(best)
+
+
+def test_packing_over_blocks(spark):
+    """Several blocks, repeated rows, and columns with the names that packing uses."""
+    rows = [(k % 50, k % 7, 0, 1 + k * 37 % 64, k, k, "x", k) for k in range(900)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, block long, number long, bin string, item long")
+    out = packing.pack(df, capacity=64, block_pieces=300).collect()
+    assert Counter(tuple(r)[:8] for r in out) == Counter(rows)
+    for _, group in itertools.groupby(sorted(out, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        pieces = list(group)
+        ends = list(itertools.accumulate(r.length for r in pieces))
+        assert ends[-1] <= 64 and [r.offset for r in pieces] == [0, *ends[:-1]]
+    assert len({r.sequence_id for r in out}) <= sum(r.length for r in out) / 64 * 1.06 + 6
+
+
 def brute_vectors(rows):
     good = {i: (label, np.array(v)) for i, label, v in rows if label is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)}
     links = {i: set() for i, _, _ in rows}
@@ -318,6 +360,24 @@ def test_toxicity(spark, docs, nothing):
     assert toxicity.reject_toxic(docs, labels).columns == docs.columns
 
 
+def test_label_model_learns_from_agreements_alone():
+    """Voters of different accuracy, three that repeat one another: the hidden class is found without labels."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(6_000) < 0.2
+    hit = lambda yes, no: rng.random(6_000) < np.where(truth, yes, no)
+    copied = hit(0.5, 0.1)
+    noise = lambda: np.where(rng.random(6_000) < 0.05, ~copied, copied)
+    votes = np.stack([hit(0.9, 0.02), hit(0.8, 0.03), hit(0.7, 0.05), hit(0.75, 0.02), copied, noise(), noise()], 1).astype(np.int8)
+    model = toxicity.LabelModel(votes)
+    post = model.posteriors()
+    assert ((post > 0.5) == truth).mean() > 0.97
+    # the three that repeat one another hang together in the tree, and each hit's share is found
+    assert sum(model.parents[k] in (4, 5, 6) for k in (4, 5, 6)) == 2
+    assert abs(model.hit[1, 0, 0] - 0.9) < 0.05 or model.parents[0] >= 0
+    assert (toxicity.posterior_labels(votes, truth.astype(int)) == post).all()
+    assert np.allclose(toxicity.posterior_labels(votes, (~truth).astype(int)), 1 - post)
+
+
 def test_language_model(docs, nothing):
     rows = language_model.train_and_score(docs, frequent=5).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
@@ -436,3 +496,51 @@ def test_token_counts_follow_random_edits(spark):
             a = min(max(0, a), len(text))
             text = text[:a] + new + text[min(max(a, b), len(text)):]
         assert (got[i].n_tokens_edited, got[i].n_chars_edited) == (len(library.encode(text, add_special_tokens=False).ids), len(text))
+
+
+def test_pipeline(spark, tmp_path):
+    """All stages against brute force on planted documents, with awkward rows and columns of clashing names."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3_000)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    passage = text(60)
+    texts = [text(120) for _ in range(60)]
+    texts += [texts[k] for k in (1, 2, 2)] + [texts[5].replace("w1", "changed", 1), passage + " " + text(80), text(90) + " " + passage, "", None, "é" * 300, text(50) + " " + "é" * 300]
+    toxic = [text(40) + " you stupid idiot moron trash scum" for _ in range(40)]
+    rows = [(i, t, "en", "s", len(t or ""), 1, 2, 3) for i, t in enumerate([*texts, *toxic])]
+    rows += [rows[7], (7, (second := text(70)), "en", "s", len(second), 1, 2, 3), (None, text(30), None, None, None, None, None, None)]  # a repeated row, a second text of an id, a null id
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, cut_kept int, kept_doc_id int, _id int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0, int(i >= len(texts))) for i in range(len(texts) + len(toxic))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, seen, str(tmp_path))
+        assert after.columns == docs.columns, name
+        before, seen = seen.collect(), spark.createDataFrame(after.collect(), docs.schema)
+        got = seen.collect()
+        if name == "toxicity":
+            assert {r.doc_id for r in got} == {r[0] for r in rows if r[0] is None or r[0] < len(texts)}
+        elif name == "simhash_near_dedup":
+            groups, _ = brute_groups([(k, r.text) for k, r in enumerate(before) if r.doc_id is not None])
+            least = {}
+            for k, g in groups.items():
+                least[g] = min(least.get(g, (1 << 60, "")), (before[k].doc_id, before[k].text or ""))
+            assert {(r.doc_id, r.text or "") for r in got if r.doc_id is not None} == set(least.values())
+            assert sum(r.doc_id is None for r in got) == 1 and sum(r.doc_id == 7 for r in got) == 3
+        else:
+            assert len(got) == len(before)
+            key = dict(spark.createDataFrame([(r.text,) for r in before if r.text is not None], "t string").distinct().selectExpr("t", "xxhash64(t)").collect())
+            order = sorted({(r.doc_id, key.get(r.text, 0), r.text) for r in before if r.doc_id is not None})
+            cut = brute_repeats([(k, t) for k, (_, _, t) in enumerate(order)])
+            wanted = Counter()
+            for r in before:
+                kept = r.text if r.doc_id is None else cut[order.index((r.doc_id, key.get(r.text, 0), r.text))][3].decode(errors="ignore")
+                wanted[r.doc_id, kept or ""] += 1
+            assert Counter((r.doc_id, r.text or "") for r in got) == wanted
+            assert all(r.n_chars == len(r.text) for r in got if r.doc_id is not None and r.text)
+    placed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in placed} == {r.doc_id for r in seen.collect()}
+    assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in placed)
+    assert max(Counter(r.sequence_id for r in placed for _ in range(r.length)).values()) <= 2_048
