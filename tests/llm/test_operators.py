@@ -189,6 +189,18 @@ def test_similar_documents_find_every_pair(spark):
     assert got == wanted
 
 
+def test_parities_never_hide_a_similar_pair():
+    rng = np.random.default_rng(11)
+    for n in (1, 3, 200, 260, 2_000, 9_000):
+        for share in (0.0, 0.1, 0.3, 1.0):
+            own = rng.integers(0, 2**63, n).astype(np.uint64)
+            other = np.concatenate((own[int(n * share / 2):], rng.integers(0, 2**63, int(n * share)).astype(np.uint64)))
+            x, y = (np.frombuffer(p, np.uint64).reshape(1, -1) for p in similar_documents.parities(np.concatenate((own, other)), np.array([len(own), len(other)])))
+            found = int(similar_documents.differing(x, y)[0])
+            assert found <= len(np.setxor1d(own, other))
+            assert share < 0.5 or n < 200 or found > 0.12 * (len(own) + len(other))  # different sets are told apart, long ones too
+
+
 def test_similar_documents_keep_different_texts(spark):
     """One line repeated many times outvotes all else in a fingerprint; as a set it is a few shingles."""
     body = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
