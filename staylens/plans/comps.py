@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -82,80 +83,106 @@ def safe_tier() -> Column:
     return F.when(t == "A", c.isin("A", "B")).when(t == "C", c.isin("C", "B")).otherwise(c.isin("B", "C") | (~calibrated & (c == "A")))
 
 
-def candidates(targets: DataFrame, pool: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """Target x listing pairs of the target's hood and its neighbours (hood, near), its own id left out.
-
-    Hoods are equi-join keys, so no pair outside them is ever built.
-    """
-    t = targets.select(*[F.col(c).alias(f"t_{c}") for c in ("id", "hood", "building", "bedrooms", "bathrooms", "beach_m", "sqft", "rating", "amenities", "tier")])
-    own = t.select("*", F.col("t_hood").alias("hood"), F.lit(0).alias("far"))
-    near = t.join(F.broadcast(adjacency.select(F.col("hood").alias("t_hood"), F.col("near").alias("hood"))), "t_hood").select(*t.columns, "hood", F.lit(1).alias("far"))
-    return own.unionByName(near).join(pool, "hood").filter("id <> t_id")
+def cascade_flags() -> dict[int, Column]:
+    """Which (hood, bedrooms, tier) cells each step of the pool cascade takes."""
+    own, gap = F.col("far") == 0, F.abs(F.col("bedrooms") - F.col("t_bedrooms"))
+    return {1: own & (gap == 0) & (F.col("tier") == F.col("t_tier")), 2: own & (gap == 0) & safe_tier(), 3: own & (gap == 0), 4: own & (gap <= 1),
+            5: ~own & (gap <= 1), 6: ~own & (gap <= 2), 7: own}
 
 
-def choose_pool(pairs: DataFrame) -> DataFrame:
-    """The rows of each target's pool: the first step of five that holds enough listings; adds step."""
-    w = Window.partitionBy("t_id")
-    own, gap = F.col("far") == 0, F.abs(F.col("bedrooms") - F.col("t_bedrooms"))
-    flags = {1: own & (gap == 0) & (F.col("tier") == F.col("t_tier")), 2: own & (gap == 0) & safe_tier(), 3: own & (gap == 0), 4: own & (gap <= 1),
-             5: ~own & (gap <= 1), 6: ~own & (gap <= 2), 7: own}
-    marked = pairs.withColumns({f"s{k}": f for k, f in flags.items()}).withColumns({f"n{k}": F.count_if(f).over(w) for k, f in flags.items()})
-    n = {k: F.col(f"n{k}") for k in flags}
+def cascade_step(n: dict[int, Column]) -> Column:
+    """The first step that holds enough listings; where none does, what is left of the neighbours, the wider pool, the hood."""
     step = F
     for k in (1, 2, 3, 4, 5):
         step = step.when(n[k] >= MIN_POOL, k)
-    step = step.when(n[6] > n[5], 6).when(n[5] > 0, 5).when(n[4] > 0, 4).otherwise(7)
-    chosen = marked.withColumn("step", step)
-    inside = reduce(lambda a, k: a.when(F.col("step") == k, F.col(f"s{k}")), flags, F)
-    return chosen.filter(inside).drop(*[f"{p}{k}" for k in flags for p in "sn"])
+    return step.when(n[6] > n[5], 6).when(n[5] > 0, 5).when(n[4] > 0, 4).otherwise(7)
+
 
+TARGET = ("id", "hood", "building", "bedrooms", "bathrooms", "beach_m", "sqft", "rating", "amenities", "tier")
+CELL = ["hood", "bedrooms", "tier"]
+T_CELL = [f"t_{c}" for c in CELL]
 
-def scores(pairs: DataFrame, target_tier: Column) -> DataFrame:
-    """Likeness of each pair, part by part to one digit and in total from 0 to 100."""
+
+def pool_pairs(targets: DataFrame, pool: DataFrame, adjacency: DataFrame, flags: dict[int, Column], choose: Callable[[dict[int, Column]], Column], block: int = 2_000) -> DataFrame:
+    """Target x listing pairs of the step that each target's pool is taken from, its own id left out; adds step and mixed.
+
+    The step is chosen from the counts of (hood, bedrooms, tier) cells, a table as small as the market's
+    neighbourhoods, so only pairs of the chosen step are built. mixed: tiers other than the target's are in
+    its pool, or might be (step 3). The targets of a crowded cell are dealt over blocks of about ``block``.
+    A target whose id the pool holds has that listing's cell.
+    """
+    t = targets.select(*[F.col(c).alias(f"t_{c}") for c in TARGET])
+    t = t.join(pool.select(F.col("id").alias("t_id"), F.lit(1).alias("inside")), "t_id", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+    cells = t.groupBy(*T_CELL).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    near = adjacency.select(F.col("hood").alias("t_hood"), F.col("near").alias("hood"), F.lit(1).alias("far"))
+    reach = cells.withColumn("hood", F.col("t_hood")).withColumn("far", F.lit(0)).unionByName(cells.join(near, "t_hood"))
+    met = reach.join(pool.groupBy(*CELL).agg(F.count("*").alias("n")), "hood").withColumns({f"s{k}": f for k, f in flags.items()})
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    counts = met.groupBy(*T_CELL, "blocks").agg(
+        *[total(F.col(f"s{k}")).alias(f"n{k}") for k in flags], *[total(F.col(f"s{k}") & (F.col("tier") != F.col("t_tier"))).alias(f"o{k}") for k in flags],
+        *[F.max(F.col(f"s{k}") & (F.col("far") == 0)).alias(f"own{k}") for k in flags])
+    # a target in the pool does not count for itself
+    n = {k: F.col(f"n{k}") - F.when(F.col(f"own{k}"), F.col("inside")).otherwise(0) for k in flags}
+    others = reduce(lambda a, k: a.when(F.col("step") == k, F.col(f"o{k}")), flags, F)
+    asked = t.join(counts, T_CELL).withColumn("step", choose(n)).withColumn("mixed", (F.col("step") == 3) | (others > 0)).withColumn(
+        "block", F.pmod(F.xxhash64("t_id"), F.col("blocks")).cast("int")).select(*t.columns, "step", "mixed", "block")
+    steps = F.filter(F.array(*[F.when(F.col(f"s{k}"), F.lit(k)) for k in flags]), lambda k: k.isNotNull())
+    taken = met.select(*T_CELL, "blocks", *CELL, "far", F.explode(steps).alias("step"))
+    offered = taken.join(pool, CELL).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    return asked.join(offered, [*T_CELL, "step", "block"]).filter("id <> t_id").drop("block", "inside")
+
+
+def likeness(pairs: DataFrame) -> DataFrame:
+    """Parts of the likeness of each pair (x_ columns) and their sum less the mismatch of bedrooms (raw); the price tier comes later."""
     w = {p: weight(p) for p in WEIGHTS[""]}
-    ordinal = lambda c, names: F.array_position(F.array(*[F.lit(x) for x in names]), c)
+    ordinal = lambda c: F.array_position(F.array(*[F.lit(x) for x in "ABC"]), c)
     parts = {
         "beach": numbers.nearness(F.col("beach_m"), F.col("t_beach_m"), by_name("t_hood", BEACH_SCALE), w["beach"]),
         "sqft": numbers.nearness(F.col("sqft"), F.col("t_sqft"), F.col("t_sqft") * by_name("t_hood", SQFT_SCALE), w["sqft"]),
         "bath": numbers.bath_score(F.col("bathrooms"), F.col("t_bathrooms"), w["bath"]),
         "amenities": numbers.jaccard(F.col("amenities"), F.col("t_amenities")) * w["amenities"],
         "rating": numbers.nearness(F.col("rating"), F.col("t_rating"), RATING_SCALE, w["rating"]),
-        "beach_tier": numbers.tier_score(ordinal(F.col("tier"), "ABC"), ordinal(F.col("t_tier"), "ABC"), w["beach_tier"], 0.375),
-        "price_tier": F.coalesce(numbers.tier_score(ordinal(F.col("price_tier"), ("lower", "middle", "upper")), ordinal(target_tier, ("lower", "middle", "upper")), w["price_tier"], 0.4), F.lit(0.0)),
+        "beach_tier": numbers.tier_score(ordinal(F.col("tier")), ordinal(F.col("t_tier")), w["beach_tier"], 0.375),
         "building": F.when(F.col("building") == F.col("t_building"), w["building"]).otherwise(0.0),
     }
+    marked = pairs.withColumns({f"x_{k}": v for k, v in parts.items()})
     penalty = F.when(F.col("bedrooms") != F.col("t_bedrooms"), float(MISMATCH)).otherwise(0.0)
-    total = clamp(reduce(lambda a, b: a + b, parts.values()) - penalty, 0.0, 100.0)
-    return pairs.withColumns({**{f"x_{k}": half_up(v + 1e-9, 1) for k, v in parts.items()}, "score": half_up(total + 1e-9, 1)})
+    return marked.withColumn("raw", reduce(lambda a, b: a + b, [F.col(f"x_{k}") for k in parts]) - penalty)
 
 
-def ranked(scored: DataFrame) -> DataFrame:
-    """The ten best of each target; equal scores go by id."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("t_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= MAX_COMPS)
+def to_score(raw: Column) -> Column:
+    return half_up(clamp(raw, 0.0, 100.0) + 1e-9, 1)
 
 
 def comparables(targets: DataFrame, pool: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """Comparables of all targets at once: pool, a first scoring, the price tier it implies, a second scoring."""
-    seg = segments(pool)
-    pairs = choose_pool(candidates(targets, pool, adjacency))
-    pairs = pairs.join(F.broadcast(seg.select("hood", "bedrooms", "p33", "p67")), ["hood", "bedrooms"], "left").withColumn("price_tier", numbers.price_tier(F.col("price"), F.col("p33"), F.col("p67"))).drop("p33", "p67")
-    first = ranked(scores(pairs, F.lit(None).cast("string")))
-    middle = first.groupBy("t_id", "t_hood", "t_bedrooms").agg(stats.linear_percentile("price", 0.5).alias("median"))
-    own = F.broadcast(seg.select(F.col("hood").alias("t_hood"), F.col("bedrooms").alias("t_bedrooms"), "p33", "p67"))
-    implied = middle.join(own, ["t_hood", "t_bedrooms"]).select("t_id", numbers.price_tier(F.col("median"), F.col("p33"), F.col("p67")).alias("t_price_tier"))
-    return ranked(scores(pairs.join(implied, "t_id", "left"), F.col("t_price_tier")))
+    """The ten best comparables of all targets at once: pool, a first scoring, the price tier it implies, a second scoring.
+
+    Both scorings and the median between them are windows over one shuffle by target; equal scores go by id.
+    """
+    seg = segments(pool).select("hood", "bedrooms", "p33", "p67")
+    pairs = likeness(pool_pairs(targets, pool, adjacency, cascade_flags(), cascade_step))
+    tiered = pairs.join(seg, ["hood", "bedrooms"], "left").withColumn("price_tier", numbers.price_tier(F.col("price"), F.col("p33"), F.col("p67"))).drop("p33", "p67")
+    own = seg.select(F.col("hood").alias("t_hood"), F.col("bedrooms").alias("t_bedrooms"), "p33", "p67")
+    tiered = tiered.join(own, ["t_hood", "t_bedrooms"], "left")
+    by = Window.partitionBy("t_id")
+    first = tiered.withColumn("first", F.row_number().over(by.orderBy(F.desc(to_score(F.col("raw"))), "id")))
+    median = half_up(F.percentile(F.when(F.col("first") <= MAX_COMPS, F.col("price")), 0.5).over(by).cast("double"), 6)
+    implied = first.withColumn("median", median).withColumn("t_price_tier", F.when(F.col("p33").isNotNull(), numbers.price_tier(F.col("median"), F.col("p33"), F.col("p67"))))
+    ordinal = lambda c: F.array_position(F.array(F.lit("lower"), F.lit("middle"), F.lit("upper")), c)
+    part = F.coalesce(numbers.tier_score(ordinal(F.col("price_tier")), ordinal(F.col("t_price_tier")), weight("price_tier"), 0.4), F.lit(0.0))
+    scored = implied.withColumn("x_price_tier", part).withColumn("score", to_score(F.col("raw") + F.col("x_price_tier")))
+    best = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= MAX_COMPS)
+    return best.drop("first", "median", "p33", "p67", "raw")
 
 
 def recommend(comps: DataFrame, summaries: DataFrame) -> DataFrame:
     """Conservative, recommended and stretch price of each target.
 
-    Quantiles are of the trimmed prices, untrimmed where tiers are mixed. A building far above its segment
+    Quantiles are of the trimmed prices, untrimmed where the pool's tiers are mixed. A building far above its segment
     gives its own median as anchor, another one its premium from 5 % on; a tier adjustment follows where
     under six of ten comparables share the target's beach tier.
     """
-    mixed = F.max(F.when(F.col("tier") != F.col("t_tier"), 1).otherwise(0)).over(Window.partitionBy("t_id")) == 1
-    marked = comps.withColumn("mixed", mixed & (F.col("step") > 1))
-    kept = stats.iqr_trim(marked.filter("NOT mixed"), ["t_id"], "price", "id", MIN_COMPS).unionByName(marked.filter("mixed").withColumn("n_removed", F.lit(0).cast("long")))
+    kept = stats.iqr_trim(comps.filter("NOT mixed"), ["t_id"], "price", "id", MIN_COMPS).unionByName(comps.filter("mixed").withColumn("n_removed", F.lit(0).cast("long")))
     of_set = kept.groupBy("t_id").agg(
         half_up(stats.linear_percentile("price", 0.5)).alias("base"), half_up(stats.linear_percentile("price", 0.15)).alias("p15"), half_up(stats.linear_percentile("price", 0.80)).alias("p80"),
         F.count("*").alias("n_comps"), F.max("n_removed").alias("n_removed"))
@@ -209,7 +236,7 @@ def layers(df: DataFrame) -> DataFrame:
 # ---- queries over the test tables
 
 POOL_SQL = f"""{LISTINGS}, pool AS (SELECT *, price_cents / 100.0::DOUBLE AS price, CASE WHEN beach_m <= 100 THEN 'A' WHEN beach_m <= 500 THEN 'B' ELSE 'C' END AS tier FROM listings
-  WHERE price_cents > 0 AND price_cents <= 500000 AND (sqft IS NULL OR sqft >= 200) AND confidence >= 0.7),
+  WHERE price_cents > 0 AND price_cents <= 500000 AND (sqft IS NULL OR sqft >= 200) AND confidence >= CASE WHEN hood IN ('Zona Romantica', 'Amapas') THEN 0.85 ELSE 0.7 END),
 seg AS (SELECT hood, bedrooms, count(*) AS n, """ + ", ".join(f"floor(quantile_cont(price, {p / 100}) * 1000000 + 0.5) / 1000000 AS p{p}" for p in (25, 33, 50, 67, 75)) + " FROM pool GROUP BY 1, 2)"
 
 
@@ -283,7 +310,7 @@ def stay_window_factor(spark: SparkSession, folder: str) -> DataFrame:
     return days.groupBy("hood").agg(n.alias("n_window"), F.count("*").alias("n_month"), F.when((F.count("*") >= 12) & (n >= 8), half_up(F.median(F.when(inside, x)) / F.median(x), 4)).alias("factor"))
 
 
-WINDOWS = [("before", "1998-05-01", "1998-05-20", ["Brand#1", "Brand#2"]), ("event", "1998-06-03", "1998-06-20", ["Brand#1", "Brand#2"]), ("event", "1998-06-03", "1998-06-20", ["Brand#2", "Brand#3"]), ("after", "1998-07-01", "1998-07-20", ["Brand#1", "Brand#3"])]
+WINDOWS = [("before", "1998-05-01", "1998-05-20", ["Zona Romantica", "Amapas"]), ("event", "1998-06-03", "1998-06-20", ["Zona Romantica", "Amapas"]), ("event", "1998-06-03", "1998-06-20", ["Amapas", "Brand#3"]), ("after", "1998-07-01", "1998-07-20", ["Zona Romantica", "Brand#3"])]
 WINDOWS_SQL = "win AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}', DATE '{a}', DATE '{b}', {h})" for p, a, b, h in WINDOWS) + ") AS t(period, a, b, hoods))"
 
 
@@ -314,16 +341,6 @@ def haversine_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return points.withColumn("best", F.least(*metres)).select("id", F.col("best.m").alias("metres"), F.col("best.name").alias("nearest"))
 
 
-@query(f"""WITH {POOL_SQL} SELECT a.id AS id, b.id AS other, floor(len(list_intersect(a.amenities, b.amenities))::DOUBLE / len(list_distinct(list_concat(a.amenities, b.amenities))) * 10000 + 0.5) / 10000 AS likeness
-FROM pool a JOIN pool b ON a.hood = b.hood AND a.bedrooms = b.bedrooms AND a.id < b.id WHERE a.id % 20 = 0""")
-def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Likeness of amenities between sampled listings and their segment."""
-    df = pool(spark, folder)
-    a = df.filter("id % 20 = 0").select("id", "hood", "bedrooms", F.col("amenities").alias("x"))
-    b = df.select(F.col("id").alias("other"), "hood", "bedrooms", F.col("amenities").alias("y"))
-    return a.join(b, ["hood", "bedrooms"]).filter("id < other").select("id", "other", half_up(numbers.jaccard(F.col("x"), F.col("y")), 4).alias("likeness"))
-
-
 @query(f"WITH {POOL_SQL} SELECT tier, count(*) AS n, count(*) FILTER (WHERE sqft IS NULL) AS unsized FROM pool GROUP BY tier")
 def beach_tier(spark: SparkSession, folder: str) -> DataFrame:
     return pool(spark, folder).groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("sqft").isNull()).alias("unsized"))
@@ -332,7 +349,7 @@ def beach_tier(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {POOL_SQL} SELECT pool.hood, CASE WHEN price <= p33 THEN 'lower' WHEN price <= p67 THEN 'middle' ELSE 'upper' END AS price_tier, count(*) AS n FROM pool JOIN seg ON seg.hood = pool.hood AND seg.bedrooms = pool.bedrooms GROUP BY 1, 2")
 def price_tier(spark: SparkSession, folder: str) -> DataFrame:
     df = pool(spark, folder)
-    joined = df.join(F.broadcast(segments(df).select("hood", "bedrooms", "p33", "p67")), ["hood", "bedrooms"])
+    joined = df.join(segments(df).select("hood", "bedrooms", "p33", "p67"), ["hood", "bedrooms"])
     return joined.groupBy("hood", numbers.price_tier(F.col("price"), F.col("p33"), F.col("p67")).alias("price_tier")).agg(F.count("*").alias("n"))
 
 
@@ -354,73 +371,136 @@ def price_source_waterfall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _targets(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every listing of the pool is a target."""
     df = pool(spark, folder)
-    return df.filter("id % 25 = 0"), df, ring(spark, folder)
+    return df, df, ring(spark, folder)
+
+
+def _case_sql(values: dict[str, float], column: str = "t.hood") -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items() if k) + f" ELSE {values.get('', 0)} END"
 
 
 def _weights_sql(p: str) -> str:
-    w = WEIGHTS[""]
+    base = lambda q: _case_sql({k: w[q] for k, w in WEIGHTS.items()})
     extra = {"beach": ("sqft", "t.sqft IS NULL", 0.6), "bath": ("sqft", "t.sqft IS NULL", 0.4), "amenities": ("rating", "t.rating IS NULL", 0.6), "beach_tier": ("rating", "t.rating IS NULL", 0.4)}
     if p in ("sqft", "rating"):
-        return f"CASE WHEN t.{p} IS NULL THEN 0 ELSE {w[p]} END"
+        return f"CASE WHEN t.{p} IS NULL THEN 0 ELSE {base(p)} END"
     if p in extra:
         s, miss, share = extra[p]
-        return f"({w[p]} + CASE WHEN {miss} THEN floor({w[s]} * {share} + 0.5) ELSE 0 END)"
-    return str(w[p])
+        return f"({base(p)} + CASE WHEN {miss} THEN floor({base(s)} * {share} + 0.5) ELSE 0 END)"
+    return base(p)
 
 
 _W = {p: _weights_sql(p) for p in WEIGHTS[""]}
-_PARTS = f"""COALESCE(greatest(0, least(1, 1 - abs(c.beach_m - t.beach_m) / 300.0)) * {_W['beach']}, 0) + COALESCE(greatest(0, least(1, 1 - abs(c.sqft - t.sqft) / (t.sqft * 0.75))) * {_W['sqft']}, 0)
-  + CASE WHEN abs(c.bathrooms - t.bathrooms) = 0 THEN 1.0 WHEN abs(c.bathrooms - t.bathrooms) <= 0.5 THEN 0.67 WHEN abs(c.bathrooms - t.bathrooms) <= 1 THEN 0.33 ELSE 0 END * {_W['bath']}
-  + len(list_intersect(c.amenities, t.amenities))::DOUBLE / len(list_distinct(list_concat(c.amenities, t.amenities))) * {_W['amenities']}
-  + COALESCE(greatest(0, least(1, 1 - abs(c.rating - t.rating) / 3.0)) * {_W['rating']}, 0)
-  + CASE abs(ascii(c.tier) - ascii(t.tier)) WHEN 0 THEN 1.0 WHEN 1 THEN 0.375 ELSE 0 END * {_W['beach_tier']} + CASE WHEN c.building = t.building THEN {_W['building']} ELSE 0 END - CASE WHEN c.bedrooms <> t.bedrooms THEN 12 ELSE 0 END"""
-CASCADE_SQL = f"""{POOL_SQL}, tgt AS (SELECT * FROM pool WHERE id % 25 = 0), hoods AS (SELECT hood, lead(hood) OVER (ORDER BY hood) AS near FROM (SELECT DISTINCT hood FROM listings)),
-pairs AS (SELECT t.id AS t_id, c.id AS id, t.hood <> c.hood AS far, abs(c.bedrooms - t.bedrooms) AS gap, t.tier AS t_tier, c.tier AS tier FROM tgt t JOIN pool c ON c.id <> t.id AND (c.hood = t.hood OR c.hood = (SELECT near FROM hoods h WHERE h.hood = t.hood))),
-fl AS (SELECT *, NOT far AND gap = 0 AND tier = t_tier AS s1, NOT far AND gap = 0 AND CASE t_tier WHEN 'A' THEN tier IN ('A', 'B') WHEN 'C' THEN tier IN ('C', 'B') ELSE TRUE END AS s2, NOT far AND gap = 0 AS s3, NOT far AND gap <= 1 AS s4, far AND gap <= 1 AS s5, far AND gap <= 2 AS s6, NOT far AS s7 FROM pairs),
+_PART = {
+    "beach": f"COALESCE(greatest(0, least(1, 1 - abs(c.beach_m - t.beach_m) / {_case_sql(BEACH_SCALE)}::DOUBLE)) * {_W['beach']}, 0)",
+    "sqft": f"COALESCE(greatest(0, least(1, 1 - abs(c.sqft - t.sqft) / (t.sqft * {_case_sql(SQFT_SCALE)}::DOUBLE))) * {_W['sqft']}, 0)",
+    "bath": f"CASE WHEN abs(c.bathrooms - t.bathrooms) = 0 THEN 1.0 WHEN abs(c.bathrooms - t.bathrooms) <= 0.5 THEN 0.67 WHEN abs(c.bathrooms - t.bathrooms) <= 1 THEN 0.33 ELSE 0 END * {_W['bath']}",
+    "amenities": f"len(list_intersect(c.amenities, t.amenities))::DOUBLE / len(list_distinct(list_concat(c.amenities, t.amenities))) * {_W['amenities']}",
+    "rating": f"COALESCE(greatest(0, least(1, 1 - abs(c.rating - t.rating) / 3.0)) * {_W['rating']}, 0)",
+    "beach_tier": f"CASE abs(ascii(c.tier) - ascii(t.tier)) WHEN 0 THEN 1.0 WHEN 1 THEN 0.375 ELSE 0 END * {_W['beach_tier']}",
+    "building": f"CASE WHEN c.building = t.building THEN {_W['building']} ELSE 0 END",
+}
+_SAFE_SQL = "CASE t_tier WHEN 'A' THEN tier IN ('A', 'B') WHEN 'C' THEN tier IN ('C', 'B') ELSE tier IN ('B', 'C') OR t_hood <> 'Zona Romantica' END"
+CASCADE_SQL = f"""{POOL_SQL}, hoods AS (SELECT hood, lead(hood) OVER (ORDER BY hood) AS near FROM (SELECT DISTINCT hood FROM listings)),
+pairs AS (SELECT t.id AS t_id, c.id AS id, t.hood <> c.hood AS far, abs(c.bedrooms - t.bedrooms) AS gap, t.tier AS t_tier, c.tier AS tier, t.hood AS t_hood FROM pool t LEFT JOIN hoods h ON h.hood = t.hood JOIN pool c ON c.id <> t.id AND (c.hood = t.hood OR c.hood = h.near)),
+fl AS (SELECT *, NOT far AND gap = 0 AND tier = t_tier AS s1, NOT far AND gap = 0 AND {_SAFE_SQL} AS s2, NOT far AND gap = 0 AS s3, NOT far AND gap <= 1 AS s4, far AND gap <= 1 AS s5, far AND gap <= 2 AS s6, NOT far AS s7 FROM pairs),
 ct AS (SELECT t_id, """ + ", ".join(f"count(*) FILTER (WHERE s{k}) AS n{k}" for k in range(1, 8)) + """ FROM fl GROUP BY t_id),
 st AS (SELECT t_id, CASE """ + " ".join(f"WHEN n{k} >= 3 THEN {k}" for k in range(1, 6)) + """ WHEN n6 > n5 THEN 6 WHEN n5 > 0 THEN 5 WHEN n4 > 0 THEN 4 ELSE 7 END AS step FROM ct),
-chosen AS (SELECT fl.*, step FROM fl JOIN st ON st.t_id = fl.t_id WHERE CASE step """ + " ".join(f"WHEN {k} THEN s{k}" for k in range(1, 8)) + " END)"
-SCORED_SQL = f"""{CASCADE_SQL}, base AS (SELECT chosen.t_id, chosen.id, step, t.hood AS t_hood, t.bedrooms AS t_bedrooms, c.price AS price, c.tier AS tier, t.tier AS t_tier, t.building AS t_building, {_PARTS} AS raw, c.hood AS hood, c.bedrooms AS bedrooms
-  FROM chosen JOIN pool t ON t.id = chosen.t_id JOIN pool c ON c.id = chosen.id),
+chosen AS (SELECT fl.*, step, step = 3 OR bool_or(tier <> t_tier) OVER (PARTITION BY fl.t_id) AS mixed FROM fl JOIN st ON st.t_id = fl.t_id WHERE CASE step """ + " ".join(f"WHEN {k} THEN s{k}" for k in range(1, 8)) + " END)"
+SCORED_SQL = f"""{CASCADE_SQL}, parts AS (SELECT chosen.t_id, chosen.id, step, mixed, t.hood AS t_hood, t.bedrooms AS t_bedrooms, c.price AS price, c.tier AS tier, t.tier AS t_tier, t.building AS t_building, c.building AS building, c.hood AS hood, c.bedrooms AS bedrooms,
+  {', '.join(f'{v} AS x_{k}' for k, v in _PART.items())}, {_W['price_tier']} AS w_price FROM chosen JOIN pool t ON t.id = chosen.t_id JOIN pool c ON c.id = chosen.id),
+base AS (SELECT *, {' + '.join(f'x_{k}' for k in _PART)} - CASE WHEN bedrooms <> t_bedrooms THEN 12 ELSE 0 END AS raw FROM parts),
 one AS (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY floor((greatest(0, least(100, raw)) + 1e-9) * 10 + 0.5) / 10 DESC, id) AS r FROM base),
 med AS (SELECT t_id, t_hood, t_bedrooms, floor(quantile_cont(price, 0.5) * 1000000 + 0.5) / 1000000 AS m FROM one WHERE r <= 10 GROUP BY 1, 2, 3),
 imp AS (SELECT t_id, CASE WHEN m <= p33 THEN 1 WHEN m <= p67 THEN 2 ELSE 3 END AS tt FROM med JOIN seg ON seg.hood = t_hood AND seg.bedrooms = t_bedrooms),
-two AS (SELECT base.*, floor((greatest(0, least(100, raw + CASE abs(tt - CASE WHEN price <= p33 THEN 1 WHEN price <= p67 THEN 2 ELSE 3 END) WHEN 0 THEN 7 WHEN 1 THEN 2.8 ELSE 0 END)) + 1e-9) * 10 + 0.5) / 10 AS score
+tiered AS (SELECT base.*, CASE WHEN price <= p33 THEN 1 WHEN price <= p67 THEN 2 ELSE 3 END AS pt, tt, CASE abs(tt - CASE WHEN price <= p33 THEN 1 WHEN price <= p67 THEN 2 ELSE 3 END) WHEN 0 THEN 1.0 WHEN 1 THEN 0.4 ELSE 0 END * w_price AS x_price_tier
   FROM base LEFT JOIN imp ON imp.t_id = base.t_id LEFT JOIN seg ON seg.hood = base.hood AND seg.bedrooms = base.bedrooms),
+two AS (SELECT *, floor((greatest(0, least(100, raw + x_price_tier)) + 1e-9) * 10 + 0.5) / 10 AS score FROM tiered),
 best AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY t_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM two) WHERE rank <= 10)"""
-
-
-@query(f"WITH {CASCADE_SQL} SELECT t_id, max(step) AS step, count(*) AS n FROM chosen GROUP BY t_id")
+RECOMMENDED_SQL = f"""{SCORED_SQL}, q AS (SELECT t_id, count(*) AS c, floor(quantile_cont(price, 0.25) * 1000000 + 0.5) / 1000000 AS q1, floor(quantile_cont(price, 0.75) * 1000000 + 0.5) / 1000000 AS q3 FROM best GROUP BY 1),
+m AS (SELECT best.*, c, price >= q1 - 1.5 * (q3 - q1) AND price <= q3 + 1.5 * (q3 - q1) AS ok FROM best JOIN q ON q.t_id = best.t_id),
+k AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY t_id) AS left_, row_number() OVER (PARTITION BY t_id ORDER BY price, id) AS rr FROM m),
+kept AS (SELECT *, CASE WHEN mixed OR c <= 5 OR left_ < 5 THEN 0 ELSE c - left_ END AS n_removed FROM k WHERE mixed OR c <= 5 OR (left_ < 5 AND rr <= 5) OR (left_ >= 5 AND ok)),
+of_set AS (SELECT t_id, """ + ", ".join(f"CAST(floor(floor(quantile_cont(price, {p}) * 1000000 + 0.5) / 1000000 + 0.5) AS BIGINT) AS {n}" for p, n in ((0.5, "base"), (0.15, "p15"), (0.8, "p80"))) + """, count(*) AS n_comps, max(n_removed) AS n_removed FROM kept GROUP BY 1),
+shares AS (SELECT t_id, t_hood, t_building, t_bedrooms, t_tier, count(*) FILTER (WHERE tier = t_tier) < count(*) * 0.6 AS cross_ FROM best GROUP BY 1, 2, 3, 4, 5),
+bg AS (SELECT building, hood, bedrooms, floor(quantile_cont(price, 0.5) * 1000000 + 0.5) / 1000000 AS med FROM pool GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+bs AS (SELECT building, bg.hood, bg.bedrooms, CAST(floor(med + 0.5) AS BIGINT) AS median, floor((med / p50 - 1) * 1000000 + 0.5) / 1000000 AS raw_premium FROM bg JOIN seg ON seg.hood = bg.hood AND seg.bedrooms = bg.bedrooms),
+x0 AS (SELECT of_set.*, cross_, t_hood, t_tier, t_building, t_bedrooms, median, raw_premium, CASE WHEN raw_premium IS NOT NULL THEN greatest(-0.4, least(0.4, raw_premium)) END AS premium FROM of_set JOIN shares ON shares.t_id = of_set.t_id LEFT JOIN bs ON building = t_building AND hood = t_hood AND bedrooms = t_bedrooms),
+x1 AS (SELECT *, CASE WHEN raw_premium > 0.4 THEN median WHEN abs(premium) >= 0.05 THEN base + CAST(floor(base * premium + 0.5) AS BIGINT) ELSE base END AS price, CASE WHEN raw_premium > 0.4 THEN floor(raw_premium * 100 * 10 + 0.5) / 10 WHEN abs(premium) >= 0.05 THEN floor(premium * 100 * 10 + 0.5) / 10 END AS building_pct,
+  CASE WHEN cross_ AND t_hood = 'Zona Romantica' AND t_tier = 'A' THEN 0.9 WHEN cross_ AND t_hood = 'Amapas' AND t_tier = 'C' THEN 0.25 ELSE 0 END::DOUBLE AS tier_adj FROM x0),
+x2 AS (SELECT *, price + CASE WHEN tier_adj >= 0.05 THEN CAST(floor(price * tier_adj + 0.5) AS BIGINT) ELSE 0 END AS recommended FROM x1),
+rec AS (SELECT t_id, base, n_comps, n_removed, building_pct, CASE WHEN tier_adj >= 0.05 THEN floor(tier_adj * 100 * 10 + 0.5) / 10 END AS tier_pct, least(p15, CAST(floor(recommended * 0.85::DOUBLE + 0.5) AS BIGINT)) AS conservative, recommended,
+  CASE WHEN p80 > recommended * 2 THEN CAST(floor(recommended * 1.7::DOUBLE + 0.5) AS BIGINT) ELSE least(greatest(p80, CAST(floor(recommended * 1.13::DOUBLE + 0.5) AS BIGINT)), CAST(floor(recommended * 1.7::DOUBLE + 0.5) AS BIGINT)) END AS stretch, t_hood, t_building, t_bedrooms FROM x2)"""
+
+
+@query(f"WITH {CASCADE_SQL} SELECT t_id, max(step) AS step, bool_or(mixed) AS mixed, count(*) AS n FROM chosen GROUP BY t_id")
 def comps_cascade(spark: SparkSession, folder: str) -> DataFrame:
-    return choose_pool(candidates(*_targets(spark, folder))).groupBy("t_id").agg(F.max("step").alias("step"), F.count("*").alias("n"))
+    """Step, size and mixture of every listing's pool."""
+    pairs = pool_pairs(*_targets(spark, folder), cascade_flags(), cascade_step)
+    return pairs.groupBy("t_id").agg(F.max("step").alias("step"), F.max("mixed").alias("mixed"), F.count("*").alias("n"))
 
 
 @query(f"WITH {SCORED_SQL} SELECT t_id, rank, id, score FROM best")
 def comps_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten best comparables of every target after both scorings."""
+    """Ten best comparables of every listing after both scorings."""
     return comparables(*_targets(spark, folder)).select("t_id", "rank", "id", "score")
 
 
-@query()
-def comps_recommendation(spark: SparkSession, folder: str) -> DataFrame:
+@query(f"""WITH {SCORED_SQL} SELECT t_id AS id, best.id AS other, floor(len(list_intersect(a.amenities, b.amenities))::DOUBLE / len(list_distinct(list_concat(a.amenities, b.amenities))) * 10000 + 0.5) / 10000 AS likeness
+FROM best JOIN pool a ON a.id = t_id JOIN pool b ON b.id = best.id""")
+def jaccard_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Likeness of amenities between every listing and its ten comparables."""
+    best = comparables(*_targets(spark, folder))
+    return best.select(F.col("t_id").alias("id"), F.col("id").alias("other"), half_up(numbers.jaccard(F.col("t_amenities"), F.col("amenities")), 4).alias("likeness"))
+
+
+def recommendations(spark: SparkSession, folder: str) -> DataFrame:
     targets, df, near = _targets(spark, folder)
     return recommend(comparables(targets, df, near), buildings(df, segments(df)))
 
 
-@query()
+@query(f"WITH {RECOMMENDED_SQL} SELECT t_id, base, n_comps, n_removed, building_pct, tier_pct, conservative, recommended, stretch FROM rec")
+def comps_recommendation(spark: SparkSession, folder: str) -> DataFrame:
+    return recommendations(spark, folder)
+
+
+def _pick_sql(names: list[str]) -> str:
+    return "list_extract([" + ", ".join(f"'{x}'" for x in names) + f"], CAST(t_id % {len(names)} AS INTEGER) + 1)"
+
+
+_LAYERS = [
+    ("base_comp_median", "1.0"), ("building_anchor", "1 + COALESCE(building_pct / 100, 0)"), ("beach_tier", "1 + greatest(-0.08, least(0.08, COALESCE(tier_pct / 100, 0)))"), ("seasonal", "seasonal"),
+    ("view_premium", "1 + " + _case_sql(VIEW, "view_")), ("rooftop_pool", "1 + CASE WHEN NOT rooftop THEN 0 WHEN list_has_any(amenities, ['pool', 'shared_pool', 'private_pool']) THEN 0.17 ELSE 0.2 END"),
+    ("finish_quality", "1 + " + _case_sql(FINISH, "finish")), ("private_plunge_pool", "1 + CASE WHEN t_id % 3 = 0 THEN 0.14 ELSE 0 END"), ("large_terrace", "1 + CASE WHEN t_id % 4 = 0 THEN 0.1 ELSE 0 END"),
+    ("quality", "1 + CASE WHEN rating IS NULL THEN 0.0 WHEN rating >= 4.9 THEN 0.04 WHEN rating >= 4.7 THEN 0.02 WHEN rating >= 4.3 THEN 0 WHEN rating >= 3.8 THEN -0.03 ELSE -0.06 END + " + _case_sql(YEAR_BUILT, "built")),
+]
+
+
+def _layers_sql() -> str:
+    factors = ", ".join(f"({f})::DOUBLE AS f{k}" for k, (_, f) in enumerate(_LAYERS))
+    prices = ", ".join("base::DOUBLE * " + " * ".join(f"f{j}" for j in range(k + 1)) + f" AS p{k}" for k in range(len(_LAYERS)))
+    last = len(_LAYERS) - 1
+    rows = " UNION ALL ".join(f"SELECT t_id, {k} AS position, '{n}' AS layer, floor(f{k} * 1000000 + 0.5) / 1000000 AS factor, CAST(floor(p{k} + 0.5) AS BIGINT) AS price FROM pr" for k, (n, _) in enumerate(_LAYERS))
+    held = f"greatest(base * 0.5, least(base * 2.5, p{last}))"
+    return f"""in_ AS (SELECT rec.*, pool.rating, pool.amenities, {_pick_sql(list(VIEW))} AS view_, t_id % 2 = 0 AS rooftop, {_pick_sql(list(FINISH))} AS finish, {_pick_sql(list(YEAR_BUILT))} AS built, MONTH_FACTORS[CAST(t_id % 12 AS INTEGER) + 1] AS seasonal FROM rec JOIN pool ON pool.id = t_id WHERE base > 0),
+fa AS (SELECT t_id, base, {factors} FROM in_), pr AS (SELECT *, {prices} FROM fa)
+SELECT * FROM ({rows} UNION ALL SELECT t_id, {last + 1}, 'guardrails', floor({held} / p{last} * 1000000 + 0.5) / 1000000, CAST(floor({held} + 0.5) AS BIGINT) FROM pr)"""
+
+
+def _month_factors_sql() -> str:
+    from staylens.plans.series import MONTH_FACTORS
+
+    return "[" + ", ".join(str(float(x)) for x in MONTH_FACTORS) + "]"
+
+
+@query(f"WITH {RECOMMENDED_SQL}, " + _layers_sql().replace("MONTH_FACTORS", _month_factors_sql()))
 def comps_layers(spark: SparkSession, folder: str) -> DataFrame:
-    """Layer stack of every target: half have a rooftop pool, views and finishes go round."""
+    """Layer stack of every listing: half have a rooftop pool, views and finishes go round."""
     from staylens.plans.series import month_factor
 
-    rec = comps_recommendation_frame(spark, folder)
     pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("t_id") % len(names) + 1).cast("int"))
-    full = rec.join(pool(spark, folder).select(F.col("id").alias("t_id"), "rating", "amenities"), "t_id").select(
+    full = recommendations(spark, folder).join(pool(spark, folder).select(F.col("id").alias("t_id"), "rating", "amenities"), "t_id").select(
         "t_id", "base", "building_pct", "tier_pct", month_factor((F.col("t_id") % 12 + 1).cast("int")).alias("seasonal"), pick(list(VIEW)).alias("view"), (F.col("t_id") % 2 == 0).alias("rooftop"), "amenities",
         pick(list(FINISH)).alias("finish"), (F.col("t_id") % 3 == 0).alias("plunge"), (F.col("t_id") % 4 == 0).alias("terrace"), "rating", pick(list(YEAR_BUILT)).alias("built"))
     return layers(full)
-
-
-def comps_recommendation_frame(spark: SparkSession, folder: str) -> DataFrame:
-    targets, df, near = _targets(spark, folder)
-    return recommend(comparables(targets, df, near), buildings(df, segments(df)))

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from staylens.functions.numbers import half_up
 from staylens.sources.tables import table
 
+#: two brands stand for the market's calibrated neighbourhoods
+CALIBRATED = {"Brand#1": "Zona Romantica", "Brand#2": "Amapas"}
+HOOD_SQL = "CASE p_brand " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CALIBRATED.items()) + " ELSE p_brand END"
 AS_OF = "1998-06-01"
 EVENTS_AS_OF = "2024-01-31"
 
-LISTINGS = """listings AS (
-  SELECT p_partkey AS id, p_brand AS hood, p_type AS building, CAST(p_size % 4 + 1 AS INTEGER) AS bedrooms,
+LISTINGS = f"""listings AS (
+  SELECT p_partkey AS id, {HOOD_SQL} AS hood, p_type AS building, CAST(p_size % 4 + 1 AS INTEGER) AS bedrooms,
     CAST(1 + (p_size % 5) * 0.5 AS DOUBLE) AS bathrooms, CAST((p_partkey * 37) % 700 AS DOUBLE) AS beach_m,
     CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(150 + p_size * 40 AS DOUBLE) END AS sqft,
     CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE CAST(3 + (p_partkey % 20) * 0.1 AS DOUBLE) END AS rating,
@@ -41,7 +44,7 @@ MONTHLY = """monthly AS (
 def listings(spark: SparkSession, folder: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
     return table(spark, folder, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]).select(
-        key.alias("id"), F.col("p_brand").alias("hood"), F.col("p_type").alias("building"), (size % 4 + 1).cast("int").alias("bedrooms"),
+        key.alias("id"), F.expr(HOOD_SQL).alias("hood"), F.col("p_type").alias("building"), (size % 4 + 1).cast("int").alias("bedrooms"),
         (1 + (size % 5) * 0.5).cast("double").alias("bathrooms"), ((key * 37) % 700).cast("double").alias("beach_m"),
         F.when(size % 7 != 0, (150 + size * 40).cast("double")).alias("sqft"),
         F.when(key % 9 != 0, (F.lit(3) + (key % 20) * F.lit(0.1)).cast("double")).alias("rating"),
