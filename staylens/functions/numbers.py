@@ -50,7 +50,9 @@ def jaccard(a: Column, b: Column) -> Column:
 def nearness(x: Column, y: Column, scale: Column | float, weight: Column | float) -> Column:
     """Linear similarity: full weight at equality, none from ``scale`` on; null inputs score nothing."""
     scale, weight = (v if isinstance(v, Column) else F.lit(float(v)) for v in (scale, weight))
-    return F.coalesce(clamp(1 - F.try_divide(F.abs(x - y).cast("double"), scale), 0.0, 1.0) * weight, F.lit(0.0))
+    gap = F.try_divide(F.abs(x - y).cast("double"), scale)
+    # least and greatest skip nulls, so a missing value is told apart before
+    return F.when(gap.isNotNull(), clamp(1 - gap, 0.0, 1.0) * weight).otherwise(0.0)
 
 
 def bath_score(x: Column, y: Column, weight: Column | float) -> Column:

@@ -109,9 +109,9 @@ def pool_pairs(targets: DataFrame, pool: DataFrame, adjacency: DataFrame, flags:
     The step is chosen from the counts of (hood, bedrooms, tier) cells, a table as small as the market's
     neighbourhoods, so only pairs of the chosen step are built. mixed: tiers other than the target's are in
     its pool, or might be (step 3). The targets of a crowded cell are dealt over blocks of about ``block``.
-    A target whose id the pool holds has that listing's cell.
+    A target whose id the pool holds has that listing's cell. Its columns named w_ (weights) come along.
     """
-    t = targets.select(*[F.col(c).alias(f"t_{c}") for c in TARGET])
+    t = targets.select(*[F.col(c).alias(f"t_{c}") for c in TARGET], *[c for c in targets.columns if c.startswith("w_")])
     t = t.join(pool.select(F.col("id").alias("t_id"), F.lit(1).alias("inside")), "t_id", "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
     cells = t.groupBy(*T_CELL).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     near = adjacency.select(F.col("hood").alias("t_hood"), F.col("near").alias("hood"), F.lit(1).alias("far"))
@@ -132,13 +132,19 @@ def pool_pairs(targets: DataFrame, pool: DataFrame, adjacency: DataFrame, flags:
     return asked.join(offered, [*T_CELL, "step", "block"]).filter("id <> t_id").drop("block", "inside")
 
 
+def weighted(targets: DataFrame) -> DataFrame:
+    """``targets`` with the weight of each part (w_ columns) and the scales of beach and size."""
+    own = {f"w_{p}": weight(p, "hood", "sqft", "rating") for p in WEIGHTS[""]}
+    return targets.withColumns({**own, "w_beach_scale": by_name("hood", BEACH_SCALE), "w_sqft_scale": F.col("sqft") * by_name("hood", SQFT_SCALE)})
+
+
 def likeness(pairs: DataFrame) -> DataFrame:
     """Parts of the likeness of each pair (x_ columns) and their sum less the mismatch of bedrooms (raw); the price tier comes later."""
-    w = {p: weight(p) for p in WEIGHTS[""]}
+    w = {p: F.col(f"w_{p}") for p in WEIGHTS[""]}
     ordinal = lambda c: F.array_position(F.array(*[F.lit(x) for x in "ABC"]), c)
     parts = {
-        "beach": numbers.nearness(F.col("beach_m"), F.col("t_beach_m"), by_name("t_hood", BEACH_SCALE), w["beach"]),
-        "sqft": numbers.nearness(F.col("sqft"), F.col("t_sqft"), F.col("t_sqft") * by_name("t_hood", SQFT_SCALE), w["sqft"]),
+        "beach": numbers.nearness(F.col("beach_m"), F.col("t_beach_m"), F.col("w_beach_scale"), w["beach"]),
+        "sqft": numbers.nearness(F.col("sqft"), F.col("t_sqft"), F.col("w_sqft_scale"), w["sqft"]),
         "bath": numbers.bath_score(F.col("bathrooms"), F.col("t_bathrooms"), w["bath"]),
         "amenities": numbers.jaccard(F.col("amenities"), F.col("t_amenities")) * w["amenities"],
         "rating": numbers.nearness(F.col("rating"), F.col("t_rating"), RATING_SCALE, w["rating"]),
@@ -160,7 +166,7 @@ def comparables(targets: DataFrame, pool: DataFrame, adjacency: DataFrame) -> Da
     Both scorings and the median between them are windows over one shuffle by target; equal scores go by id.
     """
     seg = segments(pool).select("hood", "bedrooms", "p33", "p67")
-    pairs = likeness(pool_pairs(targets, pool, adjacency, cascade_flags(), cascade_step))
+    pairs = likeness(pool_pairs(weighted(targets), pool, adjacency, cascade_flags(), cascade_step))
     tiered = pairs.join(seg, ["hood", "bedrooms"], "left").withColumn("price_tier", numbers.price_tier(F.col("price"), F.col("p33"), F.col("p67"))).drop("p33", "p67")
     own = seg.select(F.col("hood").alias("t_hood"), F.col("bedrooms").alias("t_bedrooms"), "p33", "p67")
     tiered = tiered.join(own, ["t_hood", "t_bedrooms"], "left")
@@ -169,10 +175,10 @@ def comparables(targets: DataFrame, pool: DataFrame, adjacency: DataFrame) -> Da
     median = half_up(F.percentile(F.when(F.col("first") <= MAX_COMPS, F.col("price")), 0.5).over(by).cast("double"), 6)
     implied = first.withColumn("median", median).withColumn("t_price_tier", F.when(F.col("p33").isNotNull(), numbers.price_tier(F.col("median"), F.col("p33"), F.col("p67"))))
     ordinal = lambda c: F.array_position(F.array(F.lit("lower"), F.lit("middle"), F.lit("upper")), c)
-    part = F.coalesce(numbers.tier_score(ordinal(F.col("price_tier")), ordinal(F.col("t_price_tier")), weight("price_tier"), 0.4), F.lit(0.0))
+    part = F.coalesce(numbers.tier_score(ordinal(F.col("price_tier")), ordinal(F.col("t_price_tier")), F.col("w_price_tier"), 0.4), F.lit(0.0))
     scored = implied.withColumn("x_price_tier", part).withColumn("score", to_score(F.col("raw") + F.col("x_price_tier")))
     best = scored.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= MAX_COMPS)
-    return best.drop("first", "median", "p33", "p67", "raw")
+    return best.drop("first", "median", "p33", "p67", "raw", *[c for c in best.columns if c.startswith("w_")])
 
 
 def recommend(comps: DataFrame, summaries: DataFrame) -> DataFrame:
@@ -394,10 +400,10 @@ def _weights_sql(p: str) -> str:
 _W = {p: _weights_sql(p) for p in WEIGHTS[""]}
 _PART = {
     "beach": f"COALESCE(greatest(0, least(1, 1 - abs(c.beach_m - t.beach_m) / {_case_sql(BEACH_SCALE)}::DOUBLE)) * {_W['beach']}, 0)",
-    "sqft": f"COALESCE(greatest(0, least(1, 1 - abs(c.sqft - t.sqft) / (t.sqft * {_case_sql(SQFT_SCALE)}::DOUBLE))) * {_W['sqft']}, 0)",
+    "sqft": f"CASE WHEN c.sqft IS NULL OR t.sqft IS NULL THEN 0 ELSE greatest(0, least(1, 1 - abs(c.sqft - t.sqft) / (t.sqft * {_case_sql(SQFT_SCALE)}::DOUBLE))) * {_W['sqft']} END",
     "bath": f"CASE WHEN abs(c.bathrooms - t.bathrooms) = 0 THEN 1.0 WHEN abs(c.bathrooms - t.bathrooms) <= 0.5 THEN 0.67 WHEN abs(c.bathrooms - t.bathrooms) <= 1 THEN 0.33 ELSE 0 END * {_W['bath']}",
     "amenities": f"len(list_intersect(c.amenities, t.amenities))::DOUBLE / len(list_distinct(list_concat(c.amenities, t.amenities))) * {_W['amenities']}",
-    "rating": f"COALESCE(greatest(0, least(1, 1 - abs(c.rating - t.rating) / 3.0)) * {_W['rating']}, 0)",
+    "rating": f"CASE WHEN c.rating IS NULL OR t.rating IS NULL THEN 0 ELSE greatest(0, least(1, 1 - abs(c.rating - t.rating) / 3.0)) * {_W['rating']} END",
     "beach_tier": f"CASE abs(ascii(c.tier) - ascii(t.tier)) WHEN 0 THEN 1.0 WHEN 1 THEN 0.375 ELSE 0 END * {_W['beach_tier']}",
     "building": f"CASE WHEN c.building = t.building THEN {_W['building']} ELSE 0 END",
 }
