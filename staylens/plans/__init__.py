@@ -1,6 +1,6 @@
 """Query families of the market library; importing this package registers them."""
 
-from staylens.plans import comps, market, offers, pricing, series, texts
+from staylens.plans import comps, market, offers, pricing, series, signals, texts
 from staylens.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "comps", "market", "offers", "pricing", "series", "texts"]
+__all__ = ["QUERIES", "SQL", "comps", "market", "offers", "pricing", "series", "signals", "texts"]

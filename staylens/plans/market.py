@@ -254,17 +254,6 @@ def rank_samples_per_group(spark: SparkSession, folder: str) -> DataFrame:
     return top_per_key(listings(spark, folder), ["hood"], order, 3).select("hood", "rank", "id")
 
 
-@query("""WITH hoods AS (SELECT DISTINCT p_brand AS hood FROM part), g AS (SELECT unnest([1, 2, 4]) AS guests), s AS (SELECT unnest([3, 7]) AS stay), w AS (SELECT unnest([14, 30, 60]) AS ahead)
-SELECT hood, guests, stay, ahead, CAST(1000 * dense_rank() OVER (ORDER BY hood) + 100 * guests + 10 * stay + ahead AS BIGINT) AS priority FROM hoods, g, s, w""")
-def seed_generation(spark: SparkSession, folder: str) -> DataFrame:
-    """All search seeds as a product of small dimensions, with their priority."""
-    hoods = table(spark, folder, "part", ["p_brand"]).select(F.col("p_brand").alias("hood")).distinct()
-    hoods = hoods.withColumn("k", F.dense_rank().over(Window.orderBy("hood")))
-    seeds = (hoods.withColumn("guests", F.explode(F.array(F.lit(1), F.lit(2), F.lit(4)))).withColumn("stay", F.explode(F.array(F.lit(3), F.lit(7))))
-             .withColumn("ahead", F.explode(F.array(F.lit(14), F.lit(30), F.lit(60)))))
-    return seeds.withColumn("priority", (1000 * F.col("k") + 100 * F.col("guests") + 10 * F.col("stay") + F.col("ahead")).cast("long")).drop("k")
-
-
 @query("""SELECT r_name AS region, c_mktsegment AS segment, count(*) AS n, count(*) FILTER (WHERE c_acctbal < 0) AS negative,
   CAST(sum(CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT)) AS BIGINT) AS cents FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2""")
 def segments_by_region(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,23 +20,25 @@ MAX_SWING = 0.15
 #: fixed values: threshold of an anomaly, of a weak month before it, and default weights
 ANOMALY_BELOW, WEAK_BELOW, WEAK_MONTHS = -15.0, -8.0, 2
 ANOMALY_WEIGHT, RECOVERY_WEIGHT = 0.30, 0.70
-#: stand-in market events over the test data's years (slug, first day, last day, shock first, shock last, recovery end, priority, premium, weights)
+#: stand-in market events over the test data's years (slug, first day, last day, shock first, shock last, recovery end, priority, premium, weights, active)
 EVENTS = [
-    ("storm", "1997-09-05", "1997-09-20", "1997-08-20", "1997-09-30", "1997-12-31", 80, 0.12, '{"airportDemand": 0.4, "pricingDemand": 0.5}'),
-    ("festival", "1998-06-03", "1998-06-10", None, None, None, 100, 0.18, None),
-    ("fair", "1998-06-08", "1998-06-20", None, None, None, 50, 0.08, None),
-    ("outage", "2001-08-01", "2001-08-31", None, None, "2001-12-31", 50, 0.05, "not json"),
+    ("storm", "1997-09-05", "1997-09-20", "1997-08-20", "1997-09-30", "1997-12-31", 80, 0.12, '{"airportDemand": 0.4, "pricingDemand": 0.5}', True),
+    ("festival", "1998-06-03", "1998-06-10", None, None, None, 100, 0.18, None, True),
+    ("fair", "1998-06-08", "1998-06-20", None, None, None, 50, 0.08, None, True),
+    ("outage", "2001-08-01", "2001-08-31", None, None, "2001-12-31", 50, 0.05, "not json", True),
+    ("quake", "1999-05-07", None, "1999-04-20", "1999-05-20", "1999-07-31", 60, 0.0, None, True),
+    ("cancelled", "1998-06-04", "1998-06-30", None, None, None, 200, 0.5, None, False),
 ]
-EVENT_SCHEMA = "slug string, start string, end string, shock_start string, shock_end string, recovery_end string, priority int, premium double, weights string"
-EVENTS_SQL = "events_dim AS (SELECT slug, CAST(s AS DATE) AS s, CAST(e AS DATE) AS e, CAST(ss AS DATE) AS ss, CAST(se AS DATE) AS se, CAST(re AS DATE) AS re, priority, premium, CASE slug WHEN 'storm' THEN 0.4 ELSE 0.3 END AS w_air, CASE slug WHEN 'storm' THEN 0.5 ELSE 0.3 END AS w_price FROM (VALUES " + ", ".join(
-    "(" + ", ".join("NULL" if v is None else (f"'{v}'" if isinstance(v, str) else str(v)) for v in e[:8]) + ")" for e in EVENTS) + ") AS t(slug, s, e, ss, se, re, priority, premium))"
+EVENT_SCHEMA = "slug string, start string, end string, shock_start string, shock_end string, recovery_end string, priority int, premium double, weights string, active boolean"
+EVENTS_SQL = "events_dim AS (SELECT slug, CAST(s AS DATE) AS s, COALESCE(CAST(e AS DATE), CAST(s AS DATE)) AS e, CAST(ss AS DATE) AS ss, CAST(se AS DATE) AS se, CAST(re AS DATE) AS re, priority, premium, CASE slug WHEN 'storm' THEN 0.4 ELSE 0.3 END AS w_air, CASE slug WHEN 'storm' THEN 0.5 ELSE 0.3 END AS w_price FROM (VALUES " + ", ".join(
+    "(" + ", ".join("NULL" if v is None else (f"'{v}'" if isinstance(v, str) else str(v)) for v in e[:8]) + ")" for e in EVENTS if e[9]) + ") AS t(slug, s, e, ss, se, re, priority, premium))"
 FACTORS_SQL = "list_extract([" + ", ".join(f"CAST({x} AS DOUBLE)" for x in MONTH_FACTORS) + "], CAST(month({}) AS INTEGER))"
 
 
 def events(spark: SparkSession) -> DataFrame:
-    """Market events: dates parsed, weights read from JSON, malformed JSON as none."""
+    """Active market events: dates parsed, one without last day ends when it begins, weights read from JSON, malformed JSON as none."""
     weights = F.from_json("weights", "airportDemand double, pricingDemand double, recoveryDemand double")
-    df = spark.createDataFrame(EVENTS, EVENT_SCHEMA)
+    df = spark.createDataFrame(EVENTS, EVENT_SCHEMA).filter("active").withColumn("end", F.coalesce("end", "start"))
     for c in ("start", "end", "shock_start", "shock_end", "recovery_end"):
         df = df.withColumn(c, F.to_date(c))
     return df.withColumn("w", weights).select(
