@@ -42,8 +42,12 @@ MONTHLY = """monthly AS (
 
 
 def listings(spark: SparkSession, folder: str) -> DataFrame:
+    return listing_rows(table(spark, folder, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]))
+
+
+def listing_rows(part: DataFrame) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
-    return table(spark, folder, "part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]).select(
+    return part.select(
         key.alias("id"), F.expr(HOOD_SQL).alias("hood"), F.col("p_type").alias("building"), (size % 4 + 1).cast("int").alias("bedrooms"),
         (1 + (size % 5) * 0.5).cast("double").alias("bathrooms"), ((key * 37) % 700).cast("double").alias("beach_m"),
         F.when(size % 7 != 0, (150 + size * 40).cast("double")).alias("sqft"),
