@@ -47,11 +47,14 @@ def name_tokens(x: Column, stop: list[str]) -> Column:
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-cased URL without fragment and tracking parameters, the others sorted by name."""
+    """Lower-cased URL without fragment and tracking parameters, the others sorted by name; repeats of a name keep their order, a bare host gets its slash."""
     bare = F.split_part(F.trim(url), F.lit("#"), F.lit(1))
     path, search = F.split_part(bare, F.lit("?"), F.lit(1)), F.regexp_extract(bare, r"\?(.*)$", 1)
-    kept = F.filter(F.split(search, "&"), lambda p: (p != "") & ~F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(*TRACKING))
-    return F.lower(F.when(F.size(kept) > 0, F.concat(path, F.lit("?"), F.array_join(F.array_sort(kept), "&"))).otherwise(path))
+    whole = F.when(path.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+$"), F.concat(path, F.lit("/"))).otherwise(path)
+    name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
+    kept = F.filter(F.split(search, "&"), lambda p: (p != "") & ~F.lower(name(p)).isin(*TRACKING))
+    ordered = F.transform(F.array_sort(F.transform(kept, lambda p, i: F.struct(name(p).alias("name"), i.alias("i"), p.alias("p")))), lambda x: x["p"])
+    return F.lower(F.when(F.size(kept) > 0, F.concat(whole, F.lit("?"), F.array_join(ordered, "&"))).otherwise(whole))
 
 
 def identity_key(source: Column, external_id: Column, url: Column) -> Column:

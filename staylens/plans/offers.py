@@ -71,13 +71,15 @@ def forward_demand_band(spark: SparkSession, folder: str) -> DataFrame:
     return m.select("hood", "day", "bucket", low.alias("low"), high.alias("high"), middle.alias("apply"))
 
 
-GATES = [("a", "1998-05-25", 1.0), ("b", "1998-05-10", 1.0), ("c", None, 1.0), ("d", "1998-05-30", None), ("e", "1998-05-30", 1.03)]
-
-
-@query("""SELECT hood, ok, reason FROM (VALUES ('a', TRUE, NULL), ('b', FALSE, 'snapshot_stale'), ('c', FALSE, 'no_snapshots_in_folder'), ('d', FALSE, 'ratio_missing_for_hood'), ('e', FALSE, 'ratio_above_threshold')) AS t(hood, ok, reason)""")
+@query(f"""WITH {LISTINGS}, {CALENDAR}, s AS (SELECT hood, max(CASE WHEN day <= DATE '{AS_OF}' AND hood NOT LIKE '%3' THEN day END) AS run_at, floor(median(CASE WHEN day < DATE '{AS_OF}' AND day >= DATE '{AS_OF}' - 20 THEN c.price_cents END) / median(c.price_cents) * 10000 + 0.5) / 10000 AS ratio FROM calendar c JOIN listings ON listings.id = listing_id GROUP BY hood)
+SELECT hood, run_at IS NOT NULL AND DATE '{AS_OF}' - run_at <= 14 AND ratio IS NOT NULL AND ratio < 1.03::DOUBLE AS ok, CASE WHEN run_at IS NULL THEN 'no_snapshots_in_folder' WHEN DATE '{AS_OF}' - run_at > 14 THEN 'snapshot_stale' WHEN ratio IS NULL THEN 'ratio_missing_for_hood' WHEN ratio >= 1.03::DOUBLE THEN 'ratio_above_threshold' END AS reason FROM s""")
 def calibration_gates(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.createDataFrame(GATES, "hood string, run_at string, ratio double").withColumn("run_at", F.to_date("run_at"))
-    return calibration_gate(rows, F.lit(AS_OF).cast("date")).select("hood", "ok", "reason")
+    """Gate of each neighbourhood: its newest night as the run, prices of 20 days over all prices as the ratio; some have no run."""
+    day, x = F.lit(AS_OF).cast("date"), F.col("price_cents")
+    days = calendar(spark, folder).join(listings(spark, folder).select("id", "hood"), F.col("id") == F.col("listing_id"))
+    recent = (F.col("day") < day) & (F.col("day") >= F.date_sub(day, 20))
+    snapshots = days.groupBy("hood").agg(F.max(F.when((F.col("day") <= day) & ~F.col("hood").like("%3"), F.col("day"))).alias("run_at"), half_up(ratio(F.median(F.when(recent, x)), F.median(x)), 4).alias("ratio"))
+    return calibration_gate(snapshots, day).select("hood", "ok", "reason")
 
 
 @query(f"""WITH {CALENDAR}, one AS (SELECT listing_id, day, min(price_cents) AS price_cents, bool_and(available) AS available FROM calendar GROUP BY 1, 2),

@@ -16,11 +16,18 @@ from staylens.sources.tables import table
 TRACKING_SQL = "(" + ", ".join(f"'{x}'" for x in text.TRACKING) + ")"
 
 
-@query(f"""WITH b AS (SELECT page_id, string_split(trim(url), '#')[1] AS bare FROM pages), s AS (SELECT page_id, string_split(bare, '?')[1] AS path, list_sort(list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'),
-  lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN {TRACKING_SQL})) AS q FROM b), u AS (SELECT page_id, lower(CASE WHEN len(q) > 0 THEN path || '?' || array_to_string(q, '&') ELSE path END) AS canonical FROM s)
+#: stand-in URLs: the pages' own, repeated names out of order, a name that sorts between another and its sign, a bare host
+_URL_SQL = "CASE page_id % 4 WHEN 1 THEN url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'k=2&a-b=2&k=1&a=1&utm_source=x' WHEN 2 THEN regexp_extract(url, '^https?://[^/]+') ELSE url END"
+
+
+@query(f"""WITH r AS (SELECT page_id, {_URL_SQL} AS url FROM pages), b AS (SELECT page_id, string_split(trim(url), '#')[1] AS bare FROM r), s AS (SELECT page_id, string_split(bare, '?')[1] AS p0, list_filter(string_split(regexp_extract(bare, '\\?(.*)$', 1), '&'), lambda p: p <> '' AND lower(string_split(p, '=')[1]) NOT IN {TRACKING_SQL}) AS q FROM b),
+o AS (SELECT page_id, CASE WHEN regexp_full_match(p0, '[A-Za-z][A-Za-z0-9+.-]*://[^/]+') THEN p0 || '/' ELSE p0 END AS path, q, list_transform(list_sort(list_transform(range(1, len(q) + 1), lambda i: {{'n': string_split(q[i], '=')[1], 'i': i, 'p': q[i]}})), lambda x: x.p) AS sorted FROM s),
+u AS (SELECT page_id, lower(CASE WHEN len(q) > 0 THEN path || '?' || array_to_string(sorted, '&') ELSE path END) AS canonical FROM o)
 SELECT page_id, canonical, 'web:url:' || substr(sha1(canonical), 1, 16) AS identity FROM u""")
 def url_canonical_identity(spark: SparkSession, folder: str) -> DataFrame:
-    df = table(spark, folder, "pages", ["page_id", "url"])
+    own, k = F.col("url"), F.col("page_id") % 4
+    more = F.concat(own, F.when(own.contains("?"), "&").otherwise("?"), F.lit("k=2&a-b=2&k=1&a=1&utm_source=x"))
+    df = table(spark, folder, "pages", ["page_id", "url"]).withColumn("url", F.when(k == 1, more).when(k == 2, F.regexp_extract(own, "^https?://[^/]+", 0)).otherwise(own))
     return df.select("page_id", text.canonical_url(F.col("url")).alias("canonical"), text.identity_key(F.lit("Web "), F.lit(None).cast("string"), F.col("url")).alias("identity"))
 
 
@@ -100,16 +107,15 @@ def og_title_parse(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part", ["p_partkey", "p_size"]).select(F.col("p_partkey").alias("id"), text.og_title(title).alias("x")).select("id", "x.*")
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS raw, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part), k AS (SELECT DISTINCT p_name AS known, split_part(p_name, ' ', 1) AS c, split_part(p_name, ' ', 2) AS d FROM part WHERE p_partkey % 10 = 0),
+@query("""WITH n AS (SELECT DISTINCT p_name AS raw, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part), k AS (SELECT DISTINCT p_name AS known, split_part(p_name, ' ', 1) AS c, split_part(p_name, ' ', 2) AS d FROM part),
 s AS (SELECT raw, known, CASE WHEN raw = known THEN 1.0 WHEN contains(raw, known) OR contains(known, raw) THEN 0.85 WHEN (a = c) <> (b = d) THEN floor((0.30 + 0.5 / 3) * 10000 + 0.5) / 10000 END AS score FROM n JOIN k ON a = c OR b = d)
 SELECT raw, rank, known, CAST(score AS DOUBLE) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY raw ORDER BY score DESC, known) AS INTEGER) AS rank FROM s) WHERE rank <= 3""")
 def fuzzy_building(spark: SparkSession, folder: str) -> DataFrame:
     """Three best catalogue names of every raw name, of those that share a word with it."""
-    names = table(spark, folder, "part", ["p_partkey", "p_name"])
-    raw = names.select(F.col("p_name").alias("raw")).distinct()
-    known = names.filter("p_partkey % 10 = 0").select(F.col("p_name").alias("known")).distinct()
+    names = table(spark, folder, "part", ["p_name"])
+    raw, known = names.select(F.col("p_name").alias("raw")).distinct(), names.select(F.col("p_name").alias("known")).distinct()
     words = lambda c: F.explode(text.name_tokens(F.col(c), [])).alias("word")
-    met = raw.select("raw", words("raw")).join(F.broadcast(known.select("known", words("known"))), "word").select("raw", "known").distinct()
+    met = raw.select("raw", words("raw")).join(known.select("known", words("known")), "word").select("raw", "known").distinct()
     scored = met.withColumn("score", half_up(text.name_score(F.col("raw"), F.col("known"), []), 4))
     return top_per_key(scored, ["raw"], [F.desc("score"), F.asc("known")], 3).select("raw", "rank", "known", "score")
 
@@ -130,7 +136,7 @@ def page_positional_zip(spark: SparkSession, folder: str) -> DataFrame:
     return page_source.arrivals(df, "html", {"href": '<li><a href="/([^"]*)">', "name": '<li><a href="[^"]*">([^<]*)</a>'})
 
 
-@query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS start, strftime(CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 3 = 0 THEN 4 WHEN o_orderkey % 3 = 1 THEN 9 ELSE 1 END AS INTEGER), '%Y-%m-%d') AS "end", 'u' || o_orderkey AS uid FROM orders WHERE o_orderkey % 50 = 0""")
+@query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS start, strftime(CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 3 = 0 THEN 4 WHEN o_orderkey % 3 = 1 THEN 9 ELSE 1 END AS INTEGER), '%Y-%m-%d') AS "end", 'u' || o_orderkey AS uid FROM orders""")
 def ical_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events of synthetic calendars: with an end, with a duration, with neither."""
     from staylens.sources import ical
@@ -138,7 +144,7 @@ def ical_events(spark: SparkSession, folder: str) -> DataFrame:
     k, d = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyyMMdd")
     tail = F.when(k % 3 == 0, F.concat(F.lit("DTEND;VALUE=DATE:"), F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 4), "yyyyMMdd"))).when(k % 3 == 1, F.lit("DURATION:P1W2D")).otherwise(F.lit("STATUS:CONFIRMED"))
     body = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:u"), k.cast("string"), F.lit("\r\nSUMMARY:Res\r\n erved\r\nDTSTART;VALUE=DATE:"), d, F.lit("\r\n"), tail, F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR"))
-    texts = table(spark, folder, "orders", ["o_orderkey", "o_orderdate"]).filter("o_orderkey % 50 = 0").select(k.alias("id"), body.alias("text"))
+    texts = table(spark, folder, "orders", ["o_orderkey", "o_orderdate"]).select(k.alias("id"), body.alias("text"))
     return ical.events(texts).select("id", "start", "end", "uid")
 
 
