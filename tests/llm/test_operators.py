@@ -360,6 +360,24 @@ def test_top_k(spark):
     assert topk_search.top_k(df.filter("vec_id < 0"), df).count() == 0
 
 
+def test_top_k_of_vectors_of_one_sign_and_ties(spark):
+    """All components positive, a crowd of near copies, copies and ties at the k-th score; areas stay of like size."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [int(x) for x in rng.integers(1, 200, 8)]) for i in range(300)]
+    rows += [(300 + i, [50, 51, 52, 53, 54, 55, 56, 57 + i % 7]) for i in range(200)] + [(500 + i, [199] * 8) for i in range(12)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk_search.top_k(df.filter("vec_id % 10 = 0"), df, k=5, area_rows=40, block_rows=8, query_rows=9).collect()}
+    wanted = {}
+    for q, v in rows:
+        if q % 10 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for c, w in rows if c != q)
+            wanted |= {(q, k + 1): (c, -s) for k, (s, c) in enumerate(scored[:5])}
+    assert got == wanted
+    sample = np.array([v for _, v in rows])
+    tree = topk_search.Areas(sample, 16)
+    assert np.bincount(tree.place(sample)).max() <= 3 * len(rows) / tree.leaves
+
+
 def test_toxicity(spark, docs, nothing):
     texts = [(1_000 + i, (LINE if i % 3 else "you are a stupid idiot " + LINE) + f" number{i}") for i in range(300)]
     many = spark.createDataFrame(texts, "doc_id long, text string")
