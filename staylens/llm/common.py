@@ -5,26 +5,31 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and return it with its lineage cut.
+    """Write ``df`` as a table to the shared checkpoint folder and return what stands there, so its lineage is cut.
 
     The folder is the session's ``spark.checkpoint.dir``; a folder of this machine is used only where
-    that setting is absent, as in local tests.
+    that setting is absent and Spark runs on this machine alone, as in local tests.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -125,3 +130,29 @@ def tidy(task: Callable, keep: bool = False) -> Callable:
             release(keep)
 
     return run
+
+
+MARKS = 1 << 24
+
+
+def mark_of(column: str) -> Column:
+    """Slot of a value among the MARKS bits of a filter."""
+    return F.pmod(F.xxhash64(column), F.lit(MARKS))
+
+
+def marks(df: DataFrame, column: str) -> np.ndarray:
+    """One bit for each slot that a value of the column has, 2 MB whatever the input; built where the rows are."""
+    slots = df.select(mark_of(column).alias("slot"))
+    maps = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
+    size = 4_096 * 8
+    out = np.zeros(MARKS // 8 + 2 * 4_096, np.uint8)
+    for r in maps:
+        at = (r["bucket"] - 1) * size // 8 if r["bucket"] > 0 else len(out) - 4_096
+        out[at: at + len(r["bits"])] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Whether each slot is marked. Buckets of Spark's bitmaps begin at 1, after the place 0."""
+    place = np.where(slots > 0, slots - 1, 8 * (len(bits) - 4_096))
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)

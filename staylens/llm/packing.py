@@ -164,9 +164,9 @@ def pack(pieces: DataFrame, capacity: int = 2_048, block_pieces: int = 4_096, is
     """
     payload = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     # the checkpoint fixes the number that spreads repeated rows
-    items = checkpointed(pieces.select(F.struct(*payload).alias("item")))
+    items = checkpointed(pieces.select(F.struct(*payload).alias("item"), F.monotonically_increasing_id().alias("number")))
     blocks = max(1, -(-items.count() // block_pieces))
-    dealt = items.withColumn("number", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("number"), F.lit(blocks)))
     blocked = checkpointed(dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(F.col("item.length").alias("length"), "number", "item"))).alias("items")))
     partial = blocked.select("block", F.filter("items", lambda x: x["length"] < capacity).alias("items"))
     isles = partial.select("block", F.col("items.length").alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
@@ -204,6 +204,6 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2_048, with_ids:
     if not with_ids:
         return pack(pieces.select(*columns), capacity)
     # ids wait in the checkpoint while the lengths are packed; the number joins them again
-    numbered = checkpointed(pieces).withColumn("number", F.monotonically_increasing_id())
+    numbered = checkpointed(pieces.withColumn("number", F.monotonically_increasing_id()))
     placed = pack(numbered.select(*columns, "number"), capacity)
     return placed.join(numbered.select("number", "ids"), "number").drop("number")

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import checkpointed, portions, tidy, utf8
+from staylens.llm.common import checkpointed, mark_of, marked, marks, portions, tidy, utf8
 from staylens.llm.suffix_array import suffix_arrays
 
 GRAM, GROUP = 32, 16
@@ -165,13 +165,33 @@ def _met(key: tuple, table: pa.Table) -> pa.Table:
     return _table(np.concatenate((np.full(len(removed), 1), np.where(share <= GROUP, 2, 3))), np.concatenate((removed, kept)))
 
 
-def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in portions(batches, 1):
-        data, offsets = utf8(batch.column(1))
-        raw = data.tobytes()
-        blobs = [press.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(blobs, pa.binary())], ["doc_id", "name", "text_key", "packed"])
+def _pressed(shared: object) -> Callable:
+    """(doc_id, name, text_key, packed) of the rows (doc_id, text, name, text_key, slot) whose slot is marked."""
+    def pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, bits = zstandard.ZstdCompressor(level=3), shared.value
+        for whole in batches:
+            some = whole.filter(pa.array(marked(bits, whole.column(4).to_numpy())))
+            for batch in portions(iter([some]), 1):
+                data, offsets = utf8(batch.column(1))
+                raw = data.tobytes()
+                blobs = [press.compress(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(blobs, pa.binary())], ["doc_id", "name", "text_key", "packed"])
+
+    return pressed
+
+
+def _untouched(shared: object) -> Callable:
+    """Result rows of the rows (doc_id, text, name, text_key, slot) whose slot is not marked."""
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for whole in batches:
+            batch = whole.filter(pa.array(~marked(bits, whole.column(4).to_numpy())))
+            _, offsets = utf8(batch.column(1))
+            none = pa.array(np.zeros(batch.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(2), batch.column(3), pa.array(np.diff(offsets)), none, none, batch.column(1).cast(pa.binary())], ["doc_id", "text_key", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return untouched
 
 
 def _fetched(length: int, buckets: int) -> Callable:
@@ -353,17 +373,27 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     named = _ordered(rows.filter("doc_id IS NOT NULL")).select("doc_id", "text", "name", "text_key")
     buckets = max(64, -(-docs.count() // 1_000))
     met = checkpointed(named.select("doc_id", "text").mapInArrow(tidy(_anchored(length, buckets)), PARTS).groupBy("bucket").applyInArrow(_met, FOUND))
-    packed = named.mapInArrow(_pressed, "doc_id long, name long, text_key long, packed binary")
-    wanted = met.filter("kind > 1").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "stop", "h")).alias("wanted"))
+    context = docs.sparkSession.sparkContext
+    slotted = named.withColumn("slot", mark_of("doc_id"))
+
+    def packed(bits: object) -> DataFrame:
+        return slotted.mapInArrow(tidy(_pressed(bits)), "doc_id long, name long, text_key long, packed binary")
+
+    # a bit a slot keeps texts that need nothing out of the joins, which decide
+    asked = met.filter("kind > 1")
+    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "start", "stop", "h")).alias("wanted"))
     compared = (
-        packed.join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(tidy(_fetched(length, buckets)), PARTS)
+        packed(context.broadcast(marks(asked, "doc_id"))).join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(tidy(_fetched(length, buckets)), PARTS)
         .groupBy("bucket").applyInArrow(_compared(length), FOUND)
     )
-    ranges = met.filter("kind = 1").unionByName(compared).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    found = checkpointed(met.filter("kind = 1").unionByName(compared).select("doc_id", "start", "stop"))
+    ranges = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
+    cut = context.broadcast(marks(found, "doc_id"))
     schema = "doc_id long, text_key long, n_bytes long, n_removed long, n_spans long, kept binary"
     whole = F.col("text").cast("binary")
     return (
-        packed.join(ranges, "doc_id", "left").select("name", "text_key", "packed", "ranges").mapInArrow(tidy(_cut), schema)
+        packed(cut).join(ranges, "doc_id", "left").select("name", "text_key", "packed", "ranges").mapInArrow(tidy(_cut), schema)
+        .unionByName(slotted.mapInArrow(tidy(_untouched(cut)), schema))
         .unionByName(rows.filter("doc_id IS NULL").select(
             "doc_id", "text_key", F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
             F.lit(0).cast("long").alias("n_spans"), whole.alias("kept")))
