@@ -224,7 +224,9 @@ def test_similar_documents_of_a_crowd(spark):
 
 
 def test_pairs_of_crowded_keys_meet_once_in_bounded_blocks(spark):
-    members = spark.createDataFrame([(7, i, 10, i % 3) for i in range(100)] + [(8, i, 10, 0) for i in range(50)], "key long, node long, size long, component long")
+    parity = bytes(similar_documents.LEAST_SLOTS // 8)
+    rows = [(7, i, 10, bytearray(parity), i % 3) for i in range(100)] + [(8, i, 10, bytearray(parity), 0) for i in range(50)]
+    members = spark.createDataFrame(rows, "key long, node long, size long, parity binary, component long")
     pairs = [(r.a, r.b) for r in similar_documents._across(members, 10, 0.8).collect()]
     assert sorted(pairs) == [(a, b) for a, b in itertools.combinations(range(100), 2) if a % 3 != b % 3]
 
