@@ -454,7 +454,7 @@ def _told(scorer: Scorer, batch: pa.RecordBatch, portion: int, shift: int) -> pa
             lengths.astype(np.uint32).tobytes(), times[a:b].astype(np.uint32).tobytes())))
     n, none = len(starts), [None] * len(blobs)
     return pa.RecordBatch.from_arrays([
-        pa.array([int(part[0]) if len(part) else 0] * n + part[heads].tolist(), pa.int64()), pa.array([portion] * (n + len(none)), pa.int64()), pa.array([*range(n), *none], pa.int32()),
+        pa.array([int(mix(np.array([portion], np.uint64))[0] >> np.uint64(shift))] * n + part[heads].tolist(), pa.int64()), pa.array([portion] * (n + len(none)), pa.int64()), pa.array([*range(n), *none], pa.int32()),
         pa.concat_arrays([batch.column(0), pa.nulls(len(none), pa.int64())]), pa.array([*sizes.tolist(), *none], pa.int64()),
         pa.array([*np.add.reduceat(~np.isnan(base), starts, dtype=np.int64).tolist(), *none], pa.int64()), pa.array([*np.add.reduceat(np.nan_to_num(base), starts).tolist(), *none], pa.float64()),
         pa.array([*score.tolist(), *none], pa.float64()), pa.array([None] * n + blobs, pa.binary())], _names(TOLD))
