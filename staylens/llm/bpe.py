@@ -383,31 +383,50 @@ class Encoder:
         head, *rest = text.split(" ")
         return [head, *map(" ".__add__, rest)]
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text; special tokens' strings become their ids.
-
-        Chunks and words first met stay cached until the caches are full; later ones are kept for the call.
-        """
-        cut: list[list] = []
-        for text in texts:
-            if self.cut and "<|" in text:
-                cut.append([c for k, x in enumerate(self.cut.split(text)) for c in ([(self.special[x],)] if k % 2 else self._pieces(x))])
-            else:
-                cut.append(self._pieces(text))
-        known = self.chunks
-        fresh = set().union(*cut).difference(known)
+    def _meet(self, fresh: set) -> list[str]:
+        """Put the ids of new chunks into the cache; returns the pre-tokens that were new."""
         found = {c: self.pretokens(c) for c in fresh if isinstance(c, str)}
         new_words = self.learn({w for x in found.values() for w in x})
         words = self.words
         for chunk in fresh:
-            known[chunk] = b"".join([words[w] for w in found[chunk]]) if chunk in found else chunk[0].to_bytes(4, "little")
-        out = [b"".join(map(known.__getitem__, p)) for p in cut]
-        for cache, size, new in ((known, self.CHUNKS, fresh), (words, self.WORDS, new_words)):
+            self.chunks[chunk] = b"".join([words[w] for w in found[chunk]]) if chunk in found else chunk[0].to_bytes(4, "little")
+        return new_words
+
+    def _shrink(self, fresh: set, new_words: list[str]) -> None:
+        """Chunks and words first met stay cached until the caches are full."""
+        for cache, size, new in ((self.chunks, self.CHUNKS, fresh), (self.words, self.WORDS, new_words)):
             over = len(cache) - size
             for x in new:
                 if over > 0 or len(x) > 64:
                     del cache[x]
                     over -= 1
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each whole text; special tokens' strings become their ids."""
+        cut: list[list] = []
+        for text in texts:
+            if self.cut and "<|" in text:
+                cut.append([c for k, x in enumerate(self.cut.split(text)) for c in ([(self.special[x],)] if k % 2 else self._pieces(x))])
+            else:
+                cut.append(self._pieces(text))
+        fresh = set().union(*cut).difference(self.chunks)
+        new_words = self._meet(fresh)
+        out = [b"".join(map(self.chunks.__getitem__, p)) for p in cut]
+        self._shrink(fresh, new_words)
+        return out
+
+    def chunk_lengths(self, chunks: list[str]) -> list[int]:
+        """How many ids each chunk has: texts that need no more cutting, such as a word with the space before it."""
+        plain = [c for c in chunks if "<|" not in c] if self.cut else chunks
+        fresh = set(plain).difference(self.chunks)
+        new_words = self._meet(fresh)
+        known = self.chunks
+        if len(plain) == len(chunks):
+            out = [len(known[c]) // 4 for c in chunks]
+        else:
+            other = dict(zip(special := [c for c in chunks if "<|" in c], map(len, self.encode_many(special)), strict=True))
+            out = [(other[c] if c in other else len(known[c])) // 4 for c in chunks]
+        self._shrink(fresh.intersection(known), [w for w in new_words if w in self.words])
         return out
 
     def decode(self, ids: np.ndarray) -> str:

@@ -118,7 +118,7 @@ def _counted(path: str, lexicon: object) -> Callable:
         for batch in portions(batches, 1, 2_000_000):
             cut = [units(t or "") for t in batch.column(1).to_pylist()]
             distinct = list(set().union(*cut))
-            number = dict(zip(distinct, (len(x) // 4 for x in own.encode_many(distinct)), strict=True))
+            number = dict(zip(distinct, own.chunk_lengths(distinct), strict=True))
             trees = [TokenTree(parts, list(map(number.__getitem__, parts))) for parts in cut]
             before = [t.tokens for t in trees]
             edits = [[(e["start"], e["stop"], e["text"] or "") for e in sorted(x or [], key=lambda e: e["step"])] for x in batch.column(2).to_pylist()]
