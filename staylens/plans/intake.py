@@ -381,3 +381,22 @@ def point_lookup(spark: SparkSession, folder: str) -> DataFrame:
     from staylens.plans.standins import listing_rows
 
     return listing_rows(table(spark, folder, "part").filter("p_partkey = 42")).drop("amenities")
+
+
+@query(f"""WITH {_RAW_SQL} SELECT id, (id % 7 = 0) AS known, array_to_string(list_filter([CASE WHEN bedrooms IS NULL THEN 'bedrooms' END, CASE WHEN bathrooms IS NULL THEN 'bathrooms' END, CASE WHEN reviews IS NULL THEN 'reviews' END, CASE WHEN latitude IS NULL THEN 'latitude' END], lambda x: x IS NOT NULL), ',') AS missing FROM raw""")
+def append_observations(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations to append, each with the fields it lacks and whether the listing is known already."""
+    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), c) for c in ("bedrooms", "bathrooms", "reviews", "latitude")]), lambda x: x.isNotNull())
+    return _raw(spark, folder).select("id", (F.col("id") % 7 == 0).alias("known"), F.array_join(missing, ",").alias("missing"))
+
+
+@query(f"""WITH {LISTINGS} SELECT id, ('Suite in ' || hood || ' · ★' || CAST(rating AS VARCHAR) || ' · ' || bedrooms || ' bedrooms · ' || bedrooms || ' beds · 1.5 baths') AS title, 'Suite' AS kind, rating, bedrooms, floor(price_cents / 100) AS price FROM listings WHERE rating IS NOT NULL""")
+def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings read back from their pages: title and kind from the share title, rating from JSON-LD, price from the text."""
+    c = F.col
+    rated = listings(spark, folder).filter("rating IS NOT NULL")
+    title = F.concat(F.lit("Suite in "), c("hood"), F.lit(" · ★"), c("rating").cast("string"), F.lit(" · "), c("bedrooms").cast("string"), F.lit(" bedrooms · "), c("bedrooms").cast("string"), F.lit(" beds · 1.5 baths"))
+    html = F.concat(F.lit('<html><head><meta property="og:title" content="'), title, F.lit('"><script type="application/ld+json">{"aggregateRating": {"ratingValue": "'), c("rating").cast("string"), F.lit('"}}</script></head><body>from $'),
+                    F.floor(c("price_cents") / 100).cast("string"), F.lit(" per night</body></html>"))
+    found = page_source.details(rated.select("id", html.alias("html")))
+    return found.select("id", "title", text.og_title(c("title"))["kind"].alias("kind"), "rating", "bedrooms", F.floor("price").alias("price"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from staylens.functions import dates
+from staylens.functions import dates, numbers
 from staylens.functions.numbers import half_up, ratio
 from staylens.plans.market import forward
 from staylens.plans.registry import query
@@ -321,3 +321,48 @@ def execution_order(spark: SparkSession, folder: str) -> DataFrame:
     tier = F.when(c("hood").isin("Zona Romantica", "Amapas"), 1).when(c("beach_m") <= 100, 2).otherwise(3)
     x = listings(spark, folder).select("id", tier.alias("tier"), (tier * 1000 + F.length(F.substring("hood", 7, 100)) * 100 + c("bedrooms") * 10 + F.floor(c("price_cents") / 25_000)).alias("execution_rank"))
     return x.withColumn("position", F.row_number().over(Window.partitionBy("tier").orderBy("execution_rank", "id")))
+
+
+# ---- calendars and units
+
+@query("""WITH m AS (SELECT unnest(range(1, 13)) AS month) SELECT CAST(month AS INTEGER) AS month, '2024-' || lpad(CAST(month AS VARCHAR), 2, '0') AS key, CASE WHEN month IN (12, 1, 2, 3, 4) THEN 'high' WHEN month IN (5, 10, 11) THEN 'shoulder' ELSE 'low' END AS season,
+  CAST(day(last_day(make_date(2024, month, 1))) AS INTEGER) AS days, floor((20 + month * 0.7::DOUBLE) * 9 / 5 * 10 + 320 + 0.5) / 10 AS fahrenheit, floor(month * 13.7::DOUBLE / 25.4::DOUBLE * 100 + 0.5) / 100 AS inches FROM m""")
+def month_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Months with their key, season and length, and readings in the other units."""
+    m = F.col("month")
+    return spark.range(1, 13).select(F.col("id").cast("int").alias("month")).select(
+        "month", dates.month_key(F.lit(2024), m).alias("key"), dates.season(m).alias("season"), dates.days_in_month(F.make_date(F.lit(2024), m, F.lit(1))).alias("days"),
+        numbers.celsius_to_f(20 + m * F.lit(0.7)).alias("fahrenheit"), numbers.mm_to_inches(m * F.lit(13.7)).alias("inches"))
+
+
+@query("""WITH y AS (SELECT unnest(range(2000, 2060)) AS y), a AS (SELECT y, y % 19 AS g, y // 100 AS c FROM y), h AS (SELECT y, g, c, (c - c // 4 - (8 * c + 13) // 25 + 19 * g + 15) % 30 AS h FROM a),
+i AS (SELECT y, c, h - (h // 28) * (1 - (29 // (h + 1)) * ((21 - g) // 11)) AS i FROM h), j AS (SELECT y, i, (y + y // 4 + i + 2 - c + c // 4) % 7 AS j FROM i), l AS (SELECT y, i - j AS l FROM j)
+SELECT CAST(y AS INTEGER) AS year, make_date(y, 3 + (l + 40) // 44, l + 28 - 31 * ((3 + (l + 40) // 44) // 4)) AS easter FROM l""", dates=["easter"])
+def easter_sundays(spark: SparkSession, folder: str) -> DataFrame:
+    """Easter of sixty years, which moves the holy week's checkpoints."""
+    return spark.createDataFrame([(y, dates.easter(y)) for y in range(2000, 2060)], "year int, easter date")
+
+
+@query(f"""WITH {LISTINGS}, {CALENDAR}, n AS (SELECT id, (SELECT max(day) FROM calendar c WHERE c.listing_id = l.id AND day < DATE '{AS_OF}') AS last_day, (SELECT c.price_cents FROM calendar c WHERE c.listing_id = l.id AND day < DATE '{AS_OF}' ORDER BY day DESC, batch DESC, line DESC LIMIT 1) AS last_cents FROM listings l) SELECT * FROM n""", dates=["last_day"])
+def correlated_latest(spark: SparkSession, folder: str) -> DataFrame:
+    """For every listing its newest past night and that night's price; both subqueries as one aggregate and a join."""
+    past = calendar(spark, folder).filter(F.col("day") < F.lit(AS_OF).cast("date"))
+    newest = past.groupBy(F.col("listing_id").alias("id")).agg(F.max("day").alias("last_day"), F.max_by("price_cents", F.struct("day", "batch", "line")).alias("last_cents"))
+    return listings(spark, folder).select("id").join(newest, "id", "left")
+
+
+@query(f"""WITH {LISTINGS}, {CALENDAR} SELECT id, count(c.day) AS open_nights FROM listings LEFT JOIN calendar c ON c.listing_id = id AND c.available AND c.day >= DATE '{AS_OF}' GROUP BY id""")
+def join_with_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Open nights of every listing; the filter stands in the join, so listings without any stay."""
+    open_ = calendar(spark, folder).filter(F.col("available") & (F.col("day") >= F.lit(AS_OF).cast("date"))).groupBy(F.col("listing_id").alias("id")).agg(F.count("*").alias("n"))
+    return listings(spark, folder).select("id").join(open_, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("open_nights"))
+
+
+@query(f"""WITH {CALENDAR} SELECT platform, count(*) FILTER (WHERE day < DATE '{AS_OF}' - 7) AS past, count(*) FILTER (WHERE DATE '{AS_OF}' - CAST(batch % 120 AS INTEGER) < DATE '{AS_OF}' - 90) AS stale, count(*) FILTER (WHERE NOT (day < DATE '{AS_OF}' - 7 OR DATE '{AS_OF}' - CAST(batch % 120 AS INTEGER) < DATE '{AS_OF}' - 90)) AS kept FROM calendar GROUP BY platform""")
+def retention_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Dry run of both retention rules: nights long past, and rows not collected for long."""
+    from staylens.operators.upserts import retention
+
+    collected = F.date_sub(F.lit(AS_OF).cast("date"), (F.col("batch") % 120).cast("int")).cast("timestamp_ntz")
+    past, stale = retention(calendar(spark, folder), "day", "collected", AS_OF)
+    return calendar(spark, folder).withColumn("collected", collected).groupBy("platform").agg(F.count_if(past).alias("past"), F.count_if(stale).alias("stale"), F.count_if(~(past | stale)).alias("kept"))

@@ -25,10 +25,10 @@ def csv_flag(column: str) -> Column:
 
 
 def newest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the JSON file whose name sorts last in ``folder``."""
-    rows = spark.read.json(f"{folder}/*.json", multiLine=True).withColumn("snapshot", F.input_file_name())
-    last = rows.agg(F.max("snapshot").alias("last"))
-    return rows.join(F.broadcast(last), rows["snapshot"] == F.col("last")).drop("last")
+    """Rows of the JSON file whose name sorts last in ``folder``; only names of the others are read."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(folder).select("path")
+    last = names.agg(F.max("path")).first()[0]
+    return spark.read.json(last, multiLine=True).withColumn("snapshot", F.lit(last))
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -39,3 +39,27 @@ def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
 def exists(df: DataFrame) -> bool:
     """Whether a relation has a row at all; reads no more than one."""
     return not df.isEmpty()
+
+
+def csv_number(column: str, kind: str = "double") -> Column:
+    """Numbers as exports spell them: thousands separators out, anything else null."""
+    return F.regexp_replace(F.trim(F.col(column)), ",", "").try_cast(kind)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """RFC 4180 with a header; only fields that need quotes have them, nulls are empty."""
+    df.write.mode("errorifexists").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+
+
+def write_snapshot(df: DataFrame, folder: str, name: str) -> str:
+    """One JSON artifact beside older ones; ``newest_snapshot`` reads the name that sorts last. For results of a few rows."""
+    path = f"{folder.rstrip('/')}/{name}"
+    df.coalesce(1).write.mode("errorifexists").json(path)
+    return path
+
+
+def reload_all(steps: Sequence[tuple[str, DataFrame]], folder: str) -> dict[str, str]:
+    """Write tables in their order, each a new version beside the old one; stops at the first that fails, so what derives from others comes last."""
+    from staylens.operators.upserts import replace_table
+
+    return {name: replace_table(df, f"{folder.rstrip('/')}/{name}") for name, df in steps}

@@ -138,3 +138,16 @@ def test_streaming(spark, tmp_path):
     assert [(r.listing_id, r.id, r.presumed_amount, r.confidence) for r in rows] == [(7, 2, 100, "high")]
     feeds.append_new(feeds.booking_flips(stream), out, ["listing_id", "id"], str(tmp_path / "c2")).awaitTermination(120)
     assert spark.read.parquet(out).count() == 1
+
+
+def test_writers(spark, tmp_path):
+    df = spark.createDataFrame([(1, 'a "quoted", text', None), (2, "two\nlines", 1.5)], "id int, name string, x double")
+    tables.write_csv(df, str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in tables.csv_table(spark, str(tmp_path / "out"), "id int, name string, x double").collect()) == sorted(tuple(r) for r in df.collect())
+    for name in ("2024-01.json", "2024-02.json"):
+        tables.write_snapshot(df.withColumn("run", F.lit(name)), str(tmp_path / "snapshots"), name)
+    newest = tables.newest_snapshot(spark, str(tmp_path / "snapshots")).collect()
+    assert {r.run for r in newest} == {"2024-02.json"}
+    paths = tables.reload_all([("a", df), ("b", df.limit(1))], str(tmp_path / "tables"))
+    assert list(paths) == ["a", "b"] and spark.read.parquet(paths["a"]).count() == 2
+    assert [r[0] for r in spark.createDataFrame([("1,234.5",), ("x",), (None,)], "v string").select(tables.csv_number("v")).collect()] == [1234.5, None, None]
