@@ -150,14 +150,14 @@ def _link(model: tuple, width: int, threshold: float) -> Callable:
     return link
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample_rows: int = SAMPLE_ROWS, cell_rows: int = 2_048) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample_rows: int = SAMPLE_ROWS, cell_rows: int = 2_048, list_rows: int = 8_000) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of ``vectors`` (vec_id, embedding, label).
 
     Links join rows of one non-null label with cosine >= threshold in double. A row whose label or vector
     is null, or whose vector is zero, empty or holds null or non-finite components, links with nothing
     and is its own component. Vectors of different lengths never link. Copies of a vector are indexed
     once and counted. The index is fitted on at most ``sample_rows`` distinct vectors, whatever the
-    input, and files every vector; lists are split into cells of about ``cell_rows`` rows on either side.
+    input, and files every vector; there is a list for each ``list_rows`` vectors, 256 at most, and lists are split into cells of about ``cell_rows`` rows on either side.
     vec_id is unique; extra columns are not looked at; an empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").alias("vector"))
@@ -174,7 +174,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, sample_rows: int =
     points = _padded(sample if isinstance(sample, pa.ListArray) else sample.chunk(0), width)
     points /= np.sqrt((points**2).sum(1))[:, None]
     # labels divide the lists once more, and in high dimensions a query probes most lists: a few large ones do
-    lists = int(min(256, max(1, distinct.count() // 8_000)))
+    lists = int(min(256, max(1, distinct.count() // list_rows)))
     model = train(points, lists)
     kinds = dict(distinct.dtypes)
     filed = checkpointed(distinct.mapInArrow(

@@ -11,6 +11,7 @@ import pytest
 import xxhash
 
 from staylens.llm import bpe, embedding_dedup, language_model, packing, sharding, similar_documents, simhash, substring_dedup, token_counts, topk_search, toxicity
+from staylens.llm.common import connected_components
 from staylens.llm.suffix_array import suffix_arrays
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -347,6 +348,17 @@ def test_near_vectors(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df, cell_rows=64).collect()}
     assert got == brute_vectors(rows)
     assert embedding_dedup.near_vectors(df.filter("vec_id < 0")).count() == 0
+    several = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df, cell_rows=16, list_rows=15).collect()}
+    assert several == got  # over a dozen inverted lists, probed where they can hold a link
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(k, k + 1) for k in range(0, 400)]
+    star = [(1_000, 1_000 + k) for k in range(1, 300)]
+    apart = [(5_000, 4_999), (7, 7)]
+    edges = spark.createDataFrame(chain + star + apart, "a long, b long")
+    got = {r.node: r.component for r in connected_components(edges).collect()}
+    assert got == {**{k: 0 for k in range(401)}, **{1_000 + k: 1_000 for k in range(300)}, 4_999: 4_999, 5_000: 4_999}
 
 
 def test_top_k(spark):
