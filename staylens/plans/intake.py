@@ -400,3 +400,81 @@ def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
                     F.floor(c("price_cents") / 100).cast("string"), F.lit(" per night</body></html>"))
     found = page_source.details(rated.select("id", html.alias("html")))
     return found.select("id", "title", text.og_title(c("title"))["kind"].alias("kind"), "rating", "bedrooms", F.floor("price").alias("price"))
+
+
+# ---- names of buildings against a catalogue
+
+#: fixed values: words that do not tell buildings apart
+NOISE = ["pv", "pvr", "puerto", "vallarta", "unit", "units", "suite", "suites", "penthouse", "ph", "condo", "condominium", "condominios", "villa", "villas", "casa", "casas", "beach", "by", "the", "a", "de", "del", "el", "la", "los", "las", "y", "and", "at", "in"]
+#: fixed values: penalty of another neighbourhood, least score of a match, scores from which it is high or medium
+CROSS_HOOD, ACCEPTED, HIGH, MEDIUM = 0.15, 0.55, 0.90, 0.65
+#: stand-in catalogue: (building, neighbourhood, aliases)
+CATALOGUE = [(name, ("Zona Romantica", "Amapas")[k % 2], [a for a, b in BUILDING_ALIASES.items() if b == name]) for k, name in enumerate(dict.fromkeys(BUILDING_ALIASES.values()))]
+
+
+def _plain_slug(name: str) -> str:
+    low = name.lower().translate(str.maketrans("áéíóúñü", "aeiounu"))
+    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in low).split())
+
+
+def _telling(slug: str) -> list[str]:
+    return [t for t in slug.split() if t not in NOISE and not t.isdigit()]
+
+
+def building_matches(raw: Column, hint: Column, catalogue: list[tuple[str, str, list[str]]] = CATALOGUE) -> Column:
+    """Catalogue entries that a raw name may mean, best first, as structs (canonical, score, position); a short catalogue is a literal.
+
+    Equal names before equal aliases, then names without noise, shared words, containment and the first word.
+    """
+    slug = F.trim(F.regexp_replace(text.plain(raw), "[^a-z0-9]+", " "))
+    words = F.filter(F.split(slug, " "), lambda t: (t != "") & ~t.rlike("^[0-9]+$") & ~t.isin(*NOISE))
+    joined, strings = F.array_join(words, " "), lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    out = []
+    for k, (canonical, hood, aliases) in enumerate(catalogue):
+        own, others = _plain_slug(canonical), [_plain_slug(a) for a in aliases]
+        tokens = [_telling(s) for s in (own, *others)]
+        alike = F.greatest(*[numbers.jaccard(words, strings(t)) for t in tokens], F.lit(0.0))
+        share = F.least(F.length(slug), F.lit(len(own))) / F.greatest(F.length(slug), F.lit(len(own)))
+        held = (slug.contains(own) | F.lit(own).contains(slug)) & (F.length(slug) >= 4) & F.lit(len(own) >= 4) & (share >= 0.5)
+        first = (F.get(words, F.lit(0)) == F.lit(tokens[0][0] if tokens[0] else None)) & (F.length(F.get(words, F.lit(0))) >= 4)
+        score = (F.when(slug == own, 1.0).when(slug.isin(*others), 0.95).when((F.size(words) > 0) & (joined == " ".join(tokens[0])), 0.88).when((F.size(words) > 0) & joined.isin(*[" ".join(t) for t in tokens[1:]]), 0.85)
+                 .when(alike >= 0.4, F.least(F.lit(0.82), 0.45 + alike * 0.5)).when(alike >= 0.22, 0.30 + alike * 0.5).when(held, 0.60 + share * 0.1).when(first, 0.35))
+        out.append(F.struct((-half_up(score - F.when(hint.isNull() | (hint == hood), 0.0).otherwise(CROSS_HOOD), 6)).alias("minus"), F.lit(k).alias("position"), F.lit(canonical).alias("canonical")))
+    return F.transform(F.array_sort(F.filter(F.array(*out), lambda x: x["minus"].isNotNull())), lambda x: F.struct(x["canonical"].alias("canonical"), (-x["minus"]).alias("score"), x["position"].alias("position")))
+
+
+TYPED = ["Orchid", "loma del mar d22", "The Loma del Mar", "Selva Romántica Villa 12", "Casa Leone Selva Romantica", "Playa Bonita 3", "Molino", "rincon", "Avalon Zen Tower North", "V177 penthouse", "Nowhere Heights", "Pacifica 404"]
+HINTS = [None, "Zona Romantica", "Amapas"]
+
+
+def _catalogue_sql() -> str:
+    def strings(xs: list[str]) -> str:
+        return "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+
+    rows = []
+    for k, (canonical, hood, aliases) in enumerate(CATALOGUE):
+        own, others = _plain_slug(canonical), [_plain_slug(a) for a in aliases]
+        tokens = [_telling(s) for s in (own, *others)]
+        rows.append(f"({k}, '{canonical}', '{hood}', '{own}', {strings(others)}, '{' '.join(tokens[0])}', {strings([' '.join(t) for t in tokens[1:]])}, [{', '.join(strings(t) for t in tokens)}], '{tokens[0][0]}')")
+    return "cat(k, canonical, hood, own, others, nn, others_nn, sets, head) AS (VALUES " + ", ".join(rows) + ")"
+
+
+_NOISE_SQL = "(" + ", ".join(f"'{x}'" for x in NOISE) + ")"
+
+
+@query(f"""WITH {_catalogue_sql()}, r AS (SELECT p_partkey AS id, {pick_sql(TYPED, 'p_partkey')} AS raw, {pick_sql(HINTS, 'p_partkey // 12')} AS hint FROM part), s AS (SELECT id, hint, trim(regexp_replace(strip_accents(lower(raw)), '[^a-z0-9]+', ' ', 'g')) AS slug FROM r),
+w AS (SELECT *, list_filter(string_split(slug, ' '), lambda t: t <> '' AND NOT regexp_full_match(t, '[0-9]+') AND t NOT IN {_NOISE_SQL}) AS words FROM s),
+x AS (SELECT id, hint, slug, words, array_to_string(words, ' ') AS joined, cat.*, least(length(slug), length(own)) / greatest(length(slug), length(own))::DOUBLE AS share,
+  list_max(list_transform(sets, lambda t: CASE WHEN len(list_distinct(list_concat(words, t))) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(words, t)) / len(list_distinct(list_concat(words, t)))::DOUBLE END)) AS alike FROM w, cat),
+c AS (SELECT *, CASE WHEN slug = own THEN 1.0 WHEN list_contains(others, slug) THEN 0.95 WHEN len(words) > 0 AND joined = nn THEN 0.88 WHEN len(words) > 0 AND list_contains(others_nn, joined) THEN 0.85 WHEN alike >= 0.4::DOUBLE THEN least(0.82::DOUBLE, 0.45::DOUBLE + alike * 0.5::DOUBLE)
+  WHEN alike >= 0.22::DOUBLE THEN 0.30::DOUBLE + alike * 0.5::DOUBLE WHEN (contains(slug, own) OR contains(own, slug)) AND length(slug) >= 4 AND length(own) >= 4 AND share >= 0.5 THEN 0.60::DOUBLE + share * 0.1::DOUBLE WHEN words[1] = head AND length(words[1]) >= 4 THEN 0.35 END::DOUBLE - CASE WHEN hint IS NULL OR hint = hood THEN 0.0::DOUBLE ELSE 0.15::DOUBLE END AS sc FROM x),
+d AS (SELECT id, canonical, floor(sc * 1000000 + 0.5) / 1000000 AS score, row_number() OVER (PARTITION BY id ORDER BY floor(sc * 1000000 + 0.5) DESC, k) AS r FROM c WHERE sc IS NOT NULL)
+SELECT w.id, max(CASE WHEN r = 1 AND score >= 0.55::DOUBLE THEN canonical END) AS building, max(CASE WHEN r = 1 AND score >= 0.55::DOUBLE THEN CASE WHEN least(1, score) >= 0.9::DOUBLE THEN 'high' WHEN score >= 0.65::DOUBLE THEN 'medium' ELSE 'low' END END) AS tier, COALESCE(string_agg(canonical, ',' ORDER BY r) FILTER (WHERE r <= 5), '') AS suggestions FROM w LEFT JOIN d ON d.id = w.id GROUP BY w.id""")
+def building_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed names of buildings, some with a neighbourhood, as catalogue entries with their tier, and up to five suggestions."""
+    k = F.col("p_partkey")
+    typed = table(spark, folder, "part", ["p_partkey"]).select(k.alias("id"), pick(TYPED, k).alias("raw"), pick(HINTS, F.floor(k / 12)).alias("hint"))
+    found = typed.withColumn("found", building_matches(F.col("raw"), F.col("hint"))).withColumn("best", F.get("found", F.lit(0)))
+    score = F.when(F.col("best.score") >= ACCEPTED, F.col("best.score"))
+    return found.select("id", F.when(score.isNotNull(), F.col("best.canonical")).alias("building"), F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").when(score.isNotNull(), "low").alias("tier"),
+                        F.array_join(F.transform(F.slice("found", 1, 5), lambda x: x["canonical"]), ",").alias("suggestions"))
