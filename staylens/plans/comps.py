@@ -272,13 +272,13 @@ def building_premium(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {POOL_SQL} SELECT hood, list_extract(list_sort(list(price_cents)), CAST(floor(count(*) / 2) AS BIGINT) + 1) AS upper_median FROM pool GROUP BY hood")
 def upper_median(spark: SparkSession, folder: str) -> DataFrame:
-    return pool(spark, folder).groupBy("hood").agg(stats.upper_median("price_cents").alias("upper_median"))
+    return pool(spark, folder).groupBy("hood").agg(stats.upper_median("price_cents").cast("long").alias("upper_median"))
 
 
 @query(f"""WITH {POOL_SQL} SELECT hood, bedrooms, CASE WHEN count(*) < 4 THEN min(price_cents) ELSE list_extract(list_sort(list(price_cents)), CAST(floor(count(*) * 0.25) AS BIGINT) + 1) END AS q1,
   CASE WHEN count(*) < 4 THEN max(price_cents) ELSE list_extract(list_sort(list(price_cents)), CAST(floor(count(*) * 0.75) AS BIGINT) + 1) END AS q3 FROM pool GROUP BY 1, 2""")
 def nearest_quartiles(spark: SparkSession, folder: str) -> DataFrame:
-    return pool(spark, folder).groupBy("hood", "bedrooms").agg(stats.nearest_quartile("price_cents", 0.25).alias("q1"), stats.nearest_quartile("price_cents", 0.75).alias("q3"))
+    return pool(spark, folder).groupBy("hood", "bedrooms").agg(stats.nearest_quartile("price_cents", 0.25).cast("long").alias("q1"), stats.nearest_quartile("price_cents", 0.75).cast("long").alias("q3"))
 
 
 @query(f"""WITH {POOL_SQL}, q AS (SELECT hood, bedrooms, count(*) AS c, floor(quantile_cont(price, 0.25) * 1000000 + 0.5) / 1000000 AS q1, floor(quantile_cont(price, 0.75) * 1000000 + 0.5) / 1000000 AS q3 FROM pool GROUP BY 1, 2),

@@ -390,7 +390,7 @@ def append_observations(spark: SparkSession, folder: str) -> DataFrame:
     return _raw(spark, folder).select("id", (F.col("id") % 7 == 0).alias("known"), F.array_join(missing, ",").alias("missing"))
 
 
-@query(f"""WITH {LISTINGS} SELECT id, ('Suite in ' || hood || ' · ★' || CAST(rating AS VARCHAR) || ' · ' || bedrooms || ' bedrooms · ' || bedrooms || ' beds · 1.5 baths') AS title, 'Suite' AS kind, rating, bedrooms, floor(price_cents / 100) AS price FROM listings WHERE rating IS NOT NULL""")
+@query(f"""WITH {LISTINGS} SELECT id, ('Suite in ' || hood || ' · ★' || CAST(rating AS VARCHAR) || ' · ' || bedrooms || ' bedrooms · ' || bedrooms || ' beds · 1.5 baths') AS title, 'Suite' AS kind, rating, bedrooms, CAST(floor(price_cents / 100) AS BIGINT) AS price FROM listings WHERE rating IS NOT NULL""")
 def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Listings read back from their pages: title and kind from the share title, rating from JSON-LD, price from the text."""
     c = F.col
