@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import bpe, embedding_dedup, language_model, packing, sharding, simhash, substring_dedup, token_counts, topk_search, toxicity
+from staylens.llm import bpe, embedding_dedup, fill_middle, filter_audit, language_model, packing, pieces, sharding, simhash, substring_dedup, token_counts, topk_search, toxicity
 from staylens.llm.common import documents
 
 
@@ -71,12 +71,86 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(documents(spark, sf_dir), seed=42, percent=50, suffix_first=80)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode_decode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), firsts AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+told AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT d.part, COALESCE(good, false) AS good, COALESCE(toxic, false) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 3 * length(d.text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN d.doc_id > first_id THEN 'E' ELSE '' END AS fails
+  FROM d JOIN firsts ON d.text = firsts.text LEFT JOIN told ON d.doc_id = told.doc_id
+), cells AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+orders AS (
+  SELECT letter AS filter_order FROM letters
+  UNION ALL
+  SELECT filter_order || letter FROM orders, letters WHERE NOT contains(filter_order, letter)
+), steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS filter, filter_order[1:step - 1] AS earlier
+  FROM orders, range(1, 6) r(step) WHERE length(filter_order) = 5
+), seen AS (
+  SELECT part, filter_order, step, filter, n, good, toxic, fails, contains(fails, filter) AS hit,
+    length(translate(fails, earlier, '')) < length(fails) AS gone
+  FROM cells, steps
+), sums AS (
+  SELECT part, filter_order, step, filter, CAST(COALESCE(sum(n) FILTER (NOT hit AND NOT gone), 0) AS BIGINT) AS kept,
+    CAST(COALESCE(sum(n) FILTER (hit AND NOT gone), 0) AS BIGINT) AS removed, CAST(COALESCE(sum(n) FILTER (hit AND gone), 0) AS BIGINT) AS redundant,
+    CAST(COALESCE(sum(n) FILTER (fails = filter), 0) AS BIGINT) AS unique_fails, CAST(COALESCE(sum(n) FILTER (hit AND NOT gone AND good), 0) AS BIGINT) AS good_lost,
+    CAST(COALESCE(sum(n) FILTER (hit AND NOT gone AND toxic), 0) AS BIGINT) AS toxic_lost
+  FROM seen GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM sums
+"""
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, COALESCE(text, '') AS text, regexp_extract_all(COALESCE(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens,
+    sha256('42:' || doc_id) AS h
+  FROM documents
+), k AS (
+  SELECT doc_id, text, tokens, len(tokens) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(tokens) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(tokens) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), c AS (
+  SELECT doc_id, text, n, form, array_to_string(tokens[1:least(a, b)], '') AS p, array_to_string(tokens[least(a, b) + 1:greatest(a, b)], '') AS m,
+    array_to_string(tokens[greatest(a, b) + 1:], '') AS s
+  FROM k
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c
+"""
+
 OP10_SQL = """
 WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -130,9 +204,10 @@ def located(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
 
 def queries() -> dict:
     found = {"op1_suffix_dedup": op1_suffix_dedup, "op2_sharding": op2_sharding, "op3_packing": op3_packing, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_embedding_dedup": op6_embedding_dedup, "op7_toxicity": op7_toxicity, "op8_language_model": op8_language_model, "op9_token_counts": op9_token_counts, "op10_topk_search": op10_topk_search,
+        "op11_filter_audit": op11_filter_audit, "op12_fill_middle": op12_fill_middle, "op13_pieces": op13_pieces,
         "pipeline": pipeline}
     return {name: located(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_embedding_dedup": OP6_SQL, "op10_topk_search": OP10_SQL}
+    return {"op6_embedding_dedup": OP6_SQL, "op10_topk_search": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_fill_middle": OP12_SQL}
