@@ -36,8 +36,8 @@ def plain(x: Column) -> Column:
     return F.translate(F.lower(x), "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc")
 
 
-def slug(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(plain(x), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+def slug(x: Column, mark: str = "-") -> Column:
+    return F.regexp_replace(F.regexp_replace(plain(x), r"[^a-z0-9]+", mark), f"^{mark}+|{mark}+$", "")
 
 
 def name_tokens(x: Column, stop: list[str]) -> Column:

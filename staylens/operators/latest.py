@@ -20,24 +20,6 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= n)
 
 
-def booking_flips(quotes: DataFrame, keys: Sequence[str], at: str, status: str, amount: str, tie: str) -> DataFrame:
-    """Rows that turned unavailable right after a priced, not unavailable observation of the same key.
-
-    Adds last_seen_at, presumed_amount, gap_hours and confidence (48 and 168 hours).
-    """
-    order = Window.partitionBy(*keys).orderBy(at, tie)
-    seen = quotes
-    for column in (at, status, amount):
-        seen = seen.withColumn(f"_prev_{column}", F.lag(column).over(order))
-    flips = seen.filter((F.col(status) == "unavailable") & (F.col(f"_prev_{status}") != "unavailable") & (F.col(f"_prev_{amount}") > 0))
-    hours = dates.hours_between(F.col(f"_prev_{at}"), F.col(at))
-    return (
-        flips.withColumn("last_seen_at", F.col(f"_prev_{at}")).withColumn("presumed_amount", F.col(f"_prev_{amount}"))
-        .withColumn("gap_hours", numbers.half_up(hours, 4)).withColumn("confidence", numbers.gap_confidence(hours))
-        .drop(*[f"_prev_{c}" for c in (at, status, amount)])
-    )
-
-
 def zero_streaks(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str) -> DataFrame:
     """Running length of the current run of zeros at each row."""
     ordered = Window.partitionBy(*keys).orderBy(*order)

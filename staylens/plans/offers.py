@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,19 +43,19 @@ def calibration_gate(snapshots: DataFrame, as_of: Column) -> DataFrame:
     return snapshots.withColumn("age_days", age).withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
 
 
-def stay_quotes(stays: DataFrame, days: DataFrame) -> DataFrame:
-    """Quotes of stay windows from calendar nights (listing_id, day, price_cents, available).
+def stay_quotes(stays: DataFrame, days: DataFrame, keys: Sequence[str] = ("listing_id", "stay")) -> DataFrame:
+    """Quotes of stay windows, named by ``keys``, from calendar nights (listing_id, day, price_cents, available).
 
     A quote needs every night: priced for its subtotal, open to be available. Taxes are 19 %.
     """
     nights = stays.withColumn("day", F.explode(dates.nights(F.col("checkin"), F.col("checkout"))))
-    met = nights.join(days, ["listing_id", "day"], "left").groupBy("listing_id", "stay").agg(
+    met = nights.join(days, ["listing_id", "day"], "left").groupBy(*keys).agg(
         F.count("*").alias("n_nights"), F.count("price_cents").alias("n_priced"), F.count_if(F.col("available")).alias("n_open"),
         F.sum("price_cents").alias("cents"))
     full = F.col("n_priced") == F.col("n_nights")
     subtotal = F.when(full, F.col("cents"))
     return met.select(
-        "listing_id", "stay", "n_nights", "n_priced", F.when(F.col("n_priced") < F.col("n_nights"), "unknown").when(F.col("n_open") == F.col("n_nights"), "available").otherwise("unavailable").alias("status"),
+        *keys, "n_nights", "n_priced", F.when(F.col("n_priced") < F.col("n_nights"), "unknown").when(F.col("n_open") == F.col("n_nights"), "available").otherwise("unavailable").alias("status"),
         half_up(ratio(F.col("cents"), F.col("n_priced"))).alias("nightly"), subtotal.alias("subtotal"), half_up(subtotal * TAX).alias("taxes"), (subtotal + half_up(subtotal * TAX)).alias("total"))
 
 

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from staylens.functions import dates
 from staylens.functions.numbers import clamp, half_up, pct_change, ratio
 from staylens.operators import latest, upserts
+from staylens.operators.overlays import MONTH_FACTORS
 from staylens.plans.market import forward
 from staylens.plans.registry import query
 from staylens.plans.standins import AS_OF, CALENDAR, MONTHLY, QUOTES, calendar, monthly, quotes
 
-#: fixed values: monthly demand factors of the market, January to December
-MONTH_FACTORS = [1.02, 1.05, 1.05, 1.00, 0.93, 0.82, 0.76, 0.74, 0.68, 0.84, 0.95, 0.95]
 #: fixed values: monthly traffic factors of the airport, January to December
 TRAFFIC_FACTORS = [1.08, 1.05, 1.10, 1.02, 0.96, 0.90, 0.88, 0.89, 0.87, 0.95, 1.00, 1.15]
 MAX_SWING = 0.15
@@ -32,7 +31,6 @@ EVENTS = [
 EVENT_SCHEMA = "slug string, start string, end string, shock_start string, shock_end string, recovery_end string, priority int, premium double, weights string, active boolean"
 EVENTS_SQL = "events_dim AS (SELECT slug, CAST(s AS DATE) AS s, COALESCE(CAST(e AS DATE), CAST(s AS DATE)) AS e, CAST(ss AS DATE) AS ss, CAST(se AS DATE) AS se, CAST(re AS DATE) AS re, priority, premium, CASE slug WHEN 'storm' THEN 0.4 ELSE 0.3 END AS w_air, CASE slug WHEN 'storm' THEN 0.5 ELSE 0.3 END AS w_price FROM (VALUES " + ", ".join(
     "(" + ", ".join("NULL" if v is None else (f"'{v}'" if isinstance(v, str) else str(v)) for v in e[:8]) + ")" for e in EVENTS if e[9]) + ") AS t(slug, s, e, ss, se, re, priority, premium))"
-FACTORS_SQL = "list_extract([" + ", ".join(f"CAST({x} AS DOUBLE)" for x in MONTH_FACTORS) + "], CAST(month({}) AS INTEGER))"
 
 
 def events(spark: SparkSession) -> DataFrame:
@@ -64,16 +62,6 @@ def phases(months: DataFrame, happenings: DataFrame) -> DataFrame:
     return joined.withColumn("phase", phase)
 
 
-@query(f"""WITH {QUOTES}, l AS (SELECT *, lag(seen_at) OVER w AS p_at, lag(status) OVER w AS p_status, lag(amount) OVER w AS p_amount FROM quotes
-  WINDOW w AS (PARTITION BY listing_id ORDER BY seen_at, id))
-SELECT id, listing_id, p_at AS last_seen_at, p_amount AS presumed_amount, floor((epoch_us(seen_at) - epoch_us(p_at)) / 3.6e9 * 10000 + 0.5) / 10000 AS gap_hours,
-  CASE WHEN (epoch_us(seen_at) - epoch_us(p_at)) / 3.6e9 <= 48 THEN 'high' WHEN (epoch_us(seen_at) - epoch_us(p_at)) / 3.6e9 <= 168 THEN 'medium' ELSE 'low' END AS confidence
-FROM l WHERE status = 'unavailable' AND p_status <> 'unavailable' AND p_amount > 0""", stamps=["last_seen_at"])
-def presumed_bookings_flips(spark: SparkSession, folder: str) -> DataFrame:
-    flips = latest.booking_flips(quotes(spark, folder), ["listing_id"], "seen_at", "status", "amount", "id")
-    return flips.select("id", "listing_id", "last_seen_at", "presumed_amount", "gap_hours", "confidence")
-
-
 @query(f"""WITH {QUOTES} SELECT listing_id, kind, id, amount FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, kind ORDER BY seen_at DESC, id DESC) AS k FROM quotes) WHERE k = 1""")
 def distinct_on_latest(spark: SparkSession, folder: str) -> DataFrame:
     return latest.first_per_key(quotes(spark, folder), ["listing_id", "kind"], [F.desc("seen_at"), F.desc("id")]).select("listing_id", "kind", "id", "amount")
@@ -188,48 +176,6 @@ def anomaly_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return classify(latest.year_over_year(monthly(spark, folder).select("year", "month", "orders"), "orders"), events(spark))
 
 
-def night_premiums(stays: DataFrame, happenings: DataFrame) -> DataFrame:
-    """One row a night of each stay with the month factor and the event that wins: priority, then premium."""
-    nights = stays.withColumn("night", F.explode(dates.nights(F.col("checkin"), F.col("checkout"))))
-    e = F.broadcast(happenings.select("slug", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.coalesce("priority", F.lit(50)).alias("priority"), "premium"))
-    joined = nights.join(e, (F.col("night") >= F.col("e_start")) & (F.col("night") <= F.col("e_end")), "left")
-    won = latest.first_per_key(joined, ["stay", "night"], [F.desc_nulls_last("priority"), F.desc_nulls_last("premium"), F.asc_nulls_last("slug")])
-    return won.withColumn("month_factor", month_factor(F.month("night"))).withColumn("night_factor", F.col("month_factor") * (1 + F.coalesce("premium", F.lit(0.0))))
-
-
-STAYS = [(1, "1998-05-29", "1998-06-05"), (2, "1998-06-06", "1998-06-12"), (3, "1998-06-18", "1998-06-25"), (4, "1998-12-30", "1999-01-03")]
-STAYS_SQL = "stays AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, DATE '{a}', DATE '{b}')" for k, a, b in STAYS) + ") AS t(stay, checkin, checkout))"
-NIGHTS_SQL = f"""{STAYS_SQL}, {EVENTS_SQL}, n AS (SELECT stay, CAST(unnest(generate_series(checkin, checkout - 1, INTERVAL 1 DAY)) AS DATE) AS night FROM stays),
-j AS (SELECT stay, night, slug, premium, row_number() OVER (PARTITION BY stay, night ORDER BY priority DESC NULLS LAST, premium DESC NULLS LAST, slug) AS k FROM n LEFT JOIN events_dim ON night BETWEEN s AND e),
-nf AS (SELECT stay, night, slug, {FACTORS_SQL.format('night')} AS mf, {FACTORS_SQL.format('night')} * (1 + COALESCE(premium, 0)) AS f FROM j WHERE k = 1)"""
-
-
-def stays(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STAYS, "stay int, checkin string, checkout string").withColumns({c: F.to_date(c) for c in ("checkin", "checkout")})
-
-
-@query(f"WITH {NIGHTS_SQL} SELECT stay, night, slug, floor(f * 1000000 + 0.5) / 1000000 AS factor FROM nf", dates=["night"])
-def night_event_priority(spark: SparkSession, folder: str) -> DataFrame:
-    return night_premiums(stays(spark), events(spark)).select("stay", "night", "slug", half_up(F.col("night_factor"), 6).alias("factor"))
-
-
-@query(f"""WITH {NIGHTS_SQL} SELECT stay, count(*) AS n_nights, floor(sum(f) / count(*) * 10000 + 0.5) / 10000 AS multiplier, floor(greatest(0, sum(f) / sum(mf) - 1) * 10000 + 0.5) / 10000 AS premium FROM nf GROUP BY stay""")
-def stay_window_seasonality(spark: SparkSession, folder: str) -> DataFrame:
-    """Mean night factor of a stay and what its events add to the months alone."""
-    n = night_premiums(stays(spark), events(spark)).groupBy("stay").agg(F.count("*").alias("n_nights"), F.sum("night_factor").alias("f"), F.sum("month_factor").alias("m"))
-    return n.select("stay", "n_nights", half_up(F.col("f") / F.col("n_nights"), 4).alias("multiplier"), half_up(F.greatest(F.lit(0.0), F.col("f") / F.col("m") - 1), 4).alias("premium"))
-
-
-@query(f"""WITH {NIGHTS_SQL}, z(zone, strength) AS (VALUES ('core', 1.5), ('edge', 1.02), ('far', 0.9))
-SELECT zone, stay, floor(avg(least(2.0, f * greatest(0.95, least(1.4, CASE WHEN slug IS NULL THEN 1.0 ELSE strength END)))) * 10000 + 0.5) / 10000 AS factor FROM nf, z GROUP BY 1, 2""")
-def zone_multiplier(spark: SparkSession, folder: str) -> DataFrame:
-    """Zone overlay of event nights: multiplier from 0.95 to 1.40, a night's product at most 2."""
-    zones = spark.createDataFrame([("core", 1.5), ("edge", 1.02), ("far", 0.9)], "zone string, strength double")
-    strength = clamp(F.when(F.col("slug").isNull(), 1.0).otherwise(F.col("strength")), 0.95, 1.40)
-    nights = night_premiums(stays(spark), events(spark)).crossJoin(F.broadcast(zones))
-    return nights.groupBy("zone", "stay").agg(half_up(F.avg(F.least(F.lit(2.0), F.col("night_factor") * strength)), 4).alias("factor"))
-
-
 def estimate(series: DataFrame, targets: DataFrame) -> DataFrame:
     """Projection of open months (year, month, days_elapsed): run rate of the month before and last year's pace in equal parts.
 

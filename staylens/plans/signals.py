@@ -335,14 +335,6 @@ def month_table(spark: SparkSession, folder: str) -> DataFrame:
         numbers.celsius_to_f(20 + m * F.lit(0.7)).alias("fahrenheit"), numbers.mm_to_inches(m * F.lit(13.7)).alias("inches"))
 
 
-@query("""WITH y AS (SELECT unnest(range(2000, 2060)) AS y), a AS (SELECT y, y % 19 AS g, y // 100 AS c FROM y), h AS (SELECT y, g, c, (c - c // 4 - (8 * c + 13) // 25 + 19 * g + 15) % 30 AS h FROM a),
-i AS (SELECT y, c, h - (h // 28) * (1 - (29 // (h + 1)) * ((21 - g) // 11)) AS i FROM h), j AS (SELECT y, i, (y + y // 4 + i + 2 - c + c // 4) % 7 AS j FROM i), l AS (SELECT y, i - j AS l FROM j)
-SELECT CAST(y AS INTEGER) AS year, make_date(y, 3 + (l + 40) // 44, l + 28 - 31 * ((3 + (l + 40) // 44) // 4)) AS easter FROM l""", dates=["easter"])
-def easter_sundays(spark: SparkSession, folder: str) -> DataFrame:
-    """Easter of sixty years, which moves the holy week's checkpoints."""
-    return spark.createDataFrame([(y, dates.easter(y)) for y in range(2000, 2060)], "year int, easter date")
-
-
 @query(f"""WITH {LISTINGS}, {CALENDAR}, n AS (SELECT id, (SELECT max(day) FROM calendar c WHERE c.listing_id = l.id AND day < DATE '{AS_OF}') AS last_day, (SELECT c.price_cents FROM calendar c WHERE c.listing_id = l.id AND day < DATE '{AS_OF}' ORDER BY day DESC, batch DESC, line DESC LIMIT 1) AS last_cents FROM listings l) SELECT * FROM n""", dates=["last_day"])
 def correlated_latest(spark: SparkSession, folder: str) -> DataFrame:
     """For every listing its newest past night and that night's price; both subqueries as one aggregate and a join."""

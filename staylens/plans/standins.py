@@ -71,6 +71,18 @@ def quotes(spark: SparkSession, folder: str) -> DataFrame:
         half_up(F.col("value") * 100).alias("amount"), "props")
 
 
+def stay_quote_log(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of quotes by stay: three windows a listing, some quotes without status or price."""
+    third = (F.col("event_id") % 3).cast("int")
+    q = table(spark, folder, "events", ["event_id", "user_id", "ts", "event_type", "value"]).select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("listing_id"), F.date_add(F.lit("2024-03-01").cast("date"), third * 7).alias("checkin"),
+        F.date_add(F.lit("2024-03-03").cast("date"), third * 8).alias("checkout"), F.col("ts").alias("collected_at"),
+        F.when(F.col("event_type") == "error", "unavailable").when(F.col("event_type") != "signup", "available").alias("status"),
+        F.when(F.col("event_type") != "click", half_up(F.col("value") * 100)).alias("total"))
+    q = q.withColumn("subtotal", F.col("total") - half_up(F.col("total") / 10))
+    return q.withColumn("nightly", half_up(F.col("subtotal") / F.datediff("checkout", "checkin")))
+
+
 def monthly(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders", ["o_orderdate", "o_totalprice"]).groupBy(
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(

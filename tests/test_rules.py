@@ -1,15 +1,14 @@
 """Worked examples of the market rules."""
 
-from datetime import date, datetime
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from staylens.functions import dates, numbers, text
+from staylens.functions import numbers, text
 from staylens.operators import latest, stats, upserts
 from staylens.plans import comps, series
 from staylens.sources import ical, pages, tables
-from staylens.streaming import feeds
 
 
 def one(spark, **columns):
@@ -46,12 +45,6 @@ def test_iqr_trim(spark):
     assert sorted(r.x for r in out) == [100, 110, 120, 130, 140] and {r.n_removed for r in out} == {1}
 
 
-def test_easter_and_checkpoints(spark):
-    assert [dates.easter(y) for y in (2024, 2026, 2027)] == [date(2024, 3, 31), date(2026, 4, 5), date(2027, 3, 28)]
-    rows = dates.checkpoints(spark, date(2026, 1, 5)).collect()
-    assert rows == sorted(rows, key=lambda r: (r.checkin, r.checkout)) and len({(r.checkin, r.checkout) for r in rows}) == len(rows)
-
-
 def test_text(spark):
     r = one(spark, a=text.sqft(F.lit("75 Square Meters")), b=text.sqft(F.lit("224.38 Square Meter/ 2414.33  Square Feet")),
             t=text.og_title(F.lit("Condo in Puerto Vallarta · ★4.96 · 2 bedrooms · 2 beds · 2 private baths")), s=text.bedrooms(F.lit("Studio apartment")), w=text.bedrooms(F.lit("tres recámaras")),
@@ -127,19 +120,6 @@ def test_page_details_and_calendar(spark):
     assert [(r.date, r.price, r.status) for r in rows] == [(date(2026, 1, 1), None, "booked")]
 
 
-def test_streaming(spark, tmp_path):
-    schema = "id long, listing_id long, seen_at timestamp, status string, amount long"
-    land, out = str(tmp_path / "in"), str(tmp_path / "out")
-    at = lambda h: datetime(2024, 1, 1 + h // 24, h % 24)
-    spark.createDataFrame([(1, 7, at(0), "available", 100), (2, 7, at(30), "unavailable", None)], schema).write.parquet(land)
-    stream = feeds.landing(spark, land, schema)
-    feeds.append_new(feeds.booking_flips(stream), out, ["listing_id", "id"], str(tmp_path / "c1")).awaitTermination(120)
-    rows = spark.read.parquet(out).collect()
-    assert [(r.listing_id, r.id, r.presumed_amount, r.confidence) for r in rows] == [(7, 2, 100, "high")]
-    feeds.append_new(feeds.booking_flips(stream), out, ["listing_id", "id"], str(tmp_path / "c2")).awaitTermination(120)
-    assert spark.read.parquet(out).count() == 1
-
-
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "quoted", text', None), (2, "two\nlines", 1.5)], "id int, name string, x double")
     tables.write_csv(df, str(tmp_path / "out"))
