@@ -30,6 +30,7 @@ KEPT_LETTERS = 40
 #: chunks that a task keeps between portions besides the shared ones
 OWN_CHUNKS = 100_000
 NONE = float("inf")
+LAST = 1 << 30
 
 
 def chunks_of(text: str) -> list[str]:
@@ -59,6 +60,12 @@ class PieceModel:
         self.spelled = [b"" if model.is_control(i) else bytes([byte_of[i]]) if i in byte_of else b" \xe2\x81\x87 " if i == self.unknown else x.replace(MARK, " ").encode() for i, x in enumerate(names)]
         self.controls, self.bytes = {i for i in special if model.is_control(i)}, set(byte_of)
         self.marked = {i for x, i in self.id_of.items() if x.startswith(MARK)}
+        letters = sorted((ord(x), i) for x, i in self.id_of.items() if len(x) == 1)
+        self.points, self.point_ids = (np.array(x, np.int64) for x in zip(*letters, strict=True))
+        order = {c: k for k, c in enumerate(sorted(set(self.cost.values())))}
+        pairs = sorted((self.id_of[x[:k]] << 20 | self.id_of[x[k:]], order[self.cost[x]], i)
+                       for x, i in self.id_of.items() for k in range(1, len(x)) if x[:k] in self.id_of and x[k:] in self.id_of)
+        self.pair_keys, self.pair_ranks, self.pair_ids = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
 
     def segment(self, chunk: str) -> list[int]:
         """Ids of one chunk: of all neighbours that form a piece, the pair of best score merges first, the leftmost of equals."""
@@ -84,6 +91,61 @@ class PieceModel:
                 ids.append(i)
         return ids
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each two neighbours by score (LAST where they form no piece) and the piece's id."""
+        keys = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        hit = self.pair_keys[at] == keys
+        return np.where(hit, self.pair_ranks[at], LAST), self.pair_ids[at]
+
+    def segment_many(self, chunks: list[str]) -> list[bytes]:
+        """Ids of many chunks as little-endian uint32 bytes: in each round every chunk merges its one best pair.
+
+        Chunks that are long, or hold letters beyond ASCII that are no pieces, are segmented one by one.
+        """
+        out = [b""] * len(chunks)
+        own = [i for i, c in enumerate(chunks) if len(c) <= 48]
+        sizes = np.fromiter((len(chunks[i]) for i in own), np.int64, len(own))
+        points = np.frombuffer("".join([chunks[i] for i in own]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        place = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
+        ids = np.where(self.points[place] == points, self.point_ids[place], -1)
+        plain = np.flatnonzero((ids < 0) & (points < 128))
+        ids[plain] = np.array(self.byte_ids, np.int64)[points[plain]]  # byte ids are in no pair
+        word, names = np.repeat(np.arange(len(own)), sizes), np.array(own, np.int64)
+        odd = np.zeros(len(own), bool)
+        odd[word[ids < 0]] = True
+        for i in [*names[odd].tolist(), *set(range(len(chunks))).difference(own)]:
+            out[i] = np.array(self.segment(chunks[i]), "<u4").tobytes()
+        whole = ~odd[word]
+        ids, word = ids[whole], word[whole]
+        rank, made = np.full(len(ids), LAST), np.zeros(len(ids), np.int64)
+
+        def rate(at: np.ndarray) -> None:
+            at = at[(at >= 0) & (at < len(ids) - 1)]
+            at = at[word[at] == word[at + 1]]
+            rank[at], made[at] = self._ranks(ids[at], ids[at + 1])
+
+        rate(np.arange(len(ids)))
+        while len(ids):
+            starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), starts)
+            done = best >> 32 == LAST
+            if done.any():
+                stops = np.append(starts[1:], len(ids))
+                flat = ids.astype("<u4").tobytes()
+                for i, a, b in zip(names[word[starts[done]]].tolist(), (4 * starts[done]).tolist(), (4 * stops[done]).tolist(), strict=True):
+                    out[i] = flat[a:b]
+            at = best[~done] & 0xFFFFFFFF
+            keep = np.repeat(~done, np.diff(np.append(starts, len(ids))))
+            ids[at] = made[at]
+            keep[at + 1] = False
+            moved = np.cumsum(keep)[at] - 1
+            ids, word, rank, made = ids[keep], word[keep], rank[keep], made[keep]
+            rank[moved] = LAST
+            rank[moved[moved > 0] - 1] = np.where(word[moved[moved > 0] - 1] == word[moved[moved > 0]], LAST, rank[moved[moved > 0] - 1])
+            rate(np.concatenate([moved, moved - 1]))
+        return out
+
     def _merge_long(self, parts: list[str]) -> list[str]:
         """The same merges by a heap over a linked list: n log n for chunks of any length."""
         n = len(parts)
@@ -122,21 +184,27 @@ _REPLACED = {c: "�" for c in range(0xDC80, 0xDD00)}
 
 
 class ChunkTable(dict):
-    """Ids of distinct chunks as little-endian uint32 bytes; a chunk that is asked for first is segmented then."""
+    """Ids of distinct chunks as little-endian uint32 bytes; a portion's new chunks are segmented together."""
 
     def __init__(self, model: PieceModel, shared: dict[str, bytes] | None = None):
         super().__init__(shared or {})
         self.model, self.room, self.own = model, len(self) + OWN_CHUNKS, []
 
-    def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = ids = np.array(self.model.segment(chunk), "<u4").tobytes()
-        self.own.append(chunk)
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text with those of begin and end."""
-        ends = (x.to_bytes(4, "little") for x in (self.model.begin, self.model.end))
-        return b"".join(map(self.__getitem__, chunks_of(text))).join(ends)
+    def learn(self, chunks: set[str]) -> None:
+        """Segment the chunks that the table does not hold yet."""
+        new = list(chunks.difference(self))
+        for at in range(0, len(new), 50_000):
+            some = new[at: at + 50_000]
+            self.update(zip(some, self.model.segment_many(some), strict=True))
+        self.own += new
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts with those of begin and end."""
+        cut = [chunks_of(t) for t in texts]
+        self.learn(set().union(*cut))
+        begin, end = (x.to_bytes(4, "little") for x in (self.model.begin, self.model.end))
+        find = self.__getitem__
+        return [b"".join([begin, *map(find, c), end]) for c in cut]
 
     def shrink(self) -> None:
         """Between portions: chunks met in the last one stay where they are short and there is room."""
@@ -172,7 +240,9 @@ def _segment_rows(path: str) -> Callable:
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(path)
         for batch in batches:
-            ids = [table[c] for c in batch.column(0).to_pylist()]
+            chunks = batch.column(0).to_pylist()
+            table.learn(set(chunks))
+            ids = [table[c] for c in chunks]
             table.shrink()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["chunk", "ids"])
 
@@ -206,7 +276,7 @@ def _encode_rows(path: str, shared: object) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(path, shared, name)
         for batch in portions(batches, 1):
-            ids = [table.encode(t or "") for t in batch.column(1).to_pylist()]
+            ids = table.encode_many([t or "" for t in batch.column(1).to_pylist()])
             table.shrink()
             decoded = [table.model.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])

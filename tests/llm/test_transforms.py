@@ -154,7 +154,8 @@ def test_segments_and_decodes_like_the_library():
     for k in range(4_000):
         n = draw.choice([0, 1, 2, 3, 5, 10, 40, 150, 400])
         text = "".join(draw.choices(letters, k=n)) if k % 3 else draw.choice(["a", "ab", "▁", " ", "the", "=", "0"]) * n
-        ids = np.frombuffer(table.encode(text), "<u4").tolist()
+        ids = np.frombuffer(table.encode_many([text])[0], "<u4").tolist()
+        assert table.model.segment_many([text[:60]]) == [np.array(table.model.segment(text[:60]), "<u4").tobytes()]
         assert ids == own.encode(text, add_bos=True, add_eos=True)
         assert table.model.decode(ids) == own.decode(ids)
         table.shrink()
@@ -165,11 +166,11 @@ def test_segments_and_decodes_like_the_library():
 def test_each_distinct_chunk_is_segmented_once():
     path = public_tokenizers.path("piece_bpe_32k.model")
     model, seen = pieces.PieceModel(path), []
-    plain = model.segment
-    model.segment = lambda chunk: seen.append(chunk) or plain(chunk)
+    plain = model.segment_many
+    model.segment_many = lambda chunks: seen.extend(chunks) or plain(chunks)
     table = pieces.ChunkTable(model, {"▁known": b"\0\0\0\0"})
     for _ in range(3):
-        table.encode("some words known some  words again " * 50)
+        table.encode_many(["some words known some  words again " * 50] * 2)
     assert sorted(seen) == sorted({c for c in pieces.chunks_of("some words known some  words again " * 50)} - {"▁known"})
 
 
