@@ -40,10 +40,6 @@ def hours_between(start: Column, end: Column) -> Column:
     return micros.cast("double") / F.lit(3_600_000_000.0)
 
 
-def season(month: Column) -> Column:
-    return F.when(month.isin(12, 1, 2, 3, 4), "high").when(month.isin(5, 10, 11), "shoulder").otherwise("low")
-
-
 def overlaps(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
     """Closed intervals that share a day."""
     return (start_a <= end_b) & (end_a >= start_b)
@@ -78,8 +74,8 @@ WEEKS, ANCHORS, HORIZON_DAYS = 12, 6, 540
 FRIDAY, SATURDAY, MONDAY = 5, 6, 1
 
 
-def checkpoint_season(day: Column) -> Column:
-    """Season of a check-in: November to April high, May and October between, the rest low."""
+def season(day: Column) -> Column:
+    """Season of a day: November to April high, May and October between, the rest low."""
     return F.when(F.month(day).isin(11, 12, 1, 2, 3, 4), "high").when(F.month(day).isin(5, 10), "shoulder").otherwise("low")
 
 
@@ -123,4 +119,4 @@ def checkpoints(df: DataFrame, as_of: str, weeks: int = WEEKS, anchors: int = AN
     rows = df.filter(c(as_of).isNotNull()).withColumn(listed, stay_windows(c(as_of), weeks, anchors)).select(*df.columns, F.explode(F.filter(listed, first)).alias("_w")).select(*df.columns, "_w.*")
     return rows.select(
         *df.columns, "checkin", F.date_add("checkin", c("stay_nights")).alias("checkout"), "stay_nights", "kind", "tag", dow0(c("checkin")).isin(FRIDAY, SATURDAY).alias("is_weekend"),
-        checkpoint_season(c("checkin")).alias("season"), F.datediff("checkin", as_of).alias("days_out"))
+        season(c("checkin")).alias("season"), F.datediff("checkin", as_of).alias("days_out"))

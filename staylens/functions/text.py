@@ -81,7 +81,7 @@ def sqft(x: Column) -> Column:
     return F.when(feet > 0, half_up(feet)).when(metres > 0, sqm_to_sqft(metres))
 
 
-def _word_number(word: Column) -> Column:
+def number_word(word: Column) -> Column:
     return reduce(lambda a, kv: a.when(word == kv[0], kv[1]), NUMBER_WORDS.items(), F)
 
 
@@ -91,14 +91,14 @@ def bedrooms(text: Column) -> Column:
     counted = F.nullif(F.regexp_extract(low, r"\b([0-9]+)\s*-?\s*" + ROOMS + r"\b", 1), F.lit("")).try_cast("int")
     bare = low.rlike(r"\b[0-9]+\s*" + ROOMS + r"\b")
     words = F.regexp_extract(low, r"\b(" + "|".join(NUMBER_WORDS) + r")[\s-]+" + ROOM_WORDS + r"\b", 1)
-    return F.when(low.rlike(r"\b(?:studio|estudio|monoambiente|efficiency)\b") & ~bare, 0).when(counted <= 20, counted).otherwise(_word_number(words))
+    return F.when(low.rlike(r"\b(?:studio|estudio|monoambiente|efficiency)\b") & ~bare, 0).when(counted <= 20, counted).otherwise(number_word(words))
 
 
 def bathrooms(text: Column) -> Column:
     low = F.lower(text)
     counted = F.nullif(F.regexp_extract(low, r"\b([0-9]+(?:\.5)?)\s*-?\s*" + BATHS, 1), F.lit("")).try_cast("double")
     words = F.regexp_extract(low, r"\b(" + "|".join(NUMBER_WORDS) + r")[\s-]+" + BATHS, 1)
-    return F.when(counted <= 20, counted).otherwise(_word_number(words).cast("double"))
+    return F.when(counted <= 20, counted).otherwise(number_word(words).cast("double"))
 
 
 def property_type(label: Column) -> Column:

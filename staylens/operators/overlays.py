@@ -26,6 +26,15 @@ def month_value(month: Column, values: Sequence) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), month)
 
 
+def active_events(events: DataFrame, as_of: Column, category: str | None = None) -> DataFrame:
+    """Active events (category, start, stop, active) that end on or after a day; without a last day one ends when it begins.
+
+    ``category`` None means all of them. An event whose activity is unknown is not active.
+    """
+    ending = events.filter("active").withColumn("stop", F.coalesce("stop", "start")).filter(F.col("stop") >= as_of)
+    return ending if category is None else ending.filter(F.col("category") == category)
+
+
 def _bin(day: Column) -> Column:
     return F.floor(F.unix_date(day) / BIN_DAYS)
 

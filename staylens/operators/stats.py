@@ -25,6 +25,11 @@ def upper_median(x: str) -> Column:
     return at_share(x, 0.5)
 
 
+def upper_of(values: Column) -> Column:
+    """The upper median of a sorted array, null for an empty one."""
+    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+
+
 def nearest_quartile(x: str, share: float) -> Column:
     """The value at floor(n * share); under four values the least or the greatest."""
     few = F.min(x) if share < 0.5 else F.max(x)

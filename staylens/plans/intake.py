@@ -13,6 +13,7 @@ from staylens.operators import stats, upserts
 from staylens.operators.latest import first_per_key
 from staylens.plans.registry import query
 from staylens.plans.standins import EVENTS_AS_OF, LISTINGS, QUOTES, listings, quotes
+from staylens.sources import listing_pages as listing_pages_source
 from staylens.sources import pages as page_source
 from staylens.sources.tables import table
 
@@ -216,11 +217,16 @@ def amenity_key_check(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part", ["p_partkey"]).select(F.col("p_partkey").alias("id"), amenity_key(pick(RAW_KEYS, F.col("p_partkey"))).alias("x")).select("id", "x.*")
 
 
-@query("SELECT category, string_agg(key, ',' ORDER BY key) AS keys, count(*) AS n FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in AMENITY_KEYS.items()) + ") AS t(key, category) GROUP BY 1")
+@query(f"""WITH r AS (SELECT p_partkey AS id, {pick_sql(RAW_KEYS, 'p_partkey')} AS raw FROM part), s AS (SELECT id, raw, regexp_replace(trim(lower(raw)), '[_-]', ' ', 'g') AS sp FROM r),
+c AS (SELECT id, CASE WHEN raw IN {_KEYS_SQL} THEN raw WHEN regexp_replace(sp, '\\s+', '_', 'g') IN {_KEYS_SQL} THEN regexp_replace(sp, '\\s+', '_', 'g') ELSE CASE sp {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AMENITY_NAMES.items())} END END AS key FROM s),
+k AS (SELECT CASE key {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AMENITY_KEYS.items())} END AS category, key, count(DISTINCT id) AS n FROM c WHERE key IS NOT NULL GROUP BY 1, 2)
+SELECT category, string_agg(key, ',' ORDER BY key) AS keys, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1""")
 def amenity_catalogue(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys of each category of the amenity dictionary."""
-    rows = spark.createDataFrame(list(AMENITY_KEYS.items()), "key string, category string")
-    return rows.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"), F.count("*").alias("n"))
+    """Keys that listings have by category, with how often."""
+    found = table(spark, folder, "part", ["p_partkey"]).select(F.col("p_partkey").alias("id"), amenity_key(pick(RAW_KEYS, F.col("p_partkey")))["canonical"].alias("key"))
+    kinds = F.create_map(*[F.lit(v) for pair in AMENITY_KEYS.items() for v in pair])
+    counted = found.filter("key IS NOT NULL").groupBy(F.element_at(kinds, F.col("key")).alias("category"), "key").agg(F.count_distinct("id").alias("n"))
+    return counted.groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("key")), ",").alias("keys"), F.sum("n").alias("n"))
 
 
 #: fixed values: raw building names that are units of a building
@@ -310,8 +316,9 @@ def search_cards(spark: SparkSession, folder: str) -> DataFrame:
     cards = F.array_join(F.slice(F.array(card(1), card(2)), F.lit(1), (F.col("p_size") % 3).cast("int")), ",")
     html = F.concat(F.lit('<html><script id="data-deferred-state-0" type="application/json">{"a":{"b":[{"c":{"results":['), cards, F.lit(']}}]},"d":{"__typename":"Other"}}</script></html>'))
     pages = table(spark, folder, "part", ["p_partkey", "p_name", "p_size", "p_retailprice"]).select(k.alias("id"), html.alias("html"))
-    return page_source.cards(pages, "StaySearchResult").select("id", F.concat(F.lit("ABB-"), page_source.node_id(F.get_json_object("node", "$.listing.id"))).alias("external_id"), F.get_json_object("node", "$.listing.name").alias("title"),
-                                                             F.get_json_object("node", "$.price").try_cast("double").alias("price"), F.get_json_object("node", "$.rating").try_cast("double").alias("rating"))
+    found = listing_pages_source.nodes(pages, "StaySearchResult")
+    of = lambda path, kind="string": F.try_variant_get("node", path, kind)
+    return found.select("id", F.concat(F.lit("ABB-"), page_source.node_id(of("$.listing.id"))).alias("external_id"), of("$.listing.name").alias("title"), of("$.price", "double").alias("price"), of("$.rating", "double").alias("rating"))
 
 
 # ---- job, event and dictionary tables
@@ -348,11 +355,11 @@ def delist_gone(spark: SparkSession, folder: str) -> DataFrame:
     return delisted(listings(spark, folder).select("id", "hood", F.lit(True).alias("is_active")), gone).groupBy("hood").agg(F.count_if("is_active").alias("active"), F.count_if(~F.col("is_active")).alias("delisted"))
 
 
-@query("WITH old(key, category) AS (VALUES ('pool', 'old'), ('sauna', 'water')), new(key, category) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in AMENITY_KEYS.items()) + ") SELECT COALESCE(n.key, o.key) AS key, COALESCE(n.category, o.category) AS category FROM old o FULL JOIN new n ON n.key = o.key")
+@query("WITH old AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key, 'old' AS category FROM part UNION ALL SELECT 'pool', 'old'), new(key, category) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in AMENITY_KEYS.items()) + ") SELECT COALESCE(n.key, o.key) AS key, COALESCE(n.category, o.category) AS category FROM old o FULL JOIN new n ON n.key = o.key")
 def dictionary_seed(spark: SparkSession, folder: str) -> DataFrame:
-    """A dictionary seeded by key: entries at hand are overwritten, others stay."""
-    old = spark.createDataFrame([("pool", "old"), ("sauna", "water")], "key string, category string")
-    return upserts.merged(old, spark.createDataFrame(list(AMENITY_KEYS.items()), "key string, category string"), ["key"], {"category": "overwrite"})
+    """A dictionary of the words in use seeded by key: entries of the seed are overwritten or added, others stay."""
+    words = table(spark, folder, "part", ["p_name"]).select(F.explode(F.split("p_name", " ")).alias("key")).unionByName(spark.range(1).select(F.lit("pool").alias("key"))).distinct()
+    return upserts.merged(words.select("key", F.lit("old").alias("category")), spark.createDataFrame(list(AMENITY_KEYS.items()), "key string, category string"), ["key"], {"category": "overwrite"})
 
 
 @query("""WITH e AS (SELECT event_id AS id, user_id, ts FROM events WHERE event_type <> 'error'), a AS (SELECT user_id, min(ts) AS applied_at FROM events WHERE event_type = 'purchase' GROUP BY 1)

@@ -11,7 +11,6 @@ from staylens.functions import dates, numbers
 from staylens.functions.numbers import half_up, ratio
 from staylens.plans.market import forward
 from staylens.plans.registry import query
-from staylens.plans.series import EVENTS_SQL, events
 from staylens.plans.standins import AS_OF, CALENDAR, EVENTS_AS_OF, LISTINGS, MONTHLY, calendar, listings, monthly
 from staylens.sources.tables import table
 
@@ -222,12 +221,6 @@ def pending_months(spark: SparkSession, folder: str) -> DataFrame:
     return wanted.join(monthly(spark, folder).select("year", "month"), ["year", "month"], "left_anti")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT slug, s AS start, e AS \"end\", priority FROM events_dim WHERE priority >= 50 ORDER BY s DESC", dates=["start", '"end"'])
-def active_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Active events of a priority, newest first; an event without last day ends when it begins."""
-    return events(spark).filter("priority >= 50").orderBy(F.desc("start")).select("slug", "start", "end", "priority")
-
-
 def signed_percent(x: Column) -> Column:
     """A percentage with sign and one digit, rounded half up."""
     tenths = half_up(x * 10)
@@ -313,26 +306,17 @@ def seed_order(spark: SparkSession, folder: str) -> DataFrame:
     return seeds(_buckets(spark, folder)).withColumn("position", F.row_number().over(order)).filter("position <= 10")
 
 
-@query(f"""WITH {LISTINGS}, x AS (SELECT id, CASE WHEN hood IN ('Zona Romantica', 'Amapas') THEN 1 WHEN beach_m <= 100 THEN 2 ELSE 3 END AS tier, CAST(substr(hood, 7) AS VARCHAR) AS nb, bedrooms, CAST(floor(price_cents / 25000) AS BIGINT) AS band FROM listings),
-y AS (SELECT id, tier, tier * 1000 + length(nb) * 100 + bedrooms * 10 + band AS execution_rank, tier = 1 AS first FROM x) SELECT id, tier, execution_rank, CAST(row_number() OVER (PARTITION BY tier ORDER BY execution_rank, id) AS INTEGER) AS position FROM y""")
-def execution_order(spark: SparkSession, folder: str) -> DataFrame:
-    """Discovery tiers, first tier before second before third, and the order of execution inside each."""
-    c = F.col
-    tier = F.when(c("hood").isin("Zona Romantica", "Amapas"), 1).when(c("beach_m") <= 100, 2).otherwise(3)
-    x = listings(spark, folder).select("id", tier.alias("tier"), (tier * 1000 + F.length(F.substring("hood", 7, 100)) * 100 + c("bedrooms") * 10 + F.floor(c("price_cents") / 25_000)).alias("execution_rank"))
-    return x.withColumn("position", F.row_number().over(Window.partitionBy("tier").orderBy("execution_rank", "id")))
-
-
 # ---- calendars and units
 
-@query("""WITH m AS (SELECT unnest(range(1, 13)) AS month) SELECT CAST(month AS INTEGER) AS month, '2024-' || lpad(CAST(month AS VARCHAR), 2, '0') AS key, CASE WHEN month IN (12, 1, 2, 3, 4) THEN 'high' WHEN month IN (5, 10, 11) THEN 'shoulder' ELSE 'low' END AS season,
-  CAST(day(last_day(make_date(2024, month, 1))) AS INTEGER) AS days, floor((20 + month * 0.7::DOUBLE) * 9 / 5 * 10 + 320 + 0.5) / 10 AS fahrenheit, floor(month * 13.7::DOUBLE / 25.4::DOUBLE * 100 + 0.5) / 100 AS inches FROM m""")
+@query(f"""WITH {MONTHLY} SELECT year, month, year || '-' || lpad(CAST(month AS VARCHAR), 2, '0') AS key, CASE WHEN month IN (11, 12, 1, 2, 3, 4) THEN 'high' WHEN month IN (5, 10) THEN 'shoulder' ELSE 'low' END AS season, CAST(day(last_day(make_date(year, month, 1))) AS INTEGER) AS days,
+  floor(((orders % 400) / 10.0::DOUBLE * 9 / 5 + 32) * 10 + 0.5) / 10 AS fahrenheit, floor((cents % 30000) / 100.0::DOUBLE / 25.4::DOUBLE * 100 + 0.5) / 100 AS inches, CAST(floor(orders * 10.7639::DOUBLE + 0.5) AS BIGINT) AS sqft FROM monthly""")
 def month_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Months with their key, season and length, and readings in the other units."""
-    m = F.col("month")
-    return spark.range(1, 13).select(F.col("id").cast("int").alias("month")).select(
-        "month", dates.month_key(F.lit(2024), m).alias("key"), dates.season(m).alias("season"), dates.days_in_month(F.make_date(F.lit(2024), m, F.lit(1))).alias("days"),
-        numbers.celsius_to_f(20 + m * F.lit(0.7)).alias("fahrenheit"), numbers.mm_to_inches(m * F.lit(13.7)).alias("inches"))
+    """Months of the series with their key, season and length, and readings in the other units."""
+    y, m = F.col("year"), F.col("month")
+    first = F.make_date(y, m, F.lit(1))
+    return monthly(spark, folder).select(
+        "year", "month", dates.month_key(y, m).alias("key"), dates.season(first).alias("season"), dates.days_in_month(first).alias("days"), numbers.celsius_to_f((F.col("orders") % 400) / F.lit(10.0)).alias("fahrenheit"),
+        numbers.mm_to_inches((F.col("cents") % 30_000) / F.lit(100.0)).alias("inches"), numbers.sqm_to_sqft(F.col("orders")).alias("sqft"))
 
 
 @query(f"""WITH {LISTINGS}, {CALENDAR}, n AS (SELECT id, (SELECT max(day) FROM calendar c WHERE c.listing_id = l.id AND day < DATE '{AS_OF}') AS last_day, (SELECT c.price_cents FROM calendar c WHERE c.listing_id = l.id AND day < DATE '{AS_OF}' ORDER BY day DESC, batch DESC, line DESC LIMIT 1) AS last_cents FROM listings l) SELECT * FROM n""", dates=["last_day"])

@@ -9,7 +9,7 @@ from staylens.functions import dates, text
 from staylens.operators import bookings, overlays
 from staylens.plans.offers import stay_quotes
 from staylens.plans.registry import query
-from staylens.plans.standins import CALENDAR, EVENTS_AS_OF, LISTINGS, calendar, listings, stay_quote_log
+from staylens.plans.standins import AS_OF, CALENDAR, EVENTS_AS_OF, LISTINGS, calendar, listings, stay_quote_log
 from staylens.sources.tables import table
 
 #: fixed values: display names of neighbourhoods whose key is not their slug
@@ -49,6 +49,13 @@ def event_overlays(spark: SparkSession, folder: str) -> DataFrame:
         F.when(priority == "1", 100).when(priority == "2", 90).when(priority == "3", 60).alias("priority"), F.col("o_custkey").alias("customer"))
 
 
+def listed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Large orders as entries of an event list: some have no last day, some are not active."""
+    key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    rows = table(spark, folder, "orders", ["o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus"]).filter(F.col("o_totalprice") > EVENT_PRICE)
+    return rows.select(key.alias("key"), F.col("o_orderstatus").alias("category"), day.alias("start"), F.when(key % 4 != 0, F.date_add(day, (key % 9).cast("int"))).alias("stop"), (key % 5 != 0).alias("active"))
+
+
 def hood_key(hood: str) -> F.Column:
     """Key of a neighbourhood's display name: its own, or its slug; null for no name."""
     known = F.create_map(*(F.lit(x) for pair in HOOD_KEYS.items() for x in pair))
@@ -62,6 +69,13 @@ def event_zones(spark: SparkSession, folder: str) -> DataFrame:
     return met.groupBy("key", "zone").agg(F.min_by(F.lit(0.8) + (F.col("id") * 7 % 80) / 100, "k").alias("strength"))
 
 
+@query(f"""WITH o AS (SELECT o_orderkey AS key, o_orderstatus AS category, CAST(o_orderdate AS DATE) AS start, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INTEGER) END AS stop, o_orderkey % 5 <> 0 AS active FROM orders WHERE o_totalprice > {EVENT_PRICE})
+SELECT key, category, start, COALESCE(stop, start) AS stop FROM o WHERE active AND category = 'F' AND COALESCE(stop, start) >= DATE '{AS_OF}'""", dates=["start", "stop"])
+def active_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Active events of a category that are not over."""
+    return overlays.active_events(listed_events(spark, folder), F.lit(AS_OF).cast("date"), category="F").select("key", "category", "start", "stop")
+
+
 @query(f"WITH {WINNERS_SQL} SELECT night, key, phase, pct / 100.0::DOUBLE AS premium, priority FROM won", dates=["night"])
 def night_event_priority(spark: SparkSession, folder: str) -> DataFrame:
     """The event that holds each night of any stay."""

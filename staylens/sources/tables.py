@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -58,8 +59,44 @@ def write_snapshot(df: DataFrame, folder: str, name: str) -> str:
     return path
 
 
-def reload_all(steps: Sequence[tuple[str, DataFrame]], folder: str) -> dict[str, str]:
-    """Write tables in their order, each a new version beside the old one; stops at the first that fails, so what derives from others comes last."""
+def reload_all(spark: SparkSession, steps: Sequence[tuple[str, Callable[[dict[str, DataFrame]], DataFrame]]], folder: str) -> dict[str, str]:
+    """Write tables in their order, each a new version beside the old one; a step gets the versions that the steps before it wrote.
+
+    Stops at the first step that fails, so what derives from others comes last and never mixes old versions with new ones. Returns
+    each table's new path.
+    """
+    from staylens.operators.upserts import replace_table
+
+    paths: dict[str, str] = {}
+    for name, make in steps:
+        written = {n: spark.read.parquet(p) for n, p in paths.items()}
+        paths[name] = replace_table(make(written), f"{folder.rstrip('/')}/{name}")
+    return paths
+
+
+def registry(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows (name, n_rows) of tables, for the last step of a reload."""
+    counts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def reload_numbered(df: DataFrame, path: str, identity: str = "id") -> str:
+    """A new version of a table whose rows are numbered 1 to n anew, and its path.
+
+    Rows are written once with their place in their partition. The sizes of the partitions, one row for each, give the offsets, so
+    numbers come without a sort or a single task. Equal inputs may be numbered differently; every version is dense.
+    """
     from staylens.operators.upserts import replace_table
 
-    return {name: replace_table(df, f"{folder.rstrip('/')}/{name}") for name, df in steps}
+    taken = {c.lower() for c in df.columns}
+    if identity.lower() in taken:
+        raise ValueError(f"the table has a column {identity} already")
+    place = next(n for n in ("_place", "_place_", "_place__") if n not in taken)
+    spark = df.sparkSession
+    staged = spark.read.parquet(replace_table(df.withColumn(place, F.monotonically_increasing_id()), f"{path.rstrip('/')}/staged"))
+    part = F.shiftright(F.col(place), 33)
+    sizes = staged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    own = staged.withColumn("_part", part).join(before.select("_part", "_before"), "_part")
+    number = F.col("_before") + F.col(place).bitwiseAND((1 << 33) - 1) + 1
+    return replace_table(own.select(number.alias(identity), *df.columns), path)
