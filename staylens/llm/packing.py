@@ -21,8 +21,10 @@ from staylens.llm.bpe import encoder
 from staylens.llm.common import checkpointed, portions, tidy
 
 Packing = list[list[int]]
-#: from which share of the capacity a bin is full; shares of full bins injected and of the other parent's bins emptied
-FULL, INJECTED, EMPTIED = 0.999, 0.7, 0.4
+#: from which share of the capacity a bin is full, and the share of full bins injected
+FULL, INJECTED = 0.999, 0.5
+#: bounds of the share of the other parent's bins that a crossover empties
+EMPTIED = 0.3, 0.7
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
@@ -93,34 +95,38 @@ def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: rand
     chosen = [b[k] for k in (wells + wells)[first: first + max(1, int(len(wells) * INJECTED))]]
     held = {i for x in chosen for i in x}
     kept = sorted((x for x in a if held.isdisjoint(x)), key=fill)
-    bins = [list(x) for x in kept[max(1, int(len(kept) * EMPTIED)):] + chosen]
+    bins = [list(x) for x in kept[max(1, int(len(kept) * rng.uniform(*EMPTIED))):] + chosen]
     there = {i for x in bins for i in x}
     out = sorted((i for x in a for i in x if i not in there), key=lambda i: (-sizes[i], i))
     best_fit(bins, [capacity - fill(x) for x in bins], out, sizes, capacity)
     return bins
 
 
-def evolve(sizes: list[int], capacity: int, seeds: list[Packing], rng: random.Random, population: int, generations: int) -> tuple[Packing, list[int]]:
-    """The best packing an island finds from random groupings and the elites it was sent, and the fewest bins before and after each crossover.
+def evolve(sizes: list[int], capacity: int, seeds: list[Packing], rng: random.Random, population: int, generations: int) -> tuple[Packing, list[int], int]:
+    """The best packing an island finds, the fewest bins before and after each crossover, and how many crossovers here led to the best.
 
-    An island that was sent no elite makes at least one crossover; beyond that it ends once no packing can have fewer bins.
-    Elites meet best-fit decreasing, so what is found is never worse than that.
+    The pool begins with the elites that the island was sent and random groupings (pieces in random order, each into the fullest bin that
+    takes it); all else are crossovers. An island that was sent no elite makes at least one; beyond that it ends once no packing can
+    have fewer bins. The best of the pool always stays, so an island never gives up what it was sent.
     """
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    pool = [*seeds, _packed(order, sizes, capacity)] if seeds else []
+    order = list(range(len(sizes)))
+    pool: list[tuple[Packing, int]] = [(p, 0) for p in seeds]
     while len(pool) < max(2, population):
         rng.shuffle(order)
-        pool.append(_packed(order, sizes, capacity))
+        pool.append((_packed(order, sizes, capacity), 0))
+    rate = lambda x: fitness(x[0], sizes, capacity)
     floor = -(-sum(sizes) // capacity)
-    trail = [min(map(len, pool))]
+    trail = [min(len(p) for p, _ in pool)]
     for _ in range(generations):
         if trail[-1] <= floor and (seeds or len(trail) > 1):
             break
-        pool.sort(key=lambda p: fitness(p, sizes, capacity), reverse=True)
-        child = crossover(pool[0], pool[rng.randrange(1, len(pool))], sizes, capacity, rng)
-        pool = [*pool[: max(1, population - 1)], child]
+        pool.sort(key=rate, reverse=True)
+        (a, born_a), (b, born_b) = pool[0], pool[rng.randrange(1, len(pool))]
+        child = crossover(a, b, sizes, capacity, rng)
+        pool = [*pool[: max(1, population - 1)], (child, 1 + max(born_a, born_b))]
         trail.append(min(trail[-1], len(child)))
-    return max(pool, key=lambda p: fitness(p, sizes, capacity)), trail
+    best, born = max(pool, key=rate)
+    return best, trail, born
 
 
 def _numbers(bins: Packing, n: int) -> list[int]:
@@ -145,15 +151,15 @@ def _island(capacity: int, seed: int, population: int, generations: int) -> Call
             for block, isle, epoch, sizes, elites in zip(frame["block"], frame["island"], frame["epoch"], frame["sizes"], frame["elites"], strict=True):
                 sizes = [int(x) for x in sizes]
                 rng = random.Random(f"{seed}:{block}:{isle}:{epoch}")
-                best, trail = evolve(sizes, capacity, [_bins([int(k) for k in e]) for e in elites], rng, population, generations)
-                out.append((block, isle, _numbers(best, len(sizes)), *fitness(best, sizes, capacity), trail))
-            yield pd.DataFrame(out, columns=["block", "island", "bins", "few", "uneven", "trail"])
+                best, trail, born = evolve(sizes, capacity, [_bins([int(k) for k in e]) for e in elites], rng, population, generations)
+                out.append((block, isle, _numbers(best, len(sizes)), *fitness(best, sizes, capacity), trail, born))
+            yield pd.DataFrame(out, columns=["block", "island", "bins", "few", "uneven", "trail", "born"])
 
     return island
 
 
 def pack(pieces: DataFrame, capacity: int = 2_048, block_pieces: int = 4_096, islands: int = 2, epochs: int = 2,
-         population: int = 4, generations: int = 8, seed: int = 11) -> DataFrame:
+         population: int = 4, generations: int = 12, seed: int = 11) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length and any others) with sequence_id and offset.
 
     Every length is from 1 to ``capacity``; a full piece gets a sequence of its own. offset is the place
@@ -170,7 +176,7 @@ def pack(pieces: DataFrame, capacity: int = 2_048, block_pieces: int = 4_096, is
     blocked = checkpointed(dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(F.col("item.length").alias("length"), "number", "item"))).alias("items")))
     partial = blocked.select("block", F.filter("items", lambda x: x["length"] < capacity).alias("items"))
     isles = partial.select("block", F.col("items.length").alias("sizes"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-    schema = "block long, island int, bins array<int>, few long, uneven double, trail array<int>"
+    schema = "block long, island int, bins array<int>, few long, uneven double, trail array<int>, born int"
     run = _island(capacity, seed, population, generations)
     spread_rows = max(1, min(blocks * islands, 100_000))
     none = F.array().cast("array<array<int>>")
