@@ -386,7 +386,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         packed(context.broadcast(marks(asked, "doc_id"))).join(wanted, "doc_id").select("doc_id", "packed", "wanted").mapInArrow(tidy(_fetched(length, buckets)), PARTS)
         .groupBy("bucket").applyInArrow(_compared(length), FOUND)
     )
-    found = checkpointed(met.filter("kind = 1").unionByName(compared).select("doc_id", "start", "stop"))
+    # copies of a row find the same ranges
+    found = checkpointed(met.filter("kind = 1").unionByName(compared).select("doc_id", "start", "stop").distinct())
     ranges = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     cut = context.broadcast(marks(found, "doc_id"))
     schema = "doc_id long, text_key long, n_bytes long, n_removed long, n_spans long, kept binary"
