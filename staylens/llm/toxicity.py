@@ -225,8 +225,9 @@ def telling(a: Column, b: Column, of_a: int, of_b: int) -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vocabulary: int = VOCABULARY) -> Model:
     """Fit on at most ``sample_rows`` labelled rows (the first by hash of doc_id), whatever the input.
 
-    ``labels``: (doc_id, toxic); rows with a null label are not used. Without any labelled row the fixed
-    lexicons alone decide.
+    ``labels``: (doc_id, toxic); rows with a null label are not used. Without labelled rows of
+    both kinds the fixed lexicons alone decide. Where a half of the sample finds no telling word, both use the other half's, and
+    without any the fixed lexicons and patterns are the voters.
     """
     chosen = (
         labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -248,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vo
             top = seen.filter((toxic >= 3) & (toxic >= PURE * clean)).withColumn("told", told).filter(F.col("told") > TELLING).orderBy(F.desc("told"), "word").limit(vocabulary)
             learned[half] = [r["word"] for r in top.select("word").collect()]
     vocab = list(dict.fromkeys([*learned[0], *learned[1], *fixed]))
-    if not learned[0] or not learned[1]:
+    if not all(any(sizes.get(k + 2 * half) for half in (0, 1)) for k in (0, 1)):
         pull = np.array([4.0] * len(vocab) + [2.0] * len(PATTERNS) + [0.5] * len(SHAPES) + [-3.0])
         return Model(vocab, pull)
     rows = sample.select("mark", "text").mapInArrow(_sampled(lambda: set(vocab)), "mark int, held array<string>, votes array<int>").collect()
@@ -261,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, vo
     label = np.zeros(len(rows))
     for half in (0, 1):
         # voters: the fixed lexicons, words that the other half chose dealt over lexicons, patterns and shapes
-        strong = learned[1 - half]
+        strong = learned[1 - half] or learned[half]
         groups = [[at[w] for w in t.split()] for t in LEXICONS.values()] + [[at[w] for w in strong[k::LEARNED]] for k in range(LEARNED) if strong[k::LEARNED]]
         own = np.flatnonzero(mark // 2 == half)
         votes = np.hstack([*(x[own][:, g].any(1, keepdims=True) for g in groups), x[own, len(vocab):] > 0]).astype(np.int8)
