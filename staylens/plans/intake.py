@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from staylens.functions import numbers, text
 from staylens.functions.numbers import half_up
-from staylens.operators import stats, upserts
+from staylens.operators import buildings, comp_signals, stats, upserts
 from staylens.operators.latest import first_per_key
 from staylens.plans.registry import query
 from staylens.plans.standins import EVENTS_AS_OF, LISTINGS, QUOTES, listings, quotes
@@ -259,23 +259,49 @@ def building_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- merged signals of three sources
 
-@query(f"""WITH {LISTINGS}, {QUOTES}, o AS (SELECT * FROM (SELECT listing_id, seen_at, CASE WHEN amount % 5 <> 0 THEN amount END AS amount, CASE WHEN id % 4 <> 0 THEN 'USD' END AS currency, CASE WHEN id % 3 = 0 THEN 4.5::DOUBLE END AS rating, row_number() OVER (PARTITION BY listing_id ORDER BY seen_at DESC, id DESC) AS r FROM quotes) WHERE r = 1),
-d AS (SELECT * FROM (SELECT listing_id, json_extract_string(props, '$.k') AS k, row_number() OVER (PARTITION BY listing_id ORDER BY seen_at DESC, id DESC) AS r FROM quotes WHERE kind <> 'error') WHERE r = 1),
-m AS (SELECT l.id, COALESCE(TRY_CAST(d.k AS DOUBLE), o.rating, l.rating) AS rating, CASE WHEN l.id % 6 <> 0 THEN l.hood END AS hood, o.amount, o.currency, l.sqft, TRY_CAST(d.k AS INTEGER) AS guests, d.listing_id IS NOT NULL AS has_detail FROM listings l LEFT JOIN o ON o.listing_id = l.id LEFT JOIN d ON d.listing_id = l.id)
-SELECT id, rating, has_detail, amount IS NOT NULL AND currency IS NOT NULL AS has_price, hood IS NOT NULL AND amount IS NOT NULL AND currency IS NOT NULL AS minimal,
-  hood IS NOT NULL AND amount IS NOT NULL AND currency IS NOT NULL AND (rating IS NOT NULL)::INT + (sqft IS NOT NULL)::INT + (guests IS NOT NULL)::INT >= 2 AS rich FROM m""")
+_SOURCES_SQL = """master AS (SELECT id, CASE WHEN id % 19 = 0 THEN 'vrbo' ELSE 'airbnb' END AS platform, 'A' || id AS external_id, CASE WHEN id % 10 <> 0 THEN 'https://x/' || id END AS url, CASE WHEN id % 6 <> 0 THEN hood END AS bucket, CASE WHEN id % 4 <> 0 THEN 20.6::DOUBLE END AS latitude, CASE WHEN id % 8 <> 0 THEN -105.2::DOUBLE END AS longitude,
+  CASE WHEN id % 3 = 0 THEN building END AS title FROM listings),
+obs AS (SELECT id, listing_id, seen_at, CASE WHEN amount % 5 <> 0 THEN amount END AS nightly, CASE WHEN id % 4 <> 0 THEN 'USD' END AS currency, CASE WHEN id % 3 = 0 THEN 4.5::DOUBLE END AS rating, CASE WHEN id % 2 = 0 THEN CAST(id % 300 AS INTEGER) END AS reviews, CASE WHEN id % 7 = 0 THEN 'card ' || id END AS title,
+  'Old Town' AS bucket, CASE WHEN id % 5 = 0 THEN '{"stayLengthNights": "' || (id % 9) || '"}' WHEN id % 5 = 1 THEN '{"stayLengthNights": "two"}' END AS seed FROM quotes WHERE kind <> 'purchase'),
+det AS (SELECT id, listing_id, seen_at AS enriched_at, CASE WHEN kind = 'error' THEN 'failed' ELSE 'ok' END AS status, json_extract_string(props, '$.k') AS k FROM quotes),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY seen_at DESC, id DESC) AS r FROM obs) WHERE r = 1),
+d AS (SELECT *, CASE WHEN id % 3 = 0 THEN TRY_CAST(k AS DOUBLE) END AS d_rating, CASE WHEN id % 2 = 0 THEN TRY_CAST(k AS INTEGER) END AS d_reviews, CASE WHEN id % 5 = 0 THEN 20 + id % 10 / 10::DOUBLE END AS d_lat, CASE WHEN id % 5 <> 1 THEN CAST(id % 12 AS INTEGER) END AS guests, CASE WHEN id % 4 = 0 THEN 3 END AS beds,
+  CASE WHEN id % 3 <> 1 THEN 'Condo' END AS kind, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS pets, CASE WHEN id % 11 = 0 THEN 'detail ' || id END AS d_title FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY enriched_at DESC, id DESC) AS r FROM det WHERE status = 'ok') WHERE r = 1),
+m AS (SELECT l.id, l.external_id, l.url, COALESCE(l.bucket, o.bucket) AS bucket, COALESCE(d.d_lat, l.latitude) AS lat, l.longitude AS lng, nightly, currency, CASE WHEN o.id % 5 = 0 THEN CAST(o.id % 9 AS INTEGER) END AS stay_nights, COALESCE(d.d_rating, o.rating) AS rating, COALESCE(d.d_reviews, o.reviews) AS reviews,
+  guests, beds, d.kind, pets, COALESCE(d_title, o.title, l.title) AS title, d.id IS NOT NULL AS has_detail FROM master l LEFT JOIN o ON o.listing_id = l.id LEFT JOIN d ON d.listing_id = l.id WHERE platform = 'airbnb'),
+s AS (SELECT *, nightly IS NOT NULL AND currency IS NOT NULL AS has_price, lat IS NOT NULL AND lng IS NOT NULL AS has_geo, rating IS NOT NULL AND reviews IS NOT NULL AS has_rating, bucket IS NOT NULL AND nightly IS NOT NULL AND currency IS NOT NULL AND url IS NOT NULL AS minimal FROM m),
+signals AS (SELECT *, minimal AND has_rating::INT + has_geo::INT + (guests IS NOT NULL)::INT + (beds IS NOT NULL)::INT + (kind IS NOT NULL)::INT + (title IS NOT NULL)::INT >= 3 AS rich FROM s)"""
+
+
+def _signals(spark: SparkSession, folder: str) -> DataFrame:
+    c, q = F.col, quotes(spark, folder)
+    k, none = c("id"), F.lit(None).cast("string")
+    master = listings(spark, folder).select(
+        "id", F.when(k % 19 == 0, "vrbo").otherwise("airbnb").alias("platform"), F.concat(F.lit("A"), k).alias("external_id"), F.when(k % 10 != 0, F.concat(F.lit("https://x/"), k)).alias("url"), F.when(k % 6 != 0, c("hood")).alias("bucket"), none.alias("region"),
+        F.when(k % 4 != 0, F.lit(20.6)).alias("latitude"), F.when(k % 8 != 0, F.lit(-105.2)).alias("longitude"), F.when(k % 3 == 0, c("building")).alias("title"))
+    seed = F.when(k % 5 == 0, F.concat(F.lit('{"stayLengthNights": "'), k % 9, F.lit('"}'))).when(k % 5 == 1, '{"stayLengthNights": "two"}')
+    seen = q.filter("kind <> 'purchase'").select(
+        "id", "listing_id", F.lit("airbnb").alias("platform"), c("seen_at").alias("observed_at"), c("amount").alias("total"), F.when(c("amount") % 5 != 0, c("amount")).alias("nightly"), F.when(k % 4 != 0, "USD").alias("currency"), F.when(k % 3 == 0, F.lit(4.5)).alias("rating"),
+        F.when(k % 2 == 0, (k % 300).cast("int")).alias("reviews"), F.when(k % 7 == 0, F.concat(F.lit("card "), k)).alias("title"), F.lit("near the beach").alias("location"), F.lit("Old Town").alias("bucket"), none.alias("region"), seed.alias("seed"))
+    said = F.to_json(F.struct(
+        F.when(k % 3 == 0, F.get_json_object("props", "$.k")).otherwise(F.lit("four")).alias("ratingOverall"), F.when(k % 2 == 0, F.get_json_object("props", "$.k")).alias("reviewCount"), F.when(k % 5 == 0, 20 + k % 10 / F.lit(10.0)).alias("latitude"),
+        F.when(k % 5 != 1, (k % 12).cast("string")).otherwise("two").alias("maxGuests"), F.when(k % 4 == 0, F.lit(3)).alias("bedCount"), F.when(k % 3 != 1, "Condo").alias("propertyType"),
+        F.when(k % 3 == 0, "TRUE").when(k % 3 == 1, "false").otherwise("maybe").alias("petsAllowed"), F.when(k % 11 == 0, F.concat(F.lit("detail "), k)).alias("title")))
+    told = q.select("id", "listing_id", c("seen_at").alias("enriched_at"), F.when(c("kind") == "error", "failed").otherwise("ok").alias("status"), F.lit("v1").alias("version"), said.alias("fields"))
+    return comp_signals.comp_signals(master, seen, told)
+
+
+@query(f"WITH {LISTINGS}, {QUOTES}, {_SOURCES_SQL} SELECT * FROM signals")
 def comp_signal_merge(spark: SparkSession, folder: str) -> DataFrame:
     """Master rows with their latest observation and latest sound detail: detail before observation before master, and what the merge is good for."""
-    c, q = F.col, quotes(spark, folder)
-    newest = [F.desc("seen_at"), F.desc("id")]
-    o = first_per_key(q, ["listing_id"], newest).select(c("listing_id").alias("id"), F.when(c("amount") % 5 != 0, c("amount")).alias("amount"), F.when(c("id") % 4 != 0, "USD").alias("currency"), F.when(c("id") % 3 == 0, F.lit(4.5)).alias("o_rating"))
-    k = F.get_json_object("props", "$.k")
-    d = first_per_key(q.filter("kind <> 'error'"), ["listing_id"], newest).select(c("listing_id").alias("id"), text.guarded(k, "double").alias("d_rating"), text.guarded(k, "int").alias("guests"), F.lit(True).alias("detail"))
-    m = listings(spark, folder).select("id", "rating", F.when(c("id") % 6 != 0, c("hood")).alias("hood"), "sqft").join(o, "id", "left").join(d, "id", "left")
-    rating, priced = F.coalesce("d_rating", "o_rating", "rating"), c("amount").isNotNull() & c("currency").isNotNull()
-    minimal = c("hood").isNotNull() & priced
-    signals = rating.isNotNull().cast("int") + c("sqft").isNotNull().cast("int") + c("guests").isNotNull().cast("int")
-    return m.select("id", rating.alias("rating"), F.coalesce("detail", F.lit(False)).alias("has_detail"), priced.alias("has_price"), minimal.alias("minimal"), (minimal & (signals >= 2)).alias("rich"))
+    return _signals(spark, folder).drop("region", "location", "locality", "total", "observed_at", "images", "description", "enriched_at", "version")
+
+
+@query(f"""WITH {LISTINGS}, {QUOTES}, {_SOURCES_SQL} SELECT signal, n, (SELECT count(*) FROM signals) AS total FROM (SELECT count(*) FILTER (WHERE has_detail) AS has_detail, count(*) FILTER (WHERE has_price) AS has_price, count(*) FILTER (WHERE has_geo) AS has_geo, count(*) FILTER (WHERE has_rating) AS has_rating,
+  count(*) FILTER (WHERE minimal) AS minimal, count(*) FILTER (WHERE rich) AS rich FROM signals) UNPIVOT (n FOR signal IN (has_detail, has_price, has_geo, has_rating, minimal, rich))""")
+def comp_signal_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """How many listings have each signal."""
+    return comp_signals.signal_coverage(_signals(spark, folder))
 
 
 # ---- page parsers: pages are made from a table's columns, which are what the parsers must find
@@ -362,13 +388,18 @@ def dictionary_seed(spark: SparkSession, folder: str) -> DataFrame:
     return upserts.merged(words.select("key", F.lit("old").alias("category")), spark.createDataFrame(list(AMENITY_KEYS.items()), "key string, category string"), ["key"], {"category": "overwrite"})
 
 
-@query("""WITH e AS (SELECT event_id AS id, user_id, ts FROM events WHERE event_type <> 'error'), a AS (SELECT user_id, min(ts) AS applied_at FROM events WHERE event_type = 'purchase' GROUP BY 1)
-SELECT e.user_id, count(*) AS shown, count(*) FILTER (WHERE applied_at IS NOT NULL AND ts <= applied_at) AS applied FROM e LEFT JOIN a ON a.user_id = e.user_id GROUP BY 1""")
+@query("""WITH e AS (SELECT event_id AS id, user_id, event_type AS kind, last_value(CASE WHEN event_type IN ('view', 'click', 'signup') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS shown FROM events),
+a AS (SELECT DISTINCT shown AS id FROM e WHERE kind = 'purchase' AND shown IS NOT NULL)
+SELECT user_id, count(*) AS shown, count(a.id) AS applied FROM e LEFT JOIN a ON a.id = e.id WHERE kind IN ('view', 'click', 'signup') GROUP BY 1""")
 def tracked_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Recommendations shown, and those marked as applied by a later answer of the same user."""
+    """Recommendations shown, and how many an answer marked as applied: an answer names the one shown last before it, and others stay as they are."""
+    c = F.col
     log = table(spark, folder, "events", ["event_id", "user_id", "ts", "event_type"])
-    applied = log.filter("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("applied_at"))
-    return log.filter("event_type <> 'error'").join(applied, "user_id", "left").groupBy("user_id").agg(F.count("*").alias("shown"), F.count_if(F.col("ts") <= F.col("applied_at")).alias("applied"))
+    was_shown = c("event_type").isin("view", "click", "signup")
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    named = log.withColumn("named", F.last(F.when(was_shown, c("event_id")), ignorenulls=True).over(before)).filter("event_type = 'purchase' AND named IS NOT NULL")
+    applied = named.select(c("named").alias("event_id"), F.lit(True).alias("applied")).distinct()
+    return log.filter(was_shown).join(applied, "event_id", "left").groupBy("user_id").agg(F.count("*").alias("shown"), F.count("applied").alias("applied"))
 
 
 def row_limit(asked: int | None, least: int = 1, most: int = 50, default: int = 20) -> int:
@@ -390,11 +421,19 @@ def point_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return listing_rows(table(spark, folder, "part").filter("p_partkey = 42")).drop("amenities")
 
 
-@query(f"""WITH {_RAW_SQL} SELECT id, (id % 7 = 0) AS known, array_to_string(list_filter([CASE WHEN bedrooms IS NULL THEN 'bedrooms' END, CASE WHEN bathrooms IS NULL THEN 'bathrooms' END, CASE WHEN reviews IS NULL THEN 'reviews' END, CASE WHEN latitude IS NULL THEN 'latitude' END], lambda x: x IS NOT NULL), ',') AS missing FROM raw""")
+@query(f"""WITH {QUOTES}, n AS (SELECT id, listing_id, seen_at, CASE WHEN amount > 0 AND kind <> 'click' THEN amount END AS amount, CASE WHEN kind <> 'signup' THEN TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) END AS reviews FROM quotes),
+old AS (SELECT * FROM n WHERE seen_at < TIMESTAMP '2024-01-25'), new AS (SELECT * FROM n WHERE seen_at >= TIMESTAMP '2024-01-24'), k AS (SELECT DISTINCT listing_id FROM old)
+SELECT new.id, new.listing_id, k.listing_id IS NOT NULL AS known, array_to_string(list_filter([CASE WHEN amount IS NULL THEN 'amount' END, CASE WHEN reviews IS NULL THEN 'reviews' END], lambda x: x IS NOT NULL), ',') AS missing FROM new LEFT JOIN k ON k.listing_id = new.listing_id WHERE new.id NOT IN (SELECT id FROM old)""")
 def append_observations(spark: SparkSession, folder: str) -> DataFrame:
-    """Observations to append, each with the fields it lacks and whether the listing is known already."""
-    missing = F.filter(F.array(*[F.when(F.col(c).isNull(), c) for c in ("bedrooms", "bathrooms", "reviews", "latitude")]), lambda x: x.isNotNull())
-    return _raw(spark, folder).select("id", (F.col("id") % 7 == 0).alias("known"), F.array_join(missing, ",").alias("missing"))
+    """Observations of a batch that a log does not hold yet, each with its id, whether its listing is known to the log, and the fields it lacks."""
+    c = F.col
+    clean = quotes(spark, folder).select("id", "listing_id", "seen_at", F.when((c("amount") > 0) & (c("kind") != "click"), c("amount")).alias("amount"), F.when(c("kind") != "signup", text.guarded(F.get_json_object("props", "$.k"), "int")).alias("reviews"))
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    held, batch = clean.filter(c("seen_at") < day("2024-01-25")), clean.filter(c("seen_at") >= day("2024-01-24"))
+    fresh = upserts.insert_if_absent(held, batch, ["id"])
+    known = held.select("listing_id").distinct().withColumn("known", F.lit(True))
+    missing = F.filter(F.array(*[F.when(c(x).isNull(), x) for x in ("amount", "reviews")]), lambda x: x.isNotNull())
+    return fresh.join(known, "listing_id", "left").select("id", "listing_id", F.coalesce("known", F.lit(False)).alias("known"), F.array_join(missing, ",").alias("missing"))
 
 
 @query(f"""WITH {LISTINGS} SELECT id, ('Suite in ' || hood || ' · ★' || CAST(rating AS VARCHAR) || ' · ' || bedrooms || ' bedrooms · ' || bedrooms || ' beds · 1.5 baths') AS title, 'Suite' AS kind, rating, bedrooms, CAST(floor(price_cents / 100) AS BIGINT) AS price FROM listings WHERE rating IS NOT NULL""")
@@ -411,10 +450,6 @@ def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- names of buildings against a catalogue
 
-#: fixed values: words that do not tell buildings apart
-NOISE = ["pv", "pvr", "puerto", "vallarta", "unit", "units", "suite", "suites", "penthouse", "ph", "condo", "condominium", "condominios", "villa", "villas", "casa", "casas", "beach", "by", "the", "a", "de", "del", "el", "la", "los", "las", "y", "and", "at", "in"]
-#: fixed values: penalty of another neighbourhood, least score of a match, scores from which it is high or medium
-CROSS_HOOD, ACCEPTED, HIGH, MEDIUM = 0.15, 0.55, 0.90, 0.65
 #: stand-in catalogue: (building, neighbourhood, aliases)
 CATALOGUE = [(name, ("Zona Romantica", "Amapas")[k % 2], [a for a, b in BUILDING_ALIASES.items() if b == name]) for k, name in enumerate(dict.fromkeys(BUILDING_ALIASES.values()))]
 
@@ -425,29 +460,7 @@ def _plain_slug(name: str) -> str:
 
 
 def _telling(slug: str) -> list[str]:
-    return [t for t in slug.split() if t not in NOISE and not t.isdigit()]
-
-
-def building_matches(raw: Column, hint: Column, catalogue: list[tuple[str, str, list[str]]] = CATALOGUE) -> Column:
-    """Catalogue entries that a raw name may mean, best first, as structs (canonical, score, position); a short catalogue is a literal.
-
-    Equal names before equal aliases, then names without noise, shared words, containment and the first word.
-    """
-    slug = F.trim(F.regexp_replace(text.plain(raw), "[^a-z0-9]+", " "))
-    words = F.filter(F.split(slug, " "), lambda t: (t != "") & ~t.rlike("^[0-9]+$") & ~t.isin(*NOISE))
-    joined, strings = F.array_join(words, " "), lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
-    out = []
-    for k, (canonical, hood, aliases) in enumerate(catalogue):
-        own, others = _plain_slug(canonical), [_plain_slug(a) for a in aliases]
-        tokens = [_telling(s) for s in (own, *others)]
-        alike = F.greatest(*[numbers.jaccard(words, strings(t)) for t in tokens], F.lit(0.0))
-        share = F.least(F.length(slug), F.lit(len(own))) / F.greatest(F.length(slug), F.lit(len(own)))
-        held = (slug.contains(own) | F.lit(own).contains(slug)) & (F.length(slug) >= 4) & F.lit(len(own) >= 4) & (share >= 0.5)
-        first = (F.get(words, F.lit(0)) == F.lit(tokens[0][0] if tokens[0] else None)) & (F.length(F.get(words, F.lit(0))) >= 4)
-        score = (F.when(slug == own, 1.0).when(slug.isin(*others), 0.95).when((F.size(words) > 0) & (joined == " ".join(tokens[0])), 0.88).when((F.size(words) > 0) & joined.isin(*[" ".join(t) for t in tokens[1:]]), 0.85)
-                 .when(alike >= 0.4, F.least(F.lit(0.82), 0.45 + alike * 0.5)).when(alike >= 0.22, 0.30 + alike * 0.5).when(held, 0.60 + share * 0.1).when(first, 0.35))
-        out.append(F.struct((-half_up(score - F.when(hint.isNull() | (hint == hood), 0.0).otherwise(CROSS_HOOD), 6)).alias("minus"), F.lit(k).alias("position"), F.lit(canonical).alias("canonical")))
-    return F.transform(F.array_sort(F.filter(F.array(*out), lambda x: x["minus"].isNotNull())), lambda x: F.struct(x["canonical"].alias("canonical"), (-x["minus"]).alias("score"), x["position"].alias("position")))
+    return [t for t in slug.split() if t not in buildings.NOISE and not t.isdigit()]
 
 
 TYPED = ["Orchid", "loma del mar d22", "The Loma del Mar", "Selva Romántica Villa 12", "Casa Leone Selva Romantica", "Playa Bonita 3", "Molino", "rincon", "Avalon Zen Tower North", "V177 penthouse", "Nowhere Heights", "Pacifica 404"]
@@ -466,22 +479,101 @@ def _catalogue_sql() -> str:
     return "cat(k, canonical, hood, own, others, nn, others_nn, sets, head) AS (VALUES " + ", ".join(rows) + ")"
 
 
-_NOISE_SQL = "(" + ", ".join(f"'{x}'" for x in NOISE) + ")"
+_NOISE_SQL = "(" + ", ".join(f"'{x}'" for x in buildings.NOISE) + ")"
 
 
-@query(f"""WITH {_catalogue_sql()}, r AS (SELECT p_partkey AS id, {pick_sql(TYPED, 'p_partkey')} AS raw, {pick_sql(HINTS, 'p_partkey // 12')} AS hint FROM part), s AS (SELECT id, hint, trim(regexp_replace(strip_accents(lower(raw)), '[^a-z0-9]+', ' ', 'g')) AS slug FROM r),
+_MATCH_SQL = f"""{_catalogue_sql()}, r AS (SELECT p_partkey AS id, {pick_sql(TYPED, 'p_partkey')} AS raw, {pick_sql(HINTS, 'p_partkey // 12')} AS hint FROM part), s AS (SELECT id, hint, trim(regexp_replace(strip_accents(lower(raw)), '[^a-z0-9]+', ' ', 'g')) AS slug FROM r),
 w AS (SELECT *, list_filter(string_split(slug, ' '), lambda t: t <> '' AND NOT regexp_full_match(t, '[0-9]+') AND t NOT IN {_NOISE_SQL}) AS words FROM s),
 x AS (SELECT id, hint, slug, words, array_to_string(words, ' ') AS joined, cat.*, least(length(slug), length(own)) / greatest(length(slug), length(own))::DOUBLE AS share,
   list_max(list_transform(sets, lambda t: CASE WHEN len(list_distinct(list_concat(words, t))) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(words, t)) / len(list_distinct(list_concat(words, t)))::DOUBLE END)) AS alike FROM w, cat),
 c AS (SELECT *, CASE WHEN slug = own THEN 1.0 WHEN list_contains(others, slug) THEN 0.95 WHEN len(words) > 0 AND joined = nn THEN 0.88 WHEN len(words) > 0 AND list_contains(others_nn, joined) THEN 0.85 WHEN alike >= 0.4::DOUBLE THEN least(0.82::DOUBLE, 0.45::DOUBLE + alike * 0.5::DOUBLE)
   WHEN alike >= 0.22::DOUBLE THEN 0.30::DOUBLE + alike * 0.5::DOUBLE WHEN (contains(slug, own) OR contains(own, slug)) AND length(slug) >= 4 AND length(own) >= 4 AND share >= 0.5 THEN 0.60::DOUBLE + share * 0.1::DOUBLE WHEN words[1] = head AND length(words[1]) >= 4 THEN 0.35 END::DOUBLE - CASE WHEN hint IS NULL OR hint = hood THEN 0.0::DOUBLE ELSE 0.15::DOUBLE END AS sc FROM x),
-d AS (SELECT id, canonical, floor(sc * 1000000 + 0.5) / 1000000 AS score, row_number() OVER (PARTITION BY id ORDER BY floor(sc * 1000000 + 0.5) DESC, k) AS r FROM c WHERE sc IS NOT NULL)
+d AS (SELECT id, canonical, hood, floor(sc * 1000000 + 0.5) / 1000000 AS score, row_number() OVER (PARTITION BY id ORDER BY floor(sc * 1000000 + 0.5) DESC, k) AS r FROM c WHERE sc IS NOT NULL)"""
+
+
+@query(f"""WITH {_MATCH_SQL}
 SELECT w.id, max(CASE WHEN r = 1 AND score >= 0.55::DOUBLE THEN canonical END) AS building, max(CASE WHEN r = 1 AND score >= 0.55::DOUBLE THEN CASE WHEN least(1, score) >= 0.9::DOUBLE THEN 'high' WHEN score >= 0.65::DOUBLE THEN 'medium' ELSE 'low' END END) AS tier, COALESCE(string_agg(canonical, ',' ORDER BY r) FILTER (WHERE r <= 5), '') AS suggestions FROM w LEFT JOIN d ON d.id = w.id GROUP BY w.id""")
 def building_match(spark: SparkSession, folder: str) -> DataFrame:
     """Typed names of buildings, some with a neighbourhood, as catalogue entries with their tier, and up to five suggestions."""
     k = F.col("p_partkey")
     typed = table(spark, folder, "part", ["p_partkey"]).select(k.alias("id"), pick(TYPED, k).alias("raw"), pick(HINTS, F.floor(k / 12)).alias("hint"))
-    found = typed.withColumn("found", building_matches(F.col("raw"), F.col("hint"))).withColumn("best", F.get("found", F.lit(0)))
-    score = F.when(F.col("best.score") >= ACCEPTED, F.col("best.score"))
-    return found.select("id", F.when(score.isNotNull(), F.col("best.canonical")).alias("building"), F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").when(score.isNotNull(), "low").alias("tier"),
-                        F.array_join(F.transform(F.slice("found", 1, 5), lambda x: x["canonical"]), ",").alias("suggestions"))
+    known = spark.createDataFrame([(k, *entry) for k, entry in enumerate(CATALOGUE)], "position int, canonical string, hood string, aliases array<string>")
+    found = buildings.resolved(typed, buildings.building_matches(typed, known), ["id"])
+    return found.select("id", "building", "tier", F.array_join("suggestions", ",").alias("suggestions"))
+
+
+# ---- what a request for comparables may use
+
+#: fixed values: warnings of the preparation
+ELSEWHERE = 'Building "%s" is in %s, not %s. Neighborhood mismatch — building premium will not be applied.'
+PARTLY = 'Partial building match: "%s" → "%s". Confirm this is correct.'
+HARDLY = "Low-confidence building match. Treating building as unknown — no premium applied."
+UNMATCHED = 'Building name "%s" could not be matched. No building premium will be applied.'
+SUGGESTED = "%d amenity key(s) not recognized. Suggestions: %s. Use GET /api/rental/amenities for the full canonical list."
+IGNORED = "%d amenity key(s) not recognized and will be ignored by the engine: %s. Use GET /api/rental/amenities for valid keys."
+NO_SIZE = "sqft not provided. Size scoring will be skipped and weight redistributed. Providing sqft improves recommendation accuracy."
+NO_RATING = "rating_overall not provided. Rating similarity scoring will be skipped."
+NO_AMENITIES = "No valid amenity keys provided. Amenity scoring will contribute 0 pts. This significantly reduces comp-set quality. Use GET /api/rental/amenities for valid keys."
+THIN = "Amapas %dBR is a thin segment (< 8 listings). Expect a 'low' or 'medium' confidence label from the comps engine."
+
+
+def prepared(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Requests (id, raw: building name or null, hint: neighbourhood, bedrooms, sqft, rating, amenities) as the engine may use them.
+
+    Rows (id, building, tier, suggestions, accepted, rejected, corrections, warnings), lists as arrays in the order of the request. A
+    building of another neighbourhood stays named but warns, one of low confidence is not used. Amenities that several keys name count
+    once. A null key is rejected as an empty one.
+    """
+    c = F.col
+    found = buildings.resolved(requests.select("id", "raw", "hint"), buildings.building_matches(requests, catalogue), ["id"])
+    x = requests.join(found.drop("raw", "hint"), "id")
+    keys = F.transform(F.coalesce("amenities", F.array().cast("array<string>")), lambda k: F.struct(F.coalesce(k, F.lit("")).alias("raw"), amenity_key(k).alias("to")))
+    x = x.withColumn("_keys", keys)
+    x = x.withColumn("accepted", F.array_distinct(F.transform(F.filter("_keys", lambda k: k["to"]["canonical"].isNotNull()), lambda k: k["to"]["canonical"])))
+    x = x.withColumn("rejected", F.transform(F.filter("_keys", lambda k: k["to"]["canonical"].isNull()), lambda k: k["raw"]))
+    x = x.withColumn("corrections", F.transform(F.filter("_keys", lambda k: k["to"]["canonical"].isNull() & k["to"]["suggested"].isNotNull()), lambda k: F.concat(F.lit('"'), k["raw"], F.lit('" → "'), k["to"]["suggested"], F.lit('"'))))
+    n = F.size("rejected")
+    of_building = F.when(c("raw").isNotNull() & (c("raw") != ""), F.when(c("building").isNull(), F.format_string(UNMATCHED, "raw")).when(c("building_hood") != c("hint"), F.format_string(ELSEWHERE, "building", "building_hood", "hint"))
+                         .when(c("tier") == "medium", F.format_string(PARTLY, "raw", "building")).when(c("tier") == "low", HARDLY))
+    warnings = [
+        of_building, F.when((n > 0) & (F.size("corrections") > 0), F.format_string(SUGGESTED, n, F.array_join("corrections", ", "))).when(n > 0, F.format_string(IGNORED, n, F.array_join("rejected", ", "))),
+        F.when(F.coalesce(c("sqft"), F.lit(0)) == 0, NO_SIZE), F.when(F.coalesce(c("rating"), F.lit(0)) == 0, NO_RATING), F.when(F.size("accepted") == 0, NO_AMENITIES), F.when((c("hint") == "Amapas") & (c("bedrooms") >= 3), F.format_string(THIN, "bedrooms"))]
+    used = F.when((c("tier") != "low") | (c("building_hood") != c("hint")), c("building"))
+    return x.select("id", used.alias("building"), "tier", "suggestions", "accepted", "rejected", "corrections", F.filter(F.array(*warnings), lambda w: w.isNotNull()).alias("warnings"))
+
+
+def _text(template: str, *values: str) -> str:
+    """A warning as SQL."""
+    out = "'" + template.replace("'", "''") + "'"
+    for v in values:
+        out = out.replace("%s", f"' || {v} || '", 1) if out.find("%s") >= 0 and (out.find("%d") < 0 or out.find("%s") < out.find("%d")) else out.replace("%d", f"' || {v} || '", 1)
+    return out
+
+
+_TO_KEY_SQL = f"CASE WHEN raw IN {_KEYS_SQL} THEN raw WHEN regexp_replace(sp, '\\s+', '_', 'g') IN {_KEYS_SQL} THEN regexp_replace(sp, '\\s+', '_', 'g') ELSE CASE sp " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AMENITY_NAMES.items()) + " END END"
+_NEAR_SQL = "CASE " + " ".join(f"WHEN contains(sp, '{k}') OR contains('{k}', sp) THEN '{v}'" for k, v in AMENITY_NAMES.items()) + " END"
+
+
+@query(f"""WITH {_MATCH_SQL}, q AS (SELECT p_partkey AS id, {pick_sql(TYPED, 'p_partkey')} AS raw, CASE WHEN p_partkey % 3 = 0 THEN 'Zona Romantica' ELSE 'Amapas' END AS hint, CAST(p_size % 4 + 1 AS INTEGER) AS bedrooms, p_size % 7 <> 0 AS sized, p_partkey % 9 <> 0 AS rated FROM part),
+cand AS (SELECT q.id, canonical, hood, floor((sc + CASE WHEN x.hint IS NULL OR x.hint = hood THEN 0::DOUBLE ELSE 0.15::DOUBLE END - CASE WHEN q.hint = hood THEN 0::DOUBLE ELSE 0.15::DOUBLE END) * 1000000 + 0.5) / 1000000 AS score, k FROM q JOIN c x ON x.id = q.id WHERE sc IS NOT NULL),
+top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, k) AS r FROM cand),
+best AS (SELECT q.*, max(CASE WHEN r = 1 AND score >= 0.55::DOUBLE THEN canonical END) AS building, max(CASE WHEN r = 1 AND score >= 0.55::DOUBLE THEN hood END) AS building_hood, max(CASE WHEN r = 1 AND score >= 0.55::DOUBLE THEN CASE WHEN score >= 0.9::DOUBLE THEN 'high' WHEN score >= 0.65::DOUBLE THEN 'medium' ELSE 'low' END END) AS tier,
+  COALESCE(string_agg(canonical, ',' ORDER BY r) FILTER (WHERE r <= 5), '') AS suggestions FROM q LEFT JOIN top ON top.id = q.id GROUP BY ALL),
+keyed AS (SELECT p_partkey AS id, unnest([{pick_sql(RAW_KEYS, 'p_partkey')}, {pick_sql(RAW_KEYS, '(p_partkey * 3 + 1)')}, {pick_sql(RAW_KEYS, '(p_partkey * 7 + 4)')}]) AS raw, unnest([1, 2, 3]) AS i FROM part),
+spaced AS (SELECT *, regexp_replace(trim(lower(raw)), '[_-]', ' ', 'g') AS sp FROM keyed), told AS (SELECT id, i, COALESCE(raw, '') AS raw, {_TO_KEY_SQL} AS canonical, {_NEAR_SQL} AS near FROM spaced),
+firsts AS (SELECT id, canonical, min(i) AS i FROM told WHERE canonical IS NOT NULL GROUP BY 1, 2),
+am AS (SELECT told.id, (SELECT COALESCE(string_agg(canonical, ',' ORDER BY i), '') FROM firsts WHERE firsts.id = told.id) AS accepted, COALESCE(string_agg(raw, ',' ORDER BY i) FILTER (WHERE canonical IS NULL), '') AS rejected, COALESCE(string_agg(raw, ', ' ORDER BY i) FILTER (WHERE canonical IS NULL), '') AS rejected_said,
+  count(*) FILTER (WHERE canonical IS NULL) AS n, COALESCE(string_agg('"' || raw || '" → "' || near || '"', ', ' ORDER BY i) FILTER (WHERE canonical IS NULL AND near IS NOT NULL), '') AS corrections FROM told GROUP BY told.id)
+SELECT best.id, CASE WHEN tier <> 'low' OR building_hood <> hint THEN building END AS building, tier, suggestions, accepted, rejected, corrections, array_to_string(list_filter([
+  CASE WHEN building IS NULL THEN {_text(UNMATCHED, 'raw')} WHEN building_hood <> hint THEN {_text(ELSEWHERE, 'building', 'building_hood', 'hint')} WHEN tier = 'medium' THEN {_text(PARTLY, 'raw', 'building')} WHEN tier = 'low' THEN {_text(HARDLY)} END,
+  CASE WHEN n > 0 AND corrections <> '' THEN {_text(SUGGESTED, 'n', 'corrections')} WHEN n > 0 THEN {_text(IGNORED, 'n', 'rejected_said')} END, CASE WHEN NOT sized THEN {_text(NO_SIZE)} END, CASE WHEN NOT rated THEN {_text(NO_RATING)} END,
+  CASE WHEN accepted = '' THEN {_text(NO_AMENITIES)} END, CASE WHEN hint = 'Amapas' AND bedrooms >= 3 THEN {_text(THIN, 'bedrooms')} END], lambda w: w IS NOT NULL), ' | ') AS warnings FROM best JOIN am ON am.id = best.id""")
+def comps_preparation(spark: SparkSession, folder: str) -> DataFrame:
+    """Every listing as a request for comparables: its building, amenities and what to warn of."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    requests = table(spark, folder, "part", ["p_partkey", "p_size"]).select(
+        k.alias("id"), pick(TYPED, k).alias("raw"), F.when(k % 3 == 0, "Zona Romantica").otherwise("Amapas").alias("hint"), (s % 4 + 1).cast("int").alias("bedrooms"), F.when(s % 7 != 0, s * 100).alias("sqft"), F.when(k % 9 != 0, F.lit(4.5)).alias("rating"),
+        F.array(pick(RAW_KEYS, k), pick(RAW_KEYS, k * 3 + 1), pick(RAW_KEYS, k * 7 + 4)).alias("amenities"))
+    known = spark.createDataFrame([(i, *entry) for i, entry in enumerate(CATALOGUE)], "position int, canonical string, hood string, aliases array<string>")
+    done = prepared(requests, known)
+    return done.select("id", "building", "tier", *[F.array_join(n, ",").alias(n) for n in ("suggestions", "accepted", "rejected")], F.array_join("corrections", ", ").alias("corrections"), F.array_join("warnings", " | ").alias("warnings"))
