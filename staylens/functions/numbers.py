@@ -85,7 +85,7 @@ def gap_confidence(hours: Column) -> Column:
 
 
 def pool_confidence(size: Column) -> Column:
-    return F.when(size >= 8, "high").when(size >= 5, "medium").when(size >= 3, "low").otherwise("very_low")
+    return F.when(size >= 8, "high").when(size >= 5, "medium").when(size >= 3, "low").otherwise("guidance_only")
 
 
 def celsius_to_f(c: Column) -> Column:

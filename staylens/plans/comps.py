@@ -330,20 +330,23 @@ def calibration_windows(spark: SparkSession, folder: str) -> DataFrame:
     return joined.groupBy("period", "area").agg(F.count("*").alias("n"), half_up(F.percentile("price_cents", 0.5), 2).alias("median"), half_up(F.percentile("price_cents", 0.25), 2).alias("q1"))
 
 
-BEACHES = [("north", 20.652, -105.241), ("pier", 20.601, -105.238), ("south", 20.575, -105.262)]
+#: fixed values: beaches from which distances count
+BEACHES = [
+    ("Playa Los Muertos", 20.6040, -105.2382), ("Playa Olas Altas", 20.6055, -105.2378), ("Playa Camarones", 20.6178, -105.2363), ("Conchas Chinas Beach", 20.5942, -105.2354), ("Playa de Oro", 20.6503, -105.2393),
+    ("Marina Vallarta Beach", 20.6848, -105.2673), ("Playa Las Glorias", 20.6620, -105.2396)]
 
 
 @query("""WITH s AS (SELECT s_suppkey AS id, 20.5 + (s_suppkey % 100) * 0.002 AS lat, -105.3 + (s_suppkey % 37) * 0.002 AS lon FROM supplier), b(name, lat, lon) AS (VALUES """
        + ", ".join(f"('{n}', {a}, {o})" for n, a, o in BEACHES) + """),
 d AS (SELECT id, name, CAST(floor(6371000.0 * 2 * atan2(sqrt(h), sqrt(1 - h)) + 0.5) AS BIGINT) AS m FROM (SELECT s.id, b.name, pow(sin((radians(b.lat) - radians(s.lat)) / 2), 2) + cos(radians(s.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - s.lon) / 2), 2) AS h FROM s, b))
-SELECT id, min(m) AS metres, arg_min(name, m * 10 + length(name)) AS nearest FROM d GROUP BY id""")
+SELECT id, min(m) AS metres, arg_min(name, {'m': m, 'name': name}) AS nearest FROM d GROUP BY id""")
 def haversine_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    """Distance to the nearest of a few fixed points."""
+    """Distance to the nearest beach; of equally far ones the first by name."""
     from staylens.sources.tables import table
 
     key = F.col("s_suppkey")
     points = table(spark, folder, "supplier", ["s_suppkey"]).select(key.alias("id"), (20.5 + (key % 100) * 0.002).alias("lat"), (-105.3 + (key % 37) * 0.002).alias("lon"))
-    metres = [F.struct(half_up(numbers.haversine_m(F.col("lat"), F.col("lon"), F.lit(a), F.lit(o))).alias("m"), F.length(F.lit(n)).alias("tie"), F.lit(n).alias("name")) for n, a, o in BEACHES]
+    metres = [F.struct(half_up(numbers.haversine_m(F.col("lat"), F.col("lon"), F.lit(a), F.lit(o))).alias("m"), F.lit(n).alias("name")) for n, a, o in BEACHES]
     return points.withColumn("best", F.least(*metres)).select("id", F.col("best.m").alias("metres"), F.col("best.name").alias("nearest"))
 
 

@@ -20,16 +20,26 @@ from staylens.sources.tables import table
 #: fixed values: buckets in their order with the words that tell them, and their region
 BUCKETS = [
     ("Zona Romántica", "puerto_vallarta", ["zona romántica", "zona romantica", "romantic zone"]), ("Amapas / Conchas Chinas", "puerto_vallarta", ["amapas", "conchas chinas"]),
-    ("Centro / Alta Vista", "puerto_vallarta", ["el centro", "centro vallarta", "alta vista", "downtown vallarta"]), ("Old Town", "puerto_vallarta", ["old town"]), ("Versalles", "puerto_vallarta", ["versalles", "versailles"]),
-    ("Marina Vallarta", "puerto_vallarta", ["marina vallarta"]), ("Nuevo Vallarta", "riviera_nayarit", ["nuevo vallarta", "nuevo-vallarta"]), ("Bucerías", "riviera_nayarit", ["bucerías", "bucerias"]), ("Sayulita", "riviera_nayarit", ["sayulita"]),
+    ("Centro / Alta Vista", "puerto_vallarta", ["el centro", "centro vallarta", "alta vista", "downtown vallarta"]), ("Hotel Zone / Malecón", "puerto_vallarta", ["hotel zone", "zona hotelera", "malecón", "malecon", "las glorias"]),
+    ("5 de Diciembre", "puerto_vallarta", ["5 de diciembre", "cinco de diciembre", "5-de-diciembre"]), ("Old Town", "puerto_vallarta", ["old town"]), ("Versalles", "puerto_vallarta", ["versalles", "versailles"]),
+    ("Marina Vallarta", "puerto_vallarta", ["marina vallarta"]), ("Mismaloya", "puerto_vallarta", ["mismaloya", "boca de tomatlán", "boca de tomatlan", "yelapa"]), ("Nuevo Vallarta", "riviera_nayarit", ["nuevo vallarta", "nuevo-vallarta"]),
+    ("Bucerías", "riviera_nayarit", ["bucerías", "bucerias"]), ("La Cruz de Huanacaxtle", "riviera_nayarit", ["la cruz de huanacaxtle", "la cruz", "huanacaxtle"]), ("Punta Mita", "riviera_nayarit", ["punta mita", "punta de mita"]),
+    ("El Anclote", "riviera_nayarit", ["el anclote", "anclote"]), ("Sayulita", "riviera_nayarit", ["sayulita"]), ("San Pancho", "riviera_nayarit", ["san pancho", "san francisco, nayarit"]),
 ]
 #: fixed values: names that are a canonical neighbourhood, with its bucket where it has one
-CANONICAL = {"zona romantica": ("Zona Romantica", "Zona Romántica"), "amapas": ("Amapas", "Amapas / Conchas Chinas"), "centro": ("Centro", "Centro / Alta Vista"), "sayulita": ("Sayulita", "Sayulita"), "pitillal": ("Pitillal", None)}
+CANONICAL = {
+    "zona romantica": ("Zona Romantica", "Zona Romántica"), "amapas": ("Amapas", "Amapas / Conchas Chinas"), "mismaloya": ("Mismaloya", "Mismaloya"), "old town": ("Old Town", "Old Town"), "centro": ("Centro", "Centro / Alta Vista"),
+    "5 de diciembre": ("5 de Diciembre", "5 de Diciembre"), "hotel zone": ("Hotel Zone", "Hotel Zone / Malecón"), "versalles": ("Versalles", "Versalles"), "marina vallarta": ("Marina Vallarta", "Marina Vallarta"), "pitillal": ("Pitillal", None),
+    "fluvial vallarta": ("Fluvial Vallarta", None), "nuevo vallarta": ("Nuevo Vallarta", "Nuevo Vallarta"), "bucerias": ("Bucerias", "Bucerías"), "la cruz de huanacaxtle": ("La Cruz de Huanacaxtle", "La Cruz de Huanacaxtle"),
+    "punta mita": ("Punta Mita", "Punta Mita"), "el anclote": ("El Anclote", "El Anclote"), "sayulita": ("Sayulita", "Sayulita"), "san pancho": ("San Pancho", "San Pancho")}
 #: fixed values: words that tell the region
 REGIONS = {"riviera_nayarit": ["riviera nayarit", "nayarit", "bahia de banderas", "bahía de banderas"], "puerto_vallarta": ["puerto vallarta", "vallarta, jalisco", "jalisco", "pv,", "pv "]}
 #: fixed values: market box and boxes of neighbourhoods, the first that holds a point counts
 MARKET_BOX = (20.5, 20.85, -105.6, -105.18)
-BOXES = [("Bucerias", 20.745, 20.775, -105.345, -105.310), ("Punta Mita", 20.762, 20.800, -105.550, -105.480), ("Versalles", 20.625, 20.650, -105.255, -105.230), ("Fluvial", 20.640, 20.668, -105.265, -105.240)]
+BOXES = [
+    ("Zona Romantica", 20.598, 20.616, -105.246, -105.230), ("Amapas", 20.586, 20.600, -105.248, -105.230), ("Conchas Chinas", 20.574, 20.590, -105.253, -105.235), ("Centro", 20.616, 20.638, -105.245, -105.222),
+    ("Marina Vallarta", 20.665, 20.700, -105.280, -105.240), ("Nuevo Vallarta", 20.700, 20.760, -105.310, -105.270), ("Bucerias", 20.745, 20.775, -105.345, -105.310), ("Punta Mita", 20.762, 20.800, -105.550, -105.480),
+    ("Versalles", 20.625, 20.650, -105.255, -105.230), ("Fluvial", 20.640, 20.668, -105.265, -105.240)]
 #: fixed values: price above which a night is flagged, and ratings' range
 PRICE_FLAG, RATING_MAX = 50_000, 5
 #: fixed values: hosts of the platforms, the first that a URL holds counts
@@ -72,7 +82,7 @@ def place_bucket(raw: Column) -> Column:
     return F.struct(canonical.alias("canonical"), chosen.alias("bucket"), F.coalesce(of_bucket, region).alias("region"), confidence.alias("confidence"))
 
 
-PLACES = ["Zona Romantica", " amapas ", "Pitillal", "Condo near Conchas Chinas beach", "Pitillal, Jalisco", "somewhere in Nayarit", "", "Mars", "Sayulita", "Romantic Zone, PV", None, "Centro"]
+PLACES = ["Zona Romantica", " amapas ", "Pitillal", "Condo near Conchas Chinas beach", "Pitillal, Jalisco", "somewhere in Nayarit", "", "Mars", "Sayulita", "Romantic Zone, PV", None, "Centro", "Punta de Mita, Nayarit", "Fluvial Vallarta", "Hotel Zone", "near Yelapa", "La Cruz", "el anclote"]
 _CANON_SQL = "CASE lower(x) " + " ".join(f"WHEN '{k}' THEN '{n}|{b or ''}'" for k, (n, b) in CANONICAL.items()) + " END"
 
 
