@@ -145,6 +145,10 @@ def identity_backfill(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- raw listings
 
+#: fixed values: warnings of raw listings
+NO_PLACE, NO_BEDROOMS, NO_BATHROOMS = 'Neighborhood not recognized: "%s"', "bedrooms missing — defaulted to 0 (studio)", "bathrooms missing or zero"
+
+
 def clean_rating(x: Column) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), numbers.clamp(x, 0.0, float(RATING_MAX)))
 
@@ -162,7 +166,7 @@ def normalised(raw: DataFrame) -> DataFrame:
     filled = {"title": F.length("title") > 0, "url": F.length("url") > 0, "hood": c("hood") != "unclassified", "bedrooms": c("rooms") >= 0, "bathrooms": c("baths") > 0, "price": c("rate") > 0, "rating": c("stars").isNotNull(), "reviews": c("reviews") >= 0,
               "latitude": c("latitude").isNotNull(), "longitude": c("longitude").isNotNull(), "guests": c("guests") > 0, "amenities": F.size("amenities") > 0}
     warnings = [
-        F.when(c("hood") == "unclassified", F.concat(F.lit('Neighborhood not recognized: "'), F.trim(F.coalesce("place", F.lit(""))), F.lit('"'))), F.when(c("bedrooms").isNull(), "bedrooms missing — defaulted to 0 (studio)"), F.when(c("baths") == 0, "bathrooms missing or zero"),
+        F.when(c("hood") == "unclassified", F.format_string(NO_PLACE, F.trim(F.coalesce("place", F.lit(""))))), F.when(c("bedrooms").isNull(), NO_BEDROOMS), F.when(c("baths") == 0, NO_BATHROOMS),
         F.when(c("price") <= 0, "price rejected"), F.when(c("price") > PRICE_FLAG, "price flagged"), F.when((c("rating") < 0) | (c("rating") > RATING_MAX), "rating clamped")]
     return clean.select("id", "hood", c("rooms").alias("bedrooms"), c("baths").alias("bathrooms"), c("rate").alias("price"), c("stars").alias("rating"), text.confidence({k: F.coalesce(v, F.lit(False)) for k, v in filled.items()}).alias("confidence"),
                         F.array_join(F.filter(F.array(*warnings), lambda w: w.isNotNull()), " | ").alias("warnings"))

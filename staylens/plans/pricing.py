@@ -94,6 +94,7 @@ def plain_number(x: Column) -> Column:
 
 def match_reasons() -> Column:
     """Why a comparable (t_ columns for the target) was chosen, as an array of sentences."""
+    # fixed values: the sentences and their bounds of size and distance
     c = F.col
     size_gap, beach_gap = F.abs(c("sqft") - c("t_sqft")) / c("t_sqft"), F.abs(c("beach_m") - c("t_beach_m"))
     sizes = F.concat(F.lit(" ("), plain_number(c("sqft")), F.lit(" vs "), plain_number(c("t_sqft")), F.lit(" ft²)"))
@@ -280,6 +281,7 @@ _TIER_1_SQL = "ev AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}', DATE '{
 
 def suggested_action(bucket: Column, price: Column) -> Column:
     """What to do, as an array of sentences."""
+    # fixed values: the sentences
     p = price.cast("string")
     say = lambda *parts: F.array(*parts)
     return (F.when(bucket == "early", say(F.concat(F.lit("Set $"), p, F.lit(" for this night")), F.lit("Re-check in 3 weeks — if comps start moving, you can raise")))

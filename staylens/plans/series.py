@@ -19,6 +19,8 @@ MAX_SWING = 0.15
 #: fixed values: threshold of an anomaly, of a weak month before it, and default weights
 ANOMALY_BELOW, WEAK_BELOW, WEAK_MONTHS = -15.0, -8.0, 2
 ANOMALY_WEIGHT, RECOVERY_WEIGHT = 0.30, 0.70
+#: fixed values: weights of traffic and of prices in structural and mixed months
+STRUCTURAL, MIXED = (0.8, 0.85), (0.7, 0.75)
 #: stand-in market events over the test data's years (slug, first day, last day, shock first, shock last, recovery end, priority, premium, weights, active)
 EVENTS = [
     ("storm", "1997-09-05", "1997-09-20", "1997-08-20", "1997-09-30", "1997-12-31", 80, 0.12, '{"airportDemand": 0.4, "pricingDemand": 0.5}', True),
@@ -158,8 +160,8 @@ def classify(yoy: DataFrame, happenings: DataFrame) -> DataFrame:
     return x.withColumn("kind", kind).select(
         "year", "month", "yoy_pct", "weak_months", "kind",
         F.when(label == "recovery", F.col("fading.slug")).when(label.isin("mixed", "shock"), F.col("impact.slug")).alias("event"),
-        F.when(label == "recovery", F.col("fading.recovery_weight")).when(label == "structural", 0.8).when(label == "mixed", 0.7).when(label == "shock", F.col("impact.airport_weight")).otherwise(1.0).alias("airport_weight"),
-        F.when(label == "recovery", F.col("fading.recovery_weight")).when(label == "structural", 0.85).when(label == "mixed", 0.75).when(label == "shock", F.col("impact.pricing_weight")).otherwise(1.0).alias("pricing_weight"),
+        F.when(label == "recovery", F.col("fading.recovery_weight")).when(label == "structural", STRUCTURAL[0]).when(label == "mixed", MIXED[0]).when(label == "shock", F.col("impact.airport_weight")).otherwise(1.0).alias("airport_weight"),
+        F.when(label == "recovery", F.col("fading.recovery_weight")).when(label == "structural", STRUCTURAL[1]).when(label == "mixed", MIXED[1]).when(label == "shock", F.col("impact.pricing_weight")).otherwise(1.0).alias("pricing_weight"),
         label.isin("structural", "mixed", "shock").alias("caution"))
 
 
