@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -295,13 +296,34 @@ def test_crossovers_save_bins():
     middling = [rng.randrange(244, 538) for _ in range(400)]
     for sizes in (triplets, middling):
         decreasing = packing._packed(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 1_000)
-        best, trail = packing.evolve(sizes, 1_000, [], random.Random(1), 6, 40)
-        assert len(best) == trail[-1] < len(decreasing) and trail[-1] <= trail[0] - (sizes is middling)
+        best, trail, born = packing.evolve(sizes, 1_000, [], random.Random(1), 6, 40)
+        assert len(best) == trail[-1] < len(decreasing) and trail[-1] <= trail[0] - (sizes is middling) and born
         assert sorted(i for x in best for i in x) == list(range(len(sizes))) and max(sum(sizes[i] for i in x) for x in best) <= 1_000
-        again, _ = packing.evolve(sizes, 1_000, [best], random.Random(2), 6, 40)
+        again, _, _ = packing.evolve(sizes, 1_000, [best], random.Random(2), 6, 40)
         assert len(again) <= len(best)
 
 
+def test_crossovers_pack_the_documents():
+    """Lengths of the given documents: islands that never see best-fit decreasing need no more bins, and their best descends from crossovers."""
+    own = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    lengths = [len(x) // 4 + 1 for x in own.encode_many([t or "" for t in texts])]
+    sizes = sorted(n % 2_048 for n in lengths if n % 2_048)
+    decreasing = packing._packed(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 2_048)
+    first = [packing.evolve(sizes, 2_048, [], random.Random(k), 4, 12) for k in (0, 1)]
+    last = [packing.evolve(sizes, 2_048, [first[k][0], first[1 - k][0]], random.Random(2 + k), 4, 12) for k in (0, 1)]
+    assert all(trail[-1] < trail[0] and born for _, trail, born in first)
+    assert min(len(best) for best, _, _ in last) <= len(decreasing)
+    assert all(best != decreasing for best, _, _ in [*first, *last])
+
+
+def test_ranges_of_copies_are_gathered_once(spark):
+    """Four hundred copies of one row beside an earlier twin."""
+    rows = [(1, LINE * 2 + "own words here", "a")] + [(2, LINE * 2 + "other words", "b")] * 400
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()
+    wanted = brute_repeats([(1, rows[0][1]), (2, rows[1][1])])
+    assert len(got) == 401 and all((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == wanted[r.doc_id] for r in got)
+
 def test_packing_over_blocks(spark):
     """Several blocks, repeated rows, and columns with the names that packing uses."""
     rows = [(k % 50, k % 7, 0, 1 + k * 37 % 64, k, k, "x", k) for k in range(900)] * 2
@@ -566,7 +588,7 @@ def test_pipeline(spark, tmp_path):
         got = seen.collect()
         if name == "toxicity":
             assert {r.doc_id for r in got} == {r[0] for r in rows if r[0] is None or r[0] < len(texts)}
-        elif name == "simhash_near_dedup":
+        elif name == "near_dedup":
             groups, _ = brute_groups([(k, r.text) for k, r in enumerate(before) if r.doc_id is not None])
             least = {}
             for k, g in groups.items():
