@@ -109,23 +109,28 @@ def evolve(sizes: list[int], capacity: int, seeds: list[Packing], rng: random.Ra
     takes it); all else are crossovers. An island that was sent no elite makes at least one; beyond that it ends once no packing can
     have fewer bins. The best of the pool always stays, so an island never gives up what it was sent.
     """
+    def rated(bins: Packing, born: int) -> tuple[tuple[int, float], Packing, int]:
+        return fitness(bins, sizes, capacity), bins, born
+
+    if not sizes:  # a block of full pieces alone
+        return [], [0], 0
+    floor = -(-sum(sizes) // capacity)
     order = list(range(len(sizes)))
-    pool: list[tuple[Packing, int]] = [(p, 0) for p in seeds]
-    while len(pool) < max(2, population):
+    pool = [rated(p, 0) for p in seeds]
+    # beside an elite that no packing can beat nothing needs to be grouped
+    while len(pool) < max(2, population) and min(map(len, seeds), default=floor + 1) > floor:
         rng.shuffle(order)
-        pool.append((_packed(order, sizes, capacity), 0))
-    rate = lambda x: fitness(x[0], sizes, capacity)
-    floor = -(-sum(sizes) // capacity)
-    trail = [min(len(p) for p, _ in pool)]
+        pool.append(rated(_packed(order, sizes, capacity), 0))
+    trail = [min(len(p) for _, p, _ in pool)]
     for _ in range(generations):
         if trail[-1] <= floor and (seeds or len(trail) > 1):
             break
-        pool.sort(key=rate, reverse=True)
-        (a, born_a), (b, born_b) = pool[0], pool[rng.randrange(1, len(pool))]
+        pool.sort(key=lambda x: x[0], reverse=True)
+        (_, a, born_a), (_, b, born_b) = pool[0], pool[rng.randrange(1, len(pool))]
         child = crossover(a, b, sizes, capacity, rng)
-        pool = [*pool[: max(1, population - 1)], (child, 1 + max(born_a, born_b))]
+        pool = [*pool[: max(1, population - 1)], rated(child, 1 + max(born_a, born_b))]
         trail.append(min(trail[-1], len(child)))
-    best, born = max(pool, key=rate)
+    _, best, born = max(pool, key=lambda x: x[0])
     return best, trail, born
 
 

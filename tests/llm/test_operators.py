@@ -324,6 +324,15 @@ def test_ranges_of_copies_are_gathered_once(spark):
     wanted = brute_repeats([(1, rows[0][1]), (2, rows[1][1])])
     assert len(got) == 401 and all((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == wanted[r.doc_id] for r in got)
 
+def test_tiny_blocks(spark):
+    """Blocks of full pieces alone, of one piece, and of pieces that one sequence holds."""
+    for sizes in ([], [1], [1, 2], [5, 5, 5], [10]):
+        best, _, _ = packing.evolve(sizes, 10, [], random.Random(1), 4, 12)
+        assert len(best) == -(-sum(sizes) // 10) == len(packing.evolve(sizes, 10, [best], random.Random(1), 4, 12)[0])
+    full = spark.createDataFrame([(k, 0, 0, 64) for k in range(5)], "doc_id long, piece int, start long, length long")
+    assert sorted((r.doc_id, r.offset) for r in packing.pack(full, capacity=64).collect()) == [(k, 0) for k in range(5)]
+
+
 def test_packing_over_blocks(spark):
     """Several blocks, repeated rows, and columns with the names that packing uses."""
     rows = [(k % 50, k % 7, 0, 1 + k * 37 % 64, k, k, "x", k) for k in range(900)] * 2
