@@ -68,7 +68,8 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     """Pairs (a, b) of distinct fingerprints ``fp`` that differ in one or two bits, a < b.
 
     Rows grow as 66 keys a distinct fingerprint; a fingerprint has at most 2,080 others within two bits,
-    so links cannot grow with the square of a group of copies.
+    so links cannot grow with the square of a group of copies. Both sides are shuffled: Spark reckons exploded
+    rows as no larger than what they come from and would send all keys through the driver.
     """
     low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
     high = F.shiftrightunsigned("fp", SEGMENT_BITS).bitwiseOR(F.lit(1 << SEGMENT_BITS))  # its own key space
@@ -78,7 +79,7 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
         prints.select(F.col("fp").alias("b"), F.explode(F.array(low, high)).alias("segment"))
         .select("b", F.explode(F.transform(masks, lambda m: F.col("segment").bitwiseXOR(m))).alias("key"))
     )
-    return filed.join(probes, "key").filter("a < b AND bit_count(a ^ b) <= 2").select("a", "b").distinct()
+    return filed.join(probes.hint("merge"), "key").filter("a < b AND bit_count(a ^ b) <= 2").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:

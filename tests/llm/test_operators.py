@@ -140,6 +140,14 @@ def test_simhash(docs, nothing):
     assert len(rows) == len(TEXTS) + 2 and simhash.near_duplicates(nothing).count() == 0
 
 
+def test_simhash_keys_do_not_pass_through_the_driver(spark, tmp_path):
+    """Spark takes 66 keys a fingerprint for no more than the fingerprint, so the table alone looks small enough to broadcast."""
+    spark.range(1_000).selectExpr("xxhash64(id) AS fp").write.parquet(str(tmp_path / "prints"))
+    links = simhash.fingerprint_links(spark.read.parquet(str(tmp_path / "prints")))
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 1 << 20
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_similar_documents(docs, nothing):
     groups = {r.doc_id: r.component_id for r in similar_documents.similar_groups(docs).collect()}
     assert groups[12] == 11 and groups[6] == 0 and groups[4] == 3 and groups[5] == 5 and groups[8] == 8
