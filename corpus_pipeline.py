@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm import packing, similar_documents, substring_dedup, toxicity
+from staylens.llm import packing, similar_documents, simhash, substring_dedup, toxicity
 from staylens.llm.common import checkpointed, fresh
 from staylens.llm.queries import tokenizer_path
 
@@ -18,8 +18,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near copies (five words, similarity 0.8)."""
-    return similar_documents.one_of_each_group(docs, words=5, similarity=0.8)
+    """One document, the smallest doc_id, of each group of near copies.
+
+    Fingerprints at most two bits apart connect documents (op4, by multi-index hashing); then those that they leave apart are
+    compared exactly, and similarity 0.8 of their sets of five words connects them as well.
+    """
+    return similar_documents.one_of_each_group(docs, words=5, similarity=0.8, known=simhash.components(docs))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,15 +53,16 @@ def _batch_fingerprints(words: int, seed: int) -> Callable[[Iterator[pa.RecordBa
                         votes[i] += bits.sum(axis=0, dtype=np.int64)
             set_bits = (2 * votes > sizes[:, None]).astype(np.uint8)
             prints = np.packbits(set_bits, axis=1, bitorder="little").view(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints, pa.int64())], ["doc_id", "text_key", "fp"])
 
     return fingerprint
 
 
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """Rows (doc_id, fp long) of whole texts, one per input row; a text without words gets zero."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _batch_fingerprints(words, seed), "doc_id long, fp long")
+    """Rows (doc_id, text_key, fp long) of whole texts, one per input row; a text without words gets zero, text_key is xxhash64 of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key")).mapInArrow(
+        _batch_fingerprints(words, seed), "doc_id long, text_key long, fp long")
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
@@ -82,15 +83,8 @@ def fingerprint_links(prints: DataFrame) -> DataFrame:
     return filed.join(probes.hint("merge"), "key").filter("a < b AND bit_count(a ^ b) <= 2").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
-    """Rows (doc_id, fingerprint, component_id), one for each input row.
-
-    component_id is the smallest doc_id reachable over fingerprints at most two bits apart. Null and
-    empty texts have fingerprint zero and link like any other. A row whose doc_id is null keeps its place
-    in a component but never names it. Repeated rows stay repeated; an empty table gives no rows. Columns
-    of ``docs`` other than doc_id and text are not looked at.
-    """
-    prints = checkpointed(fingerprints(docs, words, seed))
+def _in_components(prints: DataFrame) -> DataFrame:
+    """``prints`` with component, the name of each fingerprint's component, and component_id, the smallest doc_id in it."""
     distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     links = fingerprint_links(distinct.select("fp"))
     of_print = connected_components(links)
@@ -99,6 +93,26 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFram
         .select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     )
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = named.join(smallest, "component").select("fp", "component", "component_id")
+    return prints.join(classes, "fp")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """Rows (doc_id, fingerprint, component_id), one for each input row.
+
+    component_id is the smallest doc_id reachable over fingerprints at most two bits apart. Null and
+    empty texts have fingerprint zero and link like any other. A row whose doc_id is null keeps its place
+    in a component but never names it. Repeated rows stay repeated; an empty table gives no rows. Columns
+    of ``docs`` other than doc_id and text are not looked at.
+    """
+    prints = checkpointed(fingerprints(docs, words, seed).drop("text_key"))
+    return _in_components(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def components(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """Rows (doc_id, text_key, component), one for each row with a doc_id; component names what fingerprints at most two bits apart connect.
+
+    Different texts under one doc_id each have their own component. Awkward rows are treated as in ``near_duplicates``.
+    """
+    prints = checkpointed(fingerprints(docs.filter("doc_id IS NOT NULL"), words, seed))
+    return _in_components(prints).select("doc_id", "text_key", "component")

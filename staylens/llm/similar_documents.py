@@ -7,11 +7,13 @@ sizes and by parities and then by the sets themselves. A set's parities are the
 2 to 4 slots a shingle; the slots in which two sets' parities differ are never more than the shingles in
 which the sets differ, and parities of twice the slots fold into those of fewer, so sets of any sizes compare.
 
+Components that another method found may be given; what they connect is not compared again.
+
 Every set is first compared with the set that is first among most of its keys, then with the first sets of its
 other keys where they are not yet in its component; both are linear, and a crowd of different near copies
 becomes one component by them. Then only the keys that hold several components are compared pair by pair, in
-blocks of a fixed number of sets: a task holds two blocks with parities folded to at most 1,024 slots and tells
-only the pairs that pass.
+blocks of a fixed number of sets: rows sorted by key reach a task, which compares two blocks at a time with parities
+folded to at most 1,024 slots and tells only the pairs that pass.
 """
 
 from __future__ import annotations
@@ -24,11 +26,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.llm.common import checkpointed, connected_components, fresh, mark_of, marked, marks, portions, tidy
+from staylens.llm.common import checkpointed, connected_components, fresh, mark_of, marked, marks, portions, tidy, utf8
 
 LEAST_SLOTS, SHORT_SLOTS = 512, 1_024
 SAMPLE_ROWS, COMMON = 10_000, 200_000
 BLOCK = 1_000
+#: how many pairs are compared in one step
+PAIRS = 100_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -208,51 +212,105 @@ def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, words: int
     return checkpointed(full.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
 
 
+def _folded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parities of LEAST_SLOTS or SHORT_SLOTS: all folded to the fewer slots, as they are, and which have the more."""
+    data, offsets = utf8(column)
+    more = np.diff(offsets) > LEAST_SLOTS // 8
+    folded, whole = np.zeros((len(more), LEAST_SLOTS // 64), np.uint64), np.zeros((len(more), SHORT_SLOTS // 64), np.uint64)
+    for own, slots in ((np.flatnonzero(~more), LEAST_SLOTS), (np.flatnonzero(more), SHORT_SLOTS)):
+        words = data[offsets[own][:, None] + np.arange(slots // 8)].view(np.uint64)
+        whole[own, : slots // 64] = words
+        folded[own] = np.bitwise_xor.reduce(words.reshape(len(own), slots // LEAST_SLOTS, LEAST_SLOTS // 64), axis=1)
+    return folded, whole, more
+
+
+def _groups(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches cut anew so that rows which agree in the columns, and follow each other, are never parted."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.slice(batch.num_rows - 1).select(columns).to_pylist()[0]
+        inside = np.ones(batch.num_rows, bool)
+        for c in columns:
+            inside &= batch.column(c).to_numpy() == last[c]
+        cut = int(np.flatnonzero(~inside)[-1]) + 1 if not inside.all() else 0
+        if cut or (rest and rest[-1].slice(rest[-1].num_rows - 1).select(columns).to_pylist()[0] != last):
+            # rows up to the cut end the group that waited
+            yield pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+            rest = []
+        rest.append(batch.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
 def _passing(similarity: float) -> Callable:
-    def passing(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b) of two blocks of a key, of different components, whose sizes and parities allow the similarity."""
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not len(left) or not len(right):
-            return empty
-        (a, m, c), (b, n, d) = ([t.column(i).to_numpy() for i in ("node", "size", "component")] for t in (left, right))
-        x, y = (t.column("parity").to_pylist() for t in (left, right))
-        short = []
-        for own in (x, y):  # all parities folded to the least length
-            words = np.zeros((len(own), LEAST_SLOTS // 64), np.uint64)
-            for i, p in enumerate(own):
-                words[i] = np.bitwise_xor.reduce(np.frombuffer(p, np.uint64).reshape(-1, LEAST_SLOTS // 64), axis=0)
-            short.append(words)
-        same, found = key[1].as_py() == key[2].as_py(), []
         share = (1 - similarity) / (1 + similarity)
-        for i in range(len(a)):
-            allowed = (m[i] + n) * share + 1e-6
-            good = (c[i] != d) & (np.minimum(m[i], n) >= np.maximum(m[i], n) * similarity - 1e-6) & (np.bitwise_count(short[0][i] ^ short[1]).sum(1, dtype=np.int64) <= allowed)
-            if same:
-                good &= a[i] < b
-            for j in np.flatnonzero(good).tolist():
-                u, v = (np.frombuffer(p, np.uint64).reshape(1, -1) for p in (x[i], y[j]))
-                if differing(u, v)[0] <= allowed[j]:
-                    found.append((min(a[i], b[j]), max(a[i], b[j])))
-        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())}) if found else empty
+        for batch in _groups(batches, ["key", "p", "q"]):
+            key, p, q, side, node, size, component = (batch.column(c).to_numpy() for c in ("key", "p", "q", "side", "node", "size", "component"))
+            folded, whole, more = _folded(batch.column("parity"))
+            n, at = len(key), np.arange(len(key))
+            new = np.ones(n, bool)
+            new[1:] = (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+            starts = np.flatnonzero(new)
+            sizes = np.diff(np.append(starts, n))
+            ends = np.repeat(starts + sizes, sizes)
+            # inside one block a row meets those behind it, else a row of the first block all of the second
+            first = np.where(p == q, at + 1, ends - np.repeat(np.add.reduceat(side, starts), sizes))
+            counts = np.where(side == 0, ends - first, 0)
+            total = np.cumsum(counts)
+            row = 0
+            while row < n:
+                stop = max(row + 1, int(np.searchsorted(total, total[row] - counts[row] + PAIRS, "right")))
+                own = counts[row:stop]
+                x = np.repeat(at[row:stop], own)
+                y = np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first[row:stop], own)
+                row = stop
+                apart = component[x] != component[y]
+                x, y = x[apart], y[apart]
+                m, k = size[x], size[y]
+                fits = np.minimum(m, k) >= np.maximum(m, k) * similarity - 1e-6
+                x, y = x[fits], y[fits]
+                allowed = (size[x] + size[y]) * share + 1e-6
+                good = np.bitwise_count(folded[x] ^ folded[y]).sum(1, dtype=np.int64) <= allowed
+                x, y, allowed = x[good], y[good], allowed[good]
+                good = ~(more[x] & more[y]) | (np.bitwise_count(whole[x] ^ whole[y]).sum(1, dtype=np.int64) <= allowed)
+                a, b = node[x[good]], node[y[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return passing
 
 
-def _across(members: DataFrame, block: int, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a key but not a component and may be similar, from ``members`` (key, node, size, parity, component).
+def _across(members: DataFrame, block: int, similarity: float, described: DataFrame | None = None) -> DataFrame:
+    """Distinct pairs (a, b) of nodes that share a key but not a component and may be similar, from ``members`` (key, node, component), which have
+    size and parity as well unless ``described`` (node, size, parity) tells them.
 
     A key of more than ``block`` sets is split by hash, and each two parts of it meet under a key of their own.
+    Parities are fetched only for keys that hold several components.
     """
     mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     held = members.join(mixed.select("key", F.ceil(F.col("n") / block).cast("long").alias("parts")), "key")
     held = held.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    columns = ["node", "size", "parity", "component"]
-    left = held.select("key", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"), *columns)
-    right = held.select(F.col("key").alias("to_key"), F.explode(F.sequence(F.lit(0).cast("long"), "part")).alias("to_p"), F.col("part").alias("to_q"), *[F.col(c).alias(c) for c in columns])
-    return left.groupBy("key", "p", "q").cogroup(right.groupBy("to_key", "to_p", "to_q")).applyInArrow(_passing(similarity), "a long, b long").distinct()
+    held = held if described is None else held.join(described, "node")
+    met = held.select(
+        "key", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), "node", "size", "parity", "component",
+    ).select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("other") < F.col("part")).cast("int").alias("side"), "node", "size", "parity", "component")
+    dealt = met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
+    return dealt.mapInArrow(_passing(similarity), "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
+def _linked(known: DataFrame, described: DataFrame, distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``known`` components (doc_id, text_key, component) say of nodes: a label, equal only where they are connected, and links (a, b) that connect them."""
+    held = described.select("doc_id", "text_key", "digest").join(known, ["doc_id", "text_key"]).select("digest", "component").distinct()
+    placed = checkpointed(held.join(distinct.select("digest", "node"), "digest").select("node", "component"))
+    labels = placed.groupBy("node").agg(F.min("component").alias("label"))
+    first = placed.groupBy("component").agg(F.min("node").alias("a"))
+    return labels, placed.join(first, "component").filter("a <> node").select("a", F.col("node").alias("b"))
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """Rows (doc_id, text_key, component, component_id), one for each row with a doc_id; text_key is xxhash64 of the text.
 
     component names the group; component_id is the smallest doc_id in it.
@@ -261,6 +319,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     pairs count and no others (shingles are known by 64-bit hashes). Texts without words (null, empty) are one
     group. Texts of fewer words than a shingle are one shingle. Repeated rows stay repeated, and different texts
     under one doc_id each have their own component; an empty table gives no rows; other columns are not looked at.
+
+    ``known`` gives components (doc_id, text_key, component) found by other means, one row for each row with a doc_id: they are connected as well, and
+    texts that they connect are not compared again.
     """
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
     # a sample only sets the order of shingles; what is found does not depend on it
@@ -279,29 +340,36 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     inside = Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     later = checkpointed(filed.select("key", "node", F.first("node").over(inside).alias("first")).filter("node <> first"))
     stars = checkpointed(later.groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys")))
+    open_, told = stars, None
+    if known is not None:
+        labels, told = _linked(known, described, distinct)
+        open_ = checkpointed(
+            stars.join(labels.withColumnsRenamed({"node": "a", "label": "x"}), "a").join(labels.withColumnsRenamed({"node": "b", "label": "y"}), "b")
+            .filter("x <> y").select("a", "b", "keys"))
     # the first set of most of a set's keys, then the others that are not in its component by then
-    nearest = stars.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"))
+    nearest = open_.groupBy("b").agg(F.max_by("a", F.struct("keys", "a")).alias("a"))
     links = _verified(nearest.select("a", "b"), distinct, rows, words, similarity)
+    links = links if told is None else links.unionByName(told)
     parts = connected_components(links)
     of = lambda side: parts.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
-    apart = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    apart = open_.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b").join(nearest, ["a", "b"], "left_anti")
     links = checkpointed(links.unionByName(_verified(apart, distinct, rows, words, similarity)))
     parts = connected_components(links)
     members = later.select("key", "node").unionByName(later.select("key", F.col("first").alias("node")).distinct())
-    named = members.join(parts, "node", "left").join(distinct.select("node", "size", F.col("short").alias("parity")), "node").select("key", "node", "size", "parity", F.coalesce("component", "node").alias("component"))
-    more = _verified(_across(named, block, similarity), distinct, rows, words, similarity)
+    named = checkpointed(members.join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")))
+    more = _verified(_across(named, block, similarity, distinct.select("node", "size", F.col("short").alias("parity"))), distinct, rows, words, similarity)
     whole = connected_components(links.unionByName(more))
     placed = distinct.select("node", "digest", "rep").join(whole, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
     lowest = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     return described.select("doc_id", "text_key", "digest").join(placed.join(lowest, "component").select("digest", "component", "component_id"), "digest").drop("digest")
 
 
-def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, known: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that have the smallest doc_id of their group, and of several texts under it the one of the smallest xxhash64.
 
     Repeated rows stay as often as they come; rows without doc_id stay. Columns may have any names.
     """
-    groups = similar_groups(docs, words, similarity)
+    groups = similar_groups(docs, words, similarity, known=known)
     first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
     name, key = (fresh(docs.columns, x) for x in ("kept_doc_id", "kept_text_key"))
     kept = first.select(F.col("x.doc_id").alias(name), F.col("x.text_key").alias(key))

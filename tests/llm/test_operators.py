@@ -220,6 +220,30 @@ def test_similar_documents_keep_different_texts(spark):
     assert {r.doc_id: r.component_id for r in similar_documents.similar_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()} == wanted
 
 
+def test_near_copies_of_the_pipeline_are_linked_by_fingerprints_first(spark):
+    """A line repeated many times makes fingerprints equal that sets tell apart; edited texts are linked by sets alone."""
+    import corpus_pipeline
+
+    texts = [(i, " ".join(f"{c}{k}" for k in range(40)) + " " + LINE * 30) for i, c in enumerate("abcdef")]
+    texts += [(100 + i, t) for i, t in edited_texts()]
+    df = spark.createDataFrame([*texts, texts[0], (4, "another text of an id")], "doc_id long, text string")
+    prints, (groups, _) = {i: brute_print(t) for i, t in texts}, brute_groups(texts)
+    parent = {i: g for i, g in groups.items()}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert any(groups[a] != groups[b] for a, b in near) and any(groups[a] == groups[b] and (a, b) not in set(near) for a, b in itertools.combinations(prints, 2))
+    for a, b in near:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, "").collect())
+    assert kept == Counter([(i, t) for i, t in texts if root(i) == i] + [texts[0], (4, "another text of an id")])
+
+
 def test_similar_documents_of_a_crowd(spark):
     """Crowds of different near copies and of texts that share much but are not similar; keys far above a block."""
     rng = np.random.default_rng(6)
