@@ -385,11 +385,22 @@ class Encoder:
 
     def _meet(self, fresh: set) -> list[str]:
         """Put the ids of new chunks into the cache; returns the pre-tokens that were new."""
-        found = {c: self.pretokens(c) for c in fresh if isinstance(c, str)}
-        new_words = self.learn({w for x in found.values() for w in x})
-        words = self.words
+        single: dict[str, str] = {}
+        several: dict[str, list[str]] = {}
         for chunk in fresh:
-            self.chunks[chunk] = b"".join([words[w] for w in found[chunk]]) if chunk in found else chunk[0].to_bytes(4, "little")
+            if not isinstance(chunk, str):
+                self.chunks[chunk] = chunk[0].to_bytes(4, "little")
+            elif self.suffix and (word := chunk.lower() if chunk.isascii() else self._normal(chunk)).isalpha():
+                single[chunk] = word
+            elif len(found := self.pretokens(chunk)) == 1:
+                single[chunk] = found[0]
+            else:
+                several[chunk] = found
+        new_words = self.learn(set(single.values()).union(*several.values()))
+        words = self.words
+        self.chunks.update(zip(single, map(words.__getitem__, single.values()), strict=True))
+        for chunk, found in several.items():
+            self.chunks[chunk] = b"".join(map(words.__getitem__, found))
         return new_words
 
     def _shrink(self, fresh: set, new_words: list[str]) -> None:
