@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.llm import packing, similar_documents, simhash, substring_dedup, toxicity
-from staylens.llm.common import checkpointed, fresh
+from staylens.llm.common import checkpointed, fresh, prepared
 from staylens.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def with_settings(stage: Callable) -> Callable:
+    """The stage, with the settings of Python workers that registered queries have, also where it is called on its own."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepared(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; all columns are kept."""
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -48,7 +61,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=2_048, with_ids=True)
 
 
-STAGES = [("toxicity", reject_toxic), ("near_dedup", drop_near_copies), ("suffix_dedup", cut_repeats), ("packing", pack_sequences)]
+STAGES = [(name, with_settings(stage)) for name, stage in (("toxicity", reject_toxic), ("near_dedup", drop_near_copies), ("suffix_dedup", cut_repeats), ("packing", pack_sequences))]
 
 #: No stage can be said in SQL; tests/llm holds them against brute force.
 ORACLE_SQL = None

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def prepared(spark: SparkSession) -> None:
+    """Put this checkout on the path of Python workers wherever the driver was started; they take Arrow's memory from the C library, which gives it back when a task ends."""
+    root, settings = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in settings.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        settings["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    settings.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    settings.setdefault("MALLOC_ARENA_MAX", "2")
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """What runs inside hands whole texts to Python by at most ``rows``: both sides hold a batch, and Spark's side grows it by doubling."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Component of every node of ``edges`` (a long, b long): rows (node, component), component the smallest node.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.llm.bpe import encoder
-from staylens.llm.common import checkpointed, portions, tidy
+from staylens.llm.common import checkpointed, portions, small_batches, tidy
 
 Packing = list[list[int]]
 #: from which share of the capacity a bin is full, and the share of full bins injected
@@ -212,9 +212,10 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2_048, with_ids:
     """
     pieces = token_pieces(docs, path, capacity)
     columns = ["doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")]
-    if not with_ids:
-        return pack(pieces.select(*columns), capacity)
-    # ids wait in the checkpoint while the lengths are packed; the number joins them again
-    numbered = checkpointed(pieces.withColumn("number", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):  # the texts are read and encoded in here, by a checkpoint
+        if not with_ids:
+            return pack(pieces.select(*columns), capacity)
+        # ids wait in the checkpoint while the lengths are packed; the number joins them again
+        numbered = checkpointed(pieces.withColumn("number", F.monotonically_increasing_id()))
     placed = pack(numbered.select(*columns, "number"), capacity)
     return placed.join(numbered.select("number", "ids"), "number").drop("number")

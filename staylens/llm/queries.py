@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.llm import bpe, embedding_dedup, fill_middle, filter_audit, language_model, packing, pieces, sharding, simhash, substring_dedup, token_counts, topk_search, toxicity
-from staylens.llm.common import documents
+from staylens.llm.common import documents, prepared
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,17 +184,9 @@ FROM comp LEFT JOIN n ON n.vec_id = comp.vec_id
 
 
 def located(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query, with this checkout on the path of Python workers wherever the driver was started.
-
-    Workers take Arrow's memory from the C library, which gives it back when a task ends.
-    """
+    """The query, with the workers' settings made first."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        root, settings = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-        paths = [p for p in settings.get("PYTHONPATH", "").split(os.pathsep) if p]
-        if root not in paths:
-            settings["PYTHONPATH"] = os.pathsep.join([root, *paths])
-        settings.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
-        settings.setdefault("MALLOC_ARENA_MAX", "2")
+        prepared(spark)
         return query(spark, sf_dir)
 
     return run

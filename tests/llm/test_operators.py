@@ -8,9 +8,11 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
+import corpus_pipeline
 from staylens.llm import bpe, embedding_dedup, language_model, packing, sharding, similar_documents, simhash, substring_dedup, token_counts, topk_search, toxicity
 from staylens.llm.common import connected_components
 from staylens.llm.suffix_array import suffix_arrays
@@ -651,3 +653,34 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in placed} == {r.doc_id for r in seen.collect()}
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in placed)
     assert max(Counter(r.sequence_id for r in placed for _ in range(r.length)).values()) <= 2_048
+
+
+def test_texts_reach_packing_in_small_batches(spark, monkeypatch):
+    """Whole texts are held by both sides a batch at a time; each batch becomes a piece as long as it has rows."""
+    def task(path, capacity, end):
+        def rows(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((0, pa.int64()), (0, pa.int32()), (0, pa.int64()), (batch.num_rows, pa.int64()), (b"", pa.binary()))], ["doc_id", "piece", "start", "length", "ids"])
+
+        return rows
+
+    monkeypatch.setattr(packing, "_cut", task)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.range(3_000, numPartitions=1).selectExpr("id AS doc_id", "'x' AS text")
+    for with_ids in (False, True):
+        lengths = [r.length for r in packing.pack_documents(df, "", capacity=100_000, with_ids=with_ids).collect()]
+        assert sum(lengths) == 3_000 and max(lengths) <= 1_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_stages_prepare_the_workers(spark, monkeypatch):
+    """A stage called on its own has the settings of the registered query."""
+    settings = spark.sparkContext.environment
+    for name in ("ARROW_DEFAULT_MEMORY_POOL", "MALLOC_ARENA_MAX"):
+        monkeypatch.delitem(settings, name, raising=False)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Exception):
+            stage(spark, None, "")
+        assert settings.pop("ARROW_DEFAULT_MEMORY_POOL") == "system" and settings.pop("MALLOC_ARENA_MAX") == "2"
+    with pytest.raises(Exception):
+        corpus_pipeline.STAGES[0][1](spark, None, "")
