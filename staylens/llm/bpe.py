@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -209,6 +210,7 @@ class Encoder:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.pattern = regex.compile(WORD_END if self.suffix else BYTE_LEVEL)
+        self.lines = regex.compile(WORD_END + r"|\n")
         back = {x: b for b, x in enumerate(letters)}
         self.spelled: dict[int, bytes] = {}
         for token, i in vocab.items():
@@ -345,7 +347,7 @@ class Encoder:
         if chunk.isascii():
             return chunk.lower()
         composed = unicodedata.normalize("NFC", chunk)
-        return "".join(c.lower() for c in composed) if "Σ" in composed else composed.lower()
+        return composed.replace("Σ", "σ").lower()  # no form of its own at a word's end
 
     def pretokens(self, chunk: str) -> list[str]:
         if self.suffix:
@@ -426,6 +428,49 @@ class Encoder:
         self._shrink(fresh, new_words)
         return out
 
+    def _spelled(self, chunks: list[str]) -> tuple[list[bytes], list[str]]:
+        """Ids of chunks without line ends, cut into pre-tokens in one pass, and the pre-tokens that were new; word-end vocabularies only."""
+        found = self.lines.findall(self._normal("\n".join(chunks)))
+        new_words = self.learn(set(found).difference("\n"))
+        ids = list(map(self.words.get, found))  # none for a line end
+        breaks = [k for k, x in enumerate(ids) if x is None]
+        for k in breaks:
+            ids[k] = b""
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        breaks = ends[breaks].tolist()
+        flat = b"".join(ids)
+        return [flat[a:b] for a, b in zip([0, *breaks], [*breaks, len(flat)], strict=True)], new_words
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (strings without nulls and special tokens) one after another, and how many each has; word-end vocabularies only.
+
+        White space of ASCII always parts pre-tokens, so Arrow cuts the texts there and numbers their distinct chunks; only these are
+        looked up, and their ids are copied to all places at once.
+        """
+        cut = pc.ascii_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.chunks.get, chunks))
+        fresh = [k for k, x in enumerate(known) if x is None]
+        places = coded.indices.to_numpy()
+        if fresh:
+            often = (np.bincount(places, minlength=len(chunks))[fresh] > 1).tolist()
+            names = [chunks[k] for k in fresh]
+            ids, new_words = self._spelled(names)
+            for k, x in zip(fresh, ids, strict=True):
+                known[k] = x
+            free = max(0, self.CHUNKS - len(self.chunks))
+            self.chunks.update([(c, x) for c, x, many in zip(names, ids, often, strict=True) if many and len(c) <= 64][:free])
+            self._shrink(set(), new_words)
+        flat = np.frombuffer(b"".join(known), np.uint32)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        counts = sizes[places]
+        ends = np.cumsum(counts)
+        shift = (np.cumsum(sizes) - sizes)[places] - (ends - counts)
+        out = flat[np.repeat(shift, counts) + np.arange(ends[-1] if len(ends) else 0)]
+        upto = np.concatenate(([0], ends))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return out, np.diff(upto)
+
     def chunk_lengths(self, chunks: list[str]) -> list[int]:
         """How many ids each chunk has: texts that need no more cutting, such as a word with the space before it."""
         plain = [c for c in chunks if "<|" not in c] if self.cut else chunks

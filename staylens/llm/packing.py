@@ -12,8 +12,10 @@ import random
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,23 +27,46 @@ Packing = list[list[int]]
 FULL, INJECTED = 0.999, 0.5
 #: bounds of the share of the other parent's bins that a crossover empties
 EMPTIED = 0.3, 0.7
+#: bytes of text that a task encodes at once
+PORTION = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
+def _laid(names: pa.Array, ids: np.ndarray, counts: np.ndarray, capacity: int, end: int) -> pa.RecordBatch:
+    """Rows of PIECES: the ids of each document, one after another in ``ids``, with the end id, cut at ``capacity``."""
+    lengths = counts + 1
+    ends = np.cumsum(lengths)
+    flat = np.full(ends[-1], end, np.uint32)
+    own = np.ones(len(flat), bool)
+    own[ends - 1] = False
+    flat[own] = ids
+    pieces = -(-lengths // capacity)
+    row = np.repeat(np.arange(len(lengths)), pieces)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    start = piece * capacity
+    length = np.minimum(capacity, lengths[row] - start)
+    offsets = np.concatenate(([0], np.cumsum(4 * length))).astype(np.int32)
+    cut = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+    return pa.RecordBatch.from_arrays([names.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), cut], ["doc_id", "piece", "start", "length", "ids"])
+
+
 def _cut(path: str, capacity: int, end: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = encoder(path), end.to_bytes(4, "little")
-        for batch in portions(batches, 1, 2_000_000):
-            names = batch.column(0).to_pylist()
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for name, ids in zip(names, own.encode_many([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids += last
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at: at + 4 * capacity]
-                    for column, value in zip(rows, (name, k, at // 4, len(part) // 4, part), strict=True):
-                        column.append(value)
-            kinds = pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids"])
+        own = encoder(path)
+        for batch in portions(batches, 1, PORTION):
+            texts = batch.column(1).fill_null("")
+            # only texts that may hold special tokens' strings are cut one by one
+            odd = pc.match_substring(texts, "<|")
+            for kind in (pc.invert(odd), odd):
+                some, names = texts.filter(kind), batch.column(0).filter(kind)
+                if not len(some):
+                    continue
+                if kind is odd:
+                    coded = own.encode_many(some.to_pylist())
+                    ids, counts = np.frombuffer(b"".join(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+                else:
+                    ids, counts = own.encode_column(some)
+                yield _laid(names, ids, counts, capacity, end)
 
     return cut
 
@@ -81,13 +106,13 @@ def _packed(items: list[int], sizes: list[int], capacity: int) -> Packing:
 
 def fitness(bins: Packing, sizes: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first; among equals the more unevenly filled."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+    return -len(bins), sum((sum(map(sizes.__getitem__, b)) / capacity) ** 2 for b in bins)
 
 
 def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: random.Random) -> Packing:
     """Inject full bins of ``b`` into ``a``, drop bins with duplicates and the emptiest others, best-fit what was displaced."""
     def fill(x: list[int]) -> int:
-        return sum(sizes[i] for i in x)
+        return sum(map(sizes.__getitem__, x))
 
     fills = sorted(((fill(x), k) for k, x in enumerate(b)), reverse=True)
     wells = [k for f, k in fills if f >= FULL * capacity] or [k for _, k in fills[: max(1, len(fills) // 4)]]

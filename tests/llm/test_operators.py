@@ -684,3 +684,24 @@ def test_stages_prepare_the_workers(spark, monkeypatch):
         assert settings.pop("ARROW_DEFAULT_MEMORY_POOL") == "system" and settings.pop("MALLOC_ARENA_MAX") == "2"
     with pytest.raises(Exception):
         corpus_pipeline.STAGES[0][1](spark, None, "")
+
+
+def test_pieces_of_a_portion_in_bulk():
+    """Texts of a portion with white space of all kinds, special tokens, capitals, marks and nothing, against the library."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    texts = [*TEXTS, "  a  b \n\n c\t d ", "ΑΣ Σ İ", "\x1c a\x1db", "don't I'LL we've   \n  x 'S's", "🙂🙂 ok", "a\u00a0b\u2003 c\u0085d\u3000", "e\u0301 \u0301x A\u030a", "", None, " ", "\n",
+             "x<|endoftext|>y <|no|>", "<|startoftext|>", "word, " * 50 + "once", "1234 a1b2 x_y--z ²½", "w" * 300]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(len(texts))], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    for _ in range(2):  # the second time from the cache
+        got = {}
+        for out in packing._cut(path, 16, 7)(iter([batch.slice(0, 2), batch.slice(2)])):
+            for r in out.to_pylist():
+                got.setdefault(r["doc_id"], []).append(r)
+        for i, text in enumerate(texts):
+            ids = [*library.encode(text or "", add_special_tokens=False).ids, 7]
+            assert [(r["piece"], r["start"], r["length"], np.frombuffer(r["ids"], np.uint32).tolist()) for r in got[i]] == [
+                (k, at, len(ids[at: at + 16]), ids[at: at + 16]) for k, at in enumerate(range(0, len(ids), 16))]
+    own = bpe.Encoder(path)
+    own.encode_column(pa.array(["often often, often, rare,"]))
+    assert "often," in own.chunks and "rare," not in own.chunks
