@@ -36,7 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Fingerprints at most two bits apart connect documents (op4, by multi-index hashing); then those that they leave apart are
     compared exactly, and similarity 0.8 of their sets of five words connects them as well.
     """
-    return similar_documents.one_of_each_group(docs, words=5, similarity=0.8, known=simhash.components(docs))
+    return similar_documents.one_of_each_group(docs, words=5, similarity=0.8, known=simhash.components)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: where the innermost ``scratch`` notes the tables that it will remove
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared checkpoint folder and return what stands there, so its lineage is cut.
 
@@ -31,11 +36,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
     # small row groups: a writer holds one in memory
     df.write.option("compression", "snappy").option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables checkpointed inside are removed at the end, so no plan that reads them may leave; gives the function that checkpoints what stays."""
+    outer, passing = _PASSING.get(), []
+    token = _PASSING.set(passing)
+
+    def lasting(df: DataFrame) -> DataFrame:
+        inner = _PASSING.set(outer)
+        try:
+            return checkpointed(df)
+        finally:
+            _PASSING.reset(inner)
+
+    try:
+        yield lasting
+    finally:
+        _PASSING.reset(token)
+        for path in passing:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def prepared(spark: SparkSession) -> None:
     """Put this checkout on the path of Python workers wherever the driver was started; they take Arrow's memory from the C library, which gives it back when a task ends."""
     root, settings = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.llm.common import checkpointed, connected_components, fresh, mark_of, marked, marks, portions, tidy, utf8
+from staylens.llm.common import checkpointed, connected_components, fresh, mark_of, marked, marks, portions, scratch, tidy, utf8
 
 LEAST_SLOTS, SHORT_SLOTS = 512, 1_024
 SAMPLE_ROWS, COMMON = 10_000, 200_000
@@ -364,14 +364,16 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, blo
     return described.select("doc_id", "text_key", "digest").join(placed.join(lowest, "component").select("digest", "component", "component_id"), "digest").drop("digest")
 
 
-def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, known: DataFrame | None = None) -> DataFrame:
+def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8, known: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, that have the smallest doc_id of their group, and of several texts under it the one of the smallest xxhash64.
 
-    Repeated rows stay as often as they come; rows without doc_id stay. Columns may have any names.
+    Repeated rows stay as often as they come; rows without doc_id stay. Columns may have any names. ``known`` gives the known components
+    of ``docs``. Of the tables made on the way only two numbers a kept document stay on disk.
     """
-    groups = similar_groups(docs, words, similarity, known=known)
-    first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
     name, key = (fresh(docs.columns, x) for x in ("kept_doc_id", "kept_text_key"))
-    kept = first.select(F.col("x.doc_id").alias(name), F.col("x.text_key").alias(key))
+    with scratch(docs.sparkSession) as lasting:
+        groups = similar_groups(docs, words, similarity, known=known and known(docs))
+        first = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+        kept = lasting(first.select(F.col("x.doc_id").alias(name), F.col("x.text_key").alias(key)))
     marked = docs.join(kept, (docs["doc_id"].cast("long") == F.col(name)) & (F.xxhash64(docs["text"].cast("string")) == F.col(key)), "left")
     return marked.filter(F.col(name).isNotNull() | docs["doc_id"].isNull()).drop(name, key)

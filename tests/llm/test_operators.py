@@ -14,7 +14,7 @@ import xxhash
 
 import corpus_pipeline
 from staylens.llm import bpe, embedding_dedup, language_model, packing, sharding, similar_documents, simhash, substring_dedup, token_counts, topk_search, toxicity
-from staylens.llm.common import connected_components
+from staylens.llm.common import checkpointed, connected_components, scratch
 from staylens.llm.suffix_array import suffix_arrays
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -158,6 +158,24 @@ def test_similar_documents(docs, nothing):
     assert similar_documents.similar_groups(nothing).count() == 0
 
 
+def test_tables_of_near_copies_do_not_outlast_the_stage(docs, spark, tmp_path):
+    """Later stages share the disk with what this one leaves: the kept rows' names alone, of twenty tables and more."""
+    context = spark.sparkContext
+    before = context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+        left = [p for p in tmp_path.glob("*/*") if p.is_dir()]
+        assert len(left) == 1 and len(spark.read.parquet(str(left[0])).columns) == 2
+        assert Counter(kept.collect()) == Counter(similar_documents.one_of_each_group(docs, known=simhash.components).collect())
+        with pytest.raises(ZeroDivisionError), scratch(spark) as lasting:
+            stays = lasting(checkpointed(spark.range(3)))
+            1 / 0  # noqa: B018
+        assert stays.count() == 3 and len([p for p in tmp_path.glob("*/*") if p.is_dir()]) == 3
+    finally:
+        context.setCheckpointDir(before)
+
+
 def brute_groups(texts, words=5):
     def shingles(t):
         own = (t or "").lower().split()
