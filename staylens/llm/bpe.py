@@ -472,18 +472,20 @@ class Encoder:
         return out, np.diff(upto)
 
     def chunk_lengths(self, chunks: list[str]) -> list[int]:
-        """How many ids each chunk has: texts that need no more cutting, such as a word with the space before it."""
-        plain = [c for c in chunks if "<|" not in c] if self.cut else chunks
-        fresh = set(plain).difference(self.chunks)
-        new_words = self._meet(fresh)
-        known = self.chunks
-        if len(plain) == len(chunks):
-            out = [len(known[c]) // 4 for c in chunks]
-        else:
-            other = dict(zip(special := [c for c in chunks if "<|" in c], map(len, self.encode_many(special)), strict=True))
-            out = [(other[c] if c in other else len(known[c])) // 4 for c in chunks]
-        self._shrink(fresh.intersection(known), [w for w in new_words if w in self.words])
-        return out
+        """How many ids each of these distinct chunks has: texts that need no more cutting, such as a word with the space before it."""
+        known = list(map(self.chunks.get, chunks))
+        fresh = [k for k, x in enumerate(known) if x is None]
+        special = [k for k in fresh if "<|" in chunks[k]] if self.cut else []
+        if special:
+            for k, x in zip(special, self.encode_many([chunks[k] for k in special]), strict=True):
+                known[k] = x
+            fresh = [k for k in fresh if known[k] is None]
+        names = {chunks[k] for k in fresh}
+        new_words = self._meet(names)
+        for k in fresh:
+            known[k] = self.chunks[chunks[k]]
+        self._shrink(names, new_words)
+        return [len(x) // 4 for x in known]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become replacement characters."""

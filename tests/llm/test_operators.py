@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -605,6 +606,28 @@ def test_token_counts(docs, nothing):
     assert token_counts.edited_token_counts(token_counts.sample_edits(nothing), path).count() == 0
 
 
+def test_units_of_a_portion_are_cut_and_numbered_at_once(monkeypatch):
+    """Units are the regular expression's, beside every kind of white space; a portion's distinct ones reach the encoder in one call."""
+    spaces = [c for c in map(chr, range(65_536)) if c.isspace()]
+    texts = ["", "a b", " a b ", "a  b c", None, "", "é ü 日 本", *[f"a{c} b {c}c d{c}e é {c} é" for c in spaces], "x <|endoftext|> y", ""]
+    texts += ["".join(random.Random(k).choices([*"ab  é日\n", *spaces], k=60)) for k in range(300)]
+    data, offsets = token_counts.utf8(pa.array(texts))
+    wanted = [(at, u) for at, t in zip(offsets.tolist(), texts, strict=False) for u in re.split(r"(?<=\S) (?=\S)", t or "")]
+    starts = token_counts.unit_starts(data, offsets).tolist()
+    assert len(starts) == len(wanted)
+    raw = data.tobytes()
+    assert [raw[a:b].decode().removeprefix(" ") for a, b in itertools.pairwise([*starts, len(raw)])] == [u.removeprefix(" ") for _, u in wanted]
+    calls = []
+    lengths = bpe.Encoder.chunk_lengths
+    monkeypatch.setattr(bpe.Encoder, "chunk_lengths", lambda self, chunks: calls.append(chunks) or lengths(self, chunks))
+    edits = pa.array([[]] * 300, pa.list_(pa.struct({"step": pa.int32(), "start": pa.int32(), "stop": pa.int32(), "text": pa.string()})))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([f"word {LINE * 100}"] * 300), edits], ["doc_id", "text", "edits"])
+    shared = type("Shared", (), {"value": None})
+    counted = list(token_counts._counted(public_tokenizers.path("byte_bpe_50k.json"), shared)(iter([batch])))
+    assert batch.nbytes > 3_000_000 and len(calls) == 1 and len(calls[0]) == len(set(calls[0])) < 30
+    assert sum(b.num_rows for b in counted) == 300 and len(set(counted[0].column(1).to_pylist())) == 1
+
+
 def test_token_counts_follow_random_edits(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
