@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import CACHES, portions, tidy
+from staylens.llm.common import CACHES, portions, tidy, utf8
 
 NONE = 1 << 62
 #: fixed values: the pre-token patterns that the two vocabularies' files name
@@ -33,6 +33,8 @@ BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: white space of str.split() that the vocabularies do not count as white space
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: kinds of bytes: 1 letters, 2 digits, 3 others; 4 white space, apostrophes and what is not ASCII, whose pre-tokens need the pattern
+KINDS = np.array([4 if b > 127 or chr(b).isspace() or b == 39 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
 #: all other white space but the space
 OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in ODD_SPACE + " "]
 
@@ -147,11 +149,14 @@ class Lexicon:
     def find(self, words: list[bytes]) -> np.ndarray:
         """Number of each word, or -1; all words walk the automaton in step, longest first."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
-        number = np.zeros(len(words), np.int64)
-        state = np.zeros(len(words), np.int64)
+        return self.find_at(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths)
+
+    def find_at(self, text: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Number of the word at each place of the text, or -1."""
+        number = np.zeros(len(lengths), np.int64)
+        state = np.zeros(len(lengths), np.int64)
         if len(self.keys) == 0:
-            return np.full(len(words), -1, np.int64)
-        text, begin = np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths
+            return np.full(len(lengths), -1, np.int64)
         active = np.argsort(-lengths, kind="stable")
         depth = 0
         while True:
@@ -304,12 +309,19 @@ class Encoder:
         if not own:
             return out
         sizes = np.fromiter((len(words[i]) for i in own), np.int64, len(own))
-        raw = np.frombuffer(b"".join([words[i] for i in own]), np.uint8)
+        for names, ids, starts, stops in self._merged(np.frombuffer(b"".join([words[i] for i in own]), np.uint8), sizes):
+            flat = ids.astype(np.uint32).tobytes()
+            for k, a, b in zip(names.tolist(), (4 * starts).tolist(), (4 * stops).tolist(), strict=True):
+                out[own[k]] = flat[a:b]
+        return out
+
+    def _merged(self, raw: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Rounds of merges of words that follow each other; a round gives the words it ended: their numbers, and ids with first and last places."""
         ids = self.first_ids[raw]
         ends = np.cumsum(sizes)
         ids[ends - 1] = self.last_ids[raw[ends - 1]]
-        names = np.array(own)
-        word = np.repeat(np.arange(len(own)), sizes)
+        names = np.arange(len(sizes))
+        word = np.repeat(names, sizes)
         while len(ids):
             rank = np.full(len(ids), NONE, np.int64)
             inside = np.flatnonzero(word[:-1] == word[1:])
@@ -319,9 +331,7 @@ class Encoder:
             done = best == NONE
             if done.any():
                 stops = np.append(starts[1:], len(ids))
-                flat = ids.astype(np.uint32).tobytes()
-                for i, a, b in zip(names[done].tolist(), (4 * starts[done]).tolist(), (4 * stops[done]).tolist(), strict=True):
-                    out[i] = flat[a:b]
+                yield names[done], ids, starts[done], stops[done]
                 lengths = stops - starts
                 keep = np.repeat(~done, lengths)
                 ids, rank = ids[keep], rank[keep]
@@ -340,7 +350,6 @@ class Encoder:
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
             ids, word = ids[keep], word[keep]
-        return out
 
     def _normal(self, chunk: str) -> str:
         """What the word-end vocabulary does to a text before it is cut."""
@@ -487,6 +496,57 @@ class Encoder:
         self._shrink(names, new_words)
         return [len(x) // 4 for x in known]
 
+    def unit_lengths(self, units: pa.Array) -> np.ndarray:
+        """What ``chunk_lengths`` gives for distinct units (large strings); byte-level vocabularies only.
+
+        Units of ASCII words with at most a space before them are cut where letters, digits and others meet, and the distinct
+        pre-tokens of all of them are looked up and merged as arrays; other units are met one by one.
+        """
+        n = len(units)
+        data, offsets = utf8(units)
+        if not len(data):
+            return np.zeros(n, np.int64)
+        kind = KINDS[data]
+        lengths = np.diff(offsets)
+        start = offsets[:-1][lengths > 1]
+        start = start[data[start] == 32]
+        kind[start] = 0  # a space before the unit's first character goes with it
+        odd = np.flatnonzero(kind == 4)
+        if self.cut:
+            odd = np.concatenate((odd, np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))))
+        slow = lengths == 0
+        slow[np.searchsorted(offsets, odd, "right") - 1] = True
+        new = np.ones(len(data), bool)
+        new[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+        new[offsets[:-1][lengths > 0]] = True
+        begin = np.flatnonzero(new)
+        owner = np.searchsorted(offsets, begin, "right") - 1
+        fast = ~slow[owner]
+        size = np.diff(np.append(begin, len(data)))[fast]
+        begin, owner = begin[fast], owner[fast]
+        raw = data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        words = pa.Array.from_buffers(pa.large_string(), len(size), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size)))), pa.py_buffer(raw)]).dictionary_encode()
+        counts = self._word_lengths(*utf8(words.dictionary)) if len(size) else np.zeros(0, np.int64)
+        out = np.bincount(owner, counts[words.indices.to_numpy()], n).astype(np.int64)
+        slow = np.flatnonzero(slow)
+        out[slow] = self.chunk_lengths(units.take(pa.array(slow)).to_pylist())
+        return out
+
+    def _word_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How many ids each pre-token has, from the transducer or by merging."""
+        size, begin = np.diff(offsets), offsets[:-1]
+        number = self.lexicon.find_at(data, begin, size) if self.lexicon else np.full(len(size), -1)
+        out = np.diff(self.lexicon.starts)[np.maximum(number, 0)] if self.lexicon and len(self.lexicon.starts) > 1 else np.zeros(len(size), np.int64)
+        for k in np.flatnonzero((number < 0) & (size > 80)).tolist():
+            out[k] = len(self.merge(data[offsets[k]: offsets[k + 1]].tobytes()))
+        own = np.flatnonzero((number < 0) & (size <= 80))
+        for at in range(0, len(own), 50_000):
+            some = own[at: at + 50_000]
+            raw = data[np.repeat(begin[some] - (np.cumsum(size[some]) - size[some]), size[some]) + np.arange(size[some].sum())]
+            for names, _, starts, stops in self._merged(raw, size[some]):
+                out[some[names]] = stops - starts
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become replacement characters."""
         return b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "replace")

@@ -152,7 +152,7 @@ def _trees(texts: pa.Array, coder: Encoder) -> list[TokenTree]:
     # an empty text and the one behind it begin at one place: its unit stands first
     first = np.append(np.searchsorted(starts, offsets[:-1]) + np.arange(len(texts)) - np.searchsorted(offsets[:-1], offsets[:-1]), len(starts))
     units = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-    tokens = np.array(coder.chunk_lengths(units.dictionary.to_numpy(zero_copy_only=False).tolist()), np.int64)[units.indices.to_numpy()]
+    tokens = coder.unit_lengths(units.dictionary)[units.indices.to_numpy()]
     places = np.concatenate(([0], np.cumsum(data & 0xC0 != 0x80)))[bounds]
     characters, sums = heaps(np.diff(places), first), heaps(tokens, first)
     return [TokenTree(text or "", places[a: b + 1] - places[a], x, y) for text, a, b, x, y in zip(texts.to_pylist(), first[:-1].tolist(), first[1:].tolist(), characters, sums, strict=True)]

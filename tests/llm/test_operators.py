@@ -617,13 +617,19 @@ def test_units_of_a_portion_are_cut_and_numbered_at_once(monkeypatch):
     assert len(starts) == len(wanted)
     raw = data.tobytes()
     assert [raw[a:b].decode().removeprefix(" ") for a, b in itertools.pairwise([*starts, len(raw)])] == [u.removeprefix(" ") for _, u in wanted]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    units = sorted({u for _, u in wanted} | {" " + u for _, u in wanted if u[:1].strip()} | {" ", "don't", " it's", "ab12,,", " x<|endoftext|>", "<", "|>", "aaaaaa", " " + "ab" * 60, "\0\x01a", "http://x.y/?z=1"})
+    for words in ([], ["ab", " ab", "http"]):
+        coder = bpe.Encoder(path, bpe.compile_lexicon(path, words))
+        assert coder.unit_lengths(pa.array(units, pa.large_string())).tolist() == [len(library.encode(u, add_special_tokens=False).ids) for u in units]
     calls = []
-    lengths = bpe.Encoder.chunk_lengths
-    monkeypatch.setattr(bpe.Encoder, "chunk_lengths", lambda self, chunks: calls.append(chunks) or lengths(self, chunks))
+    lengths = bpe.Encoder.unit_lengths
+    monkeypatch.setattr(bpe.Encoder, "unit_lengths", lambda self, chunks: calls.append(chunks.to_pylist()) or lengths(self, chunks))
     edits = pa.array([[]] * 300, pa.list_(pa.struct({"step": pa.int32(), "start": pa.int32(), "stop": pa.int32(), "text": pa.string()})))
     batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([f"word {LINE * 100}"] * 300), edits], ["doc_id", "text", "edits"])
     shared = type("Shared", (), {"value": None})
-    counted = list(token_counts._counted(public_tokenizers.path("byte_bpe_50k.json"), shared)(iter([batch])))
+    counted = list(token_counts._counted(path, shared)(iter([batch])))
     assert batch.nbytes > 3_000_000 and len(calls) == 1 and len(calls[0]) == len(set(calls[0])) < 30
     assert sum(b.num_rows for b in counted) == 300 and len(set(counted[0].column(1).to_pylist())) == 1
 
