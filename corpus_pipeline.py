@@ -9,25 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from staylens.llm import packing, similar_documents, simhash, substring_dedup, toxicity
-from staylens.llm.common import checkpointed, fresh, prepared
+from staylens.llm.common import checkpointed, fresh, prepared, scratch, small_batches
 from staylens.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def with_settings(stage: Callable) -> Callable:
-    """The stage, with the settings of Python workers that registered queries have, also where it is called on its own."""
+    """The stage, with the settings of Python workers that registered queries have, also where it is called on its own.
+
+    All its Python tasks run in here, on small batches: a stage that would leave one for its reader writes that one's rows first.
+    """
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         prepared(spark)
-        return stage(spark, docs, sf_dir)
+        with small_batches(spark):
+            return stage(spark, docs, sf_dir)
 
     return run
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; all columns are kept."""
-    return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return checkpointed(toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +50,10 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     text, repeated rows and different texts under one doc_id included; rows without doc_id stay as they are.
     """
     name, key, kept = (fresh(docs.columns, x) for x in ("cut_doc_id", "cut_text_key", "cut_kept"))
-    cut = substring_dedup.remove_repeats(docs, length=100).filter("doc_id IS NOT NULL AND n_removed > 0").dropDuplicates(["doc_id", "text_key"]).select(
-        F.col("doc_id").alias(name), F.col("text_key").alias(key), F.col("kept").cast("string").alias(kept))
+    with scratch(spark) as lasting:
+        changed = substring_dedup.remove_repeats(docs, length=100).filter("doc_id IS NOT NULL AND n_removed > 0")
+        cut = lasting(changed.dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias(name), F.col("text_key").alias(key), F.col("kept").alias(kept)))
+    cut = cut.withColumn(kept, F.col(kept).cast("string"))
     own = F.coalesce(docs["text"].cast("string"), F.lit(""))
     joined = docs.join(cut, (docs["doc_id"].cast("long") == F.col(name)) & (F.xxhash64(own) == F.col(key)), "left")
     text = F.coalesce(F.try_validate_utf8(kept), F.regexp_replace(F.make_valid_utf8(kept), "\ufffd", ""))
@@ -68,10 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each stage's result is written before the next one reads it."""
+    """All stages over the documents of ``sf_dir``; each stage's result is written before the next one reads it, that of the first by itself."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
+        if 0 < k < len(STAGES) - 1:
             docs = checkpointed(docs)
     return docs

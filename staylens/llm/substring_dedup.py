@@ -24,7 +24,8 @@ from staylens.llm.common import checkpointed, mark_of, marked, marks, portions,
 from staylens.llm.suffix_array import suffix_arrays
 
 GRAM, GROUP = 32, 16
-PIECE = 8_000_000
+#: bytes of one long text, and of short texts together, whose windows a task hashes at once; some ten numbers stand beside each byte
+PIECE, PORTION = 8_000_000, 500_000
 PLACES = np.uint64((1 << 24) - 1)
 RECORD = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
 PARTS = "bucket long, kind int, blob binary"
@@ -121,7 +122,7 @@ def _anchored(length: int, buckets: int) -> Callable:
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         count = 0
-        for batch in portions(batches, 1, 2_000_000):
+        for batch in portions(batches, 1, PORTION):
             data, offsets = utf8(batch.column(1))
             names = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             # a text beyond PIECE bytes is alone in its portion and is cut into overlapping stretches

@@ -720,6 +720,34 @@ def test_texts_reach_packing_in_small_batches(spark, monkeypatch):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
+def test_stages_hand_small_batches_to_python(spark, tmp_path, monkeypatch):
+    """Every task over texts, also those whose rows leave a stage, gets at most 1,000 rows at once; the setting is as before afterwards."""
+    def checked(task, keep=False):
+        def run(batches):
+            def small():
+                for batch in batches:
+                    if batch.num_rows > 1_000:
+                        raise ValueError(f"{batch.num_rows} rows at once")
+                    yield batch
+
+            yield from task(small())
+
+        return run
+
+    for module in (toxicity, similar_documents, substring_dedup, packing):
+        monkeypatch.setattr(module, "tidy", checked)
+    spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    passage = " ".join(f"passage{k}" for k in range(15))
+    docs = spark.range(3_000, numPartitions=1).selectExpr("id AS doc_id", f"concat(sha2(string(id), 256), if(id % 100 = 0, ' {passage}', '')) AS text", "'en' AS lang", "'web' AS source", "0 AS n_chars")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = checkpointed(stage(spark, docs, str(tmp_path)).coalesce(1))
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+        if name == "suffix_dedup":
+            assert docs.count() > 2_900 and docs.filter(f"text LIKE '%{passage}'").count() == 1
+    assert docs.select("doc_id").distinct().count() > 2_900
+
+
 def test_stages_prepare_the_workers(spark, monkeypatch):
     """A stage called on its own has the settings of the registered query."""
     settings = spark.sparkContext.environment
