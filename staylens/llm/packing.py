@@ -28,7 +28,7 @@ FULL, INJECTED = 0.999, 0.5
 #: bounds of the share of the other parent's bins that a crossover empties
 EMPTIED = 0.3, 0.7
 #: bytes of text that a task encodes at once
-PORTION = 500_000
+PORTION = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 
