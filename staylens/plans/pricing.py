@@ -197,7 +197,7 @@ def comps_positioning(spark: SparkSession, folder: str) -> DataFrame:
     targets, df, near = comps._targets(spark, folder)
     seg = comps.segments(df)
     summaries = comps.buildings(df, seg)
-    rec = comps.recommend(comps.comparables(targets, df, near), summaries).select(F.col("t_id").alias("id"), "recommended").join(df.select("id", "hood", "building", "bedrooms"), "id")
+    rec = comps.recommend(comps.comparables(targets, df, near), summaries).select(F.col("t_id").alias("id"), "recommended").join(df.select("id", "hood", "building", "bedrooms").hint("merge"), "id")
     x = rec.join(summaries.select("building", "hood", "bedrooms", "median"), ["building", "hood", "bedrooms"], "left").join(seg.select("hood", "bedrooms", "p50"), ["hood", "bedrooms"], "left")
     return x.select(F.col("id").alias("t_id"), positioning(F.col("recommended"), F.col("median"), 1.08).alias("in_building"), positioning(F.col("recommended"), half_up(F.col("p50") * _JUNE), 1.12).alias("in_segment"))
 
