@@ -174,10 +174,9 @@ SELECT t_id, COALESCE(n_fees, 0) AS n_fees, fee, CAST(floor(recommended + fee +
 def comps_sweep(spark: SparkSession, folder: str) -> DataFrame:
     """Median fees of the comparables, the recommendation all in, and a sweep over the seasons from June's."""
     targets, df, near = comps._targets(spark, folder)
-    best = comps.comparables(targets, df, near)
-    fee = best.select("t_id", "id").join(fees_a_night(spark, folder), "id").groupBy("t_id").agg(half_up(F.median("fee") * 10_000).cast("double").alias("fee"), F.count("*").alias("n_fees"))
-    x = comps.recommend(best, comps.buildings(df, comps.segments(df))).select("t_id", "recommended").join(fee, "t_id", "left").withColumn("fee", F.col("fee") / 1_000_000)
-    return x.select("t_id", F.coalesce("n_fees", F.lit(0)).alias("n_fees"), "fee", half_up(F.col("recommended") + F.col("fee")).alias("all_in"), *[v.alias(k) for k, v in sweep(F.col("recommended") / _JUNE, F.col("fee")).items()])
+    best = comps.comparables(targets, df, near, fees_a_night(spark, folder))
+    x = comps.recommend(best, comps.buildings(df, comps.segments(df)), fee=half_up(F.median("fee") * 10_000).cast("double"), n_fees=F.count("fee")).withColumn("fee", F.col("fee") / 1_000_000)
+    return x.select("t_id", "n_fees", "fee", half_up(F.col("recommended") + F.col("fee")).alias("all_in"), *[v.alias(k) for k, v in sweep(F.col("recommended") / _JUNE, F.col("fee")).items()])
 
 
 def positioning(price: Column, median: Column, high: float, low: float = 0.92) -> Column:
