@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from staylens.functions import dates, numbers
 from staylens.functions.numbers import half_up
-from staylens.operators import stats
+from staylens.operators import matches, stats
 from staylens.operators.latest import first_per_key
 from staylens.plans import comps
 from staylens.plans.offers import STALE_DAYS, FLAT_BELOW, band, lead_bucket
@@ -40,23 +43,40 @@ def eligible_v1(df: DataFrame) -> DataFrame:
                      & (F.col("sqft").isNull() | (F.col("sqft") >= 200)) & (F.col("confidence") >= V1_CONFIDENCE))
 
 
-def score_v1(pairs: DataFrame) -> Column:
-    """Likeness from 0 to 100; the weight of size is shared out where either side lacks it."""
-    no_sqft, no_rating = F.col("t_sqft").isNull() | F.col("sqft").isNull(), F.col("t_rating").isNull() | (F.col("t_rating") <= 0)
-    w = {k: F.lit(float(v)) + F.when(no_sqft, float(V1_NO_SQFT.get(k, 0))).otherwise(0.0) + F.when(no_rating, float(V1_NO_RATING.get(k, 0))).otherwise(0.0) for k, v in V1_WEIGHTS.items()}
-    parts = [
-        numbers.nearness(F.col("beach_m"), F.col("t_beach_m"), V1_BEACH_SCALE, w["beach"]), F.when(no_sqft, 0.0).otherwise(numbers.nearness(F.col("sqft"), F.col("t_sqft"), F.col("t_sqft") * V1_SQFT_SCALE, w["sqft"])),
-        numbers.bath_score(F.col("bathrooms"), F.col("t_bathrooms"), w["bath"]), numbers.jaccard(F.col("amenities"), F.col("t_amenities")) * w["amenities"],
-        F.when(no_rating, 0.0).otherwise(numbers.nearness(F.col("rating"), F.col("t_rating"), 3.0, w["rating"]))]
-    return comps.to_score(reduce(lambda a, b: a + b, parts) - F.when(F.col("bedrooms") != F.col("t_bedrooms"), 12.0).otherwise(0.0))
+def _read(t: pa.Table, c: pa.Table) -> tuple[dict[str, np.ndarray], dict[str, matches.Candidates]]:
+    far = lambda x: matches.floats(c[x], np.inf)
+    rating, sqft = matches.floats(t["t_rating"]), matches.floats(t["t_sqft"])
+    mine = {"bathrooms": matches.floats(t["t_bathrooms"]), "bedrooms": matches.floats(t["t_bedrooms"]), "no_sqft": t["t_sqft"].is_null().to_numpy(), "no_rating": t["t_rating"].is_null().to_numpy() | (rating <= 0)}
+    for k, scale in (("beach_m", np.full(len(t), V1_BEACH_SCALE)), ("sqft", sqft * V1_SQFT_SCALE), ("rating", np.full(len(t), 3.0))):
+        mine[k], mine[f"{k}_scale"] = matches.near_to(t[f"t_{k}"], scale)
+    theirs = {"bathrooms": matches.floats(c["bathrooms"]), "bedrooms": matches.floats(c["bedrooms"]), "no_sqft": c["sqft"].is_null().to_numpy(), "beach_m": far("beach_m"), "sqft": far("sqft"), "rating": far("rating")}
+    return mine, {k: matches.Candidates(v) for k, v in theirs.items()}
+
+
+def _raw(t: dict[str, np.ndarray], c: dict[str, matches.Candidates], overlap: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Likeness of all pairs, rounded to 0 to 100 later; the weight of size is shared out where either side lacks it."""
+    own = lambda k, no_sqft: V1_WEIGHTS[k] + np.where(no_sqft, float(V1_NO_SQFT.get(k, 0)), 0.0) + np.where(t["no_rating"], float(V1_NO_RATING.get(k, 0)), 0.0)
+    weight = lambda k: c["no_sqft"].spread(lambda x: own(k, x | t["no_sqft"]))
+    near = lambda k, w: c[k].spread(lambda x: matches.nearness(x, t[k], t[f"{k}_scale"], w))
+    raw = near("beach_m", 1.0) * weight("beach")
+    raw += near("sqft", float(V1_WEIGHTS["sqft"]))
+    raw += c["bathrooms"].spread(lambda x: matches.bath_score(x, t["bathrooms"], 1.0)) * weight("bath")
+    raw += overlap(own("amenities", False))
+    raw += near("rating", np.where(t["no_rating"], 0.0, float(V1_WEIGHTS["rating"])))
+    raw -= c["bedrooms"].spread(lambda x: np.where(x != t["bedrooms"], 12.0, 0.0))
+    return raw
 
 
 def comparables_v1(targets: DataFrame, pool: DataFrame) -> DataFrame:
-    """Ten best of the target's hood and bedrooms, one bedroom more or less where fewer than three are there."""
+    """Ten best of the target's hood and bedrooms, one bedroom more or less where fewer than three are there (t_id, step, id, price, score, rank).
+
+    Only pairs that can be among the ten best leave the task that scored them.
+    """
     flags = {k: (F.col("far") == 0) & (F.abs(F.col("bedrooms") - F.col("t_bedrooms")) <= k - 1) for k in (1, 2)}
     nowhere = pool.select("hood", F.col("hood").alias("near")).limit(0)
-    pairs = comps.pool_pairs(targets, pool, nowhere, flags, lambda n: F.when(n[1] >= 3, 1).otherwise(2))
-    return pairs.withColumn("score", score_v1(pairs)).withColumn("rank", F.row_number().over(Window.partitionBy("t_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= 10)
+    found = comps.pool_best(targets, pool, nowhere, flags, lambda n: F.when(n[1] >= 3, 1).otherwise(2), matches.Scorer(_read, _raw), ["t_id", "step"], ["id", "price"])
+    scored = found.select("t_id", "step", "id", "price", comps.to_score(F.col("raw")).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("t_id").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= 10)
 
 
 _V1 = "SELECT *, price_cents / 200.0::DOUBLE AS price FROM listings WHERE hood IN ('Zona Romantica', 'Amapas') AND bedrooms BETWEEN 1 AND 4 AND price_cents > 0 AND price_cents / 200.0::DOUBLE <= 1000 AND (sqft IS NULL OR sqft >= 200) AND confidence >= 0.85"

@@ -39,7 +39,7 @@ def most_rows(spark):
     return max(int(values.apply(m.accumulatorId()).replace(",", "")) for m in asked if values.contains(m.accumulatorId()))
 
 
-@pytest.mark.parametrize("name", ["comps_scores", "jaccard_pairs", "comps_selected", "comps_overall_drivers", "comps_recommendation", "comps_layers", "comps_positioning", "comps_sweep"])
+@pytest.mark.parametrize("name", ["comps_scores", "jaccard_pairs", "comps_selected", "comps_overall_drivers", "comps_recommendation", "comps_layers", "comps_positioning", "comps_sweep", "comps_v1"])
 def test_pairs_stay_in_tasks(spark, crowd, name):
     folder, con = crowd
     df = plans.QUERIES[name](spark, folder)
